@@ -154,7 +154,13 @@ def training_rows(docs: DataFrame, folds: int = 5, per_language: int = MAX_ROWS_
     from pyspark.sql import Window
 
     d = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != 0))
-    ids = d.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    # a hash threshold for each language leaves little more than the sample, whatever the input's size
+    share = {r["lang"]: min(1.0, 1.5 * per_language / r["count"]) for r in d.groupBy("lang").count().collect()}
+    if not share:
+        return d.select("text", "lang")
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
+    ids = d.select("doc_id", "lang", h.alias("h")).filter(F.pmod(h, F.lit(1 << 30)) < limit * (1 << 30))
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = ids.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select("doc_id")
     return d.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text", "lang")

@@ -3,9 +3,10 @@ parameters, to its whole table and shape the contract's columns."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sonorel.llm import common, langid, toxicity
+from sonorel.llm import bpe, common, langid, toxicity
 from sonorel.llm.oracle import ORACLES  # noqa: F401
 
 
@@ -14,6 +15,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -21,5 +26,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op4_bpe": op4_bpe,
     "op10_language_id": op10_language_id,
 }

@@ -114,7 +114,10 @@ def training_ids(labels: DataFrame, folds: int = 3, max_rows: int = MAX_TRAINING
     than 1. Conflicting labels of one document count as toxic."""
     rows = labels.filter(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != 1))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    return rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    # a hash threshold leaves little more than the sample, whatever the input's size
+    share = min(1.0, 1.5 * max_rows / max(1, labels.count()))
+    return rows.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(h, "doc_id").limit(max_rows)
 
 
 def _token_counts(batches):
