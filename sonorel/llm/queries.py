@@ -5,11 +5,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sonorel.llm import bpe, common, langid, toxicity
+from sonorel.llm import ann, bpe, common, html_extract, langid, token_files, toxicity
 from sonorel.llm.oracle import ORACLES  # noqa: F401
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(common.table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
@@ -19,13 +24,24 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
 
 
 QUERIES = {
+    "op2_html": op2_html,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op6_token_files": op6_token_files,
+    "op8_ann": op8_ann,
     "op10_language_id": op10_language_id,
 }
