@@ -7,10 +7,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonorel.llm import ann, bpe, common, html_extract, langid, token_files, toxicity
+from sonorel.llm import ann, bpe, common, fingerprints, html_extract, langid, token_files, toxicity
 from sonorel.llm.oracle import ORACLES  # noqa: F401
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(common.table(spark, sf_dir, "documents"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(common.table(spark, sf_dir, "pages"))
 
@@ -38,6 +42,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_html": op2_html,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
