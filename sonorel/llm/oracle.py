@@ -2,4 +2,10 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # Messages without tool calls, which are all that the table holds: SQL can't parse and validate calls.
+    "op9_chat": """
+        SELECT conv_id, turn, role, turn AS order_turn, 0::INTEGER AS order_step, 0::INTEGER AS n_calls, TRUE AS valid, '' AS problems,
+               '{"content":' || to_json(coalesce(text, ''))::VARCHAR || ',"role":' || to_json(coalesce(role, ''))::VARCHAR || '}' AS line
+        FROM conversations""",
+}

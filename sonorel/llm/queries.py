@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonorel.llm import ann, bpe, common, fingerprints, html_extract, langid, token_files, toxicity
+from sonorel.llm import ann, bpe, chat, common, fingerprints, html_extract, langid, ngram_join, packing, token_files, toxicity
 from sonorel.llm.oracle import ORACLES  # noqa: F401
 
 
@@ -28,14 +28,26 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(common.table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_messages(common.table(spark, sf_dir, "conversations"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -46,7 +58,10 @@ QUERIES = {
     "op2_html": op2_html,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op5_ngram_join": op5_ngram_join,
     "op6_token_files": op6_token_files,
+    "op7_packing": op7_packing,
     "op8_ann": op8_ann,
+    "op9_chat": op9_chat,
     "op10_language_id": op10_language_id,
 }
