@@ -19,10 +19,14 @@ likeness 1 to one another and 0 to all others; equal texts have equal fingerprin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonorel.llm import common
+
 WORDS = 5
 BIN_BITS = 9
 BINS = 1 << BIN_BITS
@@ -116,8 +120,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, text, fingerprint (packed) of every row."""
-    return with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "fp")
+    """``docs`` with ``fp``: the packed fingerprint of ``text``."""
+    return with_fingerprint(docs, "text", "fp")
 
 
 def _next_bucket(buckets: DataFrame) -> DataFrame:
@@ -131,37 +135,37 @@ def _next_bucket(buckets: DataFrame) -> DataFrame:
     return inner.join(after, "g").select("bucket", F.coalesce("next", "after").alias("next"))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` (doc_id, ...) with ``next_<c>`` for each of ``columns``: those of the document that follows in
-    ascending doc_id, after the last the first. Rows that repeat a doc_id follow one another, ordered by the
+def with_next(docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """``prepare(docs)`` (doc_id, ...) with ``next_<c>`` for each of ``columns``: those of the document that follows
+    in ascending doc_id, after the last the first. Rows that repeat a doc_id follow one another, ordered by the
     given columns; rows without a doc_id have no next document (nulls).
 
-    One shuffle deals the rows by ranges of their id. The last row of each range gets its next from the first
-    row of the range after it; both come from the same shuffle.
+    One shuffle deals the rows by ranges of their id, and within a range a window finds the next row. The last
+    row of a range gets the first row of the range after it; those first rows, one a range, are picked by id.
     """
-    some = rows.select("doc_id").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    rows = prepare(docs)
+    some = docs.select("doc_id").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(f"next_{c}") for c in columns]
     if not some.n:
         return rows.select("*", *nothing)
     width = max(1, -(-(some.hi - some.lo + 1) * BUCKET_ROWS // some.n))
-    # never null, so that all three branches below read one and the same shuffle
     bucket = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(some.lo)) / F.lit(float(width))).cast("long"), F.lit(0).cast("long"))
-    known = rows.filter(F.col("doc_id").isNotNull()).withColumn("bucket", bucket)
+    known = docs.filter(F.col("doc_id").isNotNull())
+    buckets = common.materialize(known.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.min("doc_id").alias("doc_id")), "buckets")
+    wanted = _next_bucket(buckets.select("bucket")).join(buckets.withColumnRenamed("bucket", "next"), "next").select("doc_id", "bucket")
+    wanted = common.small_side(common.materialize(wanted, "first-ids"), 32)
+    firsts = prepare(known.join(wanted, "doc_id")).groupBy("bucket").agg(F.min(F.struct(*columns)).alias("first"))
     w = Window.partitionBy("bucket").orderBy("doc_id", *columns)
-    inner = known.select("*", F.lag("doc_id").over(w).alias("__before"), F.lead("doc_id").over(w).alias("__after"), *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
-    buckets = rows.filter(F.col("doc_id").isNotNull()).select(bucket.alias("bucket")).distinct()
-    firsts = inner.filter(F.col("__before").isNull()).select(F.col("bucket").alias("next"), *[F.col(c).alias(f"next_{c}") for c in columns])
-    lasts = inner.filter(F.col("__after").isNull()).drop(*[f"next_{c}" for c in columns])
     plain = rows.columns
-    done = [*plain, *[f"next_{c}" for c in columns]]
-    closed = lasts.join(_next_bucket(buckets), "bucket").join(firsts, "next").select(*done)
-    return inner.filter(F.col("__after").isNotNull()).select(*done).union(closed).union(rows.filter(F.col("doc_id").isNull()).select("*", *nothing))
+    inner = prepare(known).withColumn("bucket", bucket).select("*", F.lead("doc_id").over(w).alias("__after"), *[F.lead(c).over(w).alias(f"__{c}") for c in columns])
+    after = [F.when(F.col("__after").isNull(), F.col(f"first.{c}")).otherwise(F.col(f"__{c}")).alias(f"next_{c}") for c in columns]
+    return inner.join(firsts, "bucket").select(*plain, *after).union(rows.filter(F.col("doc_id").isNull()).select("*", *nothing))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text (the last half replaced by the beginning of the next
     document), and their likeness to each other and to the next document's."""
-    rows = with_next(fingerprint(docs), ["text", "fp"])
+    rows = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fingerprint, ["text", "fp"])
     text, after = F.coalesce("text", F.lit("")), F.coalesce("next_text", F.lit(""))
     n = F.length(text)
     half = F.floor(n / 2).cast("int")
