@@ -67,6 +67,8 @@ def wang_index_query(queries: DataFrame, references: DataFrame, cfg: WangMatch =
     tol = cfg.offset_tolerance_frames
     votes = wang_votes(queries, stop_hashes(references, cfg.max_postings_per_hash))
     counts = votes.groupBy(*PAIR, "delta").agg(F.count("*").alias("c"))
+    # pairs with too few votes in all can't reach a peak
+    counts = counts.withColumn("all", F.sum("c").over(Window.partitionBy(*PAIR))).filter(F.col("all") >= cfg.min_votes)
     near = Window.partitionBy(*PAIR).orderBy("delta").rangeBetween(-tol, tol)
     bins = counts.withColumn("cons", F.sum("c").over(near))
     peak = bins.groupBy(*PAIR).agg(F.max("cons").alias("votes"), F.sum("cons").alias("total"), (F.max("delta") - F.min("delta") + 1).alias("span"), F.sort_array(F.collect_list(F.struct((-F.col("cons")).alias("k"), F.col("delta").alias("d")))).alias("s"))
