@@ -27,7 +27,6 @@ MAX_ROWS_PER_LANGUAGE = 1500
 #: Bytes of a text taken at a time; longer texts are scored piece by piece.
 PIECE = 1 << 17
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +63,10 @@ def ngram_buckets(raw: bytes, n: int) -> np.ndarray:
     return ((code * _MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def prepared(text: str) -> bytes:
     """Lower case, runs of anything but letters as one blank."""
     return b" " + re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode() + b" "
@@ -106,7 +109,7 @@ class LanguageModel:
 
     def decide(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, ambiguous)"""
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not has_letter(text):
             return "und", 0.0, True
         return self.nearest(self.margins(text))
 
@@ -121,9 +124,10 @@ class LanguageModel:
         return self.languages[order[0]], best, best - second < 0.2
 
 
-def fit(rows: list[tuple[str, str]], smoothing: float = 0.5, rounds: int = 30, seed: int = 3) -> LanguageModel:
-    """Train from (text, language) rows: start at log-odds of n-gram frequencies, then logistic loss."""
-    rows = [(t, l) for t, l in rows if t is not None and l is not None and _LETTER.search(t)]
+def fit(rows: list[tuple[str, str]], smoothing: float = 0.5) -> LanguageModel:
+    """Train from (text, language) rows. Each bit's classifier weighs an n-gram by the log-odds of its frequency in
+    the languages on either side of the bit; bits count by their training error."""
+    rows = [(t, l) for t, l in rows if t is not None and l is not None and has_letter(t)]
     languages = sorted({l for _, l in rows})
     code = codewords(len(languages))
     bits = code.shape[1]
