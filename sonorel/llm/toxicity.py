@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 MAX_TRAINING_ROWS = 12_000
 #: Tokens kept in the model, at most, by evidence.
 MAX_TOKENS = 5_000
-PRIOR_TOKENS = 2_000.0
+#: Weight of the prior, in tokens; of a small training set a share.
+PRIOR_TOKENS, PRIOR_SHARE = 2_000.0, 0.02
 MIN_Z = 4.0
 MIN_LOG_ODDS = 2.0
 THRESHOLD = 0.7
 
 STEMS = range(3, 10)
 #: Tokens whose scores a worker remembers before it starts anew.
-MEMO = 500_000
+MEMO = 100_000
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -173,8 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, max_rows: int = MA
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .filter("toxic > 0")
     )
-    a = F.lit(PRIOR_TOKENS / float(n1 + n0)) * (F.col("toxic") + F.col("clean"))
-    d = F.log((F.col("toxic") + a) / (F.lit(n1 + PRIOR_TOKENS) - F.col("toxic") - a)) - F.log((F.col("clean") + a) / (F.lit(n0 + PRIOR_TOKENS) - F.col("clean") - a))
+    prior = min(PRIOR_TOKENS, PRIOR_SHARE * (n1 + n0))
+    a = F.lit(prior / float(n1 + n0)) * (F.col("toxic") + F.col("clean"))
+    d = F.log((F.col("toxic") + a) / (F.lit(n1 + prior) - F.col("toxic") - a)) - F.log((F.col("clean") + a) / (F.lit(n0 + prior) - F.col("clean") - a))
     se = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
     best = forms.select("token", "toxic", "clean", d.alias("d"), se.alias("se")).filter((F.col("d") >= MIN_Z * F.col("se")) & (F.col("d") > MIN_LOG_ODDS)).orderBy(F.desc(F.col("d") / F.col("se")), "token").limit(MAX_TOKENS).collect()
     # what whole tokens score, to know how scores fall in clean text
