@@ -11,9 +11,10 @@ A document is the set of its distinct word n-grams; two link when 100 |A n B| >=
    with s(x) + s(y) >= 0 link whatever their differences are; so all members that reach the largest s
    link to its holder, and only the others have to be searched for.
 4. T-occurrence search over the inverted lists of differences: x and y link when they share at least
-   T(x, y) > 0 of them. As DivideSkip has it, the T - 1 longest lists of x are set aside; the short ones are
-   merged (a join on the difference, counted per candidate), and candidates are probed in the long ones,
-   which gives the exact overlap. Lists of differences are short, for what is common is in the centre.
+   T(x, y) > 0 of them. The lists of n-grams beyond the centre are short and are merged (a join on the n-gram).
+   The lists of centre n-grams that members lack are long. Only who shares nothing beyond the centre has to be
+   looked for there, which bounds both sizes; as DivideSkip has it, the T - 1 longest lists of x are set aside.
+   Candidates are then probed in all lists, which gives the exact overlap.
 5. Links give the components, over classes, then over documents.
 
 No list is cut and no candidate is dropped; groups of any size are spread by their members.
@@ -39,7 +40,7 @@ from sonorel.llm import common
 WORDS = 3
 THRESHOLD = 90  # of 100
 #: Words whose hashes a worker remembers before it starts anew.
-MEMO = 1_000_000
+MEMO = 200_000
 #: A part that holds up to so many n-grams says little about its set.
 POOR = 2
 
@@ -178,12 +179,14 @@ def links_between(members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     centre = common.materialize(centre, "centres")
     none = F.array().cast("array<long>")
     c = F.coalesce("centre", none)
-    # 19 (|A ^ B|) <= |A| + |B| in general form: (100 + t) |A ^ B| <= (100 - t) (|A| + |B|)
-    diffs = members.join(centre, "block", "left").select("block", "doc_id", F.size("grams").alias("n"), F.array_union(F.array_except("grams", c), F.array_except(c, "grams")).alias("d"))
-    diffs = diffs.withColumn("s", (100 - threshold) * F.col("n").cast("long") - (100 + threshold) * F.size("d").cast("long"))
+    diffs = members.join(centre, "block", "left").select(
+        "block", "doc_id", F.size("grams").cast("long").alias("n"), F.size(c).cast("long").alias("p"), F.array_except("grams", c).alias("more"), F.array_except(c, "grams").alias("less")
+    )
+    # a link is (100 + t) |x ^ y| <= (100 - t) (|x| + |y|)
+    diffs = diffs.withColumn("s", (100 - threshold) * F.col("n") - (100 + threshold) * (F.size("more") + F.size("less")).cast("long"))
     diffs = common.materialize(diffs, "differences")
-    star = diffs.groupBy("block").agg(F.max(F.struct(F.col("s"), (-F.col("doc_id")).alias("star"))).alias("x")).select("block", F.col("x.s").alias("s_max"), (-F.col("x.star")).alias("star"))
-    rows = diffs.join(common.small_side(common.materialize(star, "stars"), 48), "block")
+    star = diffs.groupBy("block").agg(F.max(F.struct(F.col("s"), (-F.col("doc_id")).alias("star"))).alias("x"), F.min("n").alias("n_min")).select("block", F.col("x.s").alias("s_max"), (-F.col("x.star")).alias("star"), "n_min")
+    rows = diffs.join(common.small_side(common.materialize(star, "stars"), 56), "block")
     core = F.col("s") + F.col("s_max") >= 0
     sure = rows.filter(core & (F.col("doc_id") != F.col("star"))).select(F.col("doc_id").alias("a"), F.col("star").alias("b"))
 
@@ -191,18 +194,33 @@ def links_between(members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     def needed(s: Column) -> Column:
         return F.ceil(-s / F.lit(2.0 * (100 + threshold)))
 
-    loose = rows.filter(~core).withColumn("t", needed(F.col("s") + F.col("s_max"))).filter(F.size("d") >= F.col("t"))
-    lists = _unfold(rows.select("block", "doc_id", "s", "d"), "d", "g")
-    lengths = lists.groupBy("block", "g").agg(F.count("*").alias("len")).filter("len > 1")
-    own = _unfold(loose.select("block", "doc_id", "s", "t", F.size("d").alias("nd"), "d"), "d", "g").join(lengths, ["block", "g"], "left")
-    # all but the t - 1 longest lists: a partner is in one of these at least
-    w = Window.partitionBy("block", "doc_id").orderBy(F.coalesce("len", F.lit(1)), "g")
-    short = own.withColumn("r", F.row_number().over(w)).filter((F.col("r") <= F.col("nd") - F.col("t") + 1) & F.col("len").isNotNull())
-    x, y = short.select("block", "g", F.col("doc_id").alias("x"), F.col("s").alias("sx")), lists.select("block", "g", F.col("doc_id").alias("y"), F.col("s").alias("sy"))
-    met = x.join(y, ["block", "g"]).filter("x <> y").groupBy("x", "y", "sx", "sy").agg(F.count("*").alias("found"))
-    # probe the long lists: a candidate is in the list of g if g is one of its differences
-    d = diffs.select("doc_id", "d")
-    probed = met.join(d.select(F.col("doc_id").alias("x"), F.col("d").alias("dx")), "x").join(d.select(F.col("doc_id").alias("y"), F.col("d").alias("dy")), "y")
+    loose = rows.filter(~core).withColumn("t", needed(F.col("s") + F.col("s_max"))).filter(F.size("more") + F.size("less") >= F.col("t"))
+    side = lambda df, k, *cols: df.select("block", "g", F.col("doc_id").alias(k), F.col("s").alias(f"s{k}"), *cols)
+
+    def search(some: DataFrame, others: DataFrame, column: str, least: Column, *cols: str) -> tuple[DataFrame, DataFrame]:
+        """Inverted lists of ``column``: of every member of ``some`` all but its ``least`` - 1 longest lists (a partner
+        with ``least`` in common is in one of the rest), and the lists of ``others`` to look in."""
+        lists = _unfold(others.select("block", "doc_id", "s", *cols, column), column, "g")
+        lengths = lists.groupBy("block", "g").agg(F.count("*").alias("len")).filter("len > 1")
+        own = _unfold(some.select("block", "doc_id", "s", *cols, (F.size(column) - least + 1).alias("keep"), column), column, "g").join(lengths, ["block", "g"], "left")
+        w = Window.partitionBy("block", "doc_id").orderBy(F.coalesce("len", F.lit(1)), "g")
+        short = own.withColumn("r", F.row_number().over(w)).filter((F.col("r") <= F.col("keep")) & F.col("len").isNotNull())
+        named = lambda k: [F.col(c).alias(f"{c}{k}") for c in cols]
+        return side(short, "x", *named("x")), side(lists, "y", *named("y"))
+
+    # partners that share n-grams beyond the centre: at least t less those that x lacks
+    x, y = search(loose, rows, "more", F.greatest(F.col("t") - F.size("less"), F.lit(1)))
+    met = x.join(y, ["block", "g"]).filter("x <> y").select("x", "y", "sx", "sy")
+    # partners that share none, so |x ^ y| >= |differences of x| + |y| - |centre|, and the same the other way round
+    room = F.col("s") + (100 + threshold) * F.col("p")
+    fits = F.col("room") >= 2 * threshold * F.col("n_min")
+    small, lacking = rows.withColumn("room", room).filter(fits), loose.withColumn("room", room).filter(fits & (F.size("less") >= F.col("t")))
+    x, y = search(lacking, small, "less", F.col("t"), "n", "room")
+    both = x.join(y, ["block", "g"]).filter((F.col("x") != F.col("y")) & (2 * threshold * F.col("ny") <= F.col("roomx")) & (2 * threshold * F.col("nx") <= F.col("roomy"))).select("x", "y", "sx", "sy")
+    found = met.union(both).distinct()
+    # probe all lists: a candidate is in the list of g if g is one of its differences
+    d = diffs.select("doc_id", F.concat("more", "less").alias("d"))
+    probed = found.join(d.select(F.col("doc_id").alias("x"), F.col("d").alias("dx")), "x").join(d.select(F.col("doc_id").alias("y"), F.col("d").alias("dy")), "y")
     searched = probed.filter(F.size(F.array_intersect("dx", "dy")) >= needed(F.col("sx") + F.col("sy"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return sure.union(searched)
 
