@@ -21,6 +21,7 @@ import os
 import re
 import uuid
 import zlib
+from itertools import islice
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
@@ -32,13 +33,15 @@ from pyspark.sql import functions as F
 from sonorel.llm import common
 
 #: Chunks of text (a run of ASCII white space and what follows) a worker remembers before it starts anew.
-MEMO = 500_000
-#: Bytes of text that a partition should hold, about.
-PARTITION_BYTES = 24 << 20
+MEMO = 700_000
 
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-# White space or what some engine takes for it beyond the ASCII kinds: texts with it aren't cut into chunks.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
+# A word in ASCII or Latin-1 letters and ASCII punctuation behind it (none that starts a contraction).
+_WORD_AND_MARKS = re.compile(r"((?:\0|\n)?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
+# Texts without these can be cut at each blank and line end.
+_RUNS = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\v", "\f")
+# White space or what some engine takes for it beyond the ASCII kinds, and NUL: texts with it aren't cut into chunks.
+_ODD = re.compile("[\0\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
 
 
 class ChunkEncoder:
@@ -63,20 +66,55 @@ class ChunkEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Many short texts in one go: a special token between two of them keeps them apart and marks the seam."""
+        if not self.special:
+            return self._ids(chunks)
+        seam, width = self.special[0], self.kind.itemsize
+        ids = np.array(self.lib.encode_batch_fast([seam.join(chunks)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.append(np.flatnonzero(ids == self.lib.token_to_id(seam)), len(ids))
+        starts = np.append(0, ends[:-1] + 1)
+        raw = ids.tobytes()
+        return [raw[a * width : z * width] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """Chunks of a text, as memo keys: a chunk that starts with a blank goes without it, the first after a NUL."""
+        if any(x in text for x in _RUNS):
+            cs = _CHUNK.findall(text)
+            return [f"\0{cs[0]}", *[c[1:] if c[0] == " " and c[1:2] != "\n" else c if c[0] == "\n" else f"\0{c}" for c in cs[1:]]] if cs else []
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = f"\0{keys[0]}"
+        return keys
+
+    @staticmethod
+    def _chunk(key: str) -> str:
+        return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else f" {key}"
+
+    def _learn(self, keys: set[str]) -> None:
+        """Put chunks into the memo. A word and the punctuation behind it are encoded apart, as the pattern does."""
+        parts = {k: (m[1], f"\0{m[2]}") for k in keys if (m := _WORD_AND_MARKS.fullmatch(k))}
+        order = list(keys.difference(parts).union(x for p in parts.values() for x in p).difference(self.memo))
+        if order:
+            self.memo.update(zip(order, self._chunk_ids([self._chunk(k) for k in order]), strict=True))
+        get = self.memo.__getitem__
+        self.memo.update((k, get(word) + get(marks)) for k, (word, marks) in parts.items())
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         whole = [bool(_ODD.search(t)) or any(s in t for s in self.special) for t in texts]
-        cut = [None if w else _CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
-        needed = {c for cs in cut if cs for c in cs}
-        missing = needed.difference(self.memo)
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo.clear()
-            missing = needed
+        cut = [[] if w else self._cut(t) for t, w in zip(texts, whole, strict=True)]
+        if len(self.memo) > MEMO:  # the older half goes
+            self.memo = dict(islice(self.memo.items(), MEMO // 2, None))
+        found = [list(map(self.memo.get, cs)) for cs in cut]
+        holes = [[i for i, v in enumerate(vs) if v is None] if None in vs else [] for vs in found]
+        missing = {cs[i] for cs, at in zip(cut, holes, strict=True) for i in at}
         if missing:
-            order = list(missing)
-            self.memo.update(zip(order, self._ids(order), strict=True))
+            self._learn(missing)
+            for cs, vs, at in zip(cut, found, holes, strict=True):
+                for i in at:
+                    vs[i] = self.memo[cs[i]]
         rest = iter(self._ids([t for t, w in zip(texts, whole, strict=True) if w]) if any(whole) else [])
-        get = self.memo.__getitem__
-        return [next(rest) if cs is None else b"".join(map(get, cs)) for cs in cut]
+        return [next(rest) if w else b"".join(vs) for vs, w in zip(found, whole, strict=True)]
 
 
 _loaded: dict[str, ChunkEncoder] = {}
@@ -199,7 +237,6 @@ def read(spark: SparkSession, folder: str, manifest: list[tuple[int, int, int, i
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write ``docs`` into a new folder of the shared place and read it back."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     folder = common.new_path(spark, "tokens")
-    manifest = write(docs, tokenizer, end_id, folder, max(1, -(-size // PARTITION_BYTES)))
+    manifest = write(docs, tokenizer, end_id, folder, max(1, docs.rdd.getNumPartitions()))  # as many files as the input has splits
     return read(spark, folder, manifest)
