@@ -169,7 +169,7 @@ bands AS (SELECT f, band FROM range(9) g(f) JOIN e ON f * 500 >= lo AND f * 500
 def _window(kind: str) -> str:
     x = "2 * pi() * k / 64"
     v = {"hann": f"0.5::DOUBLE - 0.5::DOUBLE * cos({x})", "hamming": f"0.54::DOUBLE - 0.46::DOUBLE * cos({x})", "blackman": f"0.42::DOUBLE - 0.5::DOUBLE * cos({x}) + 0.08::DOUBLE * cos(4 * pi() * k / 64)"}[kind]
-    return f"SELECT k, round({v}, 9) AS w FROM range(64) g(k)"
+    return f"SELECT k, round({v}, 9) + 0::DOUBLE AS w FROM range(64) g(k)"  # no negative zero
 
 
 def _mel_table(scale: str) -> str:
