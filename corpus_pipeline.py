@@ -22,8 +22,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of near duplicates."""
-    return ngram_join.keep_one_of_each(docs)
+    """One document, that with the least id, of each group of near duplicates: five-word n-grams, Jaccard 0.8."""
+    return ngram_join.keep_one_of_each(docs, n=5, threshold=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -300,3 +300,27 @@ def test_size_checked_joins(spark):
     assert "Broadcast" in common.semi_join(rows, keys, "k")._jdf.queryExecution().toString()
     assert common.small_side(keys, 10**9) is keys
     assert common.anti_join(rows, keys, "k").count() == 15
+
+
+def test_near_duplicate_stage_takes_five_words_and_80(spark):
+    rng = np.random.default_rng(5)
+    docs = [(1000, None), (1001, ""), (1002, "a b"), (1003, "A b")]
+    for base in range(12):
+        text = rng.integers(0, 5000, 150).astype(str).tolist()
+        for edits in range(4):
+            copy = list(text)
+            for at in rng.choice(150, edits, replace=False):
+                copy[at] = "x%d" % rng.integers(10**9)
+            docs.append((len(docs), " ".join(copy)))
+
+    def kept(n, threshold):
+        sets = [(i, frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if (w := words(t)) else frozenset()) for i, t in docs]
+        edges = [(i, j) for i, a in sets for j, b in sets if j < i and a and 100 * len(a & b) >= threshold * len(a | b)]
+        least = {i: i for i, _ in sets}
+        for _ in sets:
+            for i, j in edges:
+                least[i] = least[j] = min(least[i], least[j])
+        return {i for i, k in least.items() if i == k}
+
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()}
+    assert got == kept(5, 80) and got < kept(3, 90)
