@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that each block element starts a new line; lines inside elements that never hold the
-article (menus, forms, scripts, comments, ...) count no text. Text lengths, less those of links, are summed
+article (menus, forms, scripts, comments, ...) are left out. Text lengths, less those of links, are summed
 over sliding windows of lines. The text surges where a window's sum rises over a threshold, and dives where
-it falls to nothing; what lies between is kept. An ``article`` or ``main`` element gives the surge and the
+it falls to nothing; what lies between is kept, with the short lines that lead up to the surge. An ``article`` or ``main`` element gives the surge and the
 dive itself. The threshold falls until some text is found, so short pages keep their text.
 
 Defined results: null, empty and text-free pages give an empty string and length 0; markup that is cut off
@@ -145,21 +145,19 @@ def lines_of(page: str) -> list[Line]:
 
 
 def between(sizes: list[int]) -> list[bool]:
-    """Which lines lie between a surge and the dive after it."""
+    """Which lines lie between two dives with a surge between them, the short ones before the surge too."""
     n = len(sizes)
     sums = [sum(sizes[i : i + WINDOW]) for i in range(n)]
     for threshold in THRESHOLDS:
         keep, at = [False] * n, 0
         while at < n:
-            if sums[at] >= threshold and sizes[at]:
-                end = at
+            end = at
+            if sizes[at]:
                 while end < n and sums[end]:  # the window at the dive holds no text
                     end += 1
-                last = max(i for i in range(at, min(n, end + WINDOW)) if i < end and sizes[i] or i == at)
-                keep[at : last + 1] = [True] * (last + 1 - at)
-                at = max(end, at + 1)
-            else:
-                at += 1
+                if max(sums[at:end]) >= threshold:
+                    keep[at:end] = [True] * (end - at)
+            at = max(end, at + 1)
         if any(keep):
             return keep
     return [False] * n
@@ -173,9 +171,9 @@ def extract(page: str | None) -> str:
     lines = [(x, t) for x, t in lines if t]
     if any(x.main and not x.away for x, _ in lines):  # the page says where its text surges and dives
         return " ".join(t for x, t in lines if x.main and not x.away)
-    sizes = [0 if x.away else max(0, len(t) - x.linked) for x, t in lines]
-    keep = between(sizes)
-    return " ".join(t for (x, t), k in zip(lines, keep, strict=True) if k and not x.away)
+    lines = [(x, t) for x, t in lines if not x.away]  # they neither fill a window nor make a dive
+    keep = between([max(0, len(t) - x.linked) for x, t in lines])
+    return " ".join(t for (_, t), k in zip(lines, keep, strict=True) if k)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

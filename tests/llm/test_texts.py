@@ -117,6 +117,15 @@ def test_html_layouts():
     assert e("<article>" + "<p>" * 3000 + "deep" + "</p>" * 10) == "deep"
 
 
+def test_html_short_blocks_beside_surges():
+    e, away = html_extract.extract, "<div class=newsletter><p>Join<p>us<p>now<p>!</div>"
+    menu = "<ul>" + "<li><a href='#'>A link</a>" * 4 + "</ul>"
+    head, long = "A heading of some fifty characters, more or less so", " ".join([LONG] * 4)
+    assert e(f"<div class=content><h1>{head}</h1><p>A byline of 25 characters<p>A caption with 30 characters..<p>{long}</div>") == f"{head} A byline of 25 characters A caption with 30 characters.. {long}"
+    assert e(f"{menu}<h1>{head}</h1>{away}<p>{long}{away}<p>Between.{away}<p>{long}{away}<p>The end.{menu}<p>(c)") == f"{head} {long} Between. {long} The end."
+    assert e("<ul><li>one<li>two<li>three<li>four</ul>" + f"<p>{long}") == f"one two three four {long}"
+
+
 def test_html_edge_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "x"), (2, "u", "<p>a", "x"), (2, "u", "<p>a", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract_pages(df).collect()) == [(1, "", 0), (2, "", 0), (2, "a", 1), (2, "a", 1)]
