@@ -4,7 +4,9 @@ Markup is stripped so that each block element starts a new line; lines inside el
 article (menus, forms, scripts, comments, ...) are left out. Text lengths, less those of links, are summed
 over sliding windows of lines. The text surges where a window's sum rises over a threshold, and dives where
 it falls to nothing; what lies between is kept, with the short lines that lead up to the surge. An ``article`` or ``main`` element gives the surge and the
-dive itself. The threshold falls until some text is found, so short pages keep their text.
+dive itself, also inside a form, and ``main`` inside an element left out for its class. The threshold falls until
+some text is found, so short pages keep their text; a page without any takes the articles inside such elements, or
+what a form holds.
 
 Defined results: null, empty and text-free pages give an empty string and length 0; markup that is cut off
 or never closed is read as far as it goes; repeated rows get equal results; extra columns are ignored.
@@ -45,15 +47,22 @@ _AWAY = re.compile(
     r"comments?|comment-?list|respond|replies|discussion|disqus\w*|feedback|search\w*|form|tags?|toc|copyright|legal|disclaimer|skip\w*|hidden|print)(?:$|[\s_-])",
     re.I,
 )
+#: Classes that say what a page or a wrapper has, or what a post is about, not what the element is.
+_ABOUT = re.compile(r"(?:has|with|without|no)[_-](?!print)\S+|content-sidebar\S*|(?:comments?|pings?)-(?:open|closed)|(?:tag|category)-(?!clouds?$|lists?$|links?$|box$|menu$|wrap)\S+", re.I)
+#: Beside one of these, sticky-nav and the like tell how the wrapper behaves.
+_WRAPPER = {"wrapper", "wrap", "page", "layout", "container", "site"}
 _AWAY_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
 _MAIN_WORD = re.compile(r"(?:^|[\s_-])(?:article-?body|entry-content|post-content|article-content|main-content|story-body|post-body)(?:$|[\s_-])", re.I)
 
 
+FORM, CLASS, PART = 1, 2, 3
+
+
 @dataclass
 class Line:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    away: bool = False
+    away: int = 0  # the strongest mark around it: 0 none, FORM, CLASS or PART
     main: bool = False
 
     def text(self) -> str:
@@ -64,10 +73,18 @@ def _attributes(tag: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(tag)}
 
 
+def _marked(words: str) -> bool:
+    """Whether classes and ids say that an element is no part of the article."""
+    tokens = [x for x in words.split() if not _ABOUT.fullmatch(x)]
+    if _WRAPPER.intersection(x.lower() for x in tokens):
+        tokens = [x for x in tokens if not x.lower().startswith("sticky-")]
+    return bool(_AWAY.search(" ".join(tokens)))
+
+
 def lines_of(page: str) -> list[Line]:
     """The page's text as lines, one a block; references are decoded after the markup is off."""
     out, line = [], Line()
-    open_: list[tuple[str, bool, bool]] = []  # name, away, main
+    open_: list[tuple[str, tuple[int, int, int]]] = []  # name, and what held around it
     links = away = main = 0
 
     def cut():
@@ -78,17 +95,15 @@ def lines_of(page: str) -> list[Line]:
 
     def close(k: int):
         nonlocal away, main, links
-        for name, a, m in open_[k:]:
-            away -= a
-            main -= m
-            links -= name == "a"
+        if k < len(open_):
+            away, main, links = open_[k][1]
         del open_[k:]
 
     def text(s: str):
         if s:
             s = html.unescape(s)
             line.parts.append(s)
-            line.away, line.main = away > 0, main > 0
+            line.away, line.main = away, main > 0
             if links:
                 line.linked += len(s.strip())
 
@@ -108,7 +123,7 @@ def lines_of(page: str) -> list[Line]:
             k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
             if name not in INLINE:
                 cut()
-            if k is not None and not (name in INLINE and any(n not in INLINE for n, _, _ in open_[k:])):
+            if k is not None and not (name in INLINE and any(n not in INLINE for n, _ in open_[k:])):
                 close(k)
             continue
         if name in RAW:
@@ -127,17 +142,17 @@ def lines_of(page: str) -> list[Line]:
         a = _attributes(tag)
         words = f"{a.get('class', '')} {a.get('id', '')}".strip()
         is_main = name in MAIN or a.get("role", "").lower() == "main" or a.get("itemprop", "") == "articleBody" or bool(words and _MAIN_WORD.search(words))
-        gone = (
-            name in BOILERPLATE
-            or (name == HEADER and not main)
-            or a.get("role", "").lower() in _AWAY_ROLE
-            or a.get("aria-hidden", "").lower() == "true"
-            or "hidden" in a
-            or "display:none" in a.get("style", "").replace(" ", "").lower()
-            or bool(words and name not in ("html", "body") and not is_main and _AWAY.search(words))
-        )
-        open_.append((name, gone, is_main))
-        away += gone
+        role = a.get("role", "").lower()
+        hidden = a.get("aria-hidden", "").lower() == "true" or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower()
+        open_.append((name, (away, main, links)))
+        if is_main and away <= (CLASS if name == "main" or role == "main" else FORM):
+            away = 0  # the text begins here, whatever wraps it
+        if hidden or name in BOILERPLATE - {"form"} or (name == HEADER and not main) or role in _AWAY_ROLE:
+            away = PART
+        elif words and name not in ("html", "body") and not is_main and _marked(words):
+            away = max(away, CLASS)
+        elif name == "form":
+            away = max(away, FORM)
         main += is_main
         links += name == "a"
     cut()
@@ -169,11 +184,15 @@ def extract(page: str | None) -> str:
         return ""
     lines = [(x, x.text()) for x in lines_of(page)]
     lines = [(x, t) for x, t in lines if t]
-    if any(x.main and not x.away for x, _ in lines):  # the page says where its text surges and dives
-        return " ".join(t for x, t in lines if x.main and not x.away)
-    lines = [(x, t) for x, t in lines if not x.away]  # they neither fill a window nor make a dive
-    keep = between([max(0, len(t) - x.linked) for x, t in lines])
-    return " ".join(t for (_, t), k in zip(lines, keep, strict=True) if k)
+    for main, most in ((True, 0), (False, 0), (True, CLASS), (False, FORM)):  # a page that would be empty takes what a form or a class hides
+        some = [(x, t) for x, t in lines if x.away <= most and (x.main or not main)]  # the others neither fill a window nor make a dive
+        if main:  # the page says where its text surges and dives
+            keep = [True] * len(some)
+        else:
+            keep = between([max(0, len(t) - x.linked) for x, t in some])
+        if any(keep):
+            return " ".join(t for (_, t), k in zip(some, keep, strict=True) if k)
+    return ""
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

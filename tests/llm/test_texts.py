@@ -126,6 +126,19 @@ def test_html_short_blocks_beside_surges():
     assert e("<ul><li>one<li>two<li>three<li>four</ul>" + f"<p>{long}") == f"one two three four {long}"
 
 
+def test_html_wrappers_hide_no_article():
+    e, noise = html_extract.extract, "<p>Slogan</p><div class=related><article>Card</article></div>"
+    for c in ("has-sidebar", "layout with-sidebar", "content-sidebar-wrap", "wrapper sticky-nav", "page comments-open", "post category-x tag-politics"):
+        assert e(f"<div class='{c}'><p>{LONG}</p></div>") == LONG, c
+        assert e(f"<div class='{c}'><article><p>{LONG}</p></article>{noise}</div>") == LONG, c
+    assert e(f"{noise}<form><main><p>{LONG}<form>Post</form></main><label>Mail</label></form>") == LONG
+    assert e(f"<p>Slogan</p><form><article><p>{LONG}</article></form>") == e(f"<form><p>{LONG}</form>") == LONG
+    assert e(f"<p>Slogan</p><div class=print><main><p>{LONG}</main></div>") == e(f"<div class=print><article>{LONG}</article></div>") == LONG
+    for c in ("tag-cloud", "sidebar", "comments", "sticky-nav", "no-print toolbar"):
+        assert e(f"<p>Text</p><div class='{c}'><article>{LONG}</article></div>") == "Text", c
+    assert e(f"<nav><main>{LONG}</main></nav><div hidden><main>{LONG}</main></div>") == ""
+
+
 def test_html_edge_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "x"), (2, "u", "<p>a", "x"), (2, "u", "<p>a", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract_pages(df).collect()) == [(1, "", 0), (2, "", 0), (2, "a", 1), (2, "a", 1)]
