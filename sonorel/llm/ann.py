@@ -12,7 +12,8 @@ set, taken to the executors in blocks of bounded size.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do
 rows without an id; vectors of different lengths are never compared; rows that repeat an id and vector count
-once, and rows with the query's id are its own. With fewer candidates than ``k``, all are returned.
+once, and rows with the query's id are its own. With fewer candidates than ``k``, all are returned:
+queries that find fewer than ``k`` in their buckets are compared with every vector of their length.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonorel.llm import common
+
 
 @dataclass(frozen=True)
 class Params:
@@ -71,12 +74,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, tables: Tables):
-    """(query_id, vec_id, cosine) of the k best candidates of each query in this block."""
+def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, tables: Tables | None):
+    """(query_id, vec_id, cosine) of the k best candidates of each query in this block; without tables all are candidates."""
     qu, xu = unit(q), unit(x)
     q_norm, x_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
-    candidate = np.zeros((len(q), len(x)), bool)
-    for t in range(tables.p.tables):
+    candidate = np.full((len(q), len(x)), tables is None)
+    for t in range(tables.p.tables if tables else 0):
         buckets, bucket_of = np.unique(tables.keys(xu, t), return_inverse=True)
         probes = tables.probe_keys(qu, t)
         at = np.minimum(np.searchsorted(buckets, probes), len(buckets) - 1)
@@ -122,25 +125,45 @@ def search(rows: DataFrame, is_query, k: int = 5, params: Params = Params()) ->
     queries = vectors.filter(is_query)
     n = queries.count()
     blocks = max(1, -(-n // params.query_block))
-    found = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        got = part.distinct().collect()  # a stated set, of bounded size
+    columns = "query_id long, vec_id long, score double"
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def best(some: DataFrame) -> DataFrame:
+        return some.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()
+
+    def by_length(part: DataFrame) -> dict:
         sets = {}
-        for r in got:
+        for r in part.distinct().collect():  # a stated set, of bounded size
             sets.setdefault(len(r.embedding), []).append((r.vec_id, r.embedding))
-        sets = {d: (np.array([i for i, _ in v], np.int64), np.array([e for _, e in v], np.float64)) for d, v in sets.items()}
-        local = vectors.mapInArrow(_searcher(spark.sparkContext.broadcast(sets), k, params), "query_id long, vec_id long, score double")
+        return {d: (np.array([i for i, _ in v], np.int64), np.array([e for _, e in v], np.float64)) for d, v in sets.items()}
+
+    def block_of(b: int, some: DataFrame) -> DataFrame:
+        return some if blocks == 1 else some.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
+
+    found = None
+    for b in range(blocks):
+        shared = spark.sparkContext.broadcast(by_length(block_of(b, queries)))
+        local = vectors.mapInArrow(_searcher(shared, k, params), columns)
         found = local if found is None else found.union(local)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()
+    found = common.materialize(best(found), "neighbours")
+    # who found too few is compared with all
+    full = common.materialize(found.groupBy("query_id").agg(F.max("rank").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id")), "full")
+    poor = common.materialize(common.anti_join(queries, full, "vec_id"), "poor")
+    if poor.isEmpty():
+        return found
+    rest = None
+    for b in range(blocks):
+        shared = spark.sparkContext.broadcast(by_length(block_of(b, poor)))
+        local = vectors.mapInArrow(_searcher(shared, k, params, False), columns)
+        rest = local if rest is None else rest.union(local)
+    return common.semi_join(found, full.withColumnRenamed("vec_id", "query_id"), "query_id").union(best(rest))
 
 
-def _searcher(shared, k: int, params: Params):
+def _searcher(shared, k: int, params: Params, hashed: bool = True):
     def answer(dim: int, ids: list, vecs: list):
         q_ids, q = shared.value[dim]
         x, i = np.concatenate(vecs), np.concatenate(ids)
-        tables = Tables(dim, params)
+        tables = Tables(dim, params) if hashed else None
         for at in range(0, len(q), 512):
             a, b, s = search_block(q_ids[at : at + 512], q[at : at + 512], i, x, k, tables)
             if len(a):

@@ -324,3 +324,11 @@ def test_near_duplicate_stage_takes_five_words_and_80(spark):
 
     got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()}
     assert got == kept(5, 80) and got < kept(3, 90)
+
+
+def test_neighbours_fewer_than_k_are_all_returned(spark):
+    x = np.random.default_rng(2).standard_normal((4, 64))
+    rows = [(i, (s * v).tolist()) for i, (s, v) in enumerate([(1, x[0]), (-1, x[0]), (1, x[1]), (-1, x[1]), (1, x[2])])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 5).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == {(i, j) for i in range(5) for j in range(5) if i != j}
+    assert sorted(r["rank"] for r in got) == sorted([1, 2, 3, 4] * 5)
