@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many bytes of row data; beyond it Spark shuffles.
 BROADCAST_BYTES = 16 << 20
+#: A key of more than one in so many rows is a heavy one.
+HEAVY = 1000
 
 _own_dir: str | None = None
 
@@ -59,31 +61,54 @@ def anti_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(small_side(keys, 24), key, "left_anti")
 
 
+def counted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, total: int, spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``per_key``, which has one row a key and, in its column ``count``, how many
+    of the ``total`` rows have the key, without sending a frequent key's rows to one task.
+
+    Keys of more than one in ``HEAVY`` rows number fewer than ``HEAVY``, whatever the input: these are broadcast, and
+    their rows take a key that nothing else has, dealt by the columns ``spread``, through the shuffle of the others.
+    """
+    frequent = F.col(count) * HEAVY > total
+    new = [c for c in per_key.columns if c not in keys]
+    heavy = per_key.filter(frequent).select(*keys, *[F.col(c).alias(f"heavy_{c}") for c in new])
+    salt = F.when(F.col(f"heavy_{count}").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(HEAVY)))
+    tagged = rows.join(F.broadcast(heavy), keys, "left").withColumn("salt", salt.cast("int"))
+    light = per_key.filter(~frequent).withColumn("salt", F.lit(0))
+    out = tagged.join(light, [*keys, "salt"], "left")
+    if how == "inner":
+        out = out.filter(F.col(count).isNotNull() | F.col(f"heavy_{count}").isNotNull())
+    return out.select(*rows.columns, *[F.coalesce(f"heavy_{c}", c).alias(c) for c in new])
+
+
+def numbered(df: DataFrame, key: str, name: str = "row") -> DataFrame:
+    """``df`` with a long ``name`` that no two rows share: ``key`` (a long) if it is one, else a number given in a written copy."""
+    repeated = df.groupBy(key).agg(F.count("*").alias("c")).filter(F.col(key).isNull() | (F.col("c") > 1))
+    if repeated.isEmpty():
+        return df.withColumn(name, F.col(key))
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Least reachable node of each node of ``edges`` (columns ``a``, ``b``: long, not null).
 
     Alternates large-star and small-star steps until the edges stop changing; each step is two
     aggregations with map-side combining over the edges alone, and is written to the shared folder,
-    so lineage stays short. Returns ``node``, ``component`` for every node that has an edge.
+    so lineage stays short. Nodes of many edges are joined by broadcast. Returns ``node``, ``component`` for every node
+    that has an edge.
     """
     cur = materialize(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         name,
     )
-    seen = None
+    seen, total = None, cur.count()
     while True:
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = (
-            both.join(least, both.a == least.k)
-            .filter(F.col("b") > F.col("a"))
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .filter("a <> b")
-            .distinct()
-        )
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).withColumn("m", F.least("a", "m"))
+        large = counted_join(both, least, ["a"], "c", 2 * total, ["b"]).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large, name)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
         small = (
-            large.join(least, large.a == least.k)
+            counted_join(large, least, ["a"], "c", large.count(), ["b"])
             .select(
                 F.explode(
                     F.array(
@@ -100,7 +125,7 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         now = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen is not None and tuple(now) == seen:
             break
-        seen, cur = tuple(now), nxt
+        seen, cur, total = tuple(now), nxt, now.n
     return nxt.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         nxt.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

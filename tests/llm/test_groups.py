@@ -18,13 +18,13 @@ def words(t):
     return (t or "").translate({c: chr(c + 32) for c in range(65, 91)}).encode().split()
 
 
-def grams(t):
+def grams(t, n=3):
     w = words(t)
-    return frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def brute_components(docs):
-    sets = [(i, grams(t)) for i, t in docs]
+def brute_components(docs, n=3, threshold=90):
+    sets = [(i, grams(t, n)) for i, t in docs]
     part = {i: i for i, _ in sets}
 
     def find(a):
@@ -34,14 +34,14 @@ def brute_components(docs):
 
     for x, (i, a) in enumerate(sets):
         for j, b in sets[:x]:
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= threshold * len(a | b):
                 i_, j_ = find(i), find(j)
                 part[max(i_, j_)] = min(i_, j_)
     return {i: (len(a), find(i)) for i, a in sets}
 
 
-def check_join(rows, docs):
-    want = brute_components(docs)
+def check_join(rows, docs, *how):
+    want = brute_components(docs, *how)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want and len(rows) == len(docs)
 
 
@@ -67,14 +67,21 @@ def copies(seed, n=160, base_words=120, edits=6):
     return docs
 
 
-def test_join_on_groups_of_near_copies(spark):
-    for seed in range(2):
+def test_join_on_groups_of_near_copies(spark, monkeypatch):
+    for seed, hot, how in ((0, 64, (3, 90)), (1, 6, (3, 90)), (2, 6, (5, 80)), (3, 2, (5, 80))):
+        monkeypatch.setattr(ngram_join, "HOT", hot)  # lists that are long enough for blocks
         docs = copies(seed)
-        check_join(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+        check_join(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), *how).collect(), docs, *how)
 
 
-def test_search_finds_links_outside_the_core(spark):
+def test_join_at_five_words_and_80_on_the_table(spark):
+    docs = common.table(spark, SF2, "documents")
+    check_join(ngram_join.join(docs, 5, 80).collect(), [(r.doc_id, r.text) for r in docs.collect()], 5, 80)
+
+
+def test_search_finds_links_outside_the_core(spark, monkeypatch):
     """Two sub-groups of one block: the centre is that of the larger one."""
+    monkeypatch.setattr(ngram_join, "HOT", 5)
     base = [f"a{i}" for i in range(200)]
     other = base[:190] + [f"b{i}" for i in range(10)]
     docs = [(i, " ".join(base)) for i in (50, 51)] + [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(1, 9)]
@@ -82,15 +89,15 @@ def test_search_finds_links_outside_the_core(spark):
     check_join(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
 
 
-@given(st.integers(1, 400), st.integers(0, 10**6), st.integers(0, 40), st.integers(0, 40))
-@settings(max_examples=150, deadline=None)
-def test_linked_sets_share_a_key(n, seed, out, in_):
+@given(st.integers(1, 400), st.integers(0, 10**6), st.integers(0, 40), st.integers(0, 40), st.sampled_from([30, 80, 90]))
+@settings(max_examples=300, deadline=None)
+def test_linked_sets_meet_in_their_first_n_grams(n, seed, out, in_, threshold):
     rng = np.random.default_rng(seed)
     a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
     b = np.unique(np.concatenate([a[min(out, len(a) - 1) :], rng.integers(0, 1 << 63, in_, dtype=np.uint64)]))
-    inter, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-    if 100 * inter >= 90 * union and inter < union:
-        assert set(ngram_join.part_keys(a).tolist()) & set(ngram_join.part_keys(b).tolist())
+    if 100 * len(np.intersect1d(a, b)) >= threshold * len(np.union1d(a, b)):
+        met = len(np.intersect1d(ngram_join.first_ones(a, threshold), ngram_join.first_ones(b, threshold)))
+        assert met >= max(ngram_join.sure(ngram_join.needed(len(x), threshold), threshold) for x in (a, b)) > 0
 
 
 def test_join_edge_cases(spark):
@@ -101,8 +108,20 @@ def test_join_edge_cases(spark):
     assert sorted(kept) == [1, 2, 3, 4, 6, 8, 9, 10]
     twice = frame.union(frame.filter("doc_id = 4")).union(spark.createDataFrame([(None, "one", "x", 1)], frame.schema))
     rows = ngram_join.join(twice).collect()
-    assert sorted(((r.doc_id, r.component_id) for r in rows if r.doc_id in (4, None)), key=str) == [(4, 4), (4, 4), (None, None)]
-    assert ngram_join.join(frame.limit(0)).count() == 0
+    assert sorted(((r.doc_id, r.component_id) for r in rows if r.doc_id in (4, None)), key=str) == [(4, 4), (4, 4), (None, 4)]
+    assert sorted(r.doc_id for r in ngram_join.keep_one_of_each(twice).collect()) == sorted(kept)
+    assert ngram_join.join(frame.limit(0)).count() == 0 == ngram_join.keep_one_of_each(frame.limit(0)).count()
+
+
+def test_join_takes_rows_that_repeat_an_id_one_by_one(spark):
+    docs = [(7, "a b c d"), (7, "e f g h"), (3, "e f g h"), (7, "a b c d"), (None, "i j k l"), (None, "i j k l"), (9, "m n o"), (9, ""), (9, ""), (None, None)]
+    frame = spark.createDataFrame([(t, i, k) for k, (i, t) in enumerate(docs)], "text string, doc_id long, row int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(frame).collect()), key=str)
+    assert got == sorted([(7, 2, 7), (7, 2, 3), (3, 2, 3), (7, 2, 7), (None, 2, None), (None, 2, None), (9, 1, 9), (9, 0, 9), (9, 0, 9), (None, 0, None)], key=str)
+    kept = ngram_join.keep_one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.row for r in kept.collect()), key=int)[1:] == [2, *sorted(k for k in (4, 5) if k in {r.row for r in kept.collect()}), 6, 7, 8, 9]
+    assert sorted(r.text or "" for r in kept.collect()) == ["", "", "", "a b c d", "e f g h", "i j k l", "m n o"]
 
 
 def naive_best_fit(sizes, lengths):
@@ -264,7 +283,7 @@ def test_pipeline_stage_by_stage(spark):
         if name == "language_id":
             assert seen[-1] == {r.doc_id for r in before.collect() if any(c.isalpha() for c in r.text or "")}
         if name == "ngram_jaccard_join":
-            want = brute_components([(r.doc_id, r.text) for r in before.collect()])
+            want = brute_components([(r.doc_id, r.text) for r in before.collect()], 5, 80)
             assert seen[-1] == {i for i, (_, c) in want.items() if c == i}
         if name == "best_fit_packing":
             check_packing(docs.collect(), {r.doc_id: len(words(r.text)) + 1 for r in before.collect()})
