@@ -100,8 +100,13 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         name,
     )
-    seen, total = None, cur.count()
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first())
+
+    seen = state(cur)
     while True:
+        total = seen[0]
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).withColumn("m", F.least("a", "m"))
         large = counted_join(both, least, ["a"], "c", 2 * total, ["b"]).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -122,10 +127,10 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
             .distinct()
         )
         nxt = materialize(small, name)
-        now = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if seen is not None and tuple(now) == seen:
+        now = state(nxt)
+        if now == seen:
             break
-        seen, cur, total = tuple(now), nxt, now.n
+        seen, cur = now, nxt
     return nxt.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         nxt.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

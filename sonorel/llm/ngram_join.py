@@ -166,7 +166,6 @@ def _candidates(rows: DataFrame, sets: DataFrame, n: int, threshold: int) -> tup
     live = by_row.filter(F.size("held") >= least).select("row", "n", F.explode(F.slice("held", 1, (F.size("held") - least + 1).cast("int"))).alias("x"))
     live = common.materialize(live.select("row", "n", F.col("x.g").alias("g")), "live")
     lists = common.materialize(_shared(live, live.count()), "lists")
-    grams = common.materialize(common.semi_join(grams, common.materialize(lists.select("row").distinct(), "listed"), "row"), "candidates")
     return grams, lists
 
 
@@ -291,8 +290,8 @@ def _probe(pairs: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(g("a"), "a").join(g("b"), "b").filter((100 + threshold) * both >= threshold * (F.size("ga") + F.size("gb"))).select("a", "b")
 
 
-def links_between(grams: DataFrame, lists: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Links (a, b) that connect what is connected among ``grams`` (row, grams: distinct sets), looked for in ``lists`` (see
+def _connected(grams: DataFrame, lists: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """node, component of whatever links among ``grams`` (row, grams: distinct sets), looked for in ``lists`` (see
     ``_candidates``)."""
     diffs = _blocks(grams, lists, threshold)
     links = None
@@ -316,7 +315,10 @@ def links_between(grams: DataFrame, lists: DataFrame, threshold: int = THRESHOLD
     pairs = x.join(y, "g").filter((F.col("rowx") < F.col("rowy")) & (F.col("partx") != F.col("party")) & fits(F.col("nx"), F.col("ny")))
     pairs = pairs.select(F.col("rowx").alias("a"), F.col("rowy").alias("b")).distinct()
     pairs = common.materialize(pairs.join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    return known.union(_probe(pairs, grams, threshold))
+    if pairs.isEmpty():
+        return parts
+    links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_probe(pairs, grams, threshold))
+    return common.materialize(common.connected_components(links, "components"), "components")
 
 
 def _components(rows: DataFrame, n: int, threshold: int) -> DataFrame:
@@ -328,9 +330,7 @@ def _components(rows: DataFrame, n: int, threshold: int) -> DataFrame:
         known.groupBy("n_shingles", "h1", "h2").agg(F.min("row").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("kept"), F.count("*").alias("copies")), "classes"
     )
     reps = classes.select(F.col("rep").alias("row"))
-    grams, lists = _candidates(rows, common.semi_join(known, common.materialize(reps, "reps"), "row"), n, threshold)
-    links = common.materialize(links_between(grams, lists, threshold), "links")
-    joined = common.materialize(common.connected_components(links, "components").withColumnsRenamed({"node": "rep"}), "components")
+    joined = _connected(*_candidates(rows, common.semi_join(known, reps, "row"), n, threshold), threshold).withColumnRenamed("node", "rep")
     of_class = classes.join(common.small_side(joined, 24), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     first = of_class.groupBy("component").agg(F.min("kept").alias("kept"), F.count("*").alias("c"))
     of_class = common.counted_join(of_class.drop("kept"), first, ["component"], "c", classes.count(), spread=["rep"])
