@@ -3,10 +3,13 @@
 A document is the set of its distinct word n-grams; two link when 100 |A n B| >= 90 |A u B| (by default).
 
 1. Equal sets are one class from here on, represented by its least row.
-2. A set of n that links with anything shares at least ``needed(n)`` of its n-grams with one partner. So, in any fixed
-   order of n-grams, the first n - needed(n) + l of both sets have l in common. In the order of hashes these first
-   n-grams are few; sets with too few of them in other sets link with nothing and go. Of what is left all n-grams are
-   counted; sets with fewer than ``needed(n)`` n-grams that any other one has go too.
+2. A sieve without loss. At high thresholds (``BY_PARTS``): in each class of set sizes the hash space is cut into more
+   parts than two linked sets of such sizes can differ in, so linked sets agree on whole parts. A part holds several
+   n-grams, so sets agree by chance in no corpus, however large. At lower ones parts would hold too few: a set of n that
+   links with anything shares at least ``needed(n)`` of its n-grams with one partner, so, in the order of hashes, the
+   first n - needed(n) + l of both sets have l in common. Sets that meet none in their parts, or too few in their
+   first n-grams, link with nothing and go. Of what is left all n-grams are counted; sets with fewer than
+   ``needed(n)`` n-grams that any other one has go too.
 3. T-occurrence search as in DivideSkip: a set's n-grams are ordered by the length of their inverted lists; the
    T - 1 longest lists are set aside, the others are merged (a join on the n-gram), and the candidates so found are
    probed in all lists, which gives the exact overlap. Each list's first member is tried before; pairs that are
@@ -33,6 +36,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,6 +52,10 @@ THRESHOLD = 90  # of 100
 MEMO = 200_000
 #: Members from which a group of near copies is searched as a block.
 HOT = 64
+#: Threshold from which sets are sieved by parts.
+BY_PARTS = 88
+#: A part that holds up to so many n-grams says little about its set.
+POOR = 2
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -98,20 +107,71 @@ def first_ones(s: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     return s[: n - needed(n, threshold) + sure(n, threshold)] if n else s
 
 
+@lru_cache(maxsize=1 << 16)
+def size_class(n: int, threshold: int) -> tuple[int, int]:
+    """(class, largest size in it) of sets of n elements: sizes of linked sets lie in the same class or in
+    neighbouring ones."""
+    c, lo = 0, 1
+    while True:
+        hi = lo * 100 // threshold  # the largest size that can link with the smallest of this class
+        if n <= hi:
+            return c, hi
+        c, lo = c + 1, hi + 1
+
+
+def most_apart(total: int, threshold: int) -> int:
+    """Largest difference of two linked sets whose sizes sum to ``total``."""
+    return total * (100 - threshold) // (100 + threshold)
+
+
+def part_keys(s: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    """Keys on which two linked, different sets are sure to meet, for set ``s`` (sorted hashes).
+
+    A pair is looked for in the class of its larger set, so each set gets keys for its own class and the next.
+    A class has k + 1 + spare parts, k the most that linked sets of it differ in; they agree on spare + 1
+    parts at least. Parts with few n-grams are left out, unless a set has more than ``spare`` such.
+    """
+    out = []
+    c, hi = size_class(len(s), threshold)
+    for klass, largest in ((c, hi), (c + 1, (hi + 1) * 100 // threshold)):
+        apart = most_apart(2 * largest, threshold)
+        if apart == 0:
+            continue  # only equal sets link
+        spare = apart // 8
+        parts = apart + 1 + spare
+        part = ((s >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        count = np.bincount(part, minlength=parts)
+        order = np.argsort(part, kind="stable")
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(s[order]), dtype=np.uint64)])
+        ends = np.cumsum(count)
+        key = _mix(_mix(total[ends] - total[ends - count] + np.uint64(klass)) + np.arange(parts, dtype=np.uint64) + count.astype(np.uint64) * _C[1])
+        poor = count <= POOR
+        out.append(key if poor.sum() > spare else key[~poor])
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def meeting_keys(s: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, int]:
+    """Keys of set ``s`` for the sieve, and how many of these it has in common with any linked, different set, at least."""
+    if threshold >= BY_PARTS:
+        return part_keys(s, threshold), 1
+    return first_ones(s, threshold), sure(needed(len(s), threshold), threshold)
+
+
 def _sets(rows: DataFrame, n: int, threshold: int) -> DataFrame:
-    """row, doc_id, n_shingles, set hash (two longs), first n-grams, and how many of these a partner has at least."""
+    """row, doc_id, n_shingles, set hash (two longs), meeting keys, and how many of these a partner has at least."""
 
     def run(batches):
         for b in batches:
-            size, h1, h2, first, least = [], [], [], [], []
+            size, h1, h2, keys, least = [], [], [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py(), n)
                 size.append(len(s))
                 with np.errstate(over="ignore"):
                     h1.append(int(_mix(s).sum(dtype=np.uint64)))
                     h2.append(int(_mix(s * _C[2] + _C[3]).sum(dtype=np.uint64)))
-                first.append(first_ones(s, threshold).view(np.int64))
-                least.append(sure(needed(len(s), threshold), threshold))
+                k, some = meeting_keys(s, threshold)
+                keys.append(k.view(np.int64))
+                least.append(some)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -119,14 +179,14 @@ def _sets(rows: DataFrame, n: int, threshold: int) -> DataFrame:
                     pa.array(size, pa.int64()),
                     pa.array(np.array(h1, np.uint64).view(np.int64)),
                     pa.array(np.array(h2, np.uint64).view(np.int64)),
-                    pa.array(first, pa.list_(pa.int64())),
+                    pa.array(keys, pa.list_(pa.int64())),
                     pa.array(least, pa.int64()),
                 ],
-                names=["row", "doc_id", "n_shingles", "h1", "h2", "first", "least"],
+                names=["row", "doc_id", "n_shingles", "h1", "h2", "keys", "least"],
             )
 
     return rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "row long, doc_id long, n_shingles long, h1 long, h2 long, first array<long>, least long"
+        run, "row long, doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, least long"
     )
 
 
@@ -154,8 +214,8 @@ def _shared(rows: DataFrame, total: int) -> DataFrame:
 def _candidates(rows: DataFrame, sets: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Of the rows that may link at all: their n-grams (row, grams), and the lists they're to be merged from
     (g, f, row, n): each row's n-grams but for its T - 1 longest lists, where others have them too."""
-    total = sets.agg(F.sum(F.size("first").cast("long"))).first()[0] or 0
-    held = _shared(_unfold(sets.select("row", "least", "first"), "first", "g"), total).groupBy("row", "least").agg(F.count("*").alias("c"))
+    total = sets.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
+    held = _shared(_unfold(sets.select("row", "least", "keys"), "keys", "g"), total).groupBy("row", "least").agg(F.count("*").alias("c"))
     some = common.materialize(held.filter("c >= least").select("row"), "met")
     grams = common.materialize(_grams(common.semi_join(rows, some, "row"), n), "grams")
     size = F.size("grams").cast("long")
@@ -336,7 +396,7 @@ def _components(rows: DataFrame, n: int, threshold: int) -> DataFrame:
     of_class = common.counted_join(of_class.drop("kept"), first, ["component"], "c", classes.count(), spread=["rep"])
     of_class = common.materialize(of_class.select("n_shingles", "h1", "h2", "copies", "kept"), "kept")
     # every row through its class
-    found = common.counted_join(sets.drop("first", "least"), of_class, ["n_shingles", "h1", "h2"], "copies", sets.count(), spread=["row"], how="left")
+    found = common.counted_join(sets.drop("keys", "least"), of_class, ["n_shingles", "h1", "h2"], "copies", sets.count(), spread=["row"], how="left")
     return found.select(
         "row",
         "doc_id",

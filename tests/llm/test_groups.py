@@ -98,6 +98,8 @@ def test_linked_sets_meet_in_their_first_n_grams(n, seed, out, in_, threshold):
     if 100 * len(np.intersect1d(a, b)) >= threshold * len(np.union1d(a, b)):
         met = len(np.intersect1d(ngram_join.first_ones(a, threshold), ngram_join.first_ones(b, threshold)))
         assert met >= max(ngram_join.sure(ngram_join.needed(len(x), threshold), threshold) for x in (a, b)) > 0
+        keys = [ngram_join.meeting_keys(x, threshold) for x in (a, b)]
+        assert len(np.intersect1d(keys[0][0], keys[1][0])) >= max(keys[0][1], keys[1][1]) or len(a) == len(b) == len(np.union1d(a, b))
 
 
 def test_join_edge_cases(spark):
