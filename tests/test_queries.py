@@ -40,8 +40,15 @@ def test_every_clip_finds_its_own_track(spark):
 
 
 def test_range_join_is_no_nested_loop(spark):
-    plan = registry.QUERIES["wang_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    for name in ("wang_pairs", "match_ranked"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_ranking_lists_every_reference(spark):
+    got = registry.QUERIES["match_ranked"](spark, SF).collect()
+    assert len(got) == 100 and {(r["rank"], r.is_match) for r in got} == {(1, True), *((k, False) for k in range(2, 11))}
+    assert all((r.score, r.votes, r.offset_frames, r.time_scale) == (0.0, 0, 0, 1.0) for r in got if not r.is_match)
 
 
 def test_scan_reads_only_what_it_needs(spark):
