@@ -11,8 +11,6 @@ from dataclasses import dataclass, replace
 
 from sonorel.errors import ConfigError
 
-MAX_HISTOGRAM_BINS = 10_000_000
-
 
 def _clamp(x, lo, hi):
     return min(max(x, lo), hi)

@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonorel.configs import MAX_HISTOGRAM_BINS, HaitsmaMatch, NeuralMatch, PanakoMatch, WangMatch
+from sonorel.configs import HaitsmaMatch, NeuralMatch, PanakoMatch, WangMatch
 from sonorel.functions import columns as C
 
 PAIR = ["query_id", "ref_id"]
 HAITSMA_DELTAS = 8
+#: Candidate lines of a tempo refinement, and distances held in memory at once.
+REFINE_LINES, REFINE_CELLS = 512, 4_000_000
 #: Blocks of references that each query is set against to list non-matches.
 REFERENCE_BLOCKS = 64
 
@@ -72,10 +74,12 @@ def wang_index_query(queries: DataFrame, references: DataFrame, cfg: WangMatch =
     # pairs with too few votes in all can't reach a peak
     counts = counts.withColumn("all", F.sum("c").over(Window.partitionBy(*PAIR))).filter(F.col("all") >= cfg.min_votes)
     near = Window.partitionBy(*PAIR).orderBy("delta").rangeBetween(-tol, tol)
+    pair = Window.partitionBy(*PAIR)
     bins = counts.withColumn("cons", F.sum("c").over(near))
-    peak = bins.groupBy(*PAIR).agg(F.max("cons").alias("votes"), F.sum("cons").alias("total"), (F.max("delta") - F.min("delta") + 1).alias("span"), F.sort_array(F.collect_list(F.struct((-F.col("cons")).alias("k"), F.col("delta").alias("d")))).alias("s"))
-    plateau = F.transform(F.filter("s", lambda x: x.k == -F.col("votes")), lambda x: x.d)
-    best = peak.withColumn("plateau", plateau).select(*PAIR, "votes", F.get("plateau", F.floor(F.size("plateau") / 2).cast("int")).alias("best"), C.prominence(F.col("votes"), F.col("total"), F.col("span")).alias("prominence"))
+    bins = bins.withColumns({"votes": F.max("cons").over(pair), "total": F.sum("cons").over(pair), "span": F.max("delta").over(pair) - F.min("delta").over(pair) + 1})
+    # the upper median of the offsets at the peak, by their rank
+    plateau = bins.filter(F.col("cons") == F.col("votes")).withColumns({"k": F.row_number().over(pair.orderBy("delta")) - 1, "n": F.count("*").over(pair)})
+    best = plateau.filter(F.col("k") == F.floor(F.col("n") / 2)).select(*PAIR, "votes", F.col("delta").alias("best"), C.prominence(F.col("votes"), F.col("total"), F.col("span")).alias("prominence"))
     best = best.filter((F.col("votes") >= cfg.min_votes) & (F.col("prominence") >= cfg.min_prominence))
     return _results(best, _contributions(queries, votes, best, tol), cfg, fps)
 
@@ -88,7 +92,6 @@ def wang_match_dense(queries: DataFrame, references: DataFrame, cfg: WangMatch =
     last_r = references.groupBy("ref_id").agg(F.max("t").alias("hi"))
     votes = wang_votes(queries, stop_hashes(references, cfg.max_postings_per_hash, ["ref_id"]))
     counts = votes.groupBy(*PAIR, "delta").agg(F.count("*").alias("c")).join(last_q, "query_id").join(last_r, "ref_id")
-    counts = counts.withColumn("hi", F.least("hi", F.col("lo") + MAX_HISTOGRAM_BINS - 1))
     spread = counts.select(*PAIR, "lo", "hi", "c", F.explode(F.sequence(F.col("delta") - tol, F.col("delta") + tol)).alias("d")).filter(F.col("d").between(F.col("lo"), F.col("hi")))
     bins = spread.groupBy(*PAIR, "lo", "hi", "d").agg(F.sum("c").alias("cons"))
     peak = F.max("cons").over(Window.partitionBy(*PAIR))
@@ -181,40 +184,40 @@ def panako_index_query(queries: DataFrame, references: DataFrame, cfg: PanakoMat
     return best.select(*PAIR, F.lit(True).alias("is_match"), "score", "votes", "prominence", F.col("off").alias("offset_frames"), C.offset(F.col("off"), F.lit(fps)).getField("ms").alias("offset_ms"), _time_scale(scale).alias("time_scale"))
 
 
-def ransac(tq: np.ndarray, tr: np.ndarray, scale: float, shift: float, cfg: PanakoMatch) -> tuple[float, float, int]:
-    """Best (scale, shift, inliers) of lines through two random pairs: seeded by the number of pairs, up to 128 tries
-    and 4 a pair; 0 inliers if no try fits the scale bounds."""
-    n = len(tq)
-    if n < 2:
-        return scale, shift, 0
-    mask = (1 << 64) - 1
-    state = max(1, n * 2654435761 & mask)
-
-    def draw() -> int:
-        nonlocal state
-        for left, by in ((True, 13), (False, 7), (True, 17)):
-            state ^= (state << by if left else state >> by) & mask
-        return state % n
-
-    tol, best = max(cfg.offset_tolerance_frames, 2), (scale, shift, 0)
-    lo, hi = np.float32(cfg.scale_min), np.float32(cfg.scale_max)
-    for _ in range(min(128, 4 * n)):
-        i, j = draw(), draw()
-        if i == j or abs(tq[j] - tq[i]) < 1:
-            continue
-        s = np.float32((tr[j] - tr[i]) / (tq[j] - tq[i]))
-        if not lo <= s <= hi:
-            continue
-        b = tr[i] - float(s) * tq[i]
-        inliers = int((np.abs(tr - (float(s) * tq + b)) <= tol).sum())
-        if inliers > best[2]:
-            best = (float(s), float(b), inliers)
-    return best
+def candidate_lines(n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the two votes that each candidate line goes through: all pairs of votes if these are at most ``most``,
+    else ``most`` pairs drawn with a fixed seed."""
+    if n * (n - 1) // 2 <= most:
+        return np.triu_indices(n, 1)
+    i, j = np.random.default_rng(n).integers(0, n, (2, most))
+    return i, j
+
+
+def fit_line(tq: np.ndarray, tr: np.ndarray, cfg: PanakoMatch, most: int = REFINE_LINES) -> tuple[float, float, int] | None:
+    """(scale, shift, inliers) of the candidate line tr = scale * tq + shift that most votes are near; among equals that
+    with the least mean distance, then the first. None if no candidate's scale is within bounds."""
+    i, j = candidate_lines(len(tq), most)
+    run = tq[j] - tq[i]
+    steep = np.divide(tr[j] - tr[i], run, out=np.full(len(run), np.nan), where=run != 0)
+    some = (steep >= cfg.scale_min) & (steep <= cfg.scale_max)
+    scales, shifts = steep[some], (tr[i] - steep * tq[i])[some]
+    if not len(scales):
+        return None
+    near = max(cfg.offset_tolerance_frames, 2)
+    counts, means = [], []
+    block = max(1, REFINE_CELLS // len(tq))  # lines measured at once against all votes
+    for k in range(0, len(scales), block):
+        far = np.abs(tr - (scales[k : k + block, None] * tq + shifts[k : k + block, None]))
+        hit = far <= near
+        counts.append(hit.sum(axis=1))
+        means.append(np.where(hit, far, 0).sum(axis=1) / counts[-1])
+    best = np.lexsort((np.concatenate(means), -np.concatenate(counts)))[0]
+    return float(scales[best]), float(shifts[best]), int(np.concatenate(counts)[best])
 
 
 def panako_match(queries: DataFrame, references: DataFrame, cfg: PanakoMatch = PanakoMatch(), fps: float = 62.5) -> DataFrame:
-    """1:1 matching of every query with every reference it shares a hash with; the coarse peak is refined by RANSAC over
-    the pair's anchor pairs, in the order of query rows, then of postings."""
+    """1:1 matching of every query with every reference it shares a hash with; the coarse peak is refined by the line
+    through two of the pair's votes that most votes are near."""
     cfg = cfg.normalized()
     lo, _, width = _grid(cfg)
     votes = panako_votes(queries, stop_hashes(references, cfg.max_postings_per_hash, ["ref_id"]), cfg)
@@ -224,9 +227,8 @@ def panako_match(queries: DataFrame, references: DataFrame, cfg: PanakoMatch = P
     def refine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["qi", "tr"], kind="stable")
         r = pdf.iloc[0]
-        s, b, n = ransac(pdf["tq"].to_numpy(float), pdf["tr"].to_numpy(float), r["scale"], float(r["off0"]), cfg) if cfg.ransac_refine else (r["scale"], float(r["off0"]), 0)
-        if n == 0:
-            s, b, n = r["scale"], float(r["off0"]), int(r["votes"])
+        line = fit_line(pdf["tq"].to_numpy(float), pdf["tr"].to_numpy(float), cfg) if cfg.ransac_refine else None
+        s, b, n = line or (r["scale"], float(r["off0"]), int(r["votes"]))
         return pd.DataFrame([[r["query_id"], r["ref_id"], s, b, n, r["prominence"], r["q_len"]]], columns=[c.split()[0] for c in schema.split(", ")])
 
     rows = votes.join(peaks.select(*PAIR, "scale", F.col("off").alias("off0"), "votes", "prominence", "q_len"), PAIR)

@@ -183,6 +183,9 @@ class EmbeddingStream:
 
 
 def extractor(cfg):
+    """The streaming extractor of a configuration, or what a factory of one's own gives."""
+    if callable(cfg):
+        return cfg()
     return HaitsmaStream(cfg) if isinstance(cfg, Haitsma) else LandmarkStream(cfg)
 
 
@@ -191,43 +194,72 @@ OUT = "stream_id string, t_ms bigint, hash bigint, t_anchor bigint, t_b bigint,
 
 class HashProcessor(StatefulProcessor):
     """Keyed state: the extractor, the number of the next chunk, and chunks that came early. Chunks may come in any
-    order and more than once; a gap wider than ``max_gap`` chunks is reported and skipped."""
+    order and more than once. A gap is reported and skipped when more than ``max_gap`` chunks wait behind it or, given a
+    ``patience_ms``, no chunk has come for so long. What is kept of an ended stream is a mark that ignores late copies;
+    it goes after the same time."""
 
-    def __init__(self, cfg, max_gap: int = 64):
-        self.cfg, self.max_gap = cfg, max_gap
+    def __init__(self, cfg, max_gap: int = 64, patience_ms: int | None = None):
+        self.cfg, self.max_gap, self.patience_ms = cfg, max_gap, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("extractor", "blob binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            ex, due, early = pickle.loads(self.state.get()[0])
-        else:
-            ex, due, early = extractor(self.cfg), 0, {}
-        for pdf in rows:
-            for seq, samples, eos in zip(pdf["seq"], pdf["samples"], pdf["eos"], strict=True):
-                if seq >= due:
-                    early.setdefault(int(seq), (None if samples is None else np.asarray(samples, np.float32), bool(eos)))
+    def _emit(self, key, ex, due: int, early: dict, give_up: bool):
+        """Rows of all chunks that are due, the extractor (None at the end) and the number of the next chunk."""
         out = []
-        while early:
+        while early and ex is not None:
             if due not in early:
-                if len(early) <= self.max_gap:
+                if len(early) <= self.max_gap and not give_up:
                     break
                 out.append((key[0], None, None, None, None, None, f"chunks {due} to {min(early) - 1} are missing"))
                 due = min(early)
             samples, eos = early.pop(due)
             due += 1
             got = ex.push(samples) if samples is not None else []
-            got += ex.flush() if eos else []
+            if eos:
+                got, ex = got + ex.flush(), None
             out += [(key[0], *g, None) for g in got]
-        self.state.update((pickle.dumps((ex, due, early)),))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-        yield frame.astype({c: "Int64" for c in ("t_ms", "hash", "t_anchor", "t_b", "t_c")})
+        return frame.astype({c: "Int64" for c in ("t_ms", "hash", "t_anchor", "t_b", "t_c")}), ex, due
+
+    def _keep(self, ex, due: int, early: dict, now: int) -> None:
+        """Write the state; a stream that has ended or waits for a chunk is looked at again later."""
+        self.state.update((pickle.dumps((ex, due, early)),))
+        if self.patience_ms is None:
+            return
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if ex is None or early:
+            self.handle.registerTimer(now + self.patience_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ex, due, early = pickle.loads(self.state.get()[0]) if self.state.exists() else (extractor(self.cfg), 0, {})
+        for pdf in rows:
+            for seq, samples, eos in zip(pdf["seq"], pdf["samples"], pdf["eos"], strict=True):
+                if seq >= due and ex is not None:
+                    early.setdefault(int(seq), (None if samples is None else np.asarray(samples, np.float32), bool(eos)))
+        frame, ex, due = self._emit(key, ex, due, early, False)
+        self._keep(ex, due, {} if ex is None else early, 0 if self.patience_ms is None else timerValues.getCurrentProcessingTimeInMs())
+        yield frame
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        ex, due, early = pickle.loads(self.state.get()[0])
+        if ex is None:
+            self.state.clear()
+            return
+        frame, ex, due = self._emit(key, ex, due, early, True)
+        self._keep(ex, due, {} if ex is None else early, timerValues.getCurrentProcessingTimeInMs())
+        yield frame
 
     def close(self) -> None:
         pass
 
 
-def stream_hashes(chunks: DataFrame, cfg=Wang(), max_gap: int = 64) -> DataFrame:
-    """chunks: a streaming table (stream_id, seq, samples, eos). Needs the RocksDB state store."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=HashProcessor(cfg, max_gap), outputStructType=OUT, outputMode="Append", timeMode="None")
+def stream_hashes(chunks: DataFrame, cfg=Wang(), max_gap: int = 64, patience_ms: int | None = None) -> DataFrame:
+    """chunks: a streaming table (stream_id, seq, samples, eos). Needs the RocksDB state store. ``cfg`` may be a
+    callable that gives an ``extension.StreamingFingerprinter`` of one's own, of a class that the executors can import. With
+    ``patience_ms`` the query has timers and runs batches without data, so it needs a trigger that doesn't end by itself."""
+    return chunks.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=HashProcessor(cfg, max_gap, patience_ms), outputStructType=OUT, outputMode="Append", timeMode="None" if patience_ms is None else "ProcessingTime")

@@ -1,8 +1,11 @@
 import numpy as np
+import pandas as pd
 
+from sonorel.configs import PanakoMatch
 from sonorel.operators import matching as M
-from sonorel.operators.extension import Fingerprinter, Matcher, catalogue_pairs
+from sonorel.operators.extension import Fingerprinter, Matcher, StreamingFingerprinter, catalogue_pairs
 from sonorel.sources import index, signals
+from sonorel.streaming.extractors import HashProcessor
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +44,90 @@ def test_bucketed_index_needs_no_shuffle_of_the_catalogue(spark):
     assert votes.count() == M.wang_votes(q, M.stop_hashes(r, 100)).count()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.sql("DROP TABLE catalogue")
+
+
+class Count(StreamingFingerprinter):
+    """Numbers its chunks."""
+
+    def __init__(self):
+        self.n = 0
+
+    def push(self, samples):
+        self.n += 1
+        return [(self.n, len(samples), 0, None, None)]
+
+    def flush(self):
+        return [(-1, self.n, 0, None, None)]
+
+
+class Store:
+    """Value state and timers of one key."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+    def registerTimer(self, t):
+        self.timers.append(t)
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+def test_stream_state_of_own_extractor():
+    store, p = Store(), HashProcessor(Count, max_gap=64, patience_ms=50)
+    p.init(store)
+
+    def push(*rows):
+        frame = pd.DataFrame([(s, None if x is None else [0.0] * x, e) for s, x, e in rows], columns=["seq", "samples", "eos"])
+        (out,) = p.handleInputRows(("s",), iter([frame]), store)
+        return [x if isinstance(x, str) else int(x) for x in out["error"].where(out["error"].notna(), out["t_ms"])]
+
+    assert push((1, 2, False), (0, 3, False), (0, 9, False)) == [1, 2] and not store.timers
+    assert push((4, 1, True)) == push((3, 1, False)) == [] and store.timers == [1050]  # chunk 2 is missing
+    store.timers.clear()
+    (out,) = p.handleExpiredTimer(("s",), store, None)
+    assert out["error"].dropna().tolist() == ["chunks 2 to 2 are missing"] and out["t_ms"].dropna().tolist() == [3, 4, -1]
+    assert store.timers == [1050] and push((2, 1, False)) == []  # too late, the stream has ended
+    assert list(p.handleExpiredTimer(("s",), store, None)) == [] and not store.exists()
+
+
+def test_fitted_line():
+    cfg, rng = PanakoMatch(), np.random.default_rng(3)
+    for n in (2, 9, 30, 400):  # up to 30 all pairs are tried
+        tq = np.sort(rng.choice(5000, n, replace=False)).astype(float)
+        tr = np.round(1.05 * tq + 70)
+        lost = rng.random(n) < 0.3
+        lost[:2] = False
+        tr[lost] = rng.integers(0, 5000, lost.sum())
+        s, b, k = M.fit_line(tq, tr, cfg)
+        near = max(cfg.offset_tolerance_frames, 2)
+        assert k == (np.abs(tr - (s * tq + b)) <= near).sum() >= (np.abs(tr - (1.05 * tq + 70)) <= 1).sum()
+        if n <= 30:
+            every = [(i, j) for i in range(n) for j in range(i + 1, n)]
+            lines = [((tr[j] - tr[i]) / (tq[j] - tq[i]), i) for i, j in every]
+            assert k == max((np.abs(tr - tr[i] - x * (tq - tq[i])) <= near).sum() for x, i in lines if cfg.scale_min <= x <= cfg.scale_max)
+        if n > 2:
+            assert abs(s - 1.05) < 0.02
+    assert M.fit_line(np.array([1.0]), np.array([1.0]), cfg) is None
+    assert M.fit_line(np.array([4.0, 4.0]), np.array([1.0, 9.0]), cfg) is None and M.fit_line(np.array([0.0, 1.0]), np.array([0.0, 90.0]), cfg) is None
