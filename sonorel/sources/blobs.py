@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from sonorel import __version__, errors
 
-# fixed values of the format
-MAGIC = b"AUDIOFP\0"
+# fixed values of this engine's own format
+MAGIC = b"SONOREL\0"
 VERSION = 1
 HEADER = 18
 ALGORITHMS = {"wang-v1": 0, "panako-v2": 1, "haitsma-v1": 2}
