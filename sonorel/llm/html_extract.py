@@ -3,10 +3,14 @@
 Markup is stripped so that each block element starts a new line; lines inside elements that never hold the
 article (menus, forms, scripts, comments, ...) are left out. Text lengths, less those of links, are summed
 over sliding windows of lines. The text surges where a window's sum rises over a threshold, and dives where
-it falls to nothing; what lies between is kept, with the short lines that lead up to the surge. An ``article`` or ``main`` element gives the surge and the
-dive itself, also inside a form, and ``main`` inside an element left out for its class. The threshold falls until
-some text is found, so short pages keep their text; a page without any takes the articles inside such elements, or
-what a form holds.
+it falls to nothing; what lies between is one stretch, with the short lines that lead up to the surge. The threshold
+falls until some text is found, so short pages keep their text.
+
+What the page says of itself weighs lines, on every page in the same way: in ``article`` and ``main`` elements links
+count as text, a stretch ends at their edges, and its length counts ``MARKED`` times. If the weightiest stretch is
+marked, the marked ones are the article; else the marks are of teasers or the like, and every stretch that surges is
+kept. Such elements count inside a form too, and ``main`` inside an element left out for its class. A page without any
+text takes the articles inside such elements, or what a form holds.
 
 Defined results: null, empty and text-free pages give an empty string and length 0; markup that is cut off
 or never closed is read as far as it goes; repeated rows get equal results; extra columns are ignored.
@@ -17,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,10 +31,16 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: Characters that a window needs to start a surge; the later ones serve pages with less text.
 THRESHOLDS = (120, 60, 20, 1)
-
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*(?:>|\Z)", re.S)
+#: How many times the length of a stretch in an article or main element counts.
+MARKED = 3
+
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_LOOSE_TAG = re.compile(r"</?[a-zA-Z][^<>]*+(?:>|\Z)")
+#: Tags whose quotes never end on a page before quotes lose their meaning in it: each costs a look at the rest of the page.
+UNENDED = 16
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+|["'=/]""")
 _SPACE = re.compile(r"\s+")
 
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noembed", "noframes", "object", "canvas"}
@@ -40,15 +51,18 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "nobr"}
 ENDS_P = {"p", "div", "ul", "ol", "table", "section", "article", "main", "aside", "header", "footer", "nav", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "hr", "dl", "fieldset", "address", "details"}
 
-#: Words of a class or id that mark an element as no part of the article.
+#: Class and id tokens that mark an element as no part of the article: words that may begin or end a longer token
+#: (site-nav, comments-area), and words that count as whole tokens only.
+_NOUNS = (
+    r"ads?|adverts?|advertis\w+|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|subscri\w*|sign-?up|login|popup|modal|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|widget\w*|"
+    r"related|recommend\w*|sharing|share|social|footer|masthead|topbar|toolbar|pagination|pager|comments?|commentlist|respond|replies|discussion|disqus\w*|feedback|copyright|disclaimer|skip\w*|notice|notification|alert"
+)
 _AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscri\w*|sign-?up|login|"
-    r"nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|related|recommend\w*|share|sharing|social|footer|foot|masthead|site-?header|page-?header|topbar|toolbar|pagination|pager|"
-    r"comments?|comment-?list|respond|replies|discussion|disqus\w*|feedback|search\w*|form|tags?|toc|copyright|legal|disclaimer|skip\w*|hidden|print)(?:$|[\s_-])",
+    rf"(?:{_NOUNS})(?:[_-]\S*)?|\S+[_-](?:{_NOUNS})|overlay|side|foot|site-?header|page-?header|search(?:[_-]?(?:form|box|bar|results?))?|form|\S+[_-]form|tags?|tag-?(?:clouds?|lists?|links?|box)|toc|legal|hidden|visually-hidden|print",
     re.I,
 )
-#: Classes that say what a page or a wrapper has, or what a post is about, not what the element is.
-_ABOUT = re.compile(r"(?:has|with|without|no)[_-](?!print)\S+|content-sidebar\S*|(?:comments?|pings?)-(?:open|closed)|(?:tag|category)-(?!clouds?$|lists?$|links?$|box$|menu$|wrap)\S+", re.I)
+#: Classes that say what a page or a wrapper has or how it is laid out, or what a post is about, not what the element is.
+_ABOUT = re.compile(r"(?:has|with|without|no|is|hide|show)[_-](?!print)\S+|side-by-side|content-sidebar\S*|(?:comments?|pings?)-(?:open|closed)|(?:tag|category)-(?!clouds?$|lists?$|links?$|box$|menu$|wrap)\S+", re.I)
 #: Beside one of these, sticky-nav and the like tell how the wrapper behaves.
 _WRAPPER = {"wrapper", "wrap", "page", "layout", "container", "site"}
 _AWAY_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
@@ -70,7 +84,12 @@ class Line:
 
 
 def _attributes(tag: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(tag)}
+    """Attributes of a start tag, the first of each name, in one pass: what a value holds is no attribute."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag, _NAME.match(tag).end(), len(tag) - tag.endswith(">")):
+        if m[1]:
+            out.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    return out
 
 
 def _marked(words: str) -> bool:
@@ -78,13 +97,30 @@ def _marked(words: str) -> bool:
     tokens = [x for x in words.split() if not _ABOUT.fullmatch(x)]
     if _WRAPPER.intersection(x.lower() for x in tokens):
         tokens = [x for x in tokens if not x.lower().startswith("sticky-")]
-    return bool(_AWAY.search(" ".join(tokens)))
+    return any(map(_AWAY.fullmatch, tokens))
+
+
+def marks(page: str):
+    """(from, to) of every tag, comment and declaration, in time linear in the page."""
+    at, unended = 0, 0
+    while (at := page.find("<", at)) >= 0:
+        m = _OTHER.match(page, at)
+        if m is None and unended < UNENDED and _NAME.match(page, at):
+            m = _TAG.match(page, at)
+            unended += m is None
+        if m is None and (m := _LOOSE_TAG.match(page, at)) is None:
+            at += 1
+            continue
+        # what is sent back is where to go on
+        at = (yield m.start(), m.end()) or m.end()
 
 
 def lines_of(page: str) -> list[Line]:
     """The page's text as lines, one a block; references are decoded after the markup is off."""
     out, line = [], Line()
     open_: list[tuple[str, tuple[int, int, int]]] = []  # name, and what held around it
+    places: dict[str, list[int]] = {}  # of each name in open_
+    blocks: list[int] = []  # places of those not inline
     links = away = main = 0
 
     def cut():
@@ -95,9 +131,12 @@ def lines_of(page: str) -> list[Line]:
 
     def close(k: int):
         nonlocal away, main, links
-        if k < len(open_):
-            away, main, links = open_[k][1]
+        away, main, links = open_[k][1]
+        for n, _ in open_[k:]:
+            places[n].pop()
         del open_[k:]
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
 
     def text(s: str):
         if s:
@@ -107,36 +146,34 @@ def lines_of(page: str) -> list[Line]:
             if links:
                 line.linked += len(s.strip())
 
-    at = 0
+    at, skip, found = 0, None, marks(page)
     while True:
-        m = _MARK.search(page, at)
-        if m is None:
+        try:
+            start, end = found.send(skip)
+        except StopIteration:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[0]
+        skip = None
+        text(page[at:start])
+        at, tag = end, page[start:end]
         if not (name := _NAME.match(tag)):
             continue
         name = name[1].lower()
         if tag.startswith("</"):
-            k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
             if name not in INLINE:
                 cut()
-            if k is not None and not (name in INLINE and any(n not in INLINE for n, _ in open_[k:])):
-                close(k)
+            if places.get(name) and not (name in INLINE and blocks and blocks[-1] > places[name][-1]):
+                close(places[name][-1])
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             if not tag.endswith("/>"):
-                at = end.end() if end else len(page)
+                m = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = skip = m.end() if m else len(page)
             continue
         if name not in INLINE:
             cut()
-        if name in ENDS_P:  # a paragraph can't hold a block
-            k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == "p" or open_[i][0] not in INLINE), None)
-            if k is not None and open_[k][0] == "p":
-                close(k)
+        if name in ENDS_P and blocks and open_[blocks[-1]][0] == "p":  # a paragraph can't hold a block
+            close(blocks[-1])
         if name in VOID or tag.endswith("/>"):
             continue
         a = _attributes(tag)
@@ -144,6 +181,9 @@ def lines_of(page: str) -> list[Line]:
         is_main = name in MAIN or a.get("role", "").lower() == "main" or a.get("itemprop", "") == "articleBody" or bool(words and _MAIN_WORD.search(words))
         role = a.get("role", "").lower()
         hidden = a.get("aria-hidden", "").lower() == "true" or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower()
+        places.setdefault(name, []).append(len(open_))
+        if name not in INLINE:
+            blocks.append(len(open_))
         open_.append((name, (away, main, links)))
         if is_main and away <= (CLASS if name == "main" or role == "main" else FORM):
             away = 0  # the text begins here, whatever wraps it
@@ -159,23 +199,39 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def between(sizes: list[int]) -> list[bool]:
-    """Which lines lie between two dives with a surge between them, the short ones before the surge too."""
-    n = len(sizes)
+def stretches(sizes: list[int]) -> list[tuple[int, int, int]]:
+    """(from, to, largest window sum) of what lies between two dives, the short lines before a surge too."""
+    n, out, at = len(sizes), [], 0
     sums = [sum(sizes[i : i + WINDOW]) for i in range(n)]
-    for threshold in THRESHOLDS:
-        keep, at = [False] * n, 0
-        while at < n:
-            end = at
-            if sizes[at]:
-                while end < n and sums[end]:  # the window at the dive holds no text
-                    end += 1
-                if max(sums[at:end]) >= threshold:
-                    keep[at:end] = [True] * (end - at)
-            at = max(end, at + 1)
-        if any(keep):
-            return keep
-    return [False] * n
+    while at < n:
+        end = at
+        if sizes[at]:
+            while end < n and sums[end]:  # the window at the dive holds no text
+                end += 1
+            out.append((at, end, max(sums[at:end])))
+        at = max(end, at + 1)
+    return out
+
+
+def chosen(lines: list[tuple[bool, int, int]]) -> list[bool]:
+    """Which lines (marked as article, length, length of links) are the main text."""
+    found = []  # marked, from, to, surge, weight
+    at = 0
+    for marked, group in groupby(lines, key=lambda x: x[0]):
+        sizes = [n if marked else max(0, n - linked) for _, n, linked in group]
+        for a, b, surge in stretches(sizes):
+            found.append((marked, at + a, at + b, surge, sum(sizes[a:b]) * (MARKED if marked else 1)))
+        at += len(sizes)
+    keep = [False] * len(lines)
+    if not found:
+        return keep
+    only_marked = max(found, key=lambda f: f[4])[0]
+    most = max(f[3] for f in found)
+    least = next(t for t in THRESHOLDS if most >= t)
+    for marked, a, b, surge, _ in found:
+        if marked if only_marked else surge >= least:
+            keep[a:b] = [True] * (b - a)
+    return keep
 
 
 def extract(page: str | None) -> str:
@@ -184,12 +240,9 @@ def extract(page: str | None) -> str:
         return ""
     lines = [(x, x.text()) for x in lines_of(page)]
     lines = [(x, t) for x, t in lines if t]
-    for main, most in ((True, 0), (False, 0), (True, CLASS), (False, FORM)):  # a page that would be empty takes what a form or a class hides
+    for main, most in ((False, 0), (True, CLASS), (False, FORM)):  # a page that would be empty takes what a form or a class hides
         some = [(x, t) for x, t in lines if x.away <= most and (x.main or not main)]  # the others neither fill a window nor make a dive
-        if main:  # the page says where its text surges and dives
-            keep = [True] * len(some)
-        else:
-            keep = between([max(0, len(t) - x.linked) for x, t in some])
+        keep = chosen([(x.main, len(t), x.linked) for x, t in some])
         if any(keep):
             return " ".join(t for (_, t), k in zip(some, keep, strict=True) if k)
     return ""
