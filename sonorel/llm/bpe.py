@@ -6,7 +6,9 @@ pairs are packed into integers and checked against a table in one vectorised loo
 that fail go through exact merging. Words repeat, so results are kept in a bounded memo.
 
 The vocabulary is that of a byte-level BPE with an end-of-word mark, lower-cased and NFC-normalised, whose
-white space is dropped; its file's path is a parameter.
+white space is dropped; its file's path is a parameter. What is a letter and how it is lowered is left to the library's
+own normaliser and splitter, which see each distinct chunk (text between ASCII white space) once: no normalisation or
+word reaches over a blank.
 
 Defined results: null is encoded as the empty text (no ids, empty decoding); repeated rows get equal results;
 special tokens in a text become their ids, as the library does; extra columns are ignored.
@@ -15,20 +17,19 @@ special tokens in a text become their ids, as the library does; extra columns ar
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
-import unicodedata
+import re
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 END = "</w>"
 #: Words and chunks a worker remembers before it starts anew.
 MEMO = 600_000
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_FINAL_SIGMA = "Σ"
 
 
 def byte_letters() -> list[str]:
@@ -68,7 +69,11 @@ class WordBpe:
         self.longest = max(map(len, self.vocab))
         self.letters = byte_letters()
         self.table = str.maketrans({i: c for i, c in enumerate(self.letters)})
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        splits = [x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
+        pattern = splits[0]["pattern"]["Regex"]
+        self.splitter = pre_tokenizers.Split(Regex(pattern), splits[0]["behavior"].lower(), splits[0]["invert"])
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.self_encoding: dict[int, bool] = {}
         self.good = np.empty(0, np.uint64)  # sorted packed pairs known to be compatible
         self.bad = np.empty(0, np.uint64)
@@ -85,18 +90,27 @@ class WordBpe:
 
     def merge(self, s: list[str]) -> list[str]:
         """Exact merging: the pair of least rank, leftmost first, until none is left."""
-        s = list(s)
-        rank = self.rank
-        while len(s) > 1:
-            best, at = None, -1
-            for i in range(len(s) - 1):
-                r = rank.get((s[i], s[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            s[at : at + 2] = [s[at] + s[at + 1]]
-        return s
+        s, rank = list(s), self.rank
+        n = len(s)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank.get((s[i], s[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if s[i] is None or j >= n or rank.get((s[i], s[j])) != r:
+                continue  # one of the pair has been merged since
+            s[i] += s[j]
+            s[j] = None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank.get((s[i], s[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank.get((s[h], s[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return [x for x in s if x is not None]
 
     def split_symbols(self, text: str) -> list[str]:
         """Single letters of a token's text, the end mark kept with the last."""
@@ -163,18 +177,18 @@ class WordBpe:
 
     # --- texts -----------------------------------------------------------------------------------------
 
-    def normal(self, text: str) -> str:
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        if _FINAL_SIGMA in text:  # str.lower looks at the letters around a sigma
-            return "".join(c.lower() for c in text)
-        return text.lower()
+    def split(self, chunk: str) -> list[str]:
+        """The words of a chunk as the library normalises and splits it."""
+        chunk = chunk.lower() if chunk.isascii() else self.normalizer.normalize_str(chunk)
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk]
+        return [w for w, _ in self.splitter.pre_tokenize_str(chunk)]
 
     def know(self, chunks: set[bytes]) -> None:
         """Put chunks (texts without ASCII white space) into the memo."""
         if len(self.words) > MEMO:
             self.words.clear()
-        split = {c: _WORD.findall(c.decode()) for c in chunks}
+        split = {c: self.split(c.decode()) for c in chunks}
         fresh = list({w for ws in split.values() for w in ws}.difference(self.words))
         if fresh:
             self.encode_words(fresh)
@@ -187,7 +201,7 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
-        split = [[s if s in self.special else self.normal(s).encode().split() for s in self.segments(t)] for t in texts]
+        split = [[s if s in self.special else (s.lower() if s.isascii() else s).encode().split() for s in self.segments(t)] for t in texts]
         needed = {c for t in split for s in t if not isinstance(s, str) for c in s}
         missing = needed.difference(self.chunks)
         if len(self.chunks) + len(missing) > MEMO:
