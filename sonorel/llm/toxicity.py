@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 #: Labelled documents used for training, at most: those with the smallest hash of their id.
 MAX_TRAINING_ROWS = 12_000
-#: Tokens kept in the model, at most, by evidence.
-MAX_TOKENS = 5_000
 #: Weight of the prior, in tokens; of a small training set a share.
 PRIOR_TOKENS, PRIOR_SHARE = 2_000.0, 0.02
 MIN_Z = 4.0
@@ -91,23 +89,22 @@ def maximal_segments(hits: list[tuple[int, float]], other: float) -> list[tuple[
     merged to the left while the cumulative sums say so."""
     if not hits:
         return []
-    # candidates: (from, to, sum before, sum after)
-    cand: list[tuple[int, int, float, float]] = []
+    # candidates: (from, to, sum before, sum after, the nearest earlier one with a lower sum before, or -1)
+    cand: list[tuple[int, int, float, float, int]] = []
     total, at = 0.0, 0
     for pos, s in hits:
         total += other * (pos - at)
         left, right, a, b = total, total + s, pos, pos + 1
         total, at = right, pos + 1
-        while cand:
-            j = len(cand) - 1
-            while j >= 0 and cand[j][2] >= left:
-                j -= 1
-            if j < 0 or cand[j][3] >= right:
-                break
-            a, left = cand[j][0], cand[j][2]
+        j = len(cand) - 1
+        while j >= 0 and cand[j][2] >= left:
+            j = cand[j][4]  # those between have sums at least as high
+        while j >= 0 and cand[j][3] < right:
+            a, _, left, _, before = cand[j]
             del cand[j:]
-        cand.append((a, b, left, right))
-    return [(a, b, r - l) for a, b, l, r in cand]
+            j = before
+        cand.append((a, b, left, right, j))
+    return [(a, b, r - l) for a, b, l, r, _ in cand]
 
 
 def training_ids(labels: DataFrame, folds: int = 3, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
@@ -117,7 +114,7 @@ def training_ids(labels: DataFrame, folds: int = 3, max_rows: int = MAX_TRAINING
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     h = F.xxhash64(F.col("doc_id").cast("string"))
     # a hash threshold leaves little more than the sample, whatever the input's size
-    share = min(1.0, 1.5 * max_rows / max(1, labels.count()))
+    share = min(1.0, 1.5 * max_rows / max(1, rows.count()))
     return rows.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(h, "doc_id").limit(max_rows)
 
 
@@ -148,7 +145,7 @@ def solve_lambda(scores: np.ndarray, p: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, max_rows: int = MAX_TRAINING_ROWS) -> ToxicModel:
     """Fit on whole texts of at most ``max_rows`` labelled documents. The token table is aggregated on the
-    executors; the driver gets the tokens with evidence and one number a training document."""
+    executors; the driver gets the tokens with evidence and one number a training document, both bounded by the sample."""
     none = ToxicModel({}, -0.1, 1.0, 0.0, 1.0, 0.0)
     ids = training_ids(labels, folds, max_rows).collect()  # at most max_rows pairs of numbers
     if len({r.toxic for r in ids}) < 2:
@@ -178,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, max_rows: int = MA
     a = F.lit(prior / float(n1 + n0)) * (F.col("toxic") + F.col("clean"))
     d = F.log((F.col("toxic") + a) / (F.lit(n1 + prior) - F.col("toxic") - a)) - F.log((F.col("clean") + a) / (F.lit(n0 + prior) - F.col("clean") - a))
     se = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    best = forms.select("token", "toxic", "clean", d.alias("d"), se.alias("se")).filter((F.col("d") >= MIN_Z * F.col("se")) & (F.col("d") > MIN_LOG_ODDS)).orderBy(F.desc(F.col("d") / F.col("se")), "token").limit(MAX_TOKENS).collect()
+    best = forms.select("token", "toxic", "clean", d.alias("d"), se.alias("se")).filter((F.col("d") >= MIN_Z * F.col("se")) & (F.col("d") > MIN_LOG_ODDS)).collect()
     # what whole tokens score, to know how scores fall in clean text
     weight = {r.token: float(r.d - r.se) for r in best}
     probe = spark.sparkContext.broadcast(ToxicModel(weight, -0.1, 1.0, 0.0, 1.0, 0.0))
