@@ -16,12 +16,14 @@ order_turn, order_step, turn) gives the conversation.
 
 Defined results: null text is empty content; a null role is the empty role; rows that repeat a message are
 written each; texts that aren't valid JSON objects of the forms above are content as they are; an empty table
-gives no rows; extra columns are ignored.
+gives no rows; extra columns are ignored; messages without conversation or turn are formatted, but link with nothing;
+JSON deeper than ``DEEPEST`` levels, with NaN or infinite numbers or half a surrogate pair is no JSON.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +37,9 @@ TOOLS: dict[str, dict] = {
     "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
 }
 
+#: Levels of nesting that JSON may have.
+DEEPEST = 200
+
 _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
@@ -86,6 +91,33 @@ def faults(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def finite(digits: str) -> float:
+    if not math.isfinite(x := float(digits)):
+        raise ValueError(f"{digits} is no finite number")
+    return x
+
+
+def loads(text: str):
+    """The value of a JSON text; ValueError for one that is no JSON, or too deep."""
+    try:
+        value = json.loads(text, parse_constant=no_constant, parse_float=finite)
+    except RecursionError:
+        raise ValueError("too deep") from None
+    level, depth = [value], 0
+    while level:  # level by level: a value of any depth is measured
+        depth += 1
+        if depth > DEEPEST:
+            raise ValueError("too deep")
+        level = [v for x in level if isinstance(x, dict | list) for v in (x.values() if isinstance(x, dict) else x)]
+    if "\\u" in text:
+        canonical(value).encode()  # half a surrogate pair is no text
+    return value
+
+
 def references(value) -> list[str]:
     """Ids of the results that arguments refer to."""
     if isinstance(value, dict):
@@ -102,8 +134,8 @@ def parse(role: str | None, text: str | None, tools: dict[str, dict]) -> dict:
     body = None
     if text and text.lstrip()[:1] == "{":
         try:
-            body = json.loads(text, parse_constant=lambda _: (_ for _ in ()).throw(ValueError()))
-        except (ValueError, RecursionError):
+            body = loads(text)
+        except ValueError:
             body = None
     if isinstance(body, dict) and role == "assistant" and isinstance(body.get("tool_calls"), list):
         message["content"] = body.get("content") if isinstance(body.get("content"), str) else ""
@@ -114,7 +146,7 @@ def parse(role: str | None, text: str | None, tools: dict[str, dict]) -> dict:
             args = c.get("arguments", {})
             if isinstance(args, str):
                 try:
-                    args = json.loads(args)
+                    args = loads(args)
                 except ValueError:
                     problems.append(f"call {k}: arguments are no JSON")
             name = c.get("name")
@@ -122,7 +154,7 @@ def parse(role: str | None, text: str | None, tools: dict[str, dict]) -> dict:
                 problems.append(f"call {k}: no id")
             else:
                 calls.append(c["id"])
-            if name not in tools:
+            if not isinstance(name, str) or name not in tools:
                 problems.append(f"call {k}: unknown tool")
             else:
                 problems += [f"call {k}: {f}" for f in faults(args, tools[name])]
@@ -132,11 +164,7 @@ def parse(role: str | None, text: str | None, tools: dict[str, dict]) -> dict:
         answers = message["tool_call_id"] = body["tool_call_id"]
         content = body.get("content", "")
         message["content"] = content if isinstance(content, str) else canonical(content)
-    try:
-        line = canonical(message)
-    except (ValueError, RecursionError):
-        line, calls, needs, answers = canonical({"role": role or "", "content": text or ""}), [], [], None
-    return {"line": line, "calls": calls, "answers": answers, "needs": needs, "problems": problems}
+    return {"line": canonical(message), "calls": calls, "answers": answers, "needs": needs, "problems": problems}
 
 
 PARSED = "conv_id long, turn long, role string, line string, calls array<string>, answers string, needs array<string>, problems array<string>"
@@ -193,7 +221,7 @@ def format_messages(rows: DataFrame, tools: dict[str, dict] | None = None) -> Da
     """One row per message: conv_id, turn, role, order_turn, order_step, n_calls, valid, problems, line."""
     parsed = _parsed(rows, TOOLS if tools is None else tools)
     # links between messages are few beside the messages: written once, joined back by size
-    tied = common.materialize(parsed.filter("size(calls) > 0 or answers is not null").drop("line"), "tied")
+    tied = common.materialize(parsed.filter("(size(calls) > 0 or answers is not null) and conv_id is not null and turn is not null").drop("line"), "tied")
     edges, orphans = _edges(tied)
     edges = common.materialize(edges, "edges")
     placed = _placed(edges).join(orphans.withColumn("orphan", F.lit(True)), ["conv_id", "turn"], "full")
