@@ -1,6 +1,7 @@
 """N-gram join, packing, nearest neighbours, chat formatting and the pipeline."""
 
 import json
+import random
 
 import duckdb
 import numpy as np
@@ -264,6 +265,51 @@ def test_tool_calls(spark):
     assert chat.format_messages(frame.limit(0)).count() == 0
 
 
+def test_hostile_chat_rows(spark):
+    deep = "[" * 200_000
+    nested = lambda k: '{"a":' * k + "1" + "}" * k
+    texts = [deep, '{"tool_calls":' + deep, '{"tool_calls":[{"id":"a","name":"search","arguments":' + json.dumps(deep) + "}]}"]
+    texts += ['{"tool_calls":[{"id":"a","name":["search"],"arguments":{}}]}', '{"tool_calls":[{"id":"a","name":{},"arguments":%s}]}' % nested(150), '{"tool_calls":[{"id":"a","arguments":%s}]}' % nested(5000)]
+    texts += ['{"tool_calls":[{"id":"\\ud800","name":"search"}]}', '{"tool_calls":[{"id":"a","name":"search","arguments":"{\\"query\\":NaN}"},{"id":"b","name":"search","arguments":"1e999"}]}']
+    for t in texts:
+        chat.parse("assistant", t, chat.TOOLS)["line"].encode()
+    last = chat.parse("assistant", texts[-1], chat.TOOLS)
+    assert last["calls"] == ["a", "b"] and "call 0: arguments are no JSON" in last["problems"]
+    assert chat.parse("assistant", texts[2], chat.TOOLS)["calls"] == ["a"]
+    rows = [(1, k, "assistant", t) for k, t in enumerate(texts)] + [(None, 1, "tool", '{"tool_call_id":"a"}'), (1, None, "tool", '{"tool_call_id":"a"}'), (2, 0, "user", "long " * 400_000)]
+    got = chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows) and {r.problems for r in got if r.conv_id is None or r.turn is None} == {""}
+
+
+def kahn(n, edges):
+    """Turns in the order of format_messages, by plain Python, and those on a cycle or behind one."""
+    key = {}
+    while fresh := [t for t in range(n) if t not in key and all(a in key for a, b in edges if b == t)]:
+        for t in fresh:
+            before = [key[a] for a, b in edges if b == t]
+            most = max(before, default=(-1, 0))
+            key[t] = (t, 0) if t > most[0] else (most[0], most[1] + 1)
+    return {t: (*key.get(t, (t, 0)), t not in key) for t in range(n)}
+
+
+def test_order_equals_a_plain_topological_sort(spark):
+    rng, rows, want = random.Random(5), [], {}
+    for conv in range(12):
+        calls, answers = list(range(6)), list(range(6, 12))
+        turns = list(range(12))
+        rng.shuffle(turns)
+        edges = set()
+        for k in range(6):
+            needs = [j for j in rng.sample(calls, rng.choice([0, 1, 2])) if j != k and (conv % 4 == 3 or j < k)]
+            arguments = {"query": "q", "more": [{"$result": f"c{j}"} for j in needs]}
+            rows.append((conv, turns[k], "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "search", "arguments": arguments}]})))
+            rows.append((conv, turns[answers[k]], "tool", json.dumps({"tool_call_id": f"c{k}", "content": "r"})))
+            edges |= {(turns[k], turns[answers[k]]), *((turns[answers[j]], turns[k]) for j in needs)}
+        want |= {(conv, t): v for t, v in kahn(12, edges).items()}
+    got = chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.order_turn, r.order_step, "cycle" in r.problems) for r in got} == want
+
+
 def test_schema_faults():
     s = {"type": "object", "properties": {"a": {"type": ["integer", "null"], "minimum": 2}, "b": {"type": "array", "items": {"enum": [1, 2]}, "maxItems": 2}}, "required": ["a"], "additionalProperties": False}
     assert chat.faults({"a": 3, "b": [1]}, s) == [] and chat.faults({"a": None}, s) == []

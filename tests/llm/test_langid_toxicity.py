@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -78,6 +79,22 @@ def test_maximal_segments(xs):
     assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_segment_scan_is_linear():
+    for hits in ([(3 * i, 1.0 + i % 7) for i in range(100_000)], [(30 * i, 1.0 + i / 1e5) for i in range(100_000)], [(30 * i, 2.0 - i / 1e5) for i in range(100_000)]):
+        start = time.process_time()
+        assert toxicity.maximal_segments(hits, -1.9)
+        assert time.process_time() - start < 5
+
+
+def test_training_sample_counts_eligible_rows_only(spark):
+    rows = [(i, None if i % 10 else i % 20 // 10, 1) for i in range(20_000)]
+    labels = spark.createDataFrame(rows * 2, "doc_id long, toxic int, quality int")
+    ok = [i for i, toxic, _ in rows if toxic is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    for most in (len(ok) - 1, len(ok), len(ok) + 1, 500):
+        got = toxicity.training_ids(labels, max_rows=most).collect()
+        assert len(got) == min(most, len(ok)) and {r.doc_id for r in got} <= set(ok)
+
+
 def test_lambda_root():
     s, p = np.array([-1.0, 1.0]), np.array([0.7, 0.3])
     assert abs(toxicity.solve_lambda(s, p) - np.log(0.7 / 0.3)) < 1e-6

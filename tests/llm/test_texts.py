@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -139,6 +140,54 @@ def test_html_wrappers_hide_no_article():
     assert e(f"<nav><main>{LONG}</main></nav><div hidden><main>{LONG}</main></div>") == ""
 
 
+def test_html_classes_are_matched_whole():
+    e = html_extract.extract
+    for c in ("class='overflow-hidden'", "class=no-sidebar", "class=has-comments", "class=side-by-side", "title='hidden gems'", "data-x='class=menu'"):
+        assert e(f"<div {c}><p>{LONG}</p></div>") == LONG, c
+    for c in ("class=hidden", "class='a site-nav'", "id=comments-area", "class=sidebar-left", "hidden", "style='display: none'", "class=search-form"):
+        assert e(f"<p>Text</p><div {c}><p>{LONG}</p></div>") == "Text", c
+
+
+def test_html_story_beside_teasers():
+    e, story = html_extract.extract, " ".join(f"<p>{LONG}" for _ in range(6))
+    teaser = "<article><a href=x>A teaser</a></article>"
+    assert e(f"{teaser}<div><h1>Story</h1>{story}</div>{teaser}") == " ".join(["Story", *[LONG] * 6])
+    assert e(f"<div><p>{LONG}</div><article><h1>Story</h1>{story}</article><p>{LONG}") == " ".join(["Story", *[LONG] * 6])
+
+
+@given(st.lists(st.tuples(st.booleans(), st.integers(0, 90), st.integers(0, 90)), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_html_stretches_equal_a_plain_search(lines):
+    size = [n if m else max(0, n - k) for m, n, k in lines]
+
+    def window(i):  # lines i, i + 1, i + 2 of the same mark
+        return sum(size[j] for j in range(i, min(i + 3, len(size))) if all(lines[k][0] == lines[i][0] for k in range(i, j + 1)))
+
+    found, i = [], 0
+    while i < len(size):
+        j = i
+        while size[i] and j < len(size) and lines[j][0] == lines[i][0] and window(j):
+            j += 1
+        if j > i:
+            found.append((lines[i][0], range(i, j), max(map(window, range(i, j))), sum(size[i:j]) * (3 if lines[i][0] else 1)))
+        i = max(j, i + 1)
+    want = [False] * len(size)
+    if found:
+        marked = max(found, key=lambda f: f[3])[0]
+        least = max(t for t in html_extract.THRESHOLDS if any(f[2] >= t for f in found))
+        for m, lines_, surge, _ in found:
+            for k in lines_:
+                want[k] = m if marked else surge >= least
+    assert html_extract.chosen(lines) == want
+
+
+def test_html_hostile_pages_take_linear_time():
+    for page in ("<a \"" * 250_000, "<a " * 300_000, "<div>" * 100_000 + "</p>" * 100_000, "<b>" * 50_000 + "<div>" * 50_000 + "</b>" * 50_000, "<script/>" * 100_000, "<" * 10**6, "<!" * 500_000, "<p " + "a='b" * 200_000 + ">"):
+        start = time.process_time()
+        html_extract.extract(page)
+        assert time.process_time() - start < 15
+
+
 def test_html_edge_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "x"), (2, "u", "<p>a", "x"), (2, "u", "<p>a", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract_pages(df).collect()) == [(1, "", 0), (2, "", 0), (2, "a", 1), (2, "a", 1)]
@@ -153,6 +202,24 @@ def test_word_bpe_equals_the_library(parts):
     assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_word_bpe_of_every_code_point():
+    lib, own = _lib(WORD), bpe.WordBpe(WORD)
+    texts = [f"Ab{c}b 1{c} {c}X" for c in map(chr, range(0x32000)) if not "\ud800" <= c < "\ue000"]
+    for k in range(0, len(texts), 5000):
+        part = texts[k : k + 5000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(part, add_special_tokens=False)]
+        assert [ids for ids, _ in own.encode_batch(part)] == want
+
+
+def test_word_bpe_of_very_long_words():
+    lib, own = _lib(WORD), bpe.WordBpe(WORD)
+    for t in ("qzx" * 1000, "a" * 3001, "thethe" * 700 + "É", "\x85".join(["中"] * 2000)):
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    start = time.process_time()
+    assert len(own.encode("qz" * 50_000)) > 1000
+    assert time.process_time() - start < 20  # merging takes n log n steps; n squared took minutes
+
+
 @given(st.lists(st.sampled_from(LETTERS), max_size=14))
 @settings(max_examples=400, deadline=None)
 def test_byte_bpe_equals_the_library(parts):
