@@ -15,11 +15,13 @@ from sonorel.functions import kernels as K
 from sonorel.operators import landmarks as L
 from sonorel.operators import matching as M
 from sonorel.operators import spectral as S
-from sonorel.plans.oracles import ORACLES  # noqa: F401
+from sonorel.plans import frontends
+from sonorel.plans.oracles import ORACLES as TABLE_ORACLES
 from sonorel.sources import signals as G
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(frontends.QUERIES)
+ORACLES = TABLE_ORACLES | frontends.ORACLES
 
 SMALL = Stft(16, 8, "hann", center=False)
 SMALL_MEL = Mel(n_mels=6, n_fft=16, sample_rate=8000)

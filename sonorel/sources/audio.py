@@ -103,11 +103,8 @@ def decode_to_mono(data: bytes, limits: DecodeLimits = DecodeLimits(), rate: int
     return K.resample_sinc(mono, own, rate), rate
 
 
-def read_audio(spark: SparkSession, path: str, rate: int | None = None, limits: DecodeLimits = DecodeLimits(), pattern: str | None = None) -> DataFrame:
-    """recording_id (the path), sample_rate, samples, error. Files over ``max_bytes`` are told by their length before
-    their content is read."""
-    reader = spark.read.format("binaryFile")
-    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+def decode(files: DataFrame, rate: int | None = None, limits: DecodeLimits = DecodeLimits()) -> DataFrame:
+    """recording_id, sample_rate, samples, error of a table (path, content) of whole files."""
     schema = f"recording_id string, sample_rate int, samples array<float>, error {ERROR}"
     kind = pa.struct([("code", pa.string()), ("detail", pa.string())])
 
@@ -123,8 +120,16 @@ def read_audio(spark: SparkSession, path: str, rate: int | None = None, limits:
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.float32())), pa.array(cols[3], kind)], names=["recording_id", "sample_rate", "samples", "error"])
 
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def read_audio(spark: SparkSession, path: str, rate: int | None = None, limits: DecodeLimits = DecodeLimits(), pattern: str | None = None) -> DataFrame:
+    """recording_id (the path), sample_rate, samples, error. Files over ``max_bytes`` are told by their length before
+    their content is read."""
+    reader = spark.read.format("binaryFile")
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
     fits = files.filter(F.col("length") <= limits.max_bytes) if limits.max_bytes else files
-    good = fits.select("path", "content").mapInArrow(run, schema)
+    good = decode(fits, rate, limits)
     if not limits.max_bytes:
         return good
     over = files.filter(F.col("length") > limits.max_bytes)

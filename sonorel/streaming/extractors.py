@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sonorel.configs import Embedder, Haitsma, Panako, Wang
 from sonorel.functions import kernels as K
+from sonorel.operators import neural
 
 
 class FrameStream:
@@ -25,6 +26,10 @@ class FrameStream:
     def __init__(self, cfg):
         self.cfg, self.carry, self.frames = cfg, np.empty(0, np.float32), 0
 
+    def reset(self) -> None:
+        """Start a new stream with the same options."""
+        self.__init__(self.cfg)
+
     def power(self, samples) -> tuple[int, np.ndarray]:
         """(number of the first new frame, power of the new frames)"""
         x = np.asarray(samples, np.float32)
@@ -165,6 +170,12 @@ class EmbeddingStream:
     def __init__(self, cfg: Embedder, model):
         self.cfg, self.model, self.carry, self.consumed = cfg, model, np.empty(0, np.float32), 0
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"model": None}  # what is kept between batches has no model
+
+    def reset(self) -> None:
+        self.__init__(self.cfg, self.model)
+
     def latency_ms(self) -> int:
         return round(self.cfg.window_secs * 1000)
 
@@ -198,6 +209,8 @@ class HashProcessor(StatefulProcessor):
     ``patience_ms``, no chunk has come for so long. What is kept of an ended stream is a mark that ignores late copies;
     it goes after the same time."""
 
+    columns = OUT
+
     def __init__(self, cfg, max_gap: int = 64, patience_ms: int | None = None):
         self.cfg, self.max_gap, self.patience_ms = cfg, max_gap, patience_ms
 
@@ -212,7 +225,8 @@ class HashProcessor(StatefulProcessor):
             if due not in early:
                 if len(early) <= self.max_gap and not give_up:
                     break
-                out.append((key[0], None, None, None, None, None, f"chunks {due} to {min(early) - 1} are missing"))
+                empty = [None] * (self.columns.count(",") - 1)
+                out.append((key[0], *empty, f"chunks {due} to {min(early) - 1} are missing"))
                 due = min(early)
             samples, eos = early.pop(due)
             due += 1
@@ -220,8 +234,12 @@ class HashProcessor(StatefulProcessor):
             if eos:
                 got, ex = got + ex.flush(), None
             out += [(key[0], *g, None) for g in got]
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-        return frame.astype({c: "Int64" for c in ("t_ms", "hash", "t_anchor", "t_b", "t_c")}), ex, due
+        fields = [c.split() for c in self.columns.split(", ")]
+        frame = pd.DataFrame(out, columns=[name for name, _ in fields])
+        return frame.astype({name: "Int64" for name, kind in fields if kind == "bigint"}), ex, due
+
+    def _load(self):
+        return pickle.loads(self.state.get()[0]) if self.state.exists() else (extractor(self.cfg), 0, {})
 
     def _keep(self, ex, due: int, early: dict, now: int) -> None:
         """Write the state; a stream that has ended or waits for a chunk is looked at again later."""
@@ -234,7 +252,7 @@ class HashProcessor(StatefulProcessor):
             self.handle.registerTimer(now + self.patience_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ex, due, early = pickle.loads(self.state.get()[0]) if self.state.exists() else (extractor(self.cfg), 0, {})
+        ex, due, early = self._load()
         for pdf in rows:
             for seq, samples, eos in zip(pdf["seq"], pdf["samples"], pdf["eos"], strict=True):
                 if seq >= due and ex is not None:
@@ -246,7 +264,7 @@ class HashProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.state.exists():
             return
-        ex, due, early = pickle.loads(self.state.get()[0])
+        ex, due, early = self._load()
         if ex is None:
             self.state.clear()
             return
@@ -258,8 +276,35 @@ class HashProcessor(StatefulProcessor):
         pass
 
 
+class EmbeddingProcessor(HashProcessor):
+    """The same with an embedder; the model stays out of the state."""
+
+    columns = "stream_id string, t_ms bigint, vector array<float>, error string"
+
+    def __init__(self, cfg: Embedder, model, max_gap: int = 64, patience_ms: int | None = None):
+        super().__init__(lambda: EmbeddingStream(cfg, self.model), max_gap, patience_ms)
+        self.model = model
+
+    def _load(self):
+        ex, due, early = super()._load()
+        if ex is not None:
+            ex.model = self.model
+        return ex, due, early
+
+
+def _transformed(chunks: DataFrame, processor: HashProcessor) -> DataFrame:
+    mode = "None" if processor.patience_ms is None else "ProcessingTime"
+    return chunks.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.columns, outputMode="Append", timeMode=mode)
+
+
+def stream_embeddings(chunks: DataFrame, cfg: Embedder, model, max_gap: int = 64, patience_ms: int | None = None) -> DataFrame:
+    """stream_id, t_ms, vector, error: a vector of every full window of each stream. model: as ``neural.embed`` takes it."""
+    apply = neural.onnx_embedding(model) if isinstance(model, str) else model
+    return _transformed(chunks, EmbeddingProcessor(cfg, lambda window: neural.windows_to_vectors(window, cfg, apply)[1][0], max_gap, patience_ms))
+
+
 def stream_hashes(chunks: DataFrame, cfg=Wang(), max_gap: int = 64, patience_ms: int | None = None) -> DataFrame:
     """chunks: a streaming table (stream_id, seq, samples, eos). Needs the RocksDB state store. ``cfg`` may be a
     callable that gives an ``extension.StreamingFingerprinter`` of one's own, of a class that the executors can import. With
     ``patience_ms`` the query has timers and runs batches without data, so it needs a trigger that doesn't end by itself."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=HashProcessor(cfg, max_gap, patience_ms), outputStructType=OUT, outputMode="Append", timeMode="None" if patience_ms is None else "ProcessingTime")
+    return _transformed(chunks, HashProcessor(cfg, max_gap, patience_ms))
