@@ -5,7 +5,7 @@ into the open sequence with the least room that still holds it. If none does, a
 length that costs least for each token it can be expected to hold from what is left to pack; at the end every
 sequence shrinks to the shortest permitted length that holds its contents.
 
-Lengths are dealt evenly into shards of bounded size and every shard is packed by itself: what is lost is at
+Lengths are token counts of whole texts under a tokenizer file. They are dealt evenly into shards of bounded size and every shard is packed by itself: what is lost is at
 most the open ends of one shard, and texts are never shuffled, only (doc_id, length).
 
 Defined results: every row gives one piece or more; null and empty texts are one token long (the end mark each
@@ -118,8 +118,8 @@ def token_lengths(docs: DataFrame, tokenizer: str | None) -> DataFrame:
 def pack(lengths_table: DataFrame, lengths: Lengths = Lengths(), shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, piece, start, length, bin_id, capacity, offset for a written table (doc_id, n)."""
     shards = max(1, -(-lengths_table.count() // shard_rows))
-    # a written table's rows keep their numbers, so shards are even whatever the ids are
-    numbered = lengths_table.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.pmod("row", F.lit(shards)))
+    # a written table's rows keep their numbers; hashed, these fill the shards evenly whatever the ids and partitions are
+    numbered = lengths_table.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
 
     def run(key, table):
         got = pack_rows(np.arange(table.num_rows), table["row"].to_numpy(), table["n"].to_numpy(), lengths)

@@ -179,15 +179,28 @@ def check_packing(rows, lengths):
 
 
 def test_packing(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(file)
+    lib.no_truncation()
+    tokens = lambda t: len(lib.encode(t or "", add_special_tokens=False).ids) + 1
     docs = common.table(spark, SF2, "documents").collect()
-    assert check_packing(queries.op7_packing(spark, SF2).collect(), {r.doc_id: len(words(r.text)) + 1 for r in docs}) > 0.97
+    assert check_packing(queries.op7_packing(spark, SF2).collect(), {r.doc_id: tokens(r.text) for r in docs}) > 0.97
     some = [(1, None), (2, ""), (3, "w " * 10000), (4, "a b"), (None, "c")]
     frame = spark.createDataFrame(some, "doc_id long, text string")
     check_packing(packing.pack_documents(frame).collect(), {i: len(words(t)) + 1 for i, t in some})
+    clashing = frame.selectExpr("*", "'x' AS row", "0 AS n", "'y' AS shard", "1 AS piece")
+    check_packing(packing.pack_documents(clashing, file).collect(), {i: tokens(t) for i, t in some})
     assert packing.pack_documents(frame.union(frame)).count() == 2 * packing.pack_documents(frame).count()
     assert packing.pack_documents(frame.limit(0)).count() == 0
     lengths = common.materialize(spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") * 37 % 900 + 1).alias("n")), "lengths")
     check_packing(packing.pack(lengths, shard_rows=100).collect(), {i: i * 37 % 900 + 1 for i in range(500)})
+    few = common.materialize(spark.range(4096).repartition(400).select(F.col("id").alias("doc_id"), F.lit(7).alias("n")), "lengths")
+    rows = packing.pack(few, shard_rows=64).collect()  # ten rows a partition, 64 shards
+    shards = np.bincount([r.bin_id >> 32 for r in rows], minlength=64)
+    assert len(rows) == 4096 and shards.min() > 30 and shards.max() < 110
 
 
 def brute_nearest(ids, x, q, k=5):
