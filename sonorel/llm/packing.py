@@ -107,9 +107,9 @@ def token_lengths(docs: DataFrame, tokenizer: str | None) -> DataFrame:
     from sonorel.llm import bpe, token_files
 
     def run(batches):
-        enc = token_files.encoder(tokenizer)
+        counter = token_files.encoder(tokenizer, token_files.ChunkCounter)
         for b in batches:
-            n = [len(x) // enc.kind.itemsize + 1 for g in bpe.texts_in_groups(b.column(1)) for x in enc.encode_batch(g)]
+            n = [x + 1 for g in bpe.texts_in_groups(b.column(1)) for x in counter.encode_batch(g)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n"])
 
     return some.mapInArrow(run, "doc_id long, n long")

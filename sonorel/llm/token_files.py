@@ -62,6 +62,7 @@ class ChunkEncoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.together = b"".join
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,8 +75,11 @@ class ChunkEncoder:
         ids = np.array(self.lib.encode_batch_fast([seam.join(chunks)], add_special_tokens=False)[0].ids, self.kind)
         ends = np.append(np.flatnonzero(ids == self.lib.token_to_id(seam)), len(ids))
         starts = np.append(0, ends[:-1] + 1)
-        raw = ids.tobytes()
-        return [raw[a * width : z * width] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return self._parts(ids.tobytes(), (starts * width).tolist(), (ends * width).tolist())
+
+    @staticmethod
+    def _parts(raw: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
+        return [raw[a:z] for a, z in zip(starts, ends, strict=True)]
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -114,16 +118,31 @@ class ChunkEncoder:
                 for i in at:
                     vs[i] = self.memo[cs[i]]
         rest = iter(self._ids([t for t, w in zip(texts, whole, strict=True) if w]) if any(whole) else [])
-        return [next(rest) if w else b"".join(vs) for vs, w in zip(found, whole, strict=True)]
+        return [next(rest) if w else self.together(vs) for vs, w in zip(found, whole, strict=True)]
+
+
+class ChunkCounter(ChunkEncoder):
+    """Numbers of ids instead of the ids."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.together = sum
+
+    def _ids(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, raw: bytes, starts: list[int], ends: list[int]) -> list[int]:
+        width = self.kind.itemsize
+        return [(z - a) // width for a, z in zip(starts, ends, strict=True)]
 
 
-_loaded: dict[str, ChunkEncoder] = {}
+_loaded: dict[tuple[str, type], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    if path not in _loaded:
-        _loaded[path] = ChunkEncoder(path)
-    return _loaded[path]
+def encoder(path: str, kind: type[ChunkEncoder] = ChunkEncoder) -> ChunkEncoder:
+    if (path, kind) not in _loaded:
+        _loaded[path, kind] = kind(path)
+    return _loaded[path, kind]
 
 
 def local_path(uri: str) -> str:
