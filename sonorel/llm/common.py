@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 #: A key of more than one in so many rows is a heavy one.
 HEAVY = 1000
+#: Bytes of text from which a pass over Arrow batches sends on what it has made of them.
+PIECE_BYTES = 1 << 20
 
 _own_dir: str | None = None
 
@@ -43,6 +49,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """All rows of ``batches`` in their order, in slices of little more than ``PIECE_BYTES`` of the string ``column``, or one
+    row: what a worker holds, and sends in one batch, then doesn't grow with the thousands of rows of Spark's batches."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // PIECE_BYTES)) + 1).tolist(), b.num_rows]
+        for at, to in zip(cuts, cuts[1:]):
+            yield b.slice(at, to - at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

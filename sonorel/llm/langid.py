@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonorel.llm import common
+
 ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 16
 #: Labelled rows used for training, at most, for each language: those with the smallest hash of their id.
@@ -209,7 +211,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in common.pieces(batches):
             keep = [m.decide(t.as_py())[0] != "und" for t in b.column("text")]
             yield b.filter(pa.array(keep, pa.bool_()))
 

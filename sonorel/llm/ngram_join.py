@@ -161,7 +161,7 @@ def _sets(rows: DataFrame, n: int, threshold: int) -> DataFrame:
     """row, doc_id, n_shingles, set hash (two longs), meeting keys, and how many of these a partner has at least."""
 
     def run(batches):
-        for b in batches:
+        for b in common.pieces(batches):
             size, h1, h2, keys, least = [], [], [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py(), n)
@@ -194,7 +194,7 @@ def _grams(rows: DataFrame, n: int) -> DataFrame:
     """row and all its n-grams."""
 
     def run(batches):
-        for b in batches:
+        for b in common.pieces(batches):
             got = [shingles(t.as_py(), n).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], names=["row", "grams"])
 

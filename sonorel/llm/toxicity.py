@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonorel.llm import common
+
 #: Labelled documents used for training, at most: those with the smallest hash of their id.
 MAX_TRAINING_ROWS = 12_000
 #: Weight of the prior, in tokens; of a small training set a share.
@@ -277,7 +279,7 @@ def keep_clean(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD)
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in common.pieces(batches):
             yield b.filter(pa.array([m.score(t.as_py())[0] < threshold for t in b.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,12 +5,13 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sonorel.llm import ann, chat, common, ngram_join, oracle, packing, queries
+from sonorel.llm import ann, chat, common, langid, ngram_join, oracle, packing, queries, toxicity
 
 SF, SF2 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -412,3 +413,31 @@ def test_neighbours_fewer_than_k_are_all_returned(spark):
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 5).collect()
     assert {(r.query_id, r.vec_id) for r in got} == {(i, j) for i in range(5) for j in range(5) if i != j}
     assert sorted(r["rank"] for r in got) == sorted([1, 2, 3, 4] * 5)
+
+
+def test_passes_send_small_batches_and_all_rows(spark):
+    """What a pass makes of one of Spark's batches isn't held whole: workers share an executor's memory."""
+
+    class Rows:
+        sparkSession, schema = spark, None
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    rng = np.random.default_rng(11)
+    texts = [None, "", "a", "x " * 1_500_000, *(" ".join(map("w{}".format, rng.integers(0, 5000, 330))) for _ in range(3000)), "", None]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["row", "doc_id", "text"])
+    short = batch.select(["row", "text"])
+    words = toxicity.ToxicModel({"17": 9.0}, -0.1, 1.0, 0.0, 1.0, 0.0)
+    everyone, lettered = range(len(texts)), [i for i, t in enumerate(texts) if t and langid.has_letter(t)]
+    for run, of, kept in (
+        (ngram_join._sets(Rows(), 5, 80), batch, everyone),
+        (ngram_join._grams(Rows(), 5), short, everyone),
+        (langid.keep_identified(Rows(), langid.fit([("ab", "x"), ("cd", "y")])), batch, lettered),
+        (toxicity.keep_clean(Rows(), words, 2.0), batch, everyone),
+    ):
+        got = list(run(iter([of, of.slice(0, 0), of.slice(0, 3)])))
+        assert [r for b in got for r in b.column(0).to_pylist()] == [*kept, *(i for i in kept if i < 3)]
+        assert max(b.num_rows for b in got) < 1500 and len(got) > 3
+    grams = [g for b in ngram_join._grams(Rows(), 5)(iter([short])) for g in b.column(1).to_pylist()]
+    assert grams == [ngram_join.shingles(t, 5).view(np.int64).tolist() for t in texts]
