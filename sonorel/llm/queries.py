@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonorel.llm import ann, bpe, chat, common, fingerprints, html_extract, langid, ngram_join, packing, token_files, toxicity
+from sonorel.llm import ann, bpe, chat, collocations, common, fingerprints, html_extract, langid, ngram_join, packing, resample, simhash, token_files, toxicity
 from sonorel.llm.oracle import ORACLES  # noqa: F401
 
 
@@ -53,6 +53,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(common.table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_html": op2_html,
@@ -64,4 +76,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_chat": op9_chat,
     "op10_language_id": op10_language_id,
+    "op11_collocations": op11_collocations,
+    "op12_simhash": op12_simhash,
+    "op13_resample": op13_resample,
 }
