@@ -12,7 +12,7 @@
    too (counts fall as runs grow), so only a candidate's two runs of one word less are looked up.
 
 The sketch has a cell for every ``min_count`` bytes of text, up to ``WIDTH``: its two bit rows, broadcast to all tasks, take
-4 MB at most. Beyond that width it lets more through (the results stay exact, the second pass counts more): give a larger
+2 MB at most. Beyond that width it lets more through (the results stay exact, the second pass counts more): give a larger
 ``min_count`` with a larger corpus. The tables of frequent phrases grow with the corpus and are joined by shuffles
 unless they are counted and small.
 
@@ -37,12 +37,12 @@ LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
 #: Cells of a sketch's row at most, and of a block of them.
-WIDTH, BLOCK = 1 << 24, 1 << 16
+WIDTH, BLOCK = 1 << 23, 1 << 16
 ROWS = 2
 #: Sketches that one step of merging sums.
 FAN = 64
 #: Bytes of text that are counted before they are added to the sketch or sent on.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 _M1, _M2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
