@@ -36,6 +36,8 @@ THRESHOLD = 2
 CROWD = 256
 #: Shingles whose bits are added at once.
 SLICE = 1 << 15
+#: Different fingerprints whose anchors a task makes.
+ANCHORED = 10_000
 #: Generator polynomial of the Golay code of 23 bits (a fixed value), its length, dimension and covering radius.
 POLYNOMIAL, LENGTH, DIMENSION, RADIUS = 0b101011100011, 23, 12, 3
 
@@ -113,7 +115,8 @@ def _anchored(distinct: DataFrame, threshold: int) -> DataFrame:
                 found = [anchors_of(fp & (1 << 64) - 1, threshold) for fp in fps]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(fps, [len(x) for x in found]))], names=["anchor", "fp"])
 
-    return distinct.select("fp").mapInArrow(run, "anchor bigint, fp bigint")
+    tasks = distinct.count() // ANCHORED + 1  # fingerprints are small and their anchors aren't
+    return distinct.select("fp").repartition(tasks).mapInArrow(run, "anchor bigint, fp bigint")
 
 
 def _near(anchored: DataFrame, threshold: int) -> DataFrame:
