@@ -26,6 +26,8 @@ ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 16
 #: Labelled rows used for training, at most, for each language: those with the smallest hash of their id.
 MAX_ROWS_PER_LANGUAGE = 1500
+#: Share of the decoder's weight below which a text's language counts as not told.
+MAJORITY = 0.5
 #: Bytes of a text taken at a time; longer texts are scored piece by piece.
 PIECE = 1 << 17
 
@@ -115,6 +117,11 @@ class LanguageModel:
             return "und", 0.0, True
         return self.nearest(self.margins(text))
 
+    def identified(self, text: str | None) -> bool:
+        if text is None or not has_letter(text):
+            return False
+        return not self.languages or self.decide(text)[1] > MAJORITY
+
     def nearest(self, f: np.ndarray) -> tuple[str, float, bool]:
         f = np.clip(f, -8, 8)
         loss = (np.log1p(np.exp(-self.code * f)) * self.bit_weight).sum(axis=1) / self.bit_weight.sum()
@@ -206,13 +213,15 @@ def predict(docs: DataFrame, model: LanguageModel, folds: int = 5) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is known; ``und`` rows go."""
+    """Rows of ``docs``, all columns, but those without a letter (null and empty ones too) and those for which no learned
+    language has more than ``MAJORITY`` of the decoder's weight. If nothing was learned, as from a corpus without labels,
+    no language speaks against a text and all rows with a letter stay. Repeated rows are taken one by one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for b in common.pieces(batches):
-            keep = [m.decide(t.as_py())[0] != "und" for t in b.column("text")]
+            keep = [m.identified(t.as_py()) for t in b.column("text")]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,9 @@ import random
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -343,16 +345,46 @@ def test_pipeline_stage_by_stage(spark):
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns and docs.exceptAll(before).count() == 0
         if name == "language_id":
-            assert seen[-1] == {r.doc_id for r in before.collect() if any(c.isalpha() for c in r.text or "")}
+            model = langid.train(before)
+            assert seen[-1] == {r.doc_id for r in before.collect() if any(c.isalpha() for c in r.text or "") and model.decide(r.text)[1] > 0.5}
         if name == "ngram_jaccard_join":
             want = brute_components([(r.doc_id, r.text) for r in before.collect()], 5, 80)
             assert seen[-1] == {i for i, (_, c) in want.items() if c == i}
         if name == "best_fit_packing":
-            check_packing(docs.collect(), {r.doc_id: len(words(r.text)) + 1 for r in before.collect()})
+            of = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+            of.no_truncation(), of.no_padding()
+            check_packing(docs.collect(), {r.doc_id: len(of.encode(r.text, add_special_tokens=False).ids) + 1 for r in before.collect()})
     assert seen[0] >= seen[1] > seen[2] > seen[3] == seen[4]
     assert corpus_pipeline.run(spark, SF2).count() == docs.count()
 
 
+def stages(spark, docs):
+    out = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        out.append(common.materialize(stage(spark, out[-1], SF), name))
+    return out
+
+
+def test_pipeline_keeps_a_corpus_without_labels(spark):
+    docs = common.table(spark, SF, "documents").withColumn("lang", F.lit(None).cast("string"))
+    found = stages(spark, docs)
+    assert found[1].count() == docs.filter("text rlike '[a-zA-Z]'").count() and found[-1].count() > 100
+
+
+def test_pipeline_edges(spark):
+    """Null, empty and letterless texts, repeated and missing ids, equal texts, columns of the operators' own names, no row."""
+    text = common.table(spark, SF, "documents").orderBy("doc_id").select("text", "lang").limit(8).collect()
+    rows = [(i, r.text, r.lang) for i, r in enumerate(text)]
+    rows += [(50, None, "en"), (51, "", "en"), (52, "-- 12 !!", None), (1, text[5].text + " and more words of its own that nobody else has", "en"), (None, text[6].text, None), (None, "Only this one has no number, the others have.", "en")]
+    docs = spark.createDataFrame([(*r, "s", 1, 2, "x", 3.0, 4, True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row long, component string, score double, h long, keep boolean")
+    found = stages(spark, docs)
+    assert all(d.columns == docs.columns for d in found[:-1])
+    assert {r.doc_id for r in found[1].collect()} == {None, *range(8)} and found[1].count() == 11
+    assert {r.text for r in found[3].collect()} <= {r.text for r in found[1].collect()} and found[3].filter("text = '%s'" % text[6].text.replace("'", "\\'")).count() == 1
+    assert found[4].groupBy("doc_id").count().count() == len({r.doc_id for r in found[3].collect()})
+    assert [d.count() for d in stages(spark, docs.filter("false"))] == [0] * 5
+
+
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 @settings(max_examples=3, deadline=None)
 def test_connected_components(pairs):
