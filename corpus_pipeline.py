@@ -2,17 +2,23 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as
 the next stage's docs.
+
+Defined results: rows whose text is null or has no letter go in the first stage; a corpus in which no row has a lang
+keeps all others; rows that repeat a doc_id, or have none, are taken one by one; of equal texts one row stays, that of the least doc_id;
+other columns of the documents go with their rows up to the last stage, which gives the packing's own columns alone; an empty
+table gives no row.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sonorel.llm import common, langid, ngram_join, packing, toxicity
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
+    """Documents whose language can be told; those without a letter, and those that no learned language has a majority for, go."""
     return langid.keep_identified(docs, langid.train(docs))
 
 
@@ -27,8 +33,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where in which training sequence each document, or each piece of a long one, goes."""
-    return packing.pack_documents(docs)
+    """Where in which training sequence each document, or each piece of a long one, goes; lengths are token ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
