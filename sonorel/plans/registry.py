@@ -210,6 +210,7 @@ def wang_index_query(spark, sf_dir):
 @query
 def match_ranked(spark, sf_dir):
     q, r = _hashes(spark, sf_dir)
+    q = G.stated(q)
     return _matches(M.match_ranked(M.wang_match_dense(q, r), q, r))
 
 

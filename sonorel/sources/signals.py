@@ -1,12 +1,14 @@
 """Signals derived from the test tables, which hold no audio: recordings, hash streams, frame codes and
-embedding sequences in the engine's own schemas."""
+embedding sequences in the engine's own schemas. Tracks and sequences have a bounded length: their number grows with the
+tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TRACKS = 10
+#: Users whose events make ``TRACKS`` tracks, and vectors whose labels make a sequence each.
+USERS, TRACKS, VECTORS, LABELS = 15, 10, 500, 10
 EVENT_CODES = {"click": 0, "view": 1, "purchase": 2, "signup": 3, "error": 4}
 
 
@@ -15,10 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """track, t, a, value: the events of every tenth user in order."""
+    """track, t, a, value: the events of every tenth user of a block in order."""
     code = F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_CODES.items() for x in kv]), F.col("event_type"))
     w = Window.partitionBy("track").orderBy("ts", "event_id")
-    e = _table(spark, sf_dir, "events").select((F.col("user_id") % TRACKS).alias("track"), "ts", "event_id", code.cast("bigint").alias("a"), "value")
+    e = _table(spark, sf_dir, "events").select((F.floor(F.col("user_id") / USERS) * TRACKS + F.col("user_id") % TRACKS).alias("track"), "ts", "event_id", code.cast("bigint").alias("a"), "value")
     return e.select("track", (F.row_number().over(w) - 1).cast("bigint").alias("t"), "a", "value")
 
 
@@ -47,14 +49,18 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("track").cast("string").alias("recording_id"), F.lit(8000).alias("sample_rate"), "samples")
 
 
+def _sequence() -> Column:
+    return F.floor(F.col("vec_id") / VECTORS) * LABELS + F.col("label")
+
+
 def frame_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ref_id, pos, frame: signs of the differences of neighbouring components; a sequence per label."""
+    """ref_id, pos, frame: which component of each of 32 pairs is larger; a sequence per label and block of vectors."""
     code = F.lit(0).cast("bigint")
     for b in range(32):
-        up = F.get("embedding", F.lit(b)) - F.get("embedding", F.lit(b + 1)) > 0
+        up = F.get("embedding", F.lit(2 * b)) - F.get("embedding", F.lit(2 * b + 1)) > 0
         code = code.bitwiseOR(F.when(up, F.lit(1 << (31 - b)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return _table(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("ref_id"), (F.row_number().over(w) - 1).cast("bigint").alias("pos"), code.alias("frame"))
+    w = Window.partitionBy(_sequence()).orderBy("vec_id")
+    return _table(spark, sf_dir, "embeddings").select(_sequence().alias("ref_id"), (F.row_number().over(w) - 1).cast("bigint").alias("pos"), code.alias("frame"))
 
 
 def code_queries(codes: DataFrame, start: int = 5, length: int = 32) -> DataFrame:
@@ -66,10 +72,15 @@ def code_queries(codes: DataFrame, start: int = 5, length: int = 32) -> DataFram
 
 def embedding_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ref_id, idx, vector."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return _table(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("ref_id"), (F.row_number().over(w) - 1).cast("bigint").alias("idx"), F.col("embedding").alias("vector"))
+    w = Window.partitionBy(_sequence()).orderBy("vec_id")
+    return _table(spark, sf_dir, "embeddings").select(_sequence().alias("ref_id"), (F.row_number().over(w) - 1).cast("bigint").alias("idx"), F.col("embedding").alias("vector"))
 
 
 def embedding_queries(sequences: DataFrame, start: int = 3, length: int = 8) -> DataFrame:
     s = sequences.filter(F.col("idx").between(start, start + length - 1))
     return s.select(F.col("ref_id").alias("query_id"), (F.col("idx") - start).alias("idx"), "vector")
+
+
+def stated(queries: DataFrame) -> DataFrame:
+    """The stated query set of operators that set each query against every reference: every fifth."""
+    return queries.filter(F.col("query_id") % 5 == 0)
