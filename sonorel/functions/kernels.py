@@ -144,7 +144,11 @@ def peaks(db: np.ndarray, half_t: int, half_f: int, floor: float, per_second: in
     ``per_second`` in each second (0: all), ordered by time and bin."""
     high = sliding_max(sliding_max(db, half_f, 1), half_t, 0)
     t, f = np.nonzero((db > floor) & (db >= high))
-    mag = db[t, f]
+    return strongest(t, f, db[t, f], per_second, fps)
+
+
+def strongest(t: np.ndarray, f: np.ndarray, mag: np.ndarray, per_second: int, fps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strongest ``per_second`` peaks (0: all) of each second, ties to the earlier and lower; their order is kept."""
     if per_second and len(t):
         second = np.floor(t / fps).astype(np.int64)
         order = np.lexsort((f, t, -mag, second))

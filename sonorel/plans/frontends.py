@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sonorel.configs import DecodeLimits, Embedder, Haitsma, Panako, Stft, Wang, Watermark
 from sonorel.functions import columns as C
 from sonorel.operators import extension as X
+from sonorel.operators import long
 from sonorel.operators import neural as N
 from sonorel.operators import spectral as S
 from sonorel.plans import oracles as O
@@ -113,6 +114,28 @@ def extract_errors(spark, sf_dir):
     return some.filter("error IS NOT NULL").select("recording_id", F.col("error.code").alias("code"), "hash")
 
 
+def _long_blocks(spark, sf_dir):
+    """Blocks of uneven length against the segments; of ten recordings one lacks a block (3) and one has another rate (4)."""
+    b = long.blocks_of(G.long_recordings(spark, sf_dir), 217)
+    k = F.col("recording_id") % 10
+    return b.filter((k != 3) | (F.col("at") != 217)).withColumn("sample_rate", F.when(k == 4, 16000).otherwise(F.col("sample_rate")))
+
+
+@query
+def extract_wang_long(spark, sf_dir):
+    return long.extract_wang(_long_blocks(spark, sf_dir), WANG, 3).select("recording_id", "hash", "t_anchor", "error.code")
+
+
+@query
+def extract_panako_long(spark, sf_dir):
+    return long.extract_panako(_long_blocks(spark, sf_dir), PANAKO, 5).select("recording_id", "hash", "t_anchor", "t_b", "t_c", "error.code")
+
+
+@query
+def extract_haitsma_long(spark, sf_dir):
+    return long.extract_haitsma(_long_blocks(spark, sf_dir), HAITSMA, 1).select("recording_id", "pos", "frame", "error.code")
+
+
 # --- streams -------------------------------------------------------------------------------------------------
 
 CHUNK = 37
@@ -343,7 +366,19 @@ _MEL = (
     "SELECT recording_id AS {key}, i * 4 AS t_ms, t - i * 4 AS frame, band FROM starts JOIN top USING (recording_id) WHERE t BETWEEN i * 4 AND i * 4 + 6"
 )
 
+_LONG = "tracks AS (SELECT l_suppkey // 10 AS track, row_number() OVER (PARTITION BY l_suppkey // 10 ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS t, 0 AS a, l_extendedprice AS value FROM lineitem)"
+
+
+def _long(sql: str, columns: str) -> str:
+    """The SQL of a single pass over the long recordings, with the two that fail."""
+    nulls = ", ".join(f"NULL AS {c}" for c in columns.split())
+    return f"SELECT * FROM ({sql.replace(O.TRACKS, _LONG)}) WHERE recording_id::BIGINT % 10 NOT IN (3, 4) UNION ALL SELECT DISTINCT (l_suppkey // 10)::VARCHAR, {nulls}, CASE WHEN l_suppkey // 10 % 10 = 3 THEN 'Io' ELSE 'UnsupportedSampleRate' END FROM lineitem WHERE l_suppkey // 10 % 10 IN (3, 4)"
+
+
 ORACLES: dict[str, str] = {
+    "extract_wang_long": _long(_wang("recording_id", "NULL::VARCHAR AS code"), "hash t_anchor"),
+    "extract_panako_long": _long(_panako("recording_id", "code"), "hash t_anchor t_b t_c"),
+    "extract_haitsma_long": _long(f"WITH {_HAITSMA} SELECT id AS recording_id, pos, frame, NULL::VARCHAR AS code FROM codes", "pos frame"),
     "stft_centered": f"WITH {_CENTERED} SELECT track::VARCHAR AS recording_id, t, f, round(re * re + im * im, 3) AS v FROM dft",
     "frame_counts": "SELECT s_suppkey, CASE WHEN n < 1024 THEN 0 ELSE 1 + (n - 1024) // 128 END::BIGINT AS inside, CASE WHEN n = 0 THEN 0 ELSE 1 + n // 256 END::BIGINT AS centered FROM (SELECT s_suppkey, s_suppkey * 37 % 3000 AS n FROM supplier)",
     "push_limit": f"WITH {O.TRACKS} SELECT track::VARCHAR AS recording_id, least(count(*), 50)::BIGINT AS n, false AS head_bad, track % 10 < 5 AND count(*) > 60 AS whole_bad FROM tracks GROUP BY track",

@@ -84,3 +84,11 @@ def embedding_queries(sequences: DataFrame, start: int = 3, length: int = 8) ->
 def stated(queries: DataFrame) -> DataFrame:
     """The stated query set of operators that set each query against every reference: every fifth."""
     return queries.filter(F.col("query_id") % 5 == 0)
+
+
+def long_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recording_id, sample_rate, samples: the prices of the items of ten suppliers each, some 6 000."""
+    w = Window.partitionBy("track").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")
+    some = _table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_suppkey") / 10).alias("track"), "l_orderkey", "l_linenumber", "l_extendedprice")
+    rows = some.withColumn("t", F.row_number().over(w)).groupBy("track").agg(F.sort_array(F.collect_list(F.struct("t", "l_extendedprice"))).alias("s"))
+    return rows.select(F.col("track").cast("string").alias("recording_id"), F.lit(8000).alias("sample_rate"), F.transform("s", lambda x: x.l_extendedprice.cast("float")).alias("samples"))
