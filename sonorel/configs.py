@@ -138,6 +138,7 @@ class PanakoMatch:
     min_prominence: float = 5.0
     max_postings_per_hash: int = 100
     ransac_refine: bool = True
+    refine_lines: int = 512  # pairs of votes up to which all of them are candidate lines
 
     def normalized(self) -> PanakoMatch:
         """A grid that can't be used is replaced by the default one."""
@@ -152,6 +153,8 @@ class HaitsmaMatch:
     min_overlap_frames: int = 256
     use_lut: bool = True
     probe_bit_flips: int = 0
+    lut_frames: int = 512  # references up to so many frames are rated at every lag
+    alignments: int = 8  # of a pair, that an index query verifies
 
 
 @dataclass(frozen=True)

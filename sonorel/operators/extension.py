@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from sonorel.operators import spectral
+from sonorel.operators.lags import meet
 
 
 class Fingerprinter(ABC):
@@ -70,4 +71,4 @@ class Matcher(ABC):
 
 def catalogue_pairs(queries: DataFrame, references: DataFrame) -> DataFrame:
     """Every stated query with every reference of a catalogue: one row a pair, no hashes."""
-    return queries.select("query_id").distinct().crossJoin(references.select("ref_id").distinct())
+    return meet(queries.select("query_id").distinct(), references.select("ref_id").distinct(), ["ref_id"])

@@ -9,20 +9,17 @@ joins. Results have one row per (query, reference) that passes; ``is_match`` is
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonorel.configs import HaitsmaMatch, NeuralMatch, PanakoMatch, WangMatch
 from sonorel.functions import columns as C
+from sonorel.operators.lags import BLOCK, PAIR, blocked, differing_bits, lag_sums, meet, summed_dots
 
-PAIR = ["query_id", "ref_id"]
-HAITSMA_DELTAS = 8
-#: Candidate lines of a tempo refinement, and distances held in memory at once.
-REFINE_LINES, REFINE_CELLS = 512, 4_000_000
-#: Blocks of references that each query is set against to list non-matches.
-REFERENCE_BLOCKS = 64
 
 
 def stop_hashes(references: DataFrame, most: int, per: list[str] | None = None) -> DataFrame:
@@ -107,15 +104,14 @@ def wang_match_dense(queries: DataFrame, references: DataFrame, cfg: WangMatch =
 # --- ranking -------------------------------------------------------------------------------------------------
 
 
-def with_non_matches(results: DataFrame, queries: DataFrame, references: DataFrame, blocks: int = REFERENCE_BLOCKS) -> DataFrame:
+def with_non_matches(results: DataFrame, queries: DataFrame, references: DataFrame) -> DataFrame:
     """``results`` and, for every other query and reference, the result of none (score 0): as many rows as queries times
     references. The stated queries meet the references block by block, in an equi-join."""
-    q = queries.select("query_id").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    r = references.select("ref_id").distinct().withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int"))
     none = {"is_match": F.lit(False), "score": F.lit(0.0), "votes": F.lit(0), "prominence": F.lit(0.0), "offset_frames": F.lit(0), "offset_ms": F.lit(0), "time_scale": F.lit(1.0)}
     types = dict(results.dtypes)
     filled = [F.coalesce(c, x.cast(types[c])).alias(c) for c, x in none.items()]
-    return q.join(r, "block").drop("block").join(results, PAIR, "left").select(*PAIR, *filled)
+    pairs = meet(queries.select("query_id").distinct(), references.select("ref_id").distinct(), ["ref_id"])
+    return pairs.join(results, PAIR, "left").select(*PAIR, *filled)
 
 
 def match_ranked(results: DataFrame, queries: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
@@ -184,35 +180,35 @@ def panako_index_query(queries: DataFrame, references: DataFrame, cfg: PanakoMat
     return best.select(*PAIR, F.lit(True).alias("is_match"), "score", "votes", "prominence", F.col("off").alias("offset_frames"), C.offset(F.col("off"), F.lit(fps)).getField("ms").alias("offset_ms"), _time_scale(scale).alias("time_scale"))
 
 
-def candidate_lines(n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the two votes that each candidate line goes through: all pairs of votes if these are at most ``most``,
-    else ``most`` pairs drawn with a fixed seed."""
-    if n * (n - 1) // 2 <= most:
-        return np.triu_indices(n, 1)
-    i, j = np.random.default_rng(n).integers(0, n, (2, most))
-    return i, j
-
-
-def fit_line(tq: np.ndarray, tr: np.ndarray, cfg: PanakoMatch, most: int = REFINE_LINES) -> tuple[float, float, int] | None:
-    """(scale, shift, inliers) of the candidate line tr = scale * tq + shift that most votes are near; among equals that
-    with the least mean distance, then the first. None if no candidate's scale is within bounds."""
-    i, j = candidate_lines(len(tq), most)
-    run = tq[j] - tq[i]
-    steep = np.divide(tr[j] - tr[i], run, out=np.full(len(run), np.nan), where=run != 0)
-    some = (steep >= cfg.scale_min) & (steep <= cfg.scale_max)
-    scales, shifts = steep[some], (tr[i] - steep * tq[i])[some]
-    if not len(scales):
-        return None
-    near = max(cfg.offset_tolerance_frames, 2)
-    counts, means = [], []
-    block = max(1, REFINE_CELLS // len(tq))  # lines measured at once against all votes
-    for k in range(0, len(scales), block):
-        far = np.abs(tr - (scales[k : k + block, None] * tq + shifts[k : k + block, None]))
-        hit = far <= near
-        counts.append(hit.sum(axis=1))
-        means.append(np.where(hit, far, 0).sum(axis=1) / counts[-1])
-    best = np.lexsort((np.concatenate(means), -np.concatenate(counts)))[0]
-    return float(scales[best]), float(shifts[best]), int(np.concatenate(counts)[best])
+def candidate_lines(votes: DataFrame, cfg: PanakoMatch) -> DataFrame:
+    """query_id, ref_id, i, j, scale, shift: lines tr = scale * tq + shift through two votes of a pair, in a table (query_id, ref_id, k,
+    n, tq, tr) of votes numbered 0 .. n - 1: through all pairs of votes if these are at most ``refine_lines``, else through
+    each vote and those 1, 2, 4, 8, ... places behind it, so that every vote takes part near and far. Lines whose scale is out of
+    bounds aren't candidates."""
+    every = F.col("n") * (F.col("n") - 1) / 2 <= cfg.refine_lines
+    far = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda p: F.call_function("shiftleft", F.lit(1).cast("bigint"), p))
+    ahead = F.when(every, F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col("n") - 1, F.lit(1)))).otherwise(far)
+    first = votes.select(*PAIR, F.col("k").alias("i"), F.col("tq").alias("tqi"), F.col("tr").alias("tri"), F.explode(F.filter(F.transform(ahead, lambda a: F.col("k") + a), lambda x: x < F.col("n"))).alias("k"))
+    both = first.join(votes.select(*PAIR, "k", "tq", "tr"), [*PAIR, "k"])
+    run = F.col("tq") - F.col("tqi")
+    scale = F.when(run != 0, (F.col("tr") - F.col("tri")) / run)
+    lines = both.withColumn("scale", scale).filter(F.col("scale").between(*_grid(cfg)[:2]))
+    return lines.select(*PAIR, "i", F.col("k").alias("j"), "scale", (F.col("tri") - F.col("scale") * F.col("tqi")).alias("shift"))
+
+
+def fitted_lines(votes: DataFrame, cfg: PanakoMatch = PanakoMatch()) -> DataFrame:
+    """query_id, ref_id, scale, shift, inliers of each pair's candidate line that most of its votes (query_id, ref_id, qi, tq, tr) are near;
+    among equals that with the least mean distance, then the first. Lines meet votes in a join on the pair and are counted
+    with map-side combining: no task holds the votes of a pair."""
+    pair = Window.partitionBy(*PAIR)
+    numbered = votes.select(*PAIR, "tq", "tr", (F.row_number().over(pair.orderBy("qi", "tr", "tq")) - 1).cast("bigint").alias("k"), F.count("*").over(pair).alias("n"))
+    # equal votes are one row with a count
+    points = votes.groupBy(*PAIR, "tq", "tr").agg(F.count("*").alias("c"))
+    distance = F.abs(F.col("tr") - (F.col("scale") * F.col("tq") + F.col("shift")))
+    near = candidate_lines(numbered, cfg).join(points, PAIR).withColumn("d", distance).filter(F.col("d") <= max(cfg.offset_tolerance_frames, 2))
+    rated = near.groupBy(*PAIR, "i", "j", "scale", "shift").agg(F.sum("c").alias("inliers"), F.round(F.sum(F.col("d") * F.col("c")) / F.sum("c"), 9).alias("mean"))
+    best = rated.groupBy(*PAIR).agg(F.min(F.struct((-F.col("inliers")).alias("least"), "mean", "i", "j", "scale", "shift", "inliers")).alias("b"))
+    return best.select(*PAIR, "b.scale", "b.shift", "b.inliers")
 
 
 def panako_match(queries: DataFrame, references: DataFrame, cfg: PanakoMatch = PanakoMatch(), fps: float = 62.5) -> DataFrame:
@@ -221,22 +217,14 @@ def panako_match(queries: DataFrame, references: DataFrame, cfg: PanakoMatch = P
     cfg = cfg.normalized()
     lo, _, width = _grid(cfg)
     votes = panako_votes(queries, stop_hashes(references, cfg.max_postings_per_hash, ["ref_id"]), cfg)
-    peaks = _panako_peaks(votes, cfg).withColumn("scale", F.lit(lo) + (F.col("s_bin") + 0.5) * width).join(_lengths(queries), "query_id")
-    schema = "query_id string, ref_id string, scale double, shift double, votes long, prominence double, q_len long"
-
-    def refine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["qi", "tr"], kind="stable")
-        r = pdf.iloc[0]
-        line = fit_line(pdf["tq"].to_numpy(float), pdf["tr"].to_numpy(float), cfg) if cfg.ransac_refine else None
-        s, b, n = line or (r["scale"], float(r["off0"]), int(r["votes"]))
-        return pd.DataFrame([[r["query_id"], r["ref_id"], s, b, n, r["prominence"], r["q_len"]]], columns=[c.split()[0] for c in schema.split(", ")])
-
-    rows = votes.join(peaks.select(*PAIR, "scale", F.col("off").alias("off0"), "votes", "prominence", "q_len"), PAIR)
-    fitted = rows.select(F.col("query_id").cast("string"), F.col("ref_id").cast("string"), "qi", "tq", "tr", "scale", "off0", "votes", "prominence", "q_len").groupBy(*PAIR).applyInPandas(refine, schema)
+    peaks = _panako_peaks(votes, cfg).join(_lengths(queries), "query_id").select(*PAIR, "votes", "prominence", "q_len", (F.lit(lo) + (F.col("s_bin") + 0.5) * width).alias("coarse"), F.col("off").cast("double").alias("off"))
+    if cfg.ransac_refine:
+        lines = fitted_lines(votes.join(peaks.select(*PAIR), PAIR, "left_semi"), cfg)
+        peaks = peaks.join(lines, PAIR, "left").withColumns({"votes": F.coalesce("inliers", "votes"), "coarse": F.coalesce("scale", "coarse"), "off": F.coalesce("shift", "off")})
     score = C.clamp_score(F.col("votes") / F.col("q_len"))
-    frames = F.round("shift").cast("bigint")
-    return fitted.withColumn("score", score).filter((F.col("score") >= cfg.min_score) & (F.col("votes") >= cfg.min_votes)).select(
-        *PAIR, F.lit(True).alias("is_match"), "score", "votes", "prominence", frames.alias("offset_frames"), C.offset(frames, F.lit(fps)).getField("ms").alias("offset_ms"), _time_scale(F.col("scale")).alias("time_scale")
+    frames = F.round("off").cast("bigint")
+    return peaks.withColumn("score", score).filter((F.col("score") >= cfg.min_score) & (F.col("votes") >= cfg.min_votes)).select(
+        *PAIR, F.lit(True).alias("is_match"), "score", "votes", "prominence", frames.alias("offset_frames"), C.offset(frames, F.lit(fps)).getField("ms").alias("offset_ms"), _time_scale(F.col("coarse")).alias("time_scale")
     )
 
 
@@ -244,12 +232,6 @@ def panako_match(queries: DataFrame, references: DataFrame, cfg: PanakoMatch = P
 # queries: query_id, pos, frame     references: ref_id, pos, frame
 
 
-def _arrays(frames: DataFrame, key: str) -> DataFrame:
-    """One row per recording with its codes in order: positions run from 0 without gaps."""
-    got = F.sort_array(F.collect_list(F.struct("pos", "frame")))
-    return frames.groupBy(key).agg(F.transform(got, lambda x: x.frame).alias("frames"))
-
-
 def haitsma_candidates(queries: DataFrame, references: DataFrame, cfg: HaitsmaMatch = HaitsmaMatch()) -> DataFrame:
     """query_id, ref_id, delta, hits: alignments on which some frame agrees, up to the configured bit flips, and whose
     overlap is long enough; ``first`` orders alignments by who would be met first."""
@@ -266,19 +248,33 @@ def haitsma_all_alignments(queries: DataFrame, references: DataFrame, cfg: Haits
     """Every alignment of every pair with enough overlap: the exhaustive path of 1:1 matching, for stated pairs."""
     ql = queries.groupBy("query_id").agg(F.count("*").alias("q_len"))
     rl = references.groupBy("ref_id").agg(F.count("*").alias("r_len"))
-    pairs = ql.crossJoin(rl)  # the stated queries against the stated references
-    all_ = pairs.withColumn("delta", F.explode(F.sequence(1 - F.col("q_len"), F.col("r_len") - 1)))
+    all_ = meet(ql, rl, ["ref_id"]).withColumn("delta", F.explode(F.sequence(1 - F.col("q_len"), F.col("r_len") - 1)))
     return all_.withColumn("overlap", C.overlap_at(F.col("q_len"), F.col("r_len"), F.col("delta"))).filter(F.col("overlap") >= cfg.min_overlap_frames)
 
 
 def haitsma_ber(alignments: DataFrame, queries: DataFrame, references: DataFrame) -> DataFrame:
-    """``alignments`` (query_id, ref_id, delta, overlap, ...) with ``wrong``: the differing bits over the overlap."""
-    qa, ra = _arrays(queries, "query_id").withColumnRenamed("frames", "qf"), _arrays(references, "ref_id").withColumnRenamed("frames", "rf")
-    n = F.col("overlap").cast("int")
-    q = F.slice("qf", F.greatest(-F.col("delta"), F.lit(0)).cast("int") + 1, n)
-    r = F.slice("rf", F.greatest("delta", F.lit(0)).cast("int") + 1, n)
-    wrong = F.aggregate(F.zip_with(q, r, C.bit_error), F.lit(0).cast("bigint"), lambda s, v: s + v)
-    return alignments.join(qa, "query_id").join(ra, "ref_id").withColumn("wrong", wrong).drop("qf", "rf")
+    """``alignments`` (query_id, ref_id, delta, overlap, ...) with ``wrong``: the differing bits over the overlap. An alignment
+    meets its query block by block, and each block the two of the reference that lie across it."""
+    q = blocked(queries, "query_id", "pos", "frame").select("query_id", F.col("block").alias("qb"), F.col("items").alias("q"))
+    r = blocked(references, "ref_id", "pos", "frame").select("ref_id", F.col("block").alias("rb"), F.col("items").alias("r"))
+    first = F.floor((F.col("qb") * BLOCK + F.col("delta")) / BLOCK)
+    met = alignments.select(*PAIR, "delta").join(q, "query_id").withColumn("rb", F.explode(F.array(first, first + 1))).join(r, ["ref_id", "rb"])
+    ahead = ((F.col("rb") - F.col("qb")) * BLOCK - F.col("delta")).cast("int")  # of the block of the query to that of the reference
+    skip_q, skip_r = F.greatest(ahead, F.lit(0)), F.greatest(-ahead, F.lit(0))
+    n = F.greatest(F.least(F.size("q") - skip_q, F.size("r") - skip_r), F.lit(0))
+    wrong = F.aggregate(F.zip_with(F.slice("q", skip_q + 1, n), F.slice("r", skip_r + 1, n), C.bit_error), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    sums = met.select(*PAIR, "delta", wrong.alias("wrong")).groupBy(*PAIR, "delta").agg(F.sum("wrong").alias("wrong"))
+    return alignments.join(sums, [*PAIR, "delta"])
+
+
+def haitsma_lags(queries: DataFrame, references: DataFrame) -> DataFrame:
+    """query_id, ref_id, delta, q_len, r_len, overlap, wrong: the differing bits at every lag of every pair, by Fourier
+    transforms of bit planes."""
+    ql = queries.groupBy("query_id").agg(F.count("*").alias("q_len"))
+    rl = references.groupBy("ref_id").agg(F.count("*").alias("r_len"))
+    sums = lag_sums(queries, references, "pos", "frame", differing_bits).join(ql, "query_id").join(rl, "ref_id")
+    overlap = C.overlap_at(F.col("q_len"), F.col("r_len"), F.col("delta"))
+    return sums.select(*PAIR, "delta", "q_len", "r_len", overlap.alias("overlap"), F.col("total").cast("bigint").alias("wrong"))
 
 
 def _haitsma_result(best: DataFrame, cfg: HaitsmaMatch, fps: float) -> DataFrame:
@@ -289,10 +285,10 @@ def _haitsma_result(best: DataFrame, cfg: HaitsmaMatch, fps: float) -> DataFrame
 
 
 def haitsma_index_query(queries: DataFrame, references: DataFrame, cfg: HaitsmaMatch = HaitsmaMatch(), fps: float = 78.125) -> DataFrame:
-    """1:N matching: of each pair the eight alignments with most hits are verified bit by bit."""
-    exact = HaitsmaMatch(cfg.max_ber, cfg.min_overlap_frames, cfg.use_lut, 0)
+    """1:N matching: of each pair the ``alignments`` with most hits are verified bit by bit."""
+    exact = replace(cfg, probe_bit_flips=0)
     w = Window.partitionBy(*PAIR).orderBy(F.desc("hits"), F.abs("delta"), "delta")
-    some = haitsma_candidates(queries, references, exact).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= HAITSMA_DELTAS)
+    some = haitsma_candidates(queries, references, exact).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= cfg.alignments)
     rated = haitsma_ber(some, queries, references).withColumn("ber", F.col("wrong") / (F.col("overlap") * 32))
     w = Window.partitionBy(*PAIR).orderBy("ber", "r")
     best = rated.withColumn("k", F.row_number().over(w)).filter("k = 1")
@@ -302,23 +298,50 @@ def haitsma_index_query(queries: DataFrame, references: DataFrame, cfg: HaitsmaM
 
 def haitsma_match(queries: DataFrame, references: DataFrame, cfg: HaitsmaMatch = HaitsmaMatch(), fps: float = 78.125) -> DataFrame:
     """1:1 matching: the alignment with the least bit error rate; prominence compares it with the median of about 40
-    other alignments. Long references go through agreeing frames, unless ``use_lut`` is off."""
-    long = references.groupBy("ref_id").agg((F.count("*") > 512).alias("long"))
-    by_lut = references.join(long.filter(F.col("long") & F.lit(cfg.use_lut)), "ref_id", "left_semi")
-    rest = references.join(long.filter(~(F.col("long") & F.lit(cfg.use_lut))), "ref_id", "left_semi")
-    cols = [*PAIR, "delta", "q_len", "r_len", "overlap"]
-    met = haitsma_candidates(queries, by_lut, cfg).select(*cols, F.col("first.pq").alias("o1"), F.col("first.probe").cast("bigint").alias("o2"), F.col("first.pr").alias("o3"))
-    every = haitsma_all_alignments(queries, rest, cfg).select(*cols, F.col("delta").alias("o1"), F.lit(0).cast("bigint").alias("o2"), F.lit(0).cast("bigint").alias("o3"))
-    rated = haitsma_ber(met.union(every), queries, references).withColumn("ber", F.col("wrong") / (F.col("overlap") * 32))
-    w = Window.partitionBy(*PAIR).orderBy("ber", "o1", "o2", "o3")
-    best = rated.withColumn("k", F.row_number().over(w)).filter("k = 1")
+    other alignments. References of more than ``lut_frames`` go through agreeing frames, unless ``use_lut`` is off; of the others
+    every lag is rated."""
+    long = (references.groupBy("ref_id").agg(F.count("*").alias("n")).filter((F.col("n") > cfg.lut_frames) & F.lit(cfg.use_lut))).select("ref_id")
+    by_lut, rest = references.join(long, "ref_id", "left_semi"), references.join(long, "ref_id", "left_anti")
+    ber = F.col("wrong") / (F.col("overlap") * 32)
+    least = lambda *order: F.min(F.when(F.col("overlap") >= cfg.min_overlap_frames, F.struct(ber.alias("ber"), *order, "delta", "overlap", "wrong"))).alias("b")
+    chosen = [F.col(f"b.{c}").alias(c) for c in ("ber", "delta", "overlap", "wrong")]
     step = F.greatest(F.floor((F.col("q_len") + F.col("r_len")) / 40), F.lit(1))
+    # every lag: the best one and the sampled ones come out of one aggregation
+    sampled = F.collect_list(F.when((F.col("overlap") >= 32) & ((F.col("delta") - 1 + F.col("q_len")) % step == 0), F.struct("delta", ber.alias("ber"))))
+    every = haitsma_lags(queries, rest).groupBy(*PAIR).agg(least(), sampled.alias("others")).filter("b IS NOT NULL").select(*PAIR, *chosen, "others")
+    every = every.withColumn("others", F.transform(F.filter("others", lambda o: o.delta != F.col("delta")), lambda o: o.ber))
+    # through agreeing frames
+    met = haitsma_ber(haitsma_candidates(queries, by_lut, cfg), queries, by_lut)
+    best = met.groupBy(*PAIR, "q_len", "r_len").agg(least(F.col("first"))).select(*PAIR, "q_len", "r_len", *chosen)
     others = best.select(*PAIR, "q_len", "r_len", F.col("delta").alias("best"), F.explode(F.sequence(1 - F.col("q_len"), F.col("r_len") - 1, step)).alias("delta"))
     others = others.withColumn("overlap", C.overlap_at(F.col("q_len"), F.col("r_len"), F.col("delta"))).filter((F.col("delta") != F.col("best")) & (F.col("overlap") >= 32))
-    rates = haitsma_ber(others, queries, references).groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.col("wrong") / (F.col("overlap") * 32))).alias("b"))
-    median = F.get("b", F.floor(F.size("b") / 2).cast("int"))
-    best = best.join(rates, PAIR, "left").withColumn("prominence", F.coalesce(median / (F.col("ber") + 1e-6), F.lit(0.0)))
-    return _haitsma_result(best, cfg, fps)
+    rates = haitsma_ber(others, queries, by_lut).groupBy(*PAIR).agg(F.collect_list(ber).alias("others"))
+    found = every.unionByName(best.drop("q_len", "r_len").join(rates, PAIR, "left"))
+    sorted_ = F.sort_array(F.coalesce("others", F.array().cast("array<double>")))
+    median = F.get(sorted_, F.floor(F.size(sorted_) / 2).cast("int"))
+    return _haitsma_result(found.withColumn("prominence", F.coalesce(median / (F.col("ber") + 1e-6), F.lit(0.0))), cfg, fps)
+
+
+def bit_similarities(codes: DataFrame) -> DataFrame:
+    """a, b, similarity: the share of equal bits over the common length of all pairs of recordings, a < b, joined by the blocks
+    that they have in common."""
+    x = blocked(codes, "ref_id", "pos", "frame")
+    side = lambda k, v: x.select(F.col("ref_id").alias(k), "block", F.col("items").alias(v))
+    met = side("a", "x").join(side("b", "y"), "block").filter("a < b")
+    n = F.least(F.size("x"), F.size("y"))
+    sums = met.groupBy("a", "b").agg(F.sum(C.bit_similarity(F.col("x"), F.col("y")) * n).alias("s"), F.sum(n).alias("n"))
+    return sums.select("a", "b", (F.col("s") / F.col("n")).alias("similarity"))
+
+
+def jaccards(hashes: DataFrame) -> DataFrame:
+    """a, b, jaccard of all pairs of recordings, a < b: shared hashes are counted by a join on the hash."""
+    u = hashes.select("ref_id", "hash").distinct()
+    n = u.groupBy("ref_id").agg(F.count("*").alias("n"))
+    side = lambda df, k: df.withColumnRenamed("ref_id", k)
+    shared = side(u, "a").join(side(u, "b"), "hash").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    pairs = meet(n.toDF("a", "na"), n.toDF("b", "nb"), ["b"]).filter("a < b").join(shared, ["a", "b"], "left")
+    both = F.coalesce("both", F.lit(0))
+    return pairs.select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard"))
 
 
 # --- embeddings ----------------------------------------------------------------------------------------------
@@ -342,34 +365,37 @@ def neural_global(queries: DataFrame, references: DataFrame, cfg: NeuralMatch =
     """Cosine of the centroids of every query and reference: centroids are one row a recording."""
     q = centroids(queries, "query_id").withColumnsRenamed({"centroid": "qc", "n": "qn"})
     r = centroids(references, "ref_id").withColumnsRenamed({"centroid": "rc", "n": "rn"})
-    both = q.crossJoin(r).filter(F.size("qc") == F.size("rc"))  # stated queries against the catalogue, as a ranking asks for
+    both = meet(q, r, ["ref_id"]).filter(F.size("qc") == F.size("rc"))  # stated queries against the catalogue, as a ranking asks for
     return _neural(both, cfg, C.dot(F.col("qc"), F.col("rc")), F.lit(1.0), F.least("qn", "rn"), F.lit(0), fps)
 
 
-def _sequences(vectors: DataFrame, key: str, name: str) -> DataFrame:
-    return vectors.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "vector"))), lambda e: F.transform(e.vector, lambda x: x.cast("double"))).alias(name))
+def _unit(vectors: DataFrame, cfg: NeuralMatch) -> DataFrame:
+    """Vectors as doubles and, unless they are normalised, of length 1 (those next to nothing become 0)."""
+    v = F.transform("vector", lambda x: x.cast("double"))
+    if not cfg.assume_normalized:
+        norm = F.sqrt(C.dot(F.col("vector"), F.col("vector")))
+        v = F.transform("vector", lambda x: F.when(norm < 1e-12, 0.0).otherwise(x.cast("double") / norm))
+    return vectors.withColumn("vector", v)
 
 
 def neural_sliding(queries: DataFrame, references: DataFrame, cfg: NeuralMatch = NeuralMatch(), fps: float = 1.0) -> DataFrame:
-    """Best mean cosine of the shorter sequence against every full overlap with the longer; the first lag wins ties."""
-    both = _sequences(queries, "query_id", "q").crossJoin(_sequences(references, "ref_id", "r"))
-    qn, rn = F.size("q"), F.size("r")
-    both = both.withColumn("short", F.when(qn <= rn, F.col("q")).otherwise(F.col("r"))).withColumn("long", F.when(qn <= rn, F.col("r")).otherwise(F.col("q"))).withColumn("sign", F.when(qn <= rn, 1).otherwise(-1)).drop("q", "r")
-    lags = both.withColumn("lag", F.explode(F.sequence(F.lit(0), F.size("long") - F.size("short"))))
-    mean = F.aggregate(F.zip_with("short", F.slice("long", F.col("lag") + 1, F.size("short")), lambda a, b: C.cosine(a, b, cfg.assume_normalized)), F.lit(0.0), lambda s, v: s + v) / F.size("short")
-    rated = lags.select(*PAIR, "sign", "lag", F.size("short").alias("m"), mean.alias("mean"))
-    best = rated.groupBy(*PAIR, "sign", "m").agg(F.max(F.struct("mean", (-F.col("lag")).alias("k"))).alias("b"), F.sum("mean").alias("total"), F.count("*").alias("n"))
+    """Best mean cosine of the shorter sequence against every full overlap with the longer; the first lag wins ties. Blocks
+    of vectors are multiplied, and the products summed along diagonals, lag by lag."""
+    ql = queries.groupBy("query_id").agg(F.count("*").alias("qn"))
+    rl = references.groupBy("ref_id").agg(F.count("*").alias("rn"))
+    sums = lag_sums(_unit(queries, cfg), _unit(references, cfg), "idx", "vector", summed_dots).join(ql, "query_id").join(rl, "ref_id")
+    room = F.col("rn") - F.col("qn")  # lags of full overlap lie between 0 and this
+    full = sums.filter(F.col("delta").between(F.least(room, F.lit(0)), F.greatest(room, F.lit(0))))
+    rated = full.select(*PAIR, "delta", F.least("qn", "rn").alias("m"), (F.col("total") / F.least("qn", "rn")).alias("mean"))
+    best = rated.groupBy(*PAIR, "m").agg(F.max(F.struct("mean", (-F.abs("delta")).alias("near"), "delta")).alias("b"), F.sum("mean").alias("total"), F.count("*").alias("n"))
     c = F.col("b.mean")
     prominence = F.when(F.col("n") > 1, (c + 1) / ((F.col("total") - c) / (F.col("n") - 1) + 1)).otherwise(1.0)
-    return _neural(best, cfg, c, prominence, F.col("m"), F.col("sign") * -F.col("b.k"), fps)
+    return _neural(best, cfg, c, prominence, F.col("m"), F.col("b.delta"), fps)
 
 
-def dtw_cost(q: np.ndarray, r: np.ndarray, assume_normalized: bool = True) -> float:
-    """Least total of 1 - cosine along a warping path, by anti-diagonals of the cost matrix."""
-    if not assume_normalized:
-        unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) < 1e-12, np.inf, n)
-        q, r = unit(q), unit(r)
-    d = 1 - q @ r.T
+def _warped(d: np.ndarray, limit: float = np.inf) -> float:
+    """Least total along a warping path of a cost matrix, by anti-diagonals; infinite as soon as it must pass ``limit``: every
+    path goes through one of two neighbouring diagonals. Costs may be a little below zero by rounding, which ``limit`` has to allow for."""
     m, n = d.shape
     before, last = np.full(m + 1, np.inf), np.full(m + 1, np.inf)
     before[0] = 0.0  # entry i of a diagonal is row i; (0, 0) is the start
@@ -377,17 +403,75 @@ def dtw_cost(q: np.ndarray, r: np.ndarray, assume_normalized: bool = True) -> fl
         now = np.full(m + 1, np.inf)
         i = np.arange(max(1, k - n), min(m, k - 1) + 1)
         now[i] = d[i - 1, k - i - 1] + np.minimum(np.minimum(last[i], last[i - 1]), before[i - 1])
+        if min(now.min(), last.min()) > limit:
+            return np.inf
         before, last = last, now
     return float(last[m])
 
 
+def dtw_cost(q: np.ndarray, r: np.ndarray, assume_normalized: bool = True) -> float:
+    """Least total of 1 - cosine along a warping path."""
+    if not assume_normalized:
+        unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) < 1e-12, np.inf, n)
+        q, r = unit(q), unit(r)
+    return _warped(1 - q @ r.T)
+
+
+#: How far a search for paths within a limit went: bounds by the ends, by rows and columns, abandoned, or the whole recurrence.
+DTW_STAGES = ["ends", "rows", "abandoned", "whole"]
+
+
+def dtw_within(q: np.ndarray, r: np.ndarray, limit: float) -> tuple[float, int]:
+    """(cost of warping q to r, or infinity if it is above ``limit``; number of the stage that told). Vectors are normalised or
+    zero. A path holds both ends, and each row and each column at least once; bounds count on costs that aren't negative."""
+    slack = limit + 1e-9 * (len(q) + len(r))
+    ends = max(0.0, 1 - q[0] @ r[0]) + (max(0.0, 1 - q[-1] @ r[-1]) if len(q) + len(r) > 2 else 0.0)
+    if ends > slack:
+        return np.inf, 0
+    d = 1 - q @ r.T
+    if max(np.maximum(d.min(axis=1), 0).sum(), np.maximum(d.min(axis=0), 0).sum()) > slack:
+        return np.inf, 1
+    cost = _warped(d, slack)
+    return (cost, 3) if cost <= slack else (np.inf, 2)
+
+
+def _dtw(queries: DataFrame, references: DataFrame, cfg: NeuralMatch, within: bool) -> DataFrame:
+    """query_id, ref_id, m, n, cost, stage of every query and reference, which are bounded sequences, one row each."""
+    sides = [_unit(x, cfg).groupBy(k).agg(F.sort_array(F.collect_list(F.struct("idx", "vector"))).alias("s")).select(k, F.transform("s", lambda e: e.vector).alias(name)) for x, k, name in ((queries, "query_id", "q"), (references, "ref_id", "r"))]
+    both = meet(*sides, ["ref_id"])
+    kinds = dict(both.dtypes)
+
+    def run(batches):
+        matrix = lambda s: s.values.flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1)
+        for b in batches:
+            rows = []
+            for x, y in zip(b.column("q"), b.column("r"), strict=True):
+                q, r = matrix(x), matrix(y)
+                # the equivalent cosine is 1 - cost / max(m, n)
+                cost, stage = dtw_within(q, r, (1 - cfg.min_cosine) * max(len(q), len(r))) if within else (_warped(1 - q @ r.T), 3)
+                rows.append((len(q), len(r), cost, stage))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("ref_id"), *[pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.int32()), strict=True)]], names=[*PAIR, "m", "n", "cost", "stage"])
+
+    return both.select(*PAIR, "q", "r").mapInArrow(run, f"query_id {kinds['query_id']}, ref_id {kinds['ref_id']}, m int, n int, cost double, stage int")
+
+
+def _warped_matches(costs: DataFrame, cfg: NeuralMatch, fps: float) -> DataFrame:
+    """The cost is put back as an equivalent cosine."""
+    return _neural(costs, cfg, 1 - F.col("cost") / F.greatest("m", "n"), F.lit(1.0), F.least("m", "n"), F.lit(0), fps, F.col("m") / F.col("n"))
+
+
 def neural_dtw(queries: DataFrame, references: DataFrame, cfg: NeuralMatch = NeuralMatch(aggregation="dtw"), fps: float = 1.0) -> DataFrame:
-    """Dynamic time warping of every query with every reference; the cost is put back as an equivalent cosine."""
-    both = _sequences(queries, "query_id", "q").crossJoin(_sequences(references, "ref_id", "r"))
+    """Dynamic time warping of every query with every reference."""
+    return _warped_matches(_dtw(queries, references, cfg, False), cfg, fps)
+
+
+def neural_dtw_matches(queries: DataFrame, references: DataFrame, cfg: NeuralMatch = NeuralMatch(aggregation="dtw"), fps: float = 1.0) -> DataFrame:
+    """The matches among ``neural_dtw``'s rows, found by a cascade of lower bounds: most others never get to the recurrence."""
+    return _warped_matches(_dtw(queries, references, cfg, True).filter(F.col("cost") < float("inf")), cfg, fps).filter("is_match")
 
-    @F.pandas_udf("double")
-    def cost(q: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([dtw_cost(np.stack(a), np.stack(b), cfg.assume_normalized) for a, b in zip(q, r, strict=True)])
 
-    sized = both.select(*PAIR, F.size("q").alias("m"), F.size("r").alias("n"), cost("q", "r").alias("cost"))
-    return _neural(sized, cfg, 1 - F.col("cost") / F.greatest("m", "n"), F.lit(1.0), F.least("m", "n"), F.lit(0), fps, F.col("m") / F.col("n"))
+def dtw_stages(queries: DataFrame, references: DataFrame, cfg: NeuralMatch = NeuralMatch(aggregation="dtw")) -> DataFrame:
+    """stage, pairs: how many pairs each stage of the cascade has settled."""
+    name = F.element_at(F.array(*map(F.lit, DTW_STAGES)), F.col("stage") + 1)
+    return _dtw(queries, references, cfg, True).groupBy(name.alias("stage")).agg(F.count("*").alias("pairs"))

@@ -128,6 +128,23 @@ m AS (SELECT query_id, ref_id, TRUE AS is_match, least(1, s::DOUBLE / q_len) AS
         round(off * 1000 / 62.5::DOUBLE)::BIGINT AS offset_ms, greatest(0.5, least(2, 1 / (lo + (s_bin + 0.5::DOUBLE) * w))) AS time_scale
       FROM best JOIN tot USING (query_id, ref_id) JOIN ql USING (query_id), g WHERE s >= 5 AND s / ((total - s)::DOUBLE / greatest(n - 1, 1) + 1) >= 5 AND s::DOUBLE / q_len >= 0.15)"""
 )
+# lines through two votes, their inliers, and the refined result of pairs with a coarse peak
+PMATCH = (
+    PVOTES.replace(STOP, """, few AS (SELECT ref_id, hash FROM r GROUP BY ALL HAVING count(*) <= 100), kept AS (SELECT r.* FROM r SEMI JOIN few USING (ref_id, hash))""")
+    + PINDEX[len(PVOTES) : PINDEX.index("m AS (")]
+    + """pk AS (SELECT query_id, ref_id, s, s_bin, off, q_len, s / ((total - s)::DOUBLE / greatest(n - 1, 1) + 1) AS prominence FROM best JOIN tot USING (query_id, ref_id) JOIN ql USING (query_id)
+  WHERE s >= 5 AND s / ((total - s)::DOUBLE / greatest(n - 1, 1) + 1) >= 5),
+nv AS (SELECT query_id, ref_id, tq, tr, row_number() OVER (PARTITION BY query_id, ref_id ORDER BY qi, tr, tq) - 1 AS k, count(*) OVER (PARTITION BY query_id, ref_id) AS n
+       FROM (SELECT query_id, ref_id, qi, tq, tr FROM pv, g WHERE s BETWEEN lo - w * 0.5::DOUBLE AND hi + w * 0.5::DOUBLE) SEMI JOIN pk USING (query_id, ref_id)),
+ln AS (SELECT *, a_tr - scale * a_tq AS shift FROM (
+         SELECT a.query_id, a.ref_id, a.k AS i, b.k AS j, a.tq AS a_tq, a.tr AS a_tr, (b.tr - a.tr)::DOUBLE / nullif(b.tq - a.tq, 0) AS scale
+         FROM nv a JOIN nv b ON a.query_id = b.query_id AND a.ref_id = b.ref_id AND b.k > a.k AND (a.n * (a.n - 1) / 2 <= 512 OR bit_count(b.k - a.k) = 1)), g WHERE scale BETWEEN lo AND hi),
+rt AS (SELECT query_id, ref_id, i, j, scale, shift, count(*) AS inliers, round(avg(abs(tr - (scale * tq + shift))), 9) AS mean FROM ln JOIN nv USING (query_id, ref_id) WHERE abs(tr - (scale * tq + shift)) <= 2 GROUP BY ALL),
+fit AS (SELECT * FROM rt QUALIFY row_number() OVER (PARTITION BY query_id, ref_id ORDER BY inliers DESC, mean, i, j) = 1),
+re AS (SELECT query_id, ref_id, q_len, prominence, coalesce(inliers, s) AS votes, coalesce(scale, lo + (s_bin + 0.5::DOUBLE) * w) AS scale, round(coalesce(shift, off))::BIGINT AS off FROM pk LEFT JOIN fit USING (query_id, ref_id), g),
+m AS (SELECT query_id, ref_id, TRUE AS is_match, least(1, votes::DOUBLE / q_len) AS score, votes::BIGINT AS votes, prominence, off AS offset_frames, round(off * 1000 / 62.5::DOUBLE)::BIGINT AS offset_ms,
+        CASE WHEN abs(scale) > 1e-6 THEN greatest(0.5, least(2, 1 / scale)) ELSE 1 END AS time_scale FROM re WHERE votes >= 5 AND votes::DOUBLE / q_len >= 0.15)"""
+)
 DENSE = (
     HASHES
     + """, few AS (SELECT ref_id, hash FROM r GROUP BY ALL HAVING count(*) <= 100), kept AS (SELECT r.* FROM r SEMI JOIN few USING (ref_id, hash)),
@@ -162,6 +179,23 @@ lag AS (SELECT e.query_id, s.ref_id, s.idx - e.idx AS lag, sum(list_dot_product(
 b AS (SELECT query_id, ref_id, max(mean) AS c, sum(mean) AS total, count(*) AS n, arg_min(lag, (-mean, lag)) AS lag FROM lag GROUP BY ALL),
 m AS (SELECT query_id, ref_id, c >= 0.8 AS is_match, greatest(0, least(1, c)) AS score, 8::BIGINT AS votes, CASE WHEN n > 1 THEN (c + 1) / ((total - c) / (n - 1) + 1) ELSE 1 END AS prominence, lag::BIGINT AS offset_frames, (lag * 1000)::BIGINT AS offset_ms, 1::DOUBLE AS time_scale FROM b)"""
 )
+# cells of the diagonal 'turn' and the one before it; a cell goes on to its three neighbours, and itself for one more turn
+DTW = (
+    SEQ.replace("s AS (", "RECURSIVE s AS (", 1)
+    + """, len AS (SELECT query_id, ref_id, m, n FROM (SELECT query_id, count(*) AS m FROM eq GROUP BY 1), (SELECT ref_id, count(*) AS n FROM s GROUP BY 1)),
+cell AS (SELECT e.query_id, s.ref_id, e.idx + 1 AS i, s.idx + 1 AS j, 1 - list_dot_product(e.vector, s.vector) AS c FROM eq e, s),
+dp AS (
+  SELECT query_id, ref_id, 2::BIGINT AS turn, i, j, c AS v FROM cell WHERE i = 1 AND j = 1
+  UNION ALL
+  SELECT query_id, ref_id, turn, i, j, min(v) + max(c) AS v FROM (
+    SELECT dp.query_id, dp.ref_id, turn + 1 AS turn, cell.i, cell.j, v, CASE WHEN cell.i = dp.i AND cell.j = dp.j THEN 0 ELSE c END AS c
+    FROM dp, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) step(a, b), cell
+    WHERE cell.query_id = dp.query_id AND cell.ref_id = dp.ref_id AND cell.i = dp.i + a AND cell.j = dp.j + b
+      AND CASE WHEN a + b = 0 THEN dp.i + dp.j = turn ELSE dp.i + dp.j + a + b = turn + 1 END)
+  GROUP BY ALL),
+m AS (SELECT query_id, ref_id, 1 - v / greatest(m, n) >= 0.8 AS is_match, greatest(0, least(1, 1 - v / greatest(m, n))) AS score, least(m, n)::BIGINT AS votes, 1::DOUBLE AS prominence, 0::BIGINT AS offset_frames, 0::BIGINT AS offset_ms, m::DOUBLE / n AS time_scale
+      FROM dp JOIN len USING (query_id, ref_id) WHERE turn = m + n AND i = m AND j = n)"""
+)
 BANDS = """e AS (SELECT 200 * power(3900 / 200::DOUBLE, b / 4::DOUBLE) AS lo, 200 * power(3900 / 200::DOUBLE, (b + 1) / 4::DOUBLE) AS hi, b AS band FROM range(4) g(b)),
 bands AS (SELECT f, band FROM range(9) g(f) JOIN e ON f * 500 >= lo AND f * 500 < hi)"""
 
@@ -225,6 +259,9 @@ ORACLES: dict[str, str] = {
     "haitsma_match": f"WITH {HMATCH} SELECT {_OUT} FROM m",
     "panako_votes": f"WITH {PVOTES} SELECT query_id, ref_id, s_bin, off, count(*) AS c FROM v GROUP BY ALL",
     "panako_index_query": f"WITH {PINDEX} SELECT {_OUT} FROM m",
+    "panako_match": f"WITH {PMATCH} SELECT {_OUT} FROM m",
+    "neural_dtw": f"WITH {DTW} SELECT {_OUT} FROM m",
+    "neural_dtw_matches": f"WITH {DTW.replace('>= 0.8 AS', '>= 0.15 AS')} SELECT {_OUT} FROM m WHERE is_match",
     "neural_global": f"WITH {GLOBAL} SELECT {_OUT} FROM m",
     "neural_sliding": f"WITH {SLIDING} SELECT {_OUT} FROM m",
     "l2_normalize": "SELECT vec_id, k, round(embedding[k + 1]::DOUBLE / sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])), 9) AS x FROM embeddings, range(64) g(k)",

@@ -276,6 +276,11 @@ def neural_dtw(spark, sf_dir):
     return _matches(M.neural_dtw(*_vectors(spark, sf_dir), NeuralMatch(aggregation="dtw")))
 
 
+@query
+def neural_dtw_matches(spark, sf_dir):
+    return _matches(M.neural_dtw_matches(*_vectors(spark, sf_dir), NeuralMatch(aggregation="dtw", min_cosine=0.15)))
+
+
 # --- scalar functions ----------------------------------------------------------------------------------------
 
 
@@ -291,21 +296,14 @@ def centroid(spark, sf_dir):
     return c.select("ref_id", F.posexplode("centroid").alias("k", "x")).select("ref_id", F.col("k").cast("bigint").alias("k"), F.round("x", 6).alias("x"))
 
 
-def _pairs(df: DataFrame, value: str) -> DataFrame:
-    """All pairs of recordings, a < b: a report over one row a recording."""
-    a, b = df.select(F.col("ref_id").alias("a"), F.col(value).alias("x")), df.select(F.col("ref_id").alias("b"), F.col(value).alias("y"))
-    return a.join(b, F.col("a") < F.col("b"))
-
-
 @query
 def jaccard(spark, sf_dir):
-    sets = G.hash_stream(spark, sf_dir).groupBy("ref_id").agg(F.collect_set("hash").alias("s"))
-    return _pairs(sets, "s").select("a", "b", F.round(C.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
+    return rounded(M.jaccards(G.hash_stream(spark, sf_dir)), jaccard=9)
 
 
 @query
 def bit_similarity(spark, sf_dir):
-    return _pairs(M._arrays(G.frame_codes(spark, sf_dir), "ref_id"), "frames").select("a", "b", F.round(C.bit_similarity(F.col("x"), F.col("y")), 9).alias("similarity"))
+    return rounded(M.bit_similarities(G.frame_codes(spark, sf_dir)), similarity=9)
 
 
 @query

@@ -112,22 +112,30 @@ def test_stream_state_of_own_extractor():
     assert list(p.handleExpiredTimer(("s",), store, None)) == [] and not store.exists()
 
 
-def test_fitted_line():
-    cfg, rng = PanakoMatch(), np.random.default_rng(3)
-    for n in (2, 9, 30, 400):  # up to 30 all pairs are tried
+def test_fitted_line(spark):
+    """Pairs of few and of many votes against plain enumeration of the candidates; pairs without a candidate give nothing."""
+    cfg, rng, pairs = PanakoMatch(), np.random.default_rng(3), {}
+    for n in (2, 9, 30, 33, 200):  # up to 32 all pairs of votes are tried
         tq = np.sort(rng.choice(5000, n, replace=False)).astype(float)
         tr = np.round(1.05 * tq + 70)
         lost = rng.random(n) < 0.3
         lost[:2] = False
         tr[lost] = rng.integers(0, 5000, lost.sum())
-        s, b, k = M.fit_line(tq, tr, cfg)
-        near = max(cfg.offset_tolerance_frames, 2)
-        assert k == (np.abs(tr - (s * tq + b)) <= near).sum() >= (np.abs(tr - (1.05 * tq + 70)) <= 1).sum()
-        if n <= 30:
-            every = [(i, j) for i in range(n) for j in range(i + 1, n)]
-            lines = [((tr[j] - tr[i]) / (tq[j] - tq[i]), i) for i, j in every]
-            assert k == max((np.abs(tr - tr[i] - x * (tq - tq[i])) <= near).sum() for x, i in lines if cfg.scale_min <= x <= cfg.scale_max)
-        if n > 2:
-            assert abs(s - 1.05) < 0.02
-    assert M.fit_line(np.array([1.0]), np.array([1.0]), cfg) is None
-    assert M.fit_line(np.array([4.0, 4.0]), np.array([1.0, 9.0]), cfg) is None and M.fit_line(np.array([0.0, 1.0]), np.array([0.0, 90.0]), cfg) is None
+        pairs[n] = tq, tr
+    none = {-1: ([1.0], [1.0]), -2: ([4.0, 4.0], [1.0, 9.0]), -3: ([0.0, 1.0], [0.0, 90.0])}
+    rows = [(k, 7, i, float(a), float(b)) for k, (x, y) in (pairs | none).items() for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    votes = spark.createDataFrame(rows, "query_id int, ref_id int, qi int, tq double, tr double")
+    got = {r.query_id: r for r in M.fitted_lines(votes, cfg).collect()}
+    assert set(got) == set(pairs)
+    for n, (tq, tr) in pairs.items():
+        ahead = range(1, n) if n * (n - 1) / 2 <= cfg.refine_lines else [1 << p for p in range(12)]
+        best = None
+        for i in range(n):
+            for j in (i + a for a in ahead if i + a < n):
+                x = (tr[j] - tr[i]) / (tq[j] - tq[i])
+                if cfg.scale_min <= x <= cfg.scale_max:
+                    d = np.abs(tr - (x * tq + (tr[i] - x * tq[i])))
+                    rank = (-(d <= 2).sum(), round(d[d <= 2].mean(), 9), i, j, x, tr[i] - x * tq[i])
+                    best = min(best or rank, rank)
+        assert (got[n].inliers, got[n]["scale"], got[n]["shift"]) == (-best[0], best[4], best[5])
+        assert n == 2 or abs(got[n]["scale"] - 1.05) < 0.02 and got[n].inliers >= (np.abs(tr - (1.05 * tq + 70)) <= 1).sum()
