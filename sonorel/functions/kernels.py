@@ -181,43 +181,67 @@ def frame_codes(energies: np.ndarray) -> np.ndarray:
     return (bits.astype(np.int64) << np.arange(n - 1, -1, -1)).sum(axis=1)
 
 
+def _targets(t, f, mag, zone_t: int, zone_f: int, most: int):
+    """(anchor, target) indices of peaks ordered by (t, f): for each anchor its strongest ``most`` targets with 1 <= dt <= zone_t
+    and |df| <= zone_f, ties to the earlier and lower; ordered by anchor and strength.
+
+    Works on slices of anchors whose candidates are some 64 thousand in all."""
+    lo, hi = np.searchsorted(t, t + 1), np.searchsorted(t, t + zone_t, "right")
+    sizes = hi - lo
+    out_a, out_b, at, ends = [], [], 0, np.cumsum(sizes)
+    while at < len(t):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 16), "right")))
+        n = sizes[at:to]
+        a = np.repeat(np.arange(at, to), n)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + lo[a]
+        near = np.abs(f[b] - f[a]) <= zone_f
+        a, b = a[near], b[near]
+        order = np.lexsort((-mag[b], a))  # stable: peaks are in the order of their ties already
+        a, b = a[order], b[order]
+        first = np.searchsorted(a, a)
+        keep = np.arange(len(a)) - first < most
+        out_a.append(a[keep])
+        out_b.append(b[keep])
+        at = to
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+
 def landmark_pairs(t, f, mag, zone_t: int, zone_f: int, fan_out: int):
     """(anchor, target) indices of peaks ordered by (t, f): for each anchor its strongest targets in the zone
     1 <= dt <= zone_t, |df| <= zone_f, ties to the earlier and lower."""
-    out_a, out_b = [], []
-    lo, hi = np.searchsorted(t, t + 1), np.searchsorted(t, t + zone_t, "right")
-    for a in range(len(t)):
-        c = np.arange(lo[a], hi[a])
-        c = c[np.abs(f[c] - f[a]) <= zone_f]
-        if len(c):
-            c = c[np.lexsort((f[c], t[c], -mag[c]))[:fan_out]]
-            out_a.append(np.full(len(c), a))
-            out_b.append(c)
-    none = np.empty(0, np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+    return _targets(t, f, mag, zone_t, zone_f, fan_out)
 
 
-def landmark_triples(t, f, mag, zone_t: int, zone_f: int, fan_out: int):
-    """(anchor, b, c) indices: pairs of targets, c behind b in (t, f) order, of the largest summed magnitude.
+def landmark_triples(t, f, mag, zone_t: int, zone_f: int, fan_out: int, most: int | None = None):
+    """(anchor, b, c) indices: pairs of targets, c behind b in (t, f) order, of the largest summed magnitude, ties to the
+    earlier and lower. Of an anchor's targets only the strongest ``most`` (None: all) count, ties to the earlier and lower.
 
-    Of an anchor's targets only the strongest fan_out + 1 can take part in its best fan_out sums.
+    Only targets as strong as the strongest fan_out + 1 can be in the best fan_out sums; each of them is paired with those
+    behind it, step by step.
     """
-    out = []
-    lo, hi = np.searchsorted(t, t + 1), np.searchsorted(t, t + zone_t)
     mag = mag.astype(np.float32)
-    for a in range(len(t)):
-        c = np.arange(lo[a], hi[a])
-        c = c[np.abs(f[c] - f[a]) < zone_f]
-        if len(c) < 2:
-            continue
-        if len(c) > fan_out + 1:
-            floor = np.sort(mag[c])[-(fan_out + 1)]
-            c = c[mag[c] >= floor]  # with its ties
-        i, j = np.triu_indices(len(c), 1)
-        b, d = c[i], c[j]
-        best = np.lexsort((f[d], t[d], f[b], t[b], -(mag[b] + mag[d])))[:fan_out]
-        out.append(np.stack([np.full(len(best), a), b[best], d[best]]))
-    return np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
+    a, b = _targets(t, f, mag, zone_t - 1, zone_f - 1, len(t) if most is None else most)
+    if not len(a):
+        return np.empty((3, 0), np.int64)
+    first = np.searchsorted(a, a)
+    last = np.searchsorted(a, a, "right") - 1
+    keep = mag[b] >= mag[b[np.minimum(first + fan_out, last)]]  # with the ties of the weakest
+    a, b = a[keep], b[keep]
+    order = np.lexsort((b, a))  # by time and bin
+    a, b = a[order], b[order]
+    out, step = [], 1
+    while len(a) > step and (same := a[step:] == a[:-step]).any():
+        i = np.flatnonzero(same)
+        out.append(np.stack([a[i], b[i], b[i + step]]))
+        step += 1
+    if not out:
+        return np.empty((3, 0), np.int64)
+    a, b, c = np.concatenate(out, axis=1)
+    order = np.lexsort((c, b, -(mag[b] + mag[c]), a))
+    a, b, c = a[order], b[order], c[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < fan_out
+    return np.stack([a[keep], b[keep], c[keep]])
 
 
 def wang_hash(fa, fb, dt):

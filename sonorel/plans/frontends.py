@@ -150,11 +150,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.union(cut.filter("seq % 5 = 0"))
 
 
-def streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], name: str, files: int = 2) -> DataFrame:
-    """Result of a streaming query over the chunks, which lie in four files in no order; so many make a batch."""
+def streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], name: str, files: int = 2, tables: list[DataFrame] | None = None) -> DataFrame:
+    """Result of a streaming query over the chunks, or the given ``tables`` of chunks one after the other, each of which lies in four
+    files in no order; so many make a batch."""
     base = shared.new_path(spark, name)
-    some = chunks(spark, sf_dir)
-    some.repartition(4, "seq").write.parquet(f"{base}/in")
+    for some in tables or [chunks(spark, sf_dir)]:
+        some.repartition(4, "seq").write.mode("append").parquet(f"{base}/in")
     source = spark.readStream.schema(some.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -198,6 +199,44 @@ def stream_gap(spark, sf_dir):
     return streamed(spark, sf_dir, gone, "gap", 4).filter("error IS NOT NULL").select("stream_id", "error", "hash")
 
 
+def _timed_chunks(spark, sf_dir):
+    """Chunks with a time each, a second apart; of ten streams one has no end mark (6) and one lacks its second chunk (3)."""
+    some = chunks(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
+    k = F.col("stream_id") % 10
+    return some.filter((k != 3) | (F.col("seq") != 1)).withColumn("eos", F.col("eos") & (k != 6))
+
+
+@query
+def stream_by_time(spark, sf_dir):
+    """Streams that fall silent are flushed, and gaps told, when the watermark has left them behind: here by a chunk of a later
+    stream."""
+    run = lambda c: E.stream_hashes(c.withWatermark("at", "1 hour"), WANG, MANY, 60_000, "at")
+    some = _timed_chunks(spark, sf_dir)
+    later = spark.createDataFrame([("later", 0, [0.0], False)], "stream_id string, seq long, samples array<float>, eos boolean").withColumn("at", F.timestamp_seconds(F.lit(1_800_000_000)))
+    return streamed(spark, sf_dir, run, "time", 4, [some, later]).select("stream_id", "hash", "t_anchor", "error")
+
+
+def argmax_or_fail(batch: np.ndarray) -> np.ndarray:
+    """``strongest_mel``, but for windows whose first band starts low."""
+    if batch[0, 0, 0] < 3:
+        raise ArithmeticError("too low")
+    return strongest_mel(batch)
+
+
+@query
+def stream_failures(spark, sf_dir):
+    """Windows on which the model fails are rows with an error; the streams go on."""
+    got = streamed(spark, sf_dir, lambda c: E.stream_embeddings(c, EMBEDDER, argmax_or_fail, MANY), "failures")
+    return got.select("stream_id", "t_ms", "error", F.aggregate("vector", F.lit(0).cast("bigint"), lambda s, v: s * 7 + v.cast("bigint")).alias("digest"))
+
+
+@query
+def stream_reset(spark, sf_dir):
+    """Every stream starts over with its second chunk."""
+    reset = lambda c: E.stream_hashes(c.withColumn("reset", F.col("seq") == 1), HAITSMA, MANY)
+    return streamed(spark, sf_dir, reset, "reset").select("stream_id", F.col("t_anchor").alias("pos"), F.col("hash").alias("frame"), "error")
+
+
 def _vectors(df: DataFrame, key: str) -> DataFrame:
     v = df.select(key, "t_ms", F.posexplode("vector").alias("frame", "band"))
     return v.select(key, "t_ms", F.col("frame").cast("bigint").alias("frame"), F.col("band").cast("bigint").alias("band"))
@@ -360,9 +399,12 @@ fr AS (SELECT n.track, n.n, i AS t FROM n, range(0, 1 + n.n // 4) g(i)),
 pts AS (SELECT track, t, k, w, CASE WHEN abs(t * 4 + k - 8) > n - 1 THEN 2 * (n - 1) - abs(t * 4 + k - 8) ELSE abs(t * 4 + k - 8) END AS i FROM fr, win),
 dft AS (SELECT pts.track, pts.t, f, sum(v * w * cos(2 * pi() * f * k / 16)) AS re, sum(v * w * sin(2 * pi() * f * k / 16)) AS im FROM pts JOIN x ON x.track = pts.track AND x.t = i JOIN range(9) g(f) ON TRUE GROUP BY ALL)"""
 )
+_MEL_BANDS = (
+    f"{_exact(O.DFT)}, {O._mel_table('slaney')}, lm AS (SELECT recording_id, t, mel, sum(v * weight) AS v FROM p JOIN w USING (f) GROUP BY ALL), "
+    "top AS (SELECT recording_id, t, arg_max(mel, v) AS band, max(log10(v + 1e-10::DOUBLE)) FILTER (mel = 0) AS low FROM lm GROUP BY ALL), starts AS (SELECT track::VARCHAR AS recording_id, i FROM n, range(0, CASE WHEN n < 64 THEN 0 ELSE 1 + (n - 64) // 32 END) g(i))"
+)
 _MEL = (
-    f"WITH {_exact(O.DFT)}, {O._mel_table('slaney')}, lm AS (SELECT recording_id, t, mel, sum(v * weight) AS v FROM p JOIN w USING (f) GROUP BY ALL), "
-    "top AS (SELECT recording_id, t, arg_max(mel, v) AS band FROM lm GROUP BY ALL), starts AS (SELECT track::VARCHAR AS recording_id, i FROM n, range(0, CASE WHEN n < 64 THEN 0 ELSE 1 + (n - 64) // 32 END) g(i)) "
+    f"WITH {_MEL_BANDS} "
     "SELECT recording_id AS {key}, i * 4 AS t_ms, t - i * 4 AS frame, band FROM starts JOIN top USING (recording_id) WHERE t BETWEEN i * 4 AND i * 4 + 6"
 )
 
@@ -375,6 +417,18 @@ def _long(sql: str, columns: str) -> str:
     return f"SELECT * FROM ({sql.replace(O.TRACKS, _LONG)}) WHERE recording_id::BIGINT % 10 NOT IN (3, 4) UNION ALL SELECT DISTINCT (l_suppkey // 10)::VARCHAR, {nulls}, CASE WHEN l_suppkey // 10 % 10 = 3 THEN 'Io' ELSE 'UnsupportedSampleRate' END FROM lineitem WHERE l_suppkey // 10 % 10 IN (3, 4)"
 
 
+_CUT = (
+    O.TRACKS.replace("tracks AS (", "uncut AS (", 1)
+    + ", tracks AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY t) - 1 AS t, a, value FROM uncut WHERE track % 10 <> 3 OR t // 37 <> 1)"
+)
+# every stream as two: its first chunk, and the rest
+_RESET = (
+    f"WITH {_HAITSMA} SELECT id[2:] AS stream_id, pos, frame, NULL::VARCHAR AS error FROM codes".replace(
+        O.TRACKS, O.TRACKS.replace("tracks AS (", "uncut AS (", 1) + ", tracks AS (SELECT (CASE WHEN t < 37 THEN 'a' ELSE 'b' END) || track AS track, CASE WHEN t < 37 THEN t ELSE t - 37 END AS t, a, value FROM uncut)"
+    )
+)
+
+
 ORACLES: dict[str, str] = {
     "extract_wang_long": _long(_wang("recording_id", "NULL::VARCHAR AS code"), "hash t_anchor"),
     "extract_panako_long": _long(_panako("recording_id", "code"), "hash t_anchor t_b t_c"),
@@ -392,6 +446,11 @@ ORACLES: dict[str, str] = {
     "stream_haitsma": f"WITH {_HAITSMA} SELECT id AS stream_id, pos, frame, (pos + 1) * 2 AS t_ms, NULL::VARCHAR AS error FROM codes",
     # a second chunk that is the last one leaves nothing that waits behind it
     "stream_gap": f"WITH {O.TRACKS} SELECT track::VARCHAR AS stream_id, 'chunks 1 to 1 are missing' AS error, NULL::BIGINT AS hash FROM tracks WHERE track % 10 = 3 GROUP BY track HAVING count(*) > 74",
+    # without its second chunk, a stream is what is left of it
+    "stream_by_time": _wang("stream_id", "NULL::VARCHAR AS error").replace(O.TRACKS, _CUT) + " UNION ALL SELECT track::VARCHAR, NULL, NULL, 'chunks 1 to 1 are missing' FROM (SELECT user_id // 15 * 10 + user_id % 10 AS track FROM events) WHERE track % 10 = 3 GROUP BY track HAVING count(*) > 74",
+    "stream_failures": f"WITH {_MEL_BANDS}, spans AS (SELECT recording_id, i * 4 AS t_ms, list(band ORDER BY t) AS bands, arg_min(low, t) AS low FROM starts JOIN top USING (recording_id) WHERE t BETWEEN i * 4 AND i * 4 + 6 GROUP BY ALL) "
+    "SELECT recording_id AS stream_id, t_ms, CASE WHEN low < 3 THEN 'Inference: too low' END AS error, CASE WHEN low >= 3 THEN list_reduce([0] || bands, lambda s, v: s * 7 + v)::BIGINT END AS digest FROM spans",
+    "stream_reset": _RESET,
     "neural_embed": _MEL.replace("{key}", "recording_id"),
     "stream_embeddings": _MEL.replace("{key}", "stream_id"),
     "watermarks": f"WITH {O.TRACKS}, w AS (SELECT track, avg(CASE WHEN value::FLOAT > 40 THEN 1 ELSE 0 END) AS c, sum(CASE WHEN t < 8 AND value::FLOAT >= 30 THEN 1 << t::INTEGER ELSE 0 END)::BIGINT AS m, count(*) AS n FROM tracks GROUP BY track) "

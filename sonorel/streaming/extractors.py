@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sonorel import errors
 from sonorel.configs import Embedder, Haitsma, Panako, Wang
 from sonorel.functions import kernels as K
 from sonorel.operators import neural
@@ -42,13 +43,49 @@ class FrameStream:
         return first, p
 
 
+class RunningMax:
+    """Maximum over the rows within ``half`` of each row, one row at a time: rows are kept in blocks as long as the window, and
+    a window is the end of one block and the start of the next, whose maxima are at hand. Three comparisons a cell, whatever
+    the size of the chunks; rows before the first and behind the last don't exist."""
+
+    def __init__(self, half: int, bins: int):
+        self.half, self.width, self.n = half, 2 * half + 1, 0
+        self.rows = np.full((self.width, bins), -np.inf, np.float32)  # of the block that is being filled
+        self.ends = self.rows.copy()  # of the block before: maxima from each row to its end
+        self.start = None  # maximum of the block so far
+        for _ in range(half):
+            self._push(np.full(bins, -np.inf, np.float32))
+
+    def _push(self, row: np.ndarray) -> np.ndarray | None:
+        at = self.n % self.width
+        self.rows[at] = row
+        self.start = row if at == 0 else np.maximum(self.start, row)
+        self.n += 1
+        out = None
+        if self.n >= self.width:
+            first = self.n % self.width  # of the window, in its block
+            out = self.start if first == 0 else np.maximum(self.ends[first], self.start)
+        if at == self.width - 1:
+            self.ends = np.maximum.accumulate(self.rows[::-1], axis=0)[::-1]
+        return out
+
+    def push(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Maxima of the rows whose window is complete now, in order."""
+        return [m for m in map(self._push, rows) if m is not None]
+
+    def flush(self) -> list[np.ndarray]:
+        """Maxima of the last rows. Called again, it gives nothing."""
+        behind, self.half = self.half, 0
+        return self.push(np.full((behind, self.rows.shape[1]), -np.inf, np.float32))
+
+
 class LandmarkStream(FrameStream):
     """Streaming form of the landmark extractors."""
 
     def __init__(self, cfg: Wang | Panako):
         super().__init__(cfg)
-        self.rows = np.empty((0, cfg.stft.n_bins), np.float32)  # the last frames, in decibels
-        self.base = 0  # number of the first of them
+        self.rows = np.empty((0, cfg.stft.n_bins), np.float32)  # frames whose peaks aren't known, in decibels
+        self.high = RunningMax(cfg.neighborhood, cfg.stft.n_bins)
         self.ripe = 0  # frames whose peaks are known
         self.open = self._none()  # peaks of seconds that aren't closed
         self.closed = self._none()  # peaks that may still be targets or anchors
@@ -62,33 +99,31 @@ class LandmarkStream(FrameStream):
 
     def latency_ms(self) -> int:
         c = self.cfg
-        return int((c.neighborhood + c.frames_per_sec + self.reach) * 1000 / c.frames_per_sec)
+        return int((c.target_zone_t + c.neighborhood + np.ceil(c.frames_per_sec)) * 1000 / c.frames_per_sec)
 
     def push(self, samples) -> list[tuple]:
         first, p = self.power(samples)
         if len(p):
-            self.rows = np.concatenate([self.rows, K.decibels(p)])
-            self._detect(self.frames - self.cfg.neighborhood)
+            db = K.decibels(p)
+            self.rows = np.concatenate([self.rows, db])
+            self._detect(self.high.push(K.sliding_max(db, self.cfg.neighborhood, 1)))
         second = int(np.floor((self.ripe - 1) / self.cfg.frames_per_sec)) if self.ripe else 0
         self._close(second)
         return self._send(second)
 
     def flush(self) -> list[tuple]:
-        self._detect(self.frames)
+        self._detect(self.high.flush())
         self._close(None)
         return self._send(None)
 
-    def _detect(self, end: int) -> None:
-        """Find the peaks of the frames before ``end``; later frames of their neighbourhood are there or don't exist."""
-        h = self.cfg.neighborhood
-        if end > self.ripe:
-            t, f, mag = K.peaks(self.rows, h, h, self.cfg.min_anchor_mag_db, 0, self.cfg.frames_per_sec)
-            t = t + self.base
-            new = (t >= self.ripe) & (t < end)
-            self.open = np.concatenate([self.open, np.stack([t[new], f[new], mag[new]], axis=1)])
-            self.ripe = end
-        drop = max(0, self.ripe - h - self.base)
-        self.rows, self.base = self.rows[drop:], self.base + drop
+    def _detect(self, high: list[np.ndarray]) -> None:
+        """Find the peaks of the next frames, whose neighbourhoods' maxima are known."""
+        n = len(high)
+        if n:
+            db = self.rows[:n]
+            t, f = np.nonzero((db > self.cfg.min_anchor_mag_db) & (db >= np.stack(high)))
+            self.open = np.concatenate([self.open, np.stack([t + self.ripe, f, db[t, f]], axis=1)])
+            self.rows, self.ripe = self.rows[n:], self.ripe + n
 
     def _close(self, second: int | None) -> None:
         """Choose the strongest peaks of every second before ``second`` (None: of all)."""
@@ -129,7 +164,7 @@ class LandmarkStream(FrameStream):
         t, f, mag = self.closed[:, 0].astype(np.int64), self.closed[:, 1].astype(np.int64), self.closed[:, 2].astype(np.float32)
         ms = lambda frame: int(frame * c.stft.hop * 1000 // c.sample_rate)
         if isinstance(c, Panako):
-            a, b, d = K.landmark_triples(t, f, mag, c.target_zone_t, c.target_zone_f, c.fan_out)
+            a, b, d = K.landmark_triples(t, f, mag, c.target_zone_t, c.target_zone_f, c.fan_out, 2 * c.fan_out)
             keep = ready[a]
             a, b, d = a[keep], b[keep], d[keep]
             h = K.panako_hash((f[a], f[b], f[d]), (mag[a], mag[b], mag[d]), (t[a], t[b], t[d]))
@@ -165,32 +200,44 @@ class HaitsmaStream(FrameStream):
 
 
 class EmbeddingStream:
-    """Streaming form of the embedder: every full window gives a vector; a rest goes at the end."""
+    """Streaming form of the embedder: every full window gives a vector; a rest goes at the end. A window that the model fails
+    on stays and is tried again with the next push, ``retries`` times; then it gives a row with the error, and the stream goes on
+    behind it."""
 
-    def __init__(self, cfg: Embedder, model):
-        self.cfg, self.model, self.carry, self.consumed = cfg, model, np.empty(0, np.float32), 0
+    def __init__(self, cfg: Embedder, model, retries: int = 1):
+        self.cfg, self.model, self.retries = cfg, model, retries
+        self.carry, self.consumed, self.failed = np.empty(0, np.float32), 0, 0
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"model": None}  # what is kept between batches has no model
 
     def reset(self) -> None:
-        self.__init__(self.cfg, self.model)
+        self.__init__(self.cfg, self.model, self.retries)
 
     def latency_ms(self) -> int:
         return round(self.cfg.window_secs * 1000)
 
-    def push(self, samples) -> list[tuple[int, np.ndarray]]:
+    def push(self, samples, last: bool = False) -> list[tuple[int, np.ndarray | None, str | None]]:
         x = np.asarray(samples, np.float32)
         self.carry = np.concatenate([self.carry, np.where(np.isfinite(x), x, np.float32(0))])
         out, w, h = [], self.cfg.window_samples, self.cfg.hop_samples
         while len(self.carry) >= w:
-            out.append((self.consumed * 1000 // self.cfg.sample_rate, self.model(self.carry[:w])))
-            self.carry, self.consumed = self.carry[h:], self.consumed + h
+            vector = error = None
+            try:
+                vector = self.model(self.carry[:w])
+            except Exception as e:  # noqa: BLE001 - whatever a model raises is its window's failure
+                self.failed += 1
+                if self.failed <= self.retries and not last:
+                    break
+                error = f"{errors.BAD_INFERENCE}: {e}"
+            out.append((self.consumed * 1000 // self.cfg.sample_rate, vector, error))
+            self.carry, self.consumed, self.failed = self.carry[h:], self.consumed + h, 0
         return out
 
     def flush(self) -> list:
+        out = self.push([], last=True)
         self.carry = np.empty(0, np.float32)
-        return []
+        return out
 
 
 def extractor(cfg):
@@ -204,73 +251,135 @@ OUT = "stream_id string, t_ms bigint, hash bigint, t_anchor bigint, t_b bigint,
 
 
 class HashProcessor(StatefulProcessor):
-    """Keyed state: the extractor, the number of the next chunk, and chunks that came early. Chunks may come in any
-    order and more than once. A gap is reported and skipped when more than ``max_gap`` chunks wait behind it or, given a
-    ``patience_ms``, no chunk has come for so long. What is kept of an ended stream is a mark that ignores late copies;
-    it goes after the same time."""
+    """Keyed state: the extractor, whose size its options bound; the number of the next chunk; and, each under its own key, chunks
+    that came early, of which a batch touches only those that come or become due. Chunks may come in any order and more than
+    once. A gap is reported and skipped when more than ``max_gap`` chunks wait behind it or, given a ``patience_ms``, when no
+    chunk has come for so long.
+
+    Time is that of processing or, given an ``event_time`` column with a watermark, that of the chunks: then a stream that the
+    watermark has left ``patience_ms`` behind is flushed as well, and nothing is kept of it; chunks older than the watermark are dropped by
+    Spark, so late copies can't start it anew. Of a stream that ended with its end mark a mark is kept that ignores late copies;
+    it goes after the same patience. A chunk with a true ``reset`` (an optional column) starts the stream over before its
+    samples; what was pending is dropped. An extractor that raises gives one row with the error and starts over with the next chunk."""
 
     columns = OUT
 
-    def __init__(self, cfg, max_gap: int = 64, patience_ms: int | None = None):
-        self.cfg, self.max_gap, self.patience_ms = cfg, max_gap, patience_ms
+    def __init__(self, cfg, max_gap: int = 64, patience_ms: int | None = None, event_time: str | None = None):
+        self.cfg, self.max_gap, self.patience_ms, self.event_time = cfg, max_gap, patience_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("extractor", "blob binary")
+        self.place = handle.getValueState("place", "due bigint, waiting bigint")  # due -1: the stream has ended
+        self.early = handle.getMapState("early", "seq bigint", "samples array<float>, eos boolean, reset boolean")
 
-    def _emit(self, key, ex, due: int, early: dict, give_up: bool):
-        """Rows of all chunks that are due, the extractor (None at the end) and the number of the next chunk."""
-        out = []
-        while early and ex is not None:
-            if due not in early:
-                if len(early) <= self.max_gap and not give_up:
-                    break
-                empty = [None] * (self.columns.count(",") - 1)
-                out.append((key[0], *empty, f"chunks {due} to {min(early) - 1} are missing"))
-                due = min(early)
-            samples, eos = early.pop(due)
-            due += 1
+    def _load(self):
+        return pickle.loads(self.state.get()[0]) if self.state.exists() else extractor(self.cfg)
+
+    def _pushed(self, key, ex, chunk, out: list):
+        """The extractor after one chunk (None behind the last), whose rows go to ``out``."""
+        samples, eos, reset = chunk
+        if reset:
+            ex = extractor(self.cfg)
+        try:
             got = ex.push(samples) if samples is not None else []
             if eos:
-                got, ex = got + ex.flush(), None
-            out += [(key[0], *g, None) for g in got]
-        fields = [c.split() for c in self.columns.split(", ")]
-        frame = pd.DataFrame(out, columns=[name for name, _ in fields])
-        return frame.astype({name: "Int64" for name, kind in fields if kind == "bigint"}), ex, due
-
-    def _load(self):
-        return pickle.loads(self.state.get()[0]) if self.state.exists() else (extractor(self.cfg), 0, {})
-
-    def _keep(self, ex, due: int, early: dict, now: int) -> None:
-        """Write the state; a stream that has ended or waits for a chunk is looked at again later."""
-        self.state.update((pickle.dumps((ex, due, early)),))
-        if self.patience_ms is None:
-            return
+                got = got + ex.flush()
+        except Exception as e:  # noqa: BLE001 - one stream's failure is a row of that stream
+            got, ex = [], extractor(self.cfg)
+            out.append((key[0], *self._empty(), f"{type(e).__name__}: {e}"))
+        wide = len(self._fields()) - 1
+        out += [(key[0], *g, *[None] * (wide - len(g))) for g in got]
+        return None if eos else ex
+
+    def _fields(self) -> list[list[str]]:
+        return [c.split() for c in self.columns.split(", ")]
+
+    def _empty(self) -> list[None]:
+        return [None] * (len(self._fields()) - 2)
+
+    def _advance(self, key, came: dict, give_up: bool):
+        """Rows of all chunks that are due, of those that ``came`` now and those that waited; whether the stream has ended."""
+        due, waiting = self.place.get() if self.place.exists() else (0, 0)
+        if due < 0:
+            return [], True
+        ex, out = self._load(), []
+        came = {k: v for k, v in came.items() if k >= due and not (waiting and self.early.containsKey((k,)))}
+        while ex is not None and (came or waiting):
+            if due in came:
+                chunk = came.pop(due)
+            elif waiting and self.early.containsKey((due,)):
+                samples, eos, reset = self.early.getValue((due,))
+                self.early.removeKey((due,))
+                waiting, chunk = waiting - 1, (None if samples is None else np.asarray(samples, np.float32), eos, reset)
+            elif len(came) + waiting > self.max_gap or give_up:
+                then = min([*came, *(k[0] for k in self.early.keys())] if waiting else came)
+                out.append((key[0], *self._empty(), f"chunks {due} to {then - 1} are missing"))
+                due = then
+                continue
+            else:
+                break
+            due += 1
+            ex = self._pushed(key, ex, chunk, out)
+        if ex is None:
+            self._end()
+            return out, True
+        for k, (samples, eos, reset) in came.items():
+            self.early.updateValue((k,), (None if samples is None else samples.tolist(), eos, reset))
+        self.place.update((int(due), int(waiting + len(came))))
+        self.state.update((pickle.dumps(ex),))
+        return out, False
+
+    def _end(self) -> None:
+        """Keep a mark only."""
+        self.state.clear()
+        self.early.clear()
+        self.place.update((-1, 0))
+
+    def _frame(self, out: list) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=[name for name, _ in self._fields()])
+        return frame.astype({name: "Int64" for name, kind in self._fields() if kind == "bigint"})
+
+    def _timer(self, when: int | None) -> None:
         for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if ex is None or early:
-            self.handle.registerTimer(now + self.patience_ms)
+            if when is None or self.event_time is None or t < when:
+                self.handle.deleteTimer(t)
+            else:
+                when = None  # a later one is set
+        if when is not None:
+            self.handle.registerTimer(int(when))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ex, due, early = self._load()
+        came, last = {}, 0
         for pdf in rows:
-            for seq, samples, eos in zip(pdf["seq"], pdf["samples"], pdf["eos"], strict=True):
-                if seq >= due and ex is not None:
-                    early.setdefault(int(seq), (None if samples is None else np.asarray(samples, np.float32), bool(eos)))
-        frame, ex, due = self._emit(key, ex, due, early, False)
-        self._keep(ex, due, {} if ex is None else early, 0 if self.patience_ms is None else timerValues.getCurrentProcessingTimeInMs())
-        yield frame
+            resets = pdf["reset"] if "reset" in pdf else [False] * len(pdf)
+            for seq, samples, eos, reset in zip(pdf["seq"], pdf["samples"], pdf["eos"], resets, strict=True):
+                came.setdefault(int(seq), (None if samples is None else np.asarray(samples, np.float32), bool(eos), bool(reset)))
+            if self.event_time is not None:
+                last = max(last, int(pdf[self.event_time].max().timestamp() * 1000))
+        out, ended = self._advance(key, came, False)
+        if self.event_time is not None:
+            self._timer(last + self.patience_ms)
+        elif self.patience_ms is not None:
+            waits = ended or self.place.get()[1] > 0
+            self._timer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms if waits else None)
+        yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
+        if not self.place.exists():
             return
-        ex, due, early = self._load()
-        if ex is None:
-            self.state.clear()
+        if self.place.get()[0] < 0:
+            self.place.clear()
             return
-        frame, ex, due = self._emit(key, ex, due, early, True)
-        self._keep(ex, due, {} if ex is None else early, timerValues.getCurrentProcessingTimeInMs())
-        yield frame
+        out, ended = self._advance(key, {}, True)
+        if self.event_time is not None:
+            if not ended:  # it has been silent for too long
+                self._pushed(key, self._load(), (None, True, False), out)
+                self._end()
+            self.place.clear()
+        elif ended:
+            self._timer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+        yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -281,30 +390,32 @@ class EmbeddingProcessor(HashProcessor):
 
     columns = "stream_id string, t_ms bigint, vector array<float>, error string"
 
-    def __init__(self, cfg: Embedder, model, max_gap: int = 64, patience_ms: int | None = None):
-        super().__init__(lambda: EmbeddingStream(cfg, self.model), max_gap, patience_ms)
+    def __init__(self, cfg: Embedder, model, max_gap: int = 64, patience_ms: int | None = None, event_time: str | None = None):
+        super().__init__(lambda: EmbeddingStream(cfg, self.model), max_gap, patience_ms, event_time)
         self.model = model
 
     def _load(self):
-        ex, due, early = super()._load()
-        if ex is not None:
-            ex.model = self.model
-        return ex, due, early
+        ex = super()._load()
+        ex.model = self.model
+        return ex
 
 
 def _transformed(chunks: DataFrame, processor: HashProcessor) -> DataFrame:
-    mode = "None" if processor.patience_ms is None else "ProcessingTime"
+    if processor.event_time is not None and processor.patience_ms is None:
+        raise errors.ConfigError("event time needs a patience_ms")
+    mode = "None" if processor.patience_ms is None else "ProcessingTime" if processor.event_time is None else "EventTime"
     return chunks.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.columns, outputMode="Append", timeMode=mode)
 
 
-def stream_embeddings(chunks: DataFrame, cfg: Embedder, model, max_gap: int = 64, patience_ms: int | None = None) -> DataFrame:
+def stream_embeddings(chunks: DataFrame, cfg: Embedder, model, max_gap: int = 64, patience_ms: int | None = None, event_time: str | None = None) -> DataFrame:
     """stream_id, t_ms, vector, error: a vector of every full window of each stream. model: as ``neural.embed`` takes it."""
     apply = neural.onnx_embedding(model) if isinstance(model, str) else model
-    return _transformed(chunks, EmbeddingProcessor(cfg, lambda window: neural.windows_to_vectors(window, cfg, apply)[1][0], max_gap, patience_ms))
+    return _transformed(chunks, EmbeddingProcessor(cfg, lambda window: neural.windows_to_vectors(window, cfg, apply)[1][0], max_gap, patience_ms, event_time))
 
 
-def stream_hashes(chunks: DataFrame, cfg=Wang(), max_gap: int = 64, patience_ms: int | None = None) -> DataFrame:
-    """chunks: a streaming table (stream_id, seq, samples, eos). Needs the RocksDB state store. ``cfg`` may be a
-    callable that gives an ``extension.StreamingFingerprinter`` of one's own, of a class that the executors can import. With
-    ``patience_ms`` the query has timers and runs batches without data, so it needs a trigger that doesn't end by itself."""
-    return _transformed(chunks, HashProcessor(cfg, max_gap, patience_ms))
+def stream_hashes(chunks: DataFrame, cfg=Wang(), max_gap: int = 64, patience_ms: int | None = None, event_time: str | None = None) -> DataFrame:
+    """chunks: a streaming table (stream_id, seq, samples, eos [, reset] [, an event time]). Needs the RocksDB state store. ``cfg``
+    may be a callable that gives an ``extension.StreamingFingerprinter`` of one's own, of a class that the executors can import. With
+    ``patience_ms`` and no ``event_time`` the query has timers of processing time and runs batches without data, so it needs a
+    trigger that doesn't end by itself; ``event_time`` names a column that has a watermark."""
+    return _transformed(chunks, HashProcessor(cfg, max_gap, patience_ms, event_time))

@@ -60,14 +60,9 @@ class Count(StreamingFingerprinter):
         return [(-1, self.n, 0, None, None)]
 
 
-class Store:
-    """Value state and timers of one key."""
-
+class Value:
     def __init__(self):
-        self.value, self.timers = None, []
-
-    def getValueState(self, name, schema):
-        return self
+        self.value, self.writes = None, 0
 
     def exists(self):
         return self.value is not None
@@ -76,11 +71,41 @@ class Store:
         return self.value
 
     def update(self, value):
-        self.value = value
+        self.value, self.writes = value, self.writes + 1
 
     def clear(self):
         self.value = None
 
+
+class Map(dict):
+    """Map state; counts what is read and written."""
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+        self.writes = getattr(self, "writes", 0) + 1
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class Store:
+    """States and timers of one key, and its clock."""
+
+    def __init__(self, now=1000):
+        self.states, self.timers, self.now = {}, [], now
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, Value())
+
+    def getMapState(self, name, key_schema, value_schema):
+        return self.states.setdefault(name, Map())
+
     def listTimers(self):
         return iter(self.timers)
 
@@ -91,25 +116,85 @@ class Store:
         self.timers.append(t)
 
     def getCurrentProcessingTimeInMs(self):
-        return 1000
+        return self.now
 
+    def empty(self):
+        return not any(s.exists() if isinstance(s, Value) else s for s in self.states.values())
 
-def test_stream_state_of_own_extractor():
-    store, p = Store(), HashProcessor(Count, max_gap=64, patience_ms=50)
-    p.init(store)
 
+def pusher(p, store, event_time=None):
     def push(*rows):
-        frame = pd.DataFrame([(s, None if x is None else [0.0] * x, e) for s, x, e in rows], columns=["seq", "samples", "eos"])
+        frame = pd.DataFrame([(r[0], None if r[1] is None else [0.0] * r[1], r[2], len(r) > 3 and r[3] == "reset") for r in rows], columns=["seq", "samples", "eos", "reset"])
+        if event_time:
+            frame[event_time] = [pd.Timestamp(1000 * r[0], unit="ms") for r in rows]
         (out,) = p.handleInputRows(("s",), iter([frame]), store)
         return [x if isinstance(x, str) else int(x) for x in out["error"].where(out["error"].notna(), out["t_ms"])]
 
+    return push
+
+
+def expire(p, store):
+    store.timers.clear()
+    return [x if isinstance(x, str) else int(x) for out in p.handleExpiredTimer(("s",), store, None) for x in out["error"].where(out["error"].notna(), out["t_ms"])]
+
+
+def test_stream_state_of_own_extractor():
+    store, p = Store(), HashProcessor(Count, max_gap=64, patience_ms=50)
+    p.init(store)
+    push = pusher(p, store)
     assert push((1, 2, False), (0, 3, False), (0, 9, False)) == [1, 2] and not store.timers
     assert push((4, 1, True)) == push((3, 1, False)) == [] and store.timers == [1050]  # chunk 2 is missing
-    store.timers.clear()
-    (out,) = p.handleExpiredTimer(("s",), store, None)
-    assert out["error"].dropna().tolist() == ["chunks 2 to 2 are missing"] and out["t_ms"].dropna().tolist() == [3, 4, -1]
+    assert expire(p, store) == ["chunks 2 to 2 are missing", 3, 4, -1]
     assert store.timers == [1050] and push((2, 1, False)) == []  # too late, the stream has ended
-    assert list(p.handleExpiredTimer(("s",), store, None)) == [] and not store.exists()
+    assert expire(p, store) == [] and store.empty()
+
+
+def test_a_batch_touches_what_comes_and_what_is_due():
+    """However many chunks wait: nothing of them is read or written again."""
+    store, p = Store(), HashProcessor(Count, max_gap=10**6)
+    p.init(store)
+    push = pusher(p, store)
+    assert push(*[(k, 1, False) for k in range(1, 500)]) == []
+    early, blob = store.states["early"], store.states["extractor"]
+    assert early.writes == len(early) == 499 and len(blob.value[0]) < 200
+    assert push((600, 1, False), (7, 1, False)) == [] and early.writes == 500 and len(early) == 500
+    assert push((0, 1, False)) == list(range(1, 501)) and early.writes == 500 and list(early) == [(600,)]
+    assert push((501, 1, False), (500, 1, True)) == [501, -1] and not early and not blob.exists()
+
+
+def test_a_reset_starts_the_stream_over():
+    store, p = Store(), HashProcessor(Count)
+    p.init(store)
+    push = pusher(p, store)
+    assert push((0, 1, False), (1, 1, False)) == [1, 2]
+    assert push((3, 1, True), (2, 1, False, "reset")) == [1, 2, -1]
+
+
+class Brittle(Count):
+    def push(self, samples):
+        if len(samples) == 13:
+            raise ValueError("thirteen")
+        return super().push(samples)
+
+
+def test_one_streams_failure_is_its_row():
+    store, p = Store(), HashProcessor(Brittle)
+    p.init(store)
+    push = pusher(p, store)
+    assert push((0, 1, False), (1, 13, False), (2, 1, False)) == [1, "ValueError: thirteen", 1]
+    assert push((3, 13, True)) == ["ValueError: thirteen"] and push((4, 1, False)) == []
+
+
+def test_silent_streams_are_flushed_by_event_time():
+    store, p = Store(), HashProcessor(Count, patience_ms=500, event_time="at")
+    p.init(store)
+    push = pusher(p, store, "at")
+    assert push((0, 1, False)) == [1] and store.timers == [500]
+    assert push((1, 1, False), (3, 1, False)) == [2] and store.timers == [3500]
+    assert push((0, 1, False)) == [] and store.timers == [3500]  # an old copy doesn't bring the end nearer
+    assert expire(p, store) == ["chunks 2 to 2 are missing", 3, -1] and store.empty()
+    assert push((0, 1, False), (1, 1, True)) == [1, 2, -1] and not store.empty() and push((0, 1, False)) == []
+    assert expire(p, store) == [] and store.empty()
 
 
 def test_fitted_line(spark):

@@ -12,7 +12,7 @@ from sonorel.operators import landmarks as L
 from sonorel.operators import matching as M
 from sonorel.operators import neural as N
 from sonorel.operators import spectral as S
-from sonorel.streaming.extractors import EmbeddingStream, HaitsmaStream, LandmarkStream
+from sonorel.streaming.extractors import EmbeddingStream, HaitsmaStream, LandmarkStream, RunningMax
 
 
 def audio(seconds: float, rate: int = 8000, seed: int = 1) -> np.ndarray:
@@ -147,8 +147,68 @@ def test_streaming_codes_equal_batch(sizes):
     assert got[5][0] == int((got[5][2] + 1) * 12.8)
 
 
+@given(st.integers(0, 4), st.lists(st.integers(0, 9), max_size=12), st.integers(0, 2**32 - 1))
+@settings(max_examples=80, deadline=None)
+def test_running_maximum(half, sizes, seed):
+    """Row by row, in chunks of any size, with a flush that can be repeated."""
+    x = np.random.default_rng(seed).standard_normal((sum(sizes), 3)).astype(np.float32)
+    m, at, got = RunningMax(half, 3), 0, []
+    for n in sizes:
+        got += m.push(x[at : at + n])
+        at += n
+        assert len(got) == max(0, at - half)
+    got += m.flush() + m.flush()
+    assert len(got) == len(x) and all((g == x[max(0, i - half) : i + half + 1].max(axis=0)).all() for i, g in enumerate(got))
+
+
+@given(st.integers(0, 2**32 - 1), st.integers(1, 4), st.booleans())
+@settings(max_examples=60, deadline=None)
+def test_landmarks_against_enumeration(seed, fan_out, capped):
+    """Pairs and triples, with many equal magnitudes, and the cap on the targets that a stream keeps for an anchor."""
+    rng = np.random.default_rng(seed)
+    cells = sorted({(int(a), int(b)) for a, b in rng.integers(0, (30, 12), (60, 2))})
+    t, f = np.array(cells).T
+    mag = rng.integers(0, 6, len(t)).astype(np.float32)
+    pairs, triples = [], []
+    for i in range(len(t)):
+        key = lambda j: (-mag[j], t[j], f[j])
+        pairs += [(i, j) for j in sorted((j for j in range(len(t)) if 1 <= t[j] - t[i] <= 9 and abs(f[j] - f[i]) <= 5), key=key)[:fan_out]]
+        kept = []
+        for j in range(len(t)):  # one after the other; the weakest and latest goes
+            if 1 <= t[j] - t[i] < 9 and abs(f[j] - f[i]) < 5:
+                kept.append(j)
+                if capped and len(kept) > 2 * fan_out:
+                    kept.remove(max(kept, key=key))
+        sums = sorted(((-(mag[b] + mag[c]), b, c) for x, b in enumerate(kept) for c in kept[x + 1 :]))
+        triples += [(i, b, c) for _, b, c in sums[:fan_out]]
+    a, b = K.landmark_pairs(t, f, mag, 9, 5, fan_out)
+    assert list(zip(a.tolist(), b.tolist())) == pairs
+    got = K.landmark_triples(t, f, mag, 9, 5, fan_out, 2 * fan_out if capped else None)
+    assert list(map(tuple, got.T.tolist())) == triples
+
+
+def test_a_failing_window_gives_one_error_row():
+    """It is tried again with the next push; windows before and behind it are right."""
+    tried = []
+
+    def model(w):
+        tried.append(int(w[0]))
+        if w[0] == 4:
+            raise RuntimeError("no")
+        return w[:1]
+
+    cfg = Embedder(sample_rate=8, n_fft=2, hop=1, n_mels=1, window_secs=0.5, hop_secs=0.25)
+    s = EmbeddingStream(cfg, model)
+    got = s.push(np.arange(9))
+    assert [(t, v.tolist(), e) for t, v, e in got] == [(0, [0], None), (250, [2], None)] and len(s.carry) == 5 and tried == [0, 2, 4]
+    got = s.push(np.arange(9, 13))
+    assert [(t, v if v is None else v.tolist(), e) for t, v, e in got] == [(500, None, "Inference: no"), (750, [6], None), (1000, [8], None)] and tried == [0, 2, 4, 4, 6, 8]
+    last = EmbeddingStream(cfg, model)
+    assert last.push(np.arange(4, 8)) == [] and [e for *_, e in last.flush()] == ["Inference: no"] and last.flush() == []
+
+
 def test_latency():
-    assert LandmarkStream(Wang()).latency_ms() == 2248
+    assert LandmarkStream(Wang()).latency_ms() == 2256 and LandmarkStream(Panako()).latency_ms() == 2784
     assert HaitsmaStream().latency_ms() == 409
 
 
@@ -178,7 +238,7 @@ def test_embedder(spark):
     assert [r.error.code for r in rows if r.error] == [errors.BAD_RATE]
     s = EmbeddingStream(cfg, lambda w: N.windows_to_vectors(w, cfg, _model)[1][0])
     got = s.push(x[:5000]) + s.push(x[5000:])
-    assert [t for t, _ in got] == [r.t_ms for r in good] and np.allclose([v for _, v in got], [r.vector for r in good], atol=1e-5)
+    assert [(t, e) for t, _, e in got] == [(r.t_ms, None) for r in good] and np.allclose([v for _, v, _ in got], [r.vector for r in good], atol=1e-5)
 
 
 def test_watermarks(spark):
