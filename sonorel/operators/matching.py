@@ -33,12 +33,6 @@ def _lengths(queries: DataFrame) -> DataFrame:
     return queries.groupBy("query_id").agg(F.count("*").alias("q_len"))
 
 
-def _first_peak(bins: DataFrame, order: list[str]) -> DataFrame:
-    """First bin, in the given order, of the largest ``cons`` of each pair."""
-    w = Window.partitionBy(*PAIR).orderBy(F.desc("cons"), *order)
-    return bins.withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1).drop("r")
-
-
 # --- landmark pairs ------------------------------------------------------------------------------------------
 
 
@@ -48,37 +42,37 @@ def wang_votes(queries: DataFrame, references: DataFrame) -> DataFrame:
     return q.join(r, "hash").select("query_id", "ref_id", "qi", (F.col("tr") - F.col("tq")).alias("delta"))
 
 
-def _contributions(queries: DataFrame, votes: DataFrame, best: DataFrame, tol: int) -> DataFrame:
-    """Share of query rows with a posting within ``tol`` of the chosen offset."""
-    got = votes.join(best.select(*PAIR, "best"), PAIR).filter(F.abs(F.col("delta") - F.col("best")) <= tol)
-    hits = got.groupBy(*PAIR).agg(F.countDistinct("qi").alias("hits"))
-    return hits.join(_lengths(queries), "query_id").select(*PAIR, F.least(F.lit(1.0), F.col("hits") / F.col("q_len")).alias("score"))
+def _counted(votes: DataFrame) -> DataFrame:
+    """query_id, ref_id, delta, c, qs: the votes of each offset and which query rows cast them."""
+    return votes.groupBy(*PAIR, "delta").agg(F.count("*").alias("c"), F.collect_set("qi").alias("qs"))
 
 
-def _results(best: DataFrame, scores: DataFrame, cfg, fps: float) -> DataFrame:
-    return (
-        best.join(scores, PAIR)
-        .filter(F.col("score") >= cfg.min_score)
-        .select(*PAIR, F.lit(True).alias("is_match"), "score", "votes", "prominence", F.col("best").alias("offset_frames"), C.offset(F.col("best"), F.lit(fps)).getField("ms").alias("offset_ms"), F.lit(1.0).alias("time_scale"))
+def _scored(bins: DataFrame, queries: DataFrame, cfg: WangMatch, fps: float) -> DataFrame:
+    """Results from offsets (query_id, ref_id, d, qs, votes, best, prominence): the score is the share of query rows with a posting
+    within the tolerance of the pair's best offset. Offsets carry their query rows, so the votes aren't joined again."""
+    some = bins.filter((F.col("votes") >= cfg.min_votes) & (F.col("prominence") >= cfg.min_prominence) & (F.abs(F.col("d") - F.col("best")) <= cfg.offset_tolerance_frames))
+    pairs = some.groupBy(*PAIR, "votes", "best", "prominence").agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("hits"))
+    scored = pairs.join(_lengths(queries), "query_id").withColumn("score", F.least(F.lit(1.0), F.col("hits") / F.col("q_len")))
+    return scored.filter(F.col("score") >= cfg.min_score).select(
+        *PAIR, F.lit(True).alias("is_match"), "score", "votes", "prominence", F.col("best").alias("offset_frames"), C.offset(F.col("best"), F.lit(fps)).getField("ms").alias("offset_ms"), F.lit(1.0).alias("time_scale")
     )
 
 
 def wang_index_query(queries: DataFrame, references: DataFrame, cfg: WangMatch = WangMatch(), fps: float = 62.5) -> DataFrame:
     """1:N matching: votes are summed within the tolerance at occupied offsets only."""
     tol = cfg.offset_tolerance_frames
-    votes = wang_votes(queries, stop_hashes(references, cfg.max_postings_per_hash))
-    counts = votes.groupBy(*PAIR, "delta").agg(F.count("*").alias("c"))
-    # pairs with too few votes in all can't reach a peak
-    counts = counts.withColumn("all", F.sum("c").over(Window.partitionBy(*PAIR))).filter(F.col("all") >= cfg.min_votes)
-    near = Window.partitionBy(*PAIR).orderBy("delta").rangeBetween(-tol, tol)
+    counts = _counted(wang_votes(queries, stop_hashes(references, cfg.max_postings_per_hash))).withColumnRenamed("delta", "d")
     pair = Window.partitionBy(*PAIR)
-    bins = counts.withColumn("cons", F.sum("c").over(near))
-    bins = bins.withColumns({"votes": F.max("cons").over(pair), "total": F.sum("cons").over(pair), "span": F.max("delta").over(pair) - F.min("delta").over(pair) + 1})
+    # pairs with too few votes in all can't reach a peak
+    counts = counts.withColumn("all", F.sum("c").over(pair)).filter(F.col("all") >= cfg.min_votes)
+    bins = counts.withColumn("cons", F.sum("c").over(pair.orderBy("d").rangeBetween(-tol, tol)))
+    bins = bins.withColumns({"votes": F.max("cons").over(pair), "total": F.sum("cons").over(pair), "span": F.max("d").over(pair) - F.min("d").over(pair) + 1})
     # the upper median of the offsets at the peak, by their rank
-    plateau = bins.filter(F.col("cons") == F.col("votes")).withColumns({"k": F.row_number().over(pair.orderBy("delta")) - 1, "n": F.count("*").over(pair)})
-    best = plateau.filter(F.col("k") == F.floor(F.col("n") / 2)).select(*PAIR, "votes", F.col("delta").alias("best"), C.prominence(F.col("votes"), F.col("total"), F.col("span")).alias("prominence"))
-    best = best.filter((F.col("votes") >= cfg.min_votes) & (F.col("prominence") >= cfg.min_prominence))
-    return _results(best, _contributions(queries, votes, best, tol), cfg, fps)
+    peak = F.when(F.col("cons") == F.col("votes"), 1)
+    bins = bins.withColumns({"k": F.count(peak).over(pair.orderBy("d")) - 1, "n": F.count(peak).over(pair)})
+    best = F.max(F.when((F.col("cons") == F.col("votes")) & (F.col("k") == F.floor(F.col("n") / 2)), F.col("d"))).over(pair)
+    bins = bins.withColumns({"best": best, "prominence": C.prominence(F.col("votes"), F.col("total"), F.col("span"))})
+    return _scored(bins, queries, cfg, fps)
 
 
 def wang_match_dense(queries: DataFrame, references: DataFrame, cfg: WangMatch = WangMatch(), fps: float = 62.5) -> DataFrame:
@@ -87,18 +81,17 @@ def wang_match_dense(queries: DataFrame, references: DataFrame, cfg: WangMatch =
     tol = cfg.offset_tolerance_frames
     last_q = queries.groupBy("query_id").agg((-F.max("t")).alias("lo"))
     last_r = references.groupBy("ref_id").agg(F.max("t").alias("hi"))
-    votes = wang_votes(queries, stop_hashes(references, cfg.max_postings_per_hash, ["ref_id"]))
-    counts = votes.groupBy(*PAIR, "delta").agg(F.count("*").alias("c")).join(last_q, "query_id").join(last_r, "ref_id")
-    spread = counts.select(*PAIR, "lo", "hi", "c", F.explode(F.sequence(F.col("delta") - tol, F.col("delta") + tol)).alias("d")).filter(F.col("d").between(F.col("lo"), F.col("hi")))
-    bins = spread.groupBy(*PAIR, "lo", "hi", "d").agg(F.sum("c").alias("cons"))
-    peak = F.max("cons").over(Window.partitionBy(*PAIR))
-    with_peak = bins.withColumn("votes", peak)
+    pair = Window.partitionBy(*PAIR)
+    counts = _counted(wang_votes(queries, stop_hashes(references, cfg.max_postings_per_hash, ["ref_id"])))
+    counts = counts.withColumn("all", F.sum("c").over(pair)).filter(F.col("all") >= cfg.min_votes).join(last_q, "query_id").join(last_r, "ref_id")
+    near = counts.select(*PAIR, "lo", "hi", "c", "qs", "delta", F.explode(F.sequence(F.col("delta") - tol, F.col("delta") + tol)).alias("d")).filter(F.col("d").between(F.col("lo"), F.col("hi")))
+    own = F.when(F.col("d") == F.col("delta"), F.col("qs"))
+    bins = near.groupBy(*PAIR, "lo", "hi", "d").agg(F.sum("c").alias("cons"), F.flatten(F.collect_list(own)).alias("qs"))
+    bins = bins.withColumns({"votes": F.max("cons").over(pair), "total": F.sum("cons").over(pair)})
     at = F.when(F.col("cons") == F.col("votes"), F.col("d") - F.col("lo"))
-    middle = with_peak.groupBy(*PAIR, "lo", "hi", "votes").agg(F.sum("cons").alias("total"), (F.floor((F.min(at) + F.max(at)) / 2) + F.col("lo")).alias("best"))
-    held = middle.join(bins.select(*PAIR, F.col("d").alias("best"), F.col("cons").alias("v")), [*PAIR, "best"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
-    best = held.select(*PAIR, "votes", "best", C.prominence(F.col("v"), F.col("total"), F.col("hi") - F.col("lo") + 1).alias("prominence"))
-    best = best.filter((F.col("votes") >= cfg.min_votes) & (F.col("prominence") >= cfg.min_prominence))
-    return _results(best, _contributions(queries, votes, best, tol), cfg, fps)
+    bins = bins.withColumn("best", F.floor((F.min(at).over(pair) + F.max(at).over(pair)) / 2) + F.col("lo"))
+    held = F.coalesce(F.max(F.when(F.col("d") == F.col("best"), F.col("cons"))).over(pair), F.lit(0))
+    return _scored(bins.withColumn("prominence", C.prominence(held, F.col("total"), F.col("hi") - F.col("lo") + 1)), queries, cfg, fps)
 
 
 # --- ranking -------------------------------------------------------------------------------------------------
@@ -159,9 +152,9 @@ def _panako_peaks(votes: DataFrame, cfg: PanakoMatch) -> DataFrame:
     moved = counts.select(*PAIR, "off", "c", F.explode(F.array(F.col("s_bin") - 1, F.col("s_bin"), F.col("s_bin") + 1)).alias("s_bin"), F.col("s_bin").alias("own"))
     summed = moved.groupBy(*PAIR, "s_bin", "off").agg(F.sum("c").alias("c"), F.max(F.col("own") == F.col("s_bin")).alias("held"))
     bins = summed.withColumn("cons", F.sum("c").over(near)).filter("held")
-    totals = bins.groupBy(*PAIR).agg(F.sum("cons").alias("total"), F.count("*").alias("n"))
-    best = _first_peak(bins, ["s_bin", "off"]).join(totals, PAIR)
-    best = best.select(*PAIR, F.col("cons").alias("votes"), "s_bin", "off", C.prominence(F.col("cons"), F.col("total"), F.col("n")).alias("prominence"))
+    pair = Window.partitionBy(*PAIR)
+    bins = bins.withColumns({"total": F.sum("cons").over(pair), "n": F.count("*").over(pair), "r": F.row_number().over(pair.orderBy(F.desc("cons"), "s_bin", "off"))})
+    best = bins.filter("r = 1").select(*PAIR, F.col("cons").alias("votes"), "s_bin", "off", C.prominence(F.col("cons"), F.col("total"), F.col("n")).alias("prominence"))
     return best.filter((F.col("votes") >= cfg.min_votes) & (F.col("prominence") >= cfg.min_prominence))
 
 
