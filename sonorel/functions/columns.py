@@ -14,16 +14,18 @@ def _dot(a: C, b: C) -> C:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def window_value(kind: str, k: C, n: int) -> C:
+def window_value(kind: str, k: C, n: int | C) -> C:
     """k-th point of the periodic window of n points."""
-    if n <= 1:
+    if not isinstance(n, C) and n <= 1:
         return F.lit(1.0)
     x = F.lit(2 * math.pi) * k / n
     if kind == "hann":
-        return 0.5 - 0.5 * F.cos(x)
-    if kind == "hamming":
-        return 0.54 - 0.46 * F.cos(x)
-    return 0.42 - 0.5 * F.cos(x) + 0.08 * F.cos(2 * x)
+        v = 0.5 - 0.5 * F.cos(x)
+    elif kind == "hamming":
+        v = 0.54 - 0.46 * F.cos(x)
+    else:
+        v = 0.42 - 0.5 * F.cos(x) + 0.08 * F.cos(2 * x)
+    return F.when(n <= 1, 1.0).otherwise(v) if isinstance(n, C) else v
 
 
 def make_window(kind: str, n: int) -> C:

@@ -74,6 +74,20 @@ def log_mel_rows(recordings: DataFrame, stft: Stft, mel: Mel) -> DataFrame:
     return recordings.select(F.col("recording_id").cast("string"), "samples").mapInArrow(run, "recording_id string, t bigint, mel array<double>")
 
 
+def mel_weight_rows(options: DataFrame, scale: str = "slaney") -> DataFrame:
+    """key, mel, f, weight: the weights that aren't 0 of the filters that each row (key, n_mels, n_fft, sample_rate) asks for."""
+
+    def run(batches):
+        for b in batches:
+            for key, *o in zip(*[b.column(c).to_pylist() for c in ("key", "n_mels", "n_fft", "sample_rate")], strict=True):
+                w = K.mel_weights(Mel(*o, scale=scale))
+                mel, f = np.nonzero(w)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(mel), pa.int64()), pa.array(mel), pa.array(f), pa.array(w[mel, f])], names=["key", "mel", "f", "weight"])
+
+    some = options.select(F.col("key").cast("long"), *[F.col(c).cast("int") for c in ("n_mels", "n_fft", "sample_rate")])
+    return some.mapInArrow(run, "key bigint, mel bigint, f bigint, weight double")
+
+
 def resampled(recordings: DataFrame, rate: int, quality: dict | None = None) -> DataFrame:
     """Recordings at another rate, by windowed sinc; rows at that rate pass through."""
 

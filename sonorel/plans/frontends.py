@@ -18,7 +18,8 @@ from sonorel.operators import long
 from sonorel.operators import neural as N
 from sonorel.operators import spectral as S
 from sonorel.plans import oracles as O
-from sonorel.sources import audio, blobs, shared
+from sonorel.functions import tables
+from sonorel.sources import audio, blobs, shared, store
 from sonorel.sources import signals as G
 from sonorel.streaming import extractors as E
 
@@ -136,6 +137,17 @@ def extract_haitsma_long(spark, sf_dir):
     return long.extract_haitsma(_long_blocks(spark, sf_dir), HAITSMA, 1).select("recording_id", "pos", "frame", "error.code")
 
 
+@query
+def extract_sql(spark, sf_dir):
+    """Extraction called from SQL, as a table function whose columns follow from its argument."""
+    tables.register(spark, {"wang": WANG, "panako": PANAKO})
+    r = G.recordings(spark, sf_dir)
+    call = "SELECT r.recording_id, f.* FROM {r} r, LATERAL extract_fingerprint(r.samples, r.sample_rate, '%s') f"
+    wang, panako = (spark.sql(call % k, r=r) for k in ("wang", "panako"))
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("t_b", "t_c")]
+    return wang.select("recording_id", F.lit("wang").alias("algorithm"), "hash", "t_anchor", *none, "error").union(panako.select("recording_id", F.lit("panako"), "hash", "t_anchor", "t_b", "t_c", "error"))
+
+
 # --- streams -------------------------------------------------------------------------------------------------
 
 CHUNK = 37
@@ -297,22 +309,36 @@ def decode_errors(spark, sf_dir):
     return some.filter("error IS NOT NULL").select("recording_id", F.col("error.code").alias("code"))
 
 
-def _blobs(spark, sf_dir):
+def hash_blobs(spark, sf_dir):
     return blobs.write_blobs(G.hash_stream(spark, sf_dir).select(F.col("ref_id").alias("recording_id"), "hash", F.col("t").alias("t_anchor")), "wang-v1", 62.5)
 
 
 @query
 def blob_round_trip(spark, sf_dir):
-    return blobs.read_blobs(_blobs(spark, sf_dir), "wang-v1").select("recording_id", "hash", "t_anchor", F.col("fps").cast("double").alias("fps"), "error")
+    return blobs.read_blobs(hash_blobs(spark, sf_dir), "wang-v1").select("recording_id", "hash", "t_anchor", F.col("fps").cast("double").alias("fps"), "error")
 
 
 @query
 def blob_peek(spark, sf_dir):
     cut = F.when(F.col("recording_id") % 10 == 7, F.substring("blob", 1, 10)).otherwise(F.col("blob"))
-    p = blobs.peek(_blobs(spark, sf_dir).withColumn("blob", cut))
+    p = blobs.peek(hash_blobs(spark, sf_dir).withColumn("blob", cut))
     return p.select("recording_id", "algorithm", F.col("sample_rate").cast("bigint").alias("sample_rate"), "hash_count", F.col("frames_per_sec").cast("double").alias("frames_per_sec"), "error")
 
 
+@query
+def blob_store(spark, sf_dir):
+    """Fingerprints of three kinds written to a store and read by what their headers say."""
+    store.register(spark)
+    path = shared.new_path(spark, "store")
+    pairs = G.hash_stream(spark, sf_dir).select(F.col("ref_id").alias("recording_id"), "hash", F.col("t").alias("t_anchor"))
+    codes = G.frame_codes(spark, sf_dir).select(F.col("ref_id").alias("recording_id"), "pos", "frame")
+    triples = G.with_spans(G.hash_stream(spark, sf_dir)).select(F.col("ref_id").alias("recording_id"), "hash", F.col("t").alias("t_anchor"), (F.col("t") + 1).alias("t_b"), "t_c")
+    for df, algorithm, fps in ((pairs, "wang-v1", 62.5), (triples, "panako-v2", 62.5), (codes, "haitsma-v1", 78.125)):
+        blobs.write_blobs(df, algorithm, fps).write.format(store.NAME).mode("append").save(path)
+    some = store.read(spark, path, "hash_count > 52 AND frames_per_sec > 60").filter("algorithm <> 'wang-v1' OR t_anchor < 30")
+    return some.select("recording_id", "algorithm", "hash_count", "frames_per_sec", "hash", "t_anchor", "t_b", "t_c", "error")
+
+
 # --- extension points ----------------------------------------------------------------------------------------
 
 
@@ -458,6 +484,11 @@ ORACLES: dict[str, str] = {
     "decode_mono": f"WITH {O.TRACKS} SELECT track::VARCHAR AS recording_id, 8000::INTEGER AS sample_rate, t, (floor(value) - floor(floor(value) / 2)) / 65536::DOUBLE AS v FROM tracks WHERE track % 10 NOT IN (1, 2)",
     "decode_errors": f"WITH {O.TRACKS} SELECT DISTINCT track::VARCHAR AS recording_id, CASE track % 10 WHEN 1 THEN 'UnsupportedChannels' WHEN 2 THEN 'Io' ELSE 'InputTooLarge' END AS code FROM tracks WHERE track % 10 IN (1, 2) OR track % 10 >= 5",
     "blob_round_trip": f"WITH {O.HASHES} SELECT ref_id::VARCHAR AS recording_id, hash, t AS t_anchor, 62.5::DOUBLE AS fps, NULL::VARCHAR AS error FROM r",
+    "blob_store": f"WITH {O.HASHES}, {O.CODES}, stored AS (SELECT ref_id, 'wang-v1' AS algorithm, 62.5::DOUBLE AS fps, hash, t AS t_anchor, NULL AS t_b, NULL AS t_c FROM r UNION ALL SELECT ref_id, 'panako-v2', 62.5, hash, t, t + 1, t + 2 + hash % 4 FROM r "
+    "UNION ALL SELECT ref_id, 'haitsma-v1', 78.125, frame, pos, NULL, NULL FROM codes), counted AS (SELECT *, count(*) OVER (PARTITION BY ref_id, algorithm) AS hash_count FROM stored) "
+    "SELECT ref_id::VARCHAR AS recording_id, algorithm, hash_count, fps AS frames_per_sec, hash, t_anchor, t_b, t_c, NULL::VARCHAR AS error FROM counted WHERE hash_count > 52 AND (algorithm <> 'wang-v1' OR t_anchor < 30)",
+    "multiset_equality": f"WITH {_exact(O.PAIRS)} SELECT 0::BIGINT AS missing, 0::BIGINT AS extra, count(*) AS rows FROM pr",
+    "extract_sql": f"SELECT recording_id, 'wang' AS algorithm, hash, t_anchor, NULL::BIGINT AS t_b, NULL::BIGINT AS t_c, error FROM ({_wang('recording_id', 'NULL::VARCHAR AS error')}) UNION ALL SELECT recording_id, 'panako', hash, t_anchor, t_b, t_c, error FROM ({_panako('recording_id', 'error')})",
     "blob_peek": f"WITH {O.HASHES} SELECT ref_id::VARCHAR AS recording_id, CASE WHEN ref_id % 10 <> 7 THEN 'wang-v1' END AS algorithm, CASE WHEN ref_id % 10 <> 7 THEN 8000 END::BIGINT AS sample_rate, CASE WHEN ref_id % 10 <> 7 THEN count(*) END AS hash_count, "
     "CASE WHEN ref_id % 10 <> 7 THEN 62.5 END::DOUBLE AS frames_per_sec, CASE WHEN ref_id % 10 = 7 THEN 'short' END AS error FROM r GROUP BY ref_id",
     "own_fingerprinter": f"WITH {O.TRACKS} SELECT track::VARCHAR AS recording_id, t AS at, NULL::VARCHAR AS code FROM tracks WHERE value::FLOAT > 100",

@@ -201,22 +201,45 @@ bands AS (SELECT f, band FROM range(9) g(f) JOIN e ON f * 500 >= lo AND f * 500
 
 
 def _window(kind: str) -> str:
-    x = "2 * pi() * k / 64"
-    v = {"hann": f"0.5::DOUBLE - 0.5::DOUBLE * cos({x})", "hamming": f"0.54::DOUBLE - 0.46::DOUBLE * cos({x})", "blackman": f"0.42::DOUBLE - 0.5::DOUBLE * cos({x}) + 0.08::DOUBLE * cos(4 * pi() * k / 64)"}[kind]
-    return f"SELECT k, round({v}, 9) + 0::DOUBLE AS w FROM range(64) g(k)"  # no negative zero
+    x = "2 * pi() * k / n"
+    v = {"hann": f"0.5::DOUBLE - 0.5::DOUBLE * cos({x})", "hamming": f"0.54::DOUBLE - 0.46::DOUBLE * cos({x})", "blackman": f"0.42::DOUBLE - 0.5::DOUBLE * cos({x}) + 0.08::DOUBLE * cos(4 * pi() * k / n)"}[kind]
+    return f"SELECT s_suppkey, k, round({v}, 9) + 0::DOUBLE AS w FROM (SELECT s_suppkey, s_suppkey % 61 + 4 AS n, unnest(range(s_suppkey % 61 + 4)) AS k FROM supplier)"  # no negative zero
 
 
-def _mel_table(scale: str) -> str:
+def _mel_rates(scale: str, rates: str) -> str:
+    """edge and w: edges and weights of 6 filters over 16 points for the rates (key, rate) of a query."""
     to = {"slaney": "CASE WHEN {0} < 1000 THEN {0} * 3 / 200 ELSE 15 + ln({0} / 1000) / 0.06875197::DOUBLE END", "htk": "2595 * log10(1 + {0} / 700)"}[scale]
     back = {"slaney": "CASE WHEN {0} < 15 THEN {0} * 200 / 3 ELSE 1000 * exp(0.06875197::DOUBLE * ({0} - 15)) END", "htk": "700 * (power(10, {0} / 2595) - 1)"}[scale]
-    top = to.format("4000::DOUBLE")
+    top = to.format("(rate / 2::DOUBLE)")
     return (
-        f"edge AS (SELECT k, {back.format(f'(({top}) * k / 7::DOUBLE)')} AS hz FROM range(8) g(k)), "
-        "w AS (SELECT a.k AS mel, f, CASE WHEN f * 500::DOUBLE <= b.hz THEN (f * 500 - a.hz) / (b.hz - a.hz) ELSE (c.hz - f * 500) / (c.hz - b.hz) END * 2 / (c.hz - a.hz) AS weight "
-        "FROM edge a JOIN edge b ON b.k = a.k + 1 JOIN edge c ON c.k = a.k + 2 JOIN range(9) g(f) ON f * 500 > a.hz AND f * 500 < c.hz)"
+        f"edge AS (SELECT key, rate / 16::DOUBLE AS step, k, {back.format(f'(({top}) * k / 7::DOUBLE)')} AS hz FROM ({rates}), range(8) g(k)), "
+        "w AS (SELECT key, mel, f, CASE WHEN hz <= b THEN (hz - a) / (b - a) ELSE (c - hz) / (c - b) END * 2 / (c - a) AS weight "
+        "FROM (SELECT a.key, a.k AS mel, f, f * a.step AS hz, a.hz AS a, b.hz AS b, c.hz AS c FROM edge a JOIN edge b ON b.key = a.key AND b.k = a.k + 1 JOIN edge c ON c.key = a.key AND c.k = a.k + 2, range(9) g(f)) WHERE hz > a AND hz < c)"
     )
 
 
+def _mel_table(scale: str) -> str:
+    return _mel_rates(scale, "SELECT 0 AS key, 8000 AS rate")
+
+
+def _mel_query(scale: str) -> str:
+    rates = _mel_rates(scale, "SELECT s_suppkey AS key, 8000 + 500 * (s_suppkey % 17) AS rate FROM supplier")
+    return f"WITH {rates} SELECT key, mel, f, round(weight, 9) AS weight FROM w"
+
+
+# Bessel's function by its series; Kaiser-windowed sinc of each fractional step that occurs, its sum at step 0 being 1
+_I0 = "list_sum([power({0} * {0} / 4, m) / (gamma(m + 1) * gamma(m + 1)) FOR m IN range(40)])"
+RESAMPLE = (
+    SAMPLES
+    + f""", o AS (SELECT n.track, n, i AS k, i * (8000 / 5000::DOUBLE) AS pos FROM n, range(0, (n * 5000 + 7999) // 8000) g(i)),
+p AS (SELECT *, floor(pos)::BIGINT AS i, least(floor((pos - floor(pos)) * 256), 255)::BIGINT AS step FROM o),
+taps AS (SELECT step, j, j - step / 256::DOUBLE AS place FROM (SELECT DISTINCT step FROM p UNION SELECT 0), range(-32, 33) g(j)),
+raw AS (SELECT step, j, CASE WHEN place = 0 THEN 1 ELSE sin(pi() * 0.625::DOUBLE * place) / (pi() * 0.625::DOUBLE * place) END * CASE WHEN abs(place) <= 32 THEN {_I0.format("(8.6::DOUBLE * sqrt(greatest(0, 1 - (place / 32) * (place / 32))))")} ELSE 0 END AS h FROM taps),
+kern AS (SELECT step, j, h / (SELECT sum(h) FROM raw WHERE step = 0) AS h FROM raw)
+SELECT p.track::VARCHAR AS recording_id, k, round(sum(v::FLOAT::DOUBLE * h)::FLOAT::DOUBLE, 4) + 0::DOUBLE AS v FROM p JOIN kern USING (step) JOIN x ON x.track = p.track AND x.t = p.i + j GROUP BY ALL"""
+)
+
+
 ORACLES: dict[str, str] = {
     "window_hann": _window("hann"),
     "window_hamming": _window("hamming"),
@@ -226,8 +249,9 @@ ORACLES: dict[str, str] = {
     "stft_db": f"WITH {DB} SELECT recording_id, t, f, v FROM db",
     "resample_linear": f"WITH {SAMPLES}, o AS (SELECT n.track, i AS k, i * (8000 / 5000::DOUBLE) AS pos, n.n FROM n, LATERAL (SELECT unnest(range(0, (n.n * 5000 + 7999) // 8000)) AS i) z) "
     "SELECT o.track::VARCHAR AS recording_id, k, round(a.v * (1 - (pos - floor(pos))) + b.v * (pos - floor(pos)), 6) AS v FROM o JOIN x a ON a.track = o.track AND a.t = least(floor(pos), n - 1) JOIN x b ON b.track = o.track AND b.t = least(floor(pos) + 1, n - 1)",
-    "mel_filterbank": f"WITH {_mel_table('slaney')} SELECT mel, f, round(weight, 9) AS weight FROM w",
-    "mel_filterbank_htk": f"WITH {_mel_table('htk')} SELECT mel, f, round(weight, 9) AS weight FROM w",
+    "mel_filterbank": _mel_query("slaney"),
+    "mel_filterbank_htk": _mel_query("htk"),
+    "resample_sinc": f"WITH {RESAMPLE}",
     "log_mel": f"WITH {DFT}, {_mel_table('slaney')} SELECT recording_id, t, mel, round(log10(sum(v * weight) + 1e-10::DOUBLE), 6) AS v FROM p JOIN w USING (f) GROUP BY ALL",
     "rolling_max_2d": f"WITH {MAX2D} SELECT * FROM mx",
     "peak_pick": f"WITH {PEAKS} SELECT * FROM pk",
@@ -275,6 +299,5 @@ ORACLES: dict[str, str] = {
     "downmix": f"WITH {TRACKS} SELECT track::VARCHAR AS recording_id, t // 2 AS t, round(avg(value), 9) AS v FROM tracks JOIN (SELECT track AS k, count(*) AS n FROM tracks GROUP BY 1) ON k = track WHERE t // 2 < n // 2 GROUP BY ALL",
     "envelope": f"WITH {HASHES} SELECT ref_id, 'wang-v1' AS algorithm, 8000::INTEGER AS sample_rate, 62.5::DOUBLE AS frames_per_sec, count(*) AS hash_count FROM r GROUP BY ref_id",
     "overlap": f"WITH {CODES}, al AS (SELECT query_id, ref_id, q_len, r_len, unnest(range(1 - q_len, r_len)) AS d FROM ql, rl) SELECT query_id, ref_id, d AS delta, ({_OVER})::BIGINT AS overlap FROM al",
-    "multiset_equality": f"WITH {HASHES} SELECT 0::BIGINT AS missing, 0::BIGINT AS extra, count(*) AS rows FROM r",
     "time_offset": f"WITH {HASHES} SELECT ref_id, t, round((t - 500) * 1000 / 78.125::DOUBLE)::BIGINT AS ms FROM r",
 }

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from sonorel.operators import matching as M
 from sonorel.operators import spectral as S
 from sonorel.plans import frontends
 from sonorel.plans.oracles import ORACLES as TABLE_ORACLES
+from sonorel.sources import blobs
 from sonorel.sources import signals as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,15 @@ def _matches(df: DataFrame) -> DataFrame:
 
 
 def _window(kind: str) -> Query:
-    return lambda spark, _: spark.range(64).select(F.col("id").alias("k"), F.round(C.window_value(kind, F.col("id"), 64), 9).alias("w"))
+    """Each supplier's window, of a size of its own."""
+
+    def run(spark, sf_dir):
+        n = (F.col("s_suppkey") % 61 + 4).cast("int")
+        s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", n.alias("n"))
+        s = s.select("s_suppkey", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+        return s.select("s_suppkey", F.col("k").cast("bigint").alias("k"), F.round(C.window_value(kind, F.col("k"), F.col("n")), 9).alias("w"))
+
+    return run
 
 
 for _kind in ("hann", "hamming", "blackman"):
@@ -87,19 +95,21 @@ def resample_sinc(spark, sf_dir):
     return r.select("recording_id", F.posexplode("samples").alias("k", "v")).select("recording_id", F.col("k").cast("bigint").alias("k"), F.round(F.col("v").cast("double"), 4).alias("v"))
 
 
-def _mel_table(spark: SparkSession, cfg: Mel) -> DataFrame:
-    w = K.mel_weights(cfg)
-    return spark.createDataFrame([(int(m), int(f), float(w[m, f])) for m, f in zip(*np.nonzero(w), strict=True)], "mel bigint, f bigint, weight double")
+def _mel_table(spark: SparkSession, sf_dir: str, scale: str) -> DataFrame:
+    """Each supplier's mel filters, for a sample rate of its own."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    o = s.select(F.col("s_suppkey").alias("key"), F.lit(6).alias("n_mels"), F.lit(16).alias("n_fft"), (8000 + 500 * (F.col("s_suppkey") % 17)).alias("sample_rate"))
+    return rounded(S.mel_weight_rows(o, scale), weight=9)
 
 
 @query
 def mel_filterbank(spark, sf_dir):
-    return rounded(_mel_table(spark, SMALL_MEL), weight=9)
+    return _mel_table(spark, sf_dir, "slaney")
 
 
 @query
 def mel_filterbank_htk(spark, sf_dir):
-    return rounded(_mel_table(spark, Mel(6, 16, 8000, scale="htk")), weight=9)
+    return _mel_table(spark, sf_dir, "htk")
 
 
 @query
@@ -329,8 +339,9 @@ def downmix(spark, sf_dir):
 
 @query
 def envelope(spark, sf_dir):
-    n = G.hash_stream(spark, sf_dir).groupBy("ref_id").agg(F.count("*").alias("hash_count"))
-    return n.select("ref_id", F.lit("wang-v1").alias("algorithm"), F.lit(8000).alias("sample_rate"), F.lit(62.5).alias("frames_per_sec"), "hash_count")
+    """What the headers of the stored fingerprints say."""
+    p = blobs.peek(frontends.hash_blobs(spark, sf_dir)).filter("error IS NULL")
+    return p.select(F.col("recording_id").cast("bigint").alias("ref_id"), "algorithm", "sample_rate", F.col("frames_per_sec").cast("double").alias("frames_per_sec"), "hash_count")
 
 
 @query
@@ -340,10 +351,11 @@ def overlap(spark, sf_dir):
 
 @query
 def multiset_equality(spark, sf_dir):
-    a = G.hash_stream(spark, sf_dir)
-    b = a.repartition(7, "hash")
-    count = lambda df, c: df.agg(F.count("*").alias(c))
-    return count(a.exceptAll(b), "missing").crossJoin(count(b.exceptAll(a), "extra")).crossJoin(count(a, "rows"))
+    """Hashes of the Arrow front-end against those of the landmark operators over spectrograms: two ways to one multiset."""
+    r = G.recordings(spark, sf_dir).select("recording_id", "sample_rate", F.col("samples").cast("array<float>").alias("samples"))
+    db = S.power_long(S.power_rows(r, SMALL, as_float32=True)).withColumn("v", C.power_to_db(F.col("v")).cast("float"))
+    peaks = L.cap_per_second(L.pick_peaks(db, 2, 2, 0.0), 4, 10.0)
+    return M.multiset_difference(S.extract_wang(r, frontends.WANG).select("recording_id", "hash", "t_anchor"), L.wang_hashes(peaks, 20, 6, 3))
 
 
 @query
