@@ -15,6 +15,7 @@ TOO_LARGE = "InputTooLarge"
 NON_FINITE = "NonFiniteSample"
 BAD_BLOB = "Deserialize"
 TIMEOUT = "Timeout"
+BAD_FRAME = "Config"
 BAD_IO = "Io"
 BAD_MODEL = "ModelLoad"
 BAD_INFERENCE = "Inference"

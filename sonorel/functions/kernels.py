@@ -50,6 +50,14 @@ def power(x: np.ndarray, cfg: Stft, block: int = 2048) -> np.ndarray:
     return out
 
 
+def frame_power(frame: np.ndarray, cfg: Stft) -> np.ndarray:
+    """Power of a single frame, which isn't centred and must have the length of the transform."""
+    if len(frame) != cfg.n_fft:
+        raise ValueError(f"a frame of {len(frame)} samples for a transform of {cfg.n_fft}")
+    z = np.fft.rfft(frame * window(cfg.window, cfg.n_fft).astype(frame.dtype))
+    return z.real**2 + z.imag**2
+
+
 def decibels(p: np.ndarray, floor: float = DB_FLOOR) -> np.ndarray:
     return (10 * np.log10(np.maximum(p, p.dtype.type(floor)))).astype(p.dtype)
 

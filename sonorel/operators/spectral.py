@@ -56,6 +56,23 @@ def power_rows(recordings: DataFrame, cfg: Stft, as_float32: bool = False) -> Da
     return recordings.select(F.col("recording_id").cast("string"), "samples").mapInArrow(run, f"recording_id string, t bigint, power array<{width}>")
 
 
+def frame_power(frames: DataFrame, cfg: Stft) -> DataFrame:
+    """recording_id, power, error of single frames (recording_id, samples) of the transform's length; others, and null ones,
+    have an error."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for x in _samples(b):
+                try:
+                    out.append((K.frame_power(np.zeros(0) if x is None else x.astype(np.float64), cfg), None))
+                except ValueError as e:
+                    out.append((None, {"code": errors.BAD_FRAME, "detail": str(e)}))
+            yield pa.RecordBatch.from_arrays([b.column("recording_id"), pa.array([o[0] for o in out], pa.list_(pa.float64())), pa.array([o[1] for o in out], _ERROR)], names=["recording_id", "power", "error"])
+
+    return frames.select(F.col("recording_id").cast("string"), "samples").mapInArrow(run, f"recording_id string, power array<double>, error {ERROR}")
+
+
 def power_long(rows: DataFrame) -> DataFrame:
     """Long form of ``power_rows``: recording_id, t, f, v."""
     return rows.select("recording_id", "t", F.posexplode("power").alias("f", "v")).withColumn("f", F.col("f").cast("bigint"))

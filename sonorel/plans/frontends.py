@@ -8,10 +8,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonorel.configs import DecodeLimits, Embedder, Haitsma, Panako, Stft, Wang, Watermark
+from sonorel.errors import ConfigError
 from sonorel.functions import columns as C
 from sonorel.operators import extension as X
 from sonorel.operators import long
@@ -72,6 +73,16 @@ def stft_centered(spark, sf_dir):
     return rows.withColumn("v", F.round("v", 3))
 
 
+@query
+def frame_power(spark, sf_dir):
+    """Single frames; of ten recordings one (7) has a frame that is a sample short."""
+    r = G.recordings(spark, sf_dir)
+    n = F.when(F.col("recording_id") % 10 == 7, 15).otherwise(16)
+    got = S.frame_power(r.select("recording_id", F.slice("samples", F.lit(1), n).alias("samples")), Stft(16, 8, "hann", center=False))
+    p = got.select("recording_id", F.posexplode_outer("power").alias("f", "v"), "error.code")
+    return p.select("recording_id", F.col("f").cast("bigint").alias("f"), F.round("v", 3).alias("v"), "code")
+
+
 @query
 def frame_counts(spark, sf_dir):
     n = (F.col("s_suppkey") * 37) % 3000
@@ -199,6 +210,15 @@ def stream_panako(spark, sf_dir):
     return streamed(spark, sf_dir, lambda c: E.stream_hashes(c, PANAKO, MANY), "panako").drop("t_ms")
 
 
+DENSE_PANAKO = SmallPanako(fan_out=1, target_zone_t=21, target_zone_f=7, peaks_per_sec=0, min_anchor_mag_db=0.0)
+
+
+@query
+def stream_target_cap(spark, sf_dir):
+    """All peaks of a dense stream count, and an anchor keeps its strongest 2 * fan_out targets."""
+    return streamed(spark, sf_dir, lambda c: E.stream_hashes(c, DENSE_PANAKO, MANY), "dense").select("stream_id", "hash", "t_anchor", "t_b", "t_c", "error")
+
+
 @query
 def stream_haitsma(spark, sf_dir):
     return streamed(spark, sf_dir, lambda c: E.stream_hashes(c, HAITSMA, MANY), "haitsma").select("stream_id", F.col("t_anchor").alias("pos"), F.col("hash").alias("frame"), "t_ms", "error")
@@ -302,6 +322,34 @@ def decode_mono(spark, sf_dir):
     return got.select("recording_id", "sample_rate", F.col("t").cast("bigint").alias("t"), F.col("v").cast("double").alias("v"))
 
 
+@query
+def decode_resampled(spark, sf_dir):
+    """Decoding at another rate; of ten files one (8) has a limit that its own samples keep to and the resampled ones don't."""
+    files = wav_files(spark, sf_dir).filter("path % 10 NOT IN (1, 2)")
+    some = audio.decode(files.filter("path % 10 <> 8"), 5000).union(audio.decode(files.filter("path % 10 = 8"), 16000, DecodeLimits(max_samples=150)))
+    got = some.select("recording_id", F.posexplode_outer("samples").alias("k", "v"), "error.code")
+    return got.select("recording_id", F.col("k").cast("bigint").alias("k"), F.round(F.col("v").cast("double"), 8).alias("v"), "code")
+
+
+@query
+def decode_limited(spark, sf_dir):
+    """Files over the limit of bytes are told by their length; their content isn't read."""
+    base = shared.new_path(spark, "audio")
+
+    def save(batches):
+        where, path = store._open(base)
+        where.create_dir(path)
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                with where.open_output_stream(f"{path}/{name}.wav") as f:  # the same bytes if a task is run again
+                    f.write(content)
+            yield b.select(["path"])
+
+    wav_files(spark, sf_dir).mapInArrow(save, "path string").count()
+    got = audio.read_audio(spark, base, limits=DecodeLimits(max_bytes=400), pattern="*.wav")
+    return got.select(F.regexp_extract("recording_id", r"(\d+)\.wav$", 1).alias("recording_id"), F.size("samples").cast("bigint").alias("n"), "error.code")
+
+
 @query
 def decode_errors(spark, sf_dir):
     files = wav_files(spark, sf_dir)
@@ -318,6 +366,40 @@ def blob_round_trip(spark, sf_dir):
     return blobs.read_blobs(hash_blobs(spark, sf_dir), "wang-v1").select("recording_id", "hash", "t_anchor", F.col("fps").cast("double").alias("fps"), "error")
 
 
+@query
+def canonical_order(spark, sf_dir):
+    """Places of hashes in their blobs: by anchor, then by hash, however the table was dealt."""
+    rows = blobs.read_blobs(hash_blobs(spark, sf_dir), "wang-v1").withColumn("at", F.monotonically_increasing_id())
+    return rows.select("recording_id", "hash", "t_anchor", (F.row_number().over(Window.partitionBy("recording_id").orderBy("at")) - 1).cast("bigint").alias("place"))
+
+
+@query
+def option_bounds(spark, sf_dir):
+    """What becomes of options out of bounds, which each supplier has some of: moved to a bound, or refused."""
+
+    def run(batches):
+        def accepted(make) -> bool:
+            try:
+                make()
+            except ConfigError:
+                return False
+            return True
+
+        for b in batches:
+            rows = []
+            for k in b.column(0).to_pylist():
+                w = Wang(fan_out=k * 7 % 100, target_zone_t=k * 37 % 700, target_zone_f=k * 41 % 700, peaks_per_sec=k * 53 % 900, min_anchor_mag_db=float(k * 13 % 400 - 300), max_hashes=k % 3)
+                stft = accepted(lambda: Stft(k % 40, k % 23))
+                embedder = accepted(lambda: Embedder(sample_rate=1000, n_fft=64, hop=16, n_mels=k % 5 * 3000, window_secs=k % 7 / 50, hop_secs=k % 4 / 40))
+                rows.append((k, w.fan_out, w.target_zone_t, w.target_zone_f, w.peaks_per_sec, w.min_anchor_mag_db, w.max_hashes, stft, embedder))
+            kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64(), pa.bool_(), pa.bool_()]
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["s_suppkey", "fan_out", "zone_t", "zone_f", "peaks", "mag", "most", "stft", "embedder"])
+
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    return s.mapInArrow(run, "s_suppkey bigint, fan_out bigint, zone_t bigint, zone_f bigint, peaks bigint, mag double, most bigint, stft boolean, embedder boolean")
+
+
 @query
 def blob_peek(spark, sf_dir):
     cut = F.when(F.col("recording_id") % 10 == 7, F.substring("blob", 1, 10)).otherwise(F.col("blob"))
@@ -455,6 +537,14 @@ _RESET = (
 )
 
 
+_DECODED = f"WITH {O.RESAMPLE}".replace("v::FLOAT::DOUBLE * h", "(floor(v) - floor(floor(v) / 2)) / 65536::DOUBLE * h").replace(", 4) + 0", ", 8) + 0")
+# to 16 000 Hz, for the streams that stay within the limit
+_UPSAMPLED = (
+    f"SELECT recording_id, k, v, NULL::VARCHAR AS code FROM ({_DECODED}) WHERE recording_id::BIGINT % 10 = 8 AND (SELECT count(*) FROM tracks WHERE track = recording_id::BIGINT) * 2 <= 150".replace("(8000 / 5000::DOUBLE)", "0.5::DOUBLE").replace("(n * 5000 + 7999) // 8000", "n * 2").replace("0.625::DOUBLE * place", "place")
+    + " UNION ALL SELECT track::VARCHAR, NULL, NULL, 'InputTooLarge' FROM tracks WHERE track % 10 = 8 GROUP BY track HAVING count(*) * 2 > 150"
+)
+
+
 ORACLES: dict[str, str] = {
     "extract_wang_long": _long(_wang("recording_id", "NULL::VARCHAR AS code"), "hash t_anchor"),
     "extract_panako_long": _long(_panako("recording_id", "code"), "hash t_anchor t_b t_c"),
@@ -484,6 +574,16 @@ ORACLES: dict[str, str] = {
     "decode_mono": f"WITH {O.TRACKS} SELECT track::VARCHAR AS recording_id, 8000::INTEGER AS sample_rate, t, (floor(value) - floor(floor(value) / 2)) / 65536::DOUBLE AS v FROM tracks WHERE track % 10 NOT IN (1, 2)",
     "decode_errors": f"WITH {O.TRACKS} SELECT DISTINCT track::VARCHAR AS recording_id, CASE track % 10 WHEN 1 THEN 'UnsupportedChannels' WHEN 2 THEN 'Io' ELSE 'InputTooLarge' END AS code FROM tracks WHERE track % 10 IN (1, 2) OR track % 10 >= 5",
     "blob_round_trip": f"WITH {O.HASHES} SELECT ref_id::VARCHAR AS recording_id, hash, t AS t_anchor, 62.5::DOUBLE AS fps, NULL::VARCHAR AS error FROM r",
+    "frame_power": f"WITH {O.DFT} SELECT recording_id, f, round(v, 3) AS v, NULL::VARCHAR AS code FROM p WHERE t = 0 AND recording_id::BIGINT % 10 <> 7 UNION ALL SELECT DISTINCT track::VARCHAR, NULL, NULL, 'Config' FROM tracks WHERE track % 10 = 7",
+    "stream_target_cap": _panako("stream_id", "error").replace("QUALIFY row_number() OVER (PARTITION BY recording_id, floor(t / 10::DOUBLE) ORDER BY mag DESC, t, f) <= 4", "")
+    .replace("AND abs(b.f - a.f) < 7)", "AND abs(b.f - a.f) < 7 QUALIFY row_number() OVER (PARTITION BY a.recording_id, a.t, a.f ORDER BY b.mag DESC, b.t, b.f) <= 2)").replace("x.tb, x.fb, y.tb, y.fb) <= 3", "x.tb, x.fb, y.tb, y.fb) <= 1"),
+    "decode_resampled": f"WITH {O.TRACKS} SELECT recording_id, k, v, NULL::VARCHAR AS code FROM ({_DECODED}) WHERE recording_id::BIGINT % 10 NOT IN (1, 2, 8) UNION ALL {_UPSAMPLED}",
+    "decode_limited": f"WITH {O.TRACKS}, n AS (SELECT track, count(*) AS n FROM tracks GROUP BY track) SELECT track::VARCHAR AS recording_id, CASE WHEN track % 10 NOT IN (1, 2) AND 44 + 4 * n <= 400 THEN n END AS n, "
+    "CASE WHEN track % 10 = 2 THEN 'Io' WHEN 44 + 4 * n > 400 THEN 'InputTooLarge' WHEN track % 10 = 1 THEN 'UnsupportedChannels' END AS code FROM n",
+    "canonical_order": f"WITH {O.HASHES} SELECT ref_id::VARCHAR AS recording_id, hash, t AS t_anchor, row_number() OVER (PARTITION BY ref_id ORDER BY t, hash) - 1 AS place FROM r",
+    "option_bounds": "SELECT k AS s_suppkey, greatest(1, least(64, k * 7 % 100)) AS fan_out, greatest(1, least(512, k * 37 % 700)) AS zone_t, greatest(1, least(512, k * 41 % 700)) AS zone_f, least(500, k * 53 % 900) AS peaks, "
+    "greatest(-200, least(0, k * 13 % 400 - 300))::DOUBLE AS mag, greatest(1, k % 3) AS most, bit_count(k % 40) = 1 AND k % 23 BETWEEN 1 AND k % 40 AS stft, "
+    "k % 5 IN (1, 2) AND k % 7 * 20 >= 64 AND k % 4 > 0 AND k % 4 * 25 <= k % 7 * 20 AS embedder FROM (SELECT s_suppkey AS k FROM supplier)",
     "blob_store": f"WITH {O.HASHES}, {O.CODES}, stored AS (SELECT ref_id, 'wang-v1' AS algorithm, 62.5::DOUBLE AS fps, hash, t AS t_anchor, NULL AS t_b, NULL AS t_c FROM r UNION ALL SELECT ref_id, 'panako-v2', 62.5, hash, t, t + 1, t + 2 + hash % 4 FROM r "
     "UNION ALL SELECT ref_id, 'haitsma-v1', 78.125, frame, pos, NULL, NULL FROM codes), counted AS (SELECT *, count(*) OVER (PARTITION BY ref_id, algorithm) AS hash_count FROM stored) "
     "SELECT ref_id::VARCHAR AS recording_id, algorithm, hash_count, fps AS frames_per_sec, hash, t_anchor, t_b, t_c, NULL::VARCHAR AS error FROM counted WHERE hash_count > 52 AND (algorithm <> 'wang-v1' OR t_anchor < 30)",

@@ -269,6 +269,7 @@ ORACLES: dict[str, str] = {
     "wang_votes": f"WITH {HASHES}{STOP} SELECT query_id, ref_id, k.t - q.t AS delta, count(*) AS c FROM q JOIN kept k USING (hash) GROUP BY ALL",
     "wang_match_dense": f"WITH {DENSE} SELECT {_OUT} FROM m",
     "wang_index_query": f"WITH {WANG_INDEX} SELECT {_OUT} FROM m",
+    "stored_index_query": f"WITH {WANG_INDEX} SELECT {_OUT} FROM m",
     "match_ranked": f"WITH {DENSE}, pairs AS (SELECT * FROM (SELECT DISTINCT query_id FROM q WHERE query_id % 5 = 0), (SELECT DISTINCT ref_id FROM r)), every AS ("
     "SELECT query_id, ref_id, coalesce(is_match, false) AS is_match, coalesce(score, 0::DOUBLE) AS score, coalesce(votes, 0::BIGINT) AS votes, coalesce(prominence, 0::DOUBLE) AS prominence, "
     "coalesce(offset_frames, 0::BIGINT) AS offset_frames, coalesce(offset_ms, 0::BIGINT) AS offset_ms, coalesce(time_scale, 1::DOUBLE) AS time_scale FROM pairs LEFT JOIN m USING (query_id, ref_id)) "

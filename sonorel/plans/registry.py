@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonorel.configs import HaitsmaMatch, Mel, NeuralMatch, PanakoMatch, Stft
+from sonorel.configs import HaitsmaMatch, Mel, NeuralMatch, PanakoMatch, Stft, WangMatch
 from sonorel.functions import columns as C
 from sonorel.functions import kernels as K
 from sonorel.operators import landmarks as L
@@ -16,7 +17,7 @@ from sonorel.operators import matching as M
 from sonorel.operators import spectral as S
 from sonorel.plans import frontends
 from sonorel.plans.oracles import ORACLES as TABLE_ORACLES
-from sonorel.sources import blobs
+from sonorel.sources import blobs, index
 from sonorel.sources import signals as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,6 +218,15 @@ def wang_index_query(spark, sf_dir):
     return _matches(M.wang_index_query(*_hashes(spark, sf_dir)))
 
 
+@query
+def stored_index_query(spark, sf_dir):
+    """The same against a catalogue stored bucketed by hash."""
+    q, r = _hashes(spark, sf_dir)
+    name = f"catalogue_{uuid.uuid4().hex}"
+    index.save_index(r, name, 8, max_postings=WangMatch().max_postings_per_hash)
+    return _matches(M.wang_index_query(q, index.load_index(spark, name)))
+
+
 @query
 def match_ranked(spark, sf_dir):
     q, r = _hashes(spark, sf_dir)
