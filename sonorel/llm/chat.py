@@ -17,7 +17,8 @@ order_turn, order_step, turn) gives the conversation.
 Defined results: null text is empty content; a null role is the empty role; rows that repeat a message are
 written each; texts that aren't valid JSON objects of the forms above are content as they are; an empty table
 gives no rows; extra columns are ignored; messages without conversation or turn are formatted, but link with nothing;
-JSON deeper than ``DEEPEST`` levels, with NaN or infinite numbers or half a surrogate pair is no JSON.
+JSON deeper than ``DEEPEST`` levels, with NaN or infinite numbers, with integers of more than 4 300 digits or half a surrogate
+pair is no JSON; of an object's repeated keys the last counts. Texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -55,9 +56,11 @@ def is_type(value, kind: str) -> bool:
     return isinstance(value, _TYPES.get(kind, ()))
 
 
-def faults(value, schema: dict, at: str = "$") -> list[str]:
+def faults(value, schema: dict | bool, at: str = "$") -> list[str]:
     """What is wrong with ``value`` under a JSON schema (type, enum, const, properties, required,
-    additionalProperties, items, bounds of numbers, strings and arrays)."""
+    additionalProperties, items, bounds of numbers, strings and arrays; true allows everything, false nothing)."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     out = []
     kinds = schema.get("type")
     if kinds is not None and not any(is_type(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
@@ -201,20 +204,22 @@ def _edges(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _placed(edges: DataFrame) -> DataFrame:
-    """conv_id, turn, order_turn, order_step, cycle of every turn on an edge: Kahn's rounds over the edges."""
-    ends = edges.select("conv_id", F.col("before").alias("turn")).union(edges.select("conv_id", F.col("after").alias("turn"))).distinct()
-    inner = edges.select("conv_id", F.col("after").alias("turn")).distinct()
-    done = common.materialize(ends.join(inner, ["conv_id", "turn"], "left_anti").select("conv_id", "turn", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step")), "placed")
-    open_ = inner
-    fresh = done
-    while fresh.take(1):
-        # every edge into an open turn must start at a placed one
-        into = edges.join(done.withColumnRenamed("turn", "before"), ["conv_id", "before"], "left").join(open_.withColumnRenamed("turn", "after"), ["conv_id", "after"], "left_semi")
-        best = into.groupBy("conv_id", F.col("after").alias("turn")).agg(F.count("*").alias("n"), F.count("order_turn").alias("k"), F.max(F.struct("order_turn", "order_step")).alias("m")).filter("n = k")
-        fresh = common.materialize(best.select("conv_id", "turn", F.greatest("turn", "m.order_turn").alias("order_turn"), F.when(F.col("turn") > F.col("m.order_turn"), 0).otherwise(F.col("m.order_step") + 1).alias("order_step")), "placed")
-        done = common.materialize(done.union(fresh), "placed")
-        open_ = common.materialize(open_.join(fresh, ["conv_id", "turn"], "left_anti"), "open")
-    return done.withColumn("cycle", F.lit(False)).union(open_.select("conv_id", "turn", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), F.lit(True).alias("cycle")))
+    """conv_id, turn, order_turn, order_step, cycle of every turn on an edge: Kahn's rounds, each of which writes the turns' places
+    once; as many rounds as the longest chain has links."""
+    key, place = ["conv_id", "turn"], ["order_turn", "order_step"]
+    first = edges.select("conv_id", F.col("before").alias("turn"), F.lit(0).alias("into")).union(edges.select("conv_id", F.col("after").alias("turn"), F.lit(1))).groupBy(*key).agg(F.max("into").alias("into"))
+    done = common.materialize(first.select(*key, F.when(F.col("into") == 0, F.col("turn")).alias("order_turn"), F.lit(0).alias("order_step")), "placed")
+    seen = 0
+    while (now := done.filter("order_turn is not null").count()) > seen:
+        seen = now
+        # an open turn is placed when every edge into it starts at a placed one
+        into = edges.join(done.select("conv_id", F.col("turn").alias("before"), *place), ["conv_id", "before"])
+        ready = into.groupBy("conv_id", F.col("after").alias("turn")).agg(F.count("*").alias("n"), F.count("order_turn").alias("k"), F.max(F.when(F.col("order_turn").isNotNull(), F.struct(*place))).alias("m")).filter("n = k")
+        both = done.join(ready.select(*key, "m"), key, "left")
+        open_ = F.col("order_turn").isNull() & F.col("m").isNotNull()
+        step = F.when(F.col("turn") > F.col("m.order_turn"), 0).otherwise(F.col("m.order_step") + 1)
+        done = common.materialize(both.select(*key, F.when(open_, F.greatest("turn", "m.order_turn")).otherwise(F.col("order_turn")).alias("order_turn"), F.when(open_, step).otherwise(F.col("order_step")).alias("order_step")), "placed")
+    return done.select(*key, F.coalesce("order_turn", "turn").alias("order_turn"), "order_step", F.col("order_turn").isNull().alias("cycle"))
 
 
 def format_messages(rows: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:

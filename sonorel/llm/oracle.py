@@ -8,6 +8,16 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, turn, role, turn AS order_turn, 0::INTEGER AS order_step, 0::INTEGER AS n_calls, TRUE AS valid, '' AS problems,
                '{"content":' || to_json(coalesce(text, ''))::VARCHAR || ',"role":' || to_json(coalesce(role, ''))::VARCHAR || '}' AS line
         FROM conversations""",
+    # A run of answers two turns apart is one chain, from its last call back to the result of its first.
+    "chat_calls": """
+        WITH a AS (SELECT conv_id, turn AS t, coalesce(text, '') AS text, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM conversations WHERE role = 'assistant'),
+        b AS (SELECT *, max(t) OVER (PARTITION BY conv_id, t % 2, run) AS last FROM a)
+        SELECT conv_id, 2 * t + 1 AS turn, 'assistant' AS role, 2 * last + 1 AS order_turn, (last - t)::INTEGER AS order_step, 1::INTEGER AS n_calls, t % 3 > 0 AS valid,
+               CASE WHEN t % 3 > 0 THEN '' ELSE 'call 0: $.limit: out of bounds' END AS problems,
+               '{"content":' || to_json(text)::VARCHAR || ',"role":"assistant","tool_calls":[{"arguments":{"after":{"$result":"c' || (t + 2) || '"},"limit":' || t % 3 || ',"query":' || to_json(text)::VARCHAR
+               || '},"id":"c' || t || '","name":"search"}]}' AS line FROM b
+        UNION ALL SELECT conv_id, 2 * t, 'tool', 2 * last + 1, last - t + 1, 0, TRUE, '', '{"content":' || to_json(text)::VARCHAR || ',"role":"tool","tool_call_id":"c' || t || '"}' FROM b
+        UNION ALL SELECT conv_id, 2 * turn, role, 2 * turn, 0, 0, TRUE, '', '{"content":' || to_json(coalesce(text, ''))::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' FROM conversations WHERE role <> 'assistant'""",
     "op11_collocations": r"""
         WITH pieces AS (
           SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p

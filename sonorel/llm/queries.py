@@ -48,6 +48,21 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_messages(common.table(spark, sf_dir, "conversations"))
 
 
+def chat_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls derived from the conversations, which hold none: every answer calls a tool with itself and the result of the
+    answer after the next one, and its result lies before its call."""
+    rows = common.table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    answers, at = rows.filter("role = 'assistant'"), lambda k: F.concat(F.lit("c"), F.col("turn") + k)
+    args = F.struct(F.col("text").alias("query"), (F.col("turn") % 3).alias("limit"), F.create_map(F.lit("$result"), at(2)).alias("after"))
+    call = F.to_json(F.struct(F.col("text").alias("content"), F.array(F.struct(at(0).alias("id"), F.lit("search").alias("name"), args.alias("arguments"))).alias("tool_calls")))
+    result = F.to_json(F.struct(at(0).alias("tool_call_id"), F.col("text").alias("content")))
+    calls = answers.select("conv_id", (F.col("turn") * 2 + 1).alias("turn"), "role", call.alias("text"))
+    results = answers.select("conv_id", (F.col("turn") * 2).alias("turn"), F.lit("tool").alias("role"), result.alias("text"))
+    others = rows.filter("role <> 'assistant'").select("conv_id", (F.col("turn") * 2).alias("turn"), "role", "text")
+    search = chat.TOOLS["search"] | {"properties": chat.TOOLS["search"]["properties"] | {"after": True}}
+    return chat.format_messages(calls.union(results).union(others), {"search": search})
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -75,6 +90,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_ann": op8_ann,
     "op9_chat": op9_chat,
+    "chat_calls": chat_calls,
     "op10_language_id": op10_language_id,
     "op11_collocations": op11_collocations,
     "op12_simhash": op12_simhash,

@@ -326,6 +326,25 @@ def test_order_equals_a_plain_topological_sort(spark):
     assert {(r.conv_id, r.turn): (r.order_turn, r.order_step, "cycle" in r.problems) for r in got} == want
 
 
+def test_derived_calls_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    got, want = queries.chat_calls(spark, SF), con.sql(oracle.ORACLES["chat_calls"])
+    rows = lambda columns, found: sorted(str([r[columns.index(c)] for c in sorted(columns)]) for r in found)
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+    assert got.filter("order_step > 1").count() > 5 and got.filter("not valid").count() > 5
+
+
+def test_boolean_schemas_and_large_integers():
+    assert chat.faults({"a": [1]}, {"properties": {"a": True}}) == [] and chat.faults({"a": 1}, {"properties": {"a": False}}) == ["$.a: not allowed"]
+    assert chat.faults([1, 2], {"items": False}) == ["$[0]: not allowed", "$[1]: not allowed"]
+    text = '{"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q", "limit": %s}}]}'
+    assert chat.parse("assistant", text % ("9" * 4300), chat.TOOLS)["calls"] == ["a"]
+    over = text % ("9" * 4301)
+    assert chat.parse("assistant", over, chat.TOOLS)["calls"] == [] and json.loads(chat.parse("assistant", over, chat.TOOLS)["line"])["content"] == over
+    assert '"limit":2' in chat.parse("assistant", '{"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q", "limit": 1, "limit": 2}}]}', chat.TOOLS)["line"]
+
+
 def test_schema_faults():
     s = {"type": "object", "properties": {"a": {"type": ["integer", "null"], "minimum": 2}, "b": {"type": "array", "items": {"enum": [1, 2]}, "maxItems": 2}}, "required": ["a"], "additionalProperties": False}
     assert chat.faults({"a": 3, "b": [1]}, s) == [] and chat.faults({"a": None}, s) == []
