@@ -122,3 +122,12 @@ def test_toxicity_edge_cases(spark):
     assert [r.doc_id for r in toxicity.keep_clean(frame, model).collect()] == list(range(0, 200, 2))
     none = toxicity.train(frame, labels.limit(0))
     assert {r.score for r in toxicity.score(edge(spark), none).collect()} == {0.0}
+
+
+def test_what_counts_as_identified():
+    """Letters are needed and, once languages are known, a majority for one of them."""
+    texts = [("the thing that was there and then", "en"), ("der hund und die katze sind dort", "de"), ("les chats sont dans la maison", "fr")]
+    model, blank = langid.fit(texts * 5), langid.fit([])
+    assert all(model.identified(t) and blank.identified(t) for t, _ in texts)
+    assert not any(m.identified(t) for m in (model, blank) for t in (None, "", "12 -- !"))
+    assert blank.identified("q") and model.decide("q")[1] <= langid.MAJORITY and not model.identified("q")
