@@ -5,8 +5,8 @@ assistant, or ``{"tool_call_id", "content"}`` of a tool. Everything else is plai
 
 * Calls and results are joined by (conversation, call id); the first call of an id wins.
 * A result follows its call, and a message whose arguments hold ``{"$result": id}`` follows that result. The
-  order is topological: messages without open predecessors are placed, round by round, and a message's key is
-  (largest turn on its way, steps on its way, turn), which sorts every message behind its predecessors.
+  order is topological: messages without open predecessors are placed, round by round, chains as a whole, and a message's
+  key is (largest turn on its way, steps on its way, turn), which sorts every message behind its predecessors.
   Messages on a cycle keep their turn and are marked.
 * Arguments are validated against the tools' JSON schemas.
 * A message is written as canonical JSON: keys sorted, no blanks, UTF-8 as it is.
@@ -203,23 +203,62 @@ def _edges(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, linked.filter("call_turn is null").select("conv_id", "turn").distinct()
 
 
+def _after(turn, step):
+    """Place of a turn at the end of a jump (top, since, length) that starts at a turn placed at (turn, step)."""
+    top, since, length = map(F.col, ("top", "since", "length"))
+    return F.when(turn.isNotNull(), F.when(F.coalesce(top > turn, F.lit(False)), F.struct(top.alias("order_turn"), since.alias("order_step"))).otherwise(F.struct(turn.alias("order_turn"), (step + length).alias("order_step"))))
+
+
+def _jumps(nodes: DataFrame) -> DataFrame:
+    """conv_id, turn, to, top, since, length of every turn with one predecessor: the last turn before it that has none or several,
+    and on the way from there the largest turn, the steps since that, and all steps. Jumps double in every round, so a chain takes as
+    many rounds as its length has binary digits. ``to`` is null on and behind a cycle of such turns: a jump is longer than all of them."""
+    one = nodes.filter("n_into = 1").select("conv_id", "turn", F.col("before").alias("to"), F.col("turn").alias("top"), F.lit(0).alias("since"), F.lit(1).alias("length"))
+    jumps = common.materialize(one, "jumps")
+    most = jumps.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    reach = 1
+    while reach <= most:
+        reach *= 2
+        u = jumps.select("conv_id", F.col("turn").alias("to"), F.lit(True).alias("hit"), F.col("to").alias("u_to"), F.col("top").alias("u_top"), F.col("since").alias("u_since"), F.col("length").alias("u_length"))
+        higher = F.col("top") > F.col("u_top")
+        further = F.when(F.col("hit"), F.struct(F.col("u_to").alias("to"), F.greatest("top", "u_top").alias("top"), F.when(higher, F.col("since")).otherwise(F.col("u_since") + F.col("length")).alias("since"), (F.col("u_length") + F.col("length")).alias("length")))
+        further = F.coalesce(further, F.struct("to", "top", "since", "length"))
+        moved = jumps.join(u, ["conv_id", "to"], "left").select("conv_id", "turn", further.alias("j"), F.col("hit").alias("moved")).select("conv_id", "turn", "j.*", "moved")
+        jumps = common.materialize(moved, "jumps")
+        if jumps.filter("moved").isEmpty():
+            return jumps.drop("moved")
+        jumps = jumps.drop("moved")
+    ends = nodes.filter("n_into <> 1").select("conv_id", F.col("turn").alias("to"), F.lit(True).alias("end"))
+    return jumps.join(ends, ["conv_id", "to"], "left").withColumn("to", F.when(F.col("end"), F.col("to"))).drop("end")
+
+
 def _placed(edges: DataFrame) -> DataFrame:
-    """conv_id, turn, order_turn, order_step, cycle of every turn on an edge: Kahn's rounds, each of which writes the turns' places
-    once; as many rounds as the longest chain has links."""
+    """conv_id, turn, order_turn, order_step, cycle of every turn on an edge. Turns with one predecessor are reached by jumps over
+    whole chains; Kahn's rounds place those with several, each round by one write, as many as lie behind one another."""
     key, place = ["conv_id", "turn"], ["order_turn", "order_step"]
-    first = edges.select("conv_id", F.col("before").alias("turn"), F.lit(0).alias("into")).union(edges.select("conv_id", F.col("after").alias("turn"), F.lit(1))).groupBy(*key).agg(F.max("into").alias("into"))
-    done = common.materialize(first.select(*key, F.when(F.col("into") == 0, F.col("turn")).alias("order_turn"), F.lit(0).alias("order_step")), "placed")
-    seen = 0
-    while (now := done.filter("order_turn is not null").count()) > seen:
-        seen = now
-        # an open turn is placed when every edge into it starts at a placed one
-        into = edges.join(done.select("conv_id", F.col("turn").alias("before"), *place), ["conv_id", "before"])
-        ready = into.groupBy("conv_id", F.col("after").alias("turn")).agg(F.count("*").alias("n"), F.count("order_turn").alias("k"), F.max(F.when(F.col("order_turn").isNotNull(), F.struct(*place))).alias("m")).filter("n = k")
-        both = done.join(ready.select(*key, "m"), key, "left")
-        open_ = F.col("order_turn").isNull() & F.col("m").isNotNull()
-        step = F.when(F.col("turn") > F.col("m.order_turn"), 0).otherwise(F.col("m.order_step") + 1)
-        done = common.materialize(both.select(*key, F.when(open_, F.greatest("turn", "m.order_turn")).otherwise(F.col("order_turn")).alias("order_turn"), F.when(open_, step).otherwise(F.col("order_step")).alias("order_step")), "placed")
-    return done.select(*key, F.coalesce("order_turn", "turn").alias("order_turn"), "order_step", F.col("order_turn").isNull().alias("cycle"))
+    ends = edges.select("conv_id", F.col("before").alias("turn"), F.lit(None).cast("long").alias("before"), F.lit(0).alias("into")).union(edges.select("conv_id", F.col("after").alias("turn"), "before", F.lit(1)))
+    nodes = common.materialize(ends.groupBy(*key).agg(F.sum("into").alias("n_into"), F.max("before").alias("before")), "nodes")
+    jumps = common.materialize(_jumps(nodes), "jumps")
+    done = nodes.filter("n_into <> 1").select(*key, F.when(F.col("n_into") == 0, F.col("turn")).alias("order_turn"), F.lit(0).alias("order_step"))
+    many = nodes.filter("n_into > 1").select("conv_id", F.col("turn").alias("after"))
+    if not many.isEmpty():
+        # edges into a turn of several, each from the start of the chain that its predecessor ends
+        starts = edges.join(many, ["conv_id", "after"]).join(jumps.withColumnRenamed("turn", "before").withColumn("chain", F.lit(True)), ["conv_id", "before"], "left")
+        starts = starts.select("conv_id", "after", F.when(F.col("chain"), F.col("to")).otherwise(F.col("before")).alias("turn"), "top", F.coalesce("since", F.lit(0)).alias("since"), F.coalesce("length", F.lit(0)).alias("length"))
+        starts, done = common.materialize(starts, "starts"), common.materialize(done, "placed")
+        seen = 0
+        while (now := done.filter("order_turn is not null").count()) > seen:
+            seen = now
+            # an open turn is placed when every edge into it starts at a placed one
+            into = starts.join(done, key, "left").select("conv_id", F.col("after").alias("turn"), _after(F.col("order_turn"), F.col("order_step")).alias("m"))
+            ready = into.groupBy(*key).agg(F.count("*").alias("n"), F.count("m").alias("k"), F.max("m").alias("m")).filter("n = k")
+            both = done.join(ready.select(*key, "m"), key, "left")
+            open_ = F.col("order_turn").isNull() & F.col("m").isNotNull()
+            step = F.when(F.col("turn") > F.col("m.order_turn"), 0).otherwise(F.col("m.order_step") + 1)
+            done = common.materialize(both.select(*key, F.when(open_, F.greatest("turn", "m.order_turn")).otherwise(F.col("order_turn")).alias("order_turn"), F.when(open_, step).otherwise(F.col("order_step")).alias("order_step")), "placed")
+    chained = jumps.join(done.withColumnRenamed("turn", "to"), ["conv_id", "to"], "left").select(*key, _after(F.col("order_turn"), F.col("order_step")).alias("m")).select(*key, *(F.col(f"m.{c}").alias(c) for c in place))
+    placed = done.unionByName(chained)
+    return placed.select(*key, F.coalesce("order_turn", "turn").alias("order_turn"), F.coalesce("order_step", F.lit(0)).alias("order_step"), F.col("order_turn").isNull().alias("cycle"))
 
 
 def format_messages(rows: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:

@@ -326,6 +326,32 @@ def test_order_equals_a_plain_topological_sort(spark):
     assert {(r.conv_id, r.turn): (r.order_turn, r.order_step, "cycle" in r.problems) for r in got} == want
 
 
+def test_chains_cycles_and_merges_are_placed_as_a_plain_sort_does(spark):
+    rng, edges, want = random.Random(8), [], {}
+    for conv in range(40):
+        n = rng.choice([2, 5, 30, 60])
+        turns = list(range(n))
+        rng.shuffle(turns)
+        some = {(turns[k - 1], turns[k]) for k in range(1, n) if rng.random() < 0.9}  # chains
+        some |= {(turns[rng.randrange(k)], turns[k]) for k in range(1, n) if rng.random() < (0, 0.1, 0.4)[conv % 3]}  # merges
+        if conv % 4 == 3:  # a cycle, with chains behind it
+            some |= {(turns[n // 2], turns[n // 4])}
+        some = {(a, b) for a, b in some if a != b}
+        edges += [(conv, a, b) for a, b in some]
+        want |= {(conv, t): v for t, v in kahn(n, some).items() if any(t in e for e in some)}
+    got = chat._placed(spark.createDataFrame(edges, "conv_id long, before long, after long")).collect()
+    assert {(r.conv_id, r.turn): (r.order_turn, r.order_step, r.cycle) for r in got} == want and len(got) == len(want)
+    assert 5 < sum(c for *_, c in want.values()) < len(want) / 2
+
+
+def test_a_chain_takes_as_many_rounds_as_its_length_has_digits(spark, monkeypatch):
+    written, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: written.append(name) or write(df, name))
+    edges = spark.range(1500).selectExpr("1L conv_id", "1500 - id before", "1499 - id after")
+    got = {r.turn: (r.order_turn, r.order_step, r.cycle) for r in chat._placed(edges).collect()}
+    assert got == {t: (1500, 1500 - t, False) for t in range(1501)} and len(written) <= 15
+
+
 def test_derived_calls_equal_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
