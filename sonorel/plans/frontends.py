@@ -22,6 +22,7 @@ from sonorel.plans import oracles as O
 from sonorel.functions import tables
 from sonorel.sources import audio, blobs, shared, store
 from sonorel.sources import signals as G
+from sonorel.sources.formats import IMA_MOVES, IMA_STEPS
 from sonorel.streaming import extractors as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,6 +323,35 @@ def decode_mono(spark, sf_dir):
     return got.select("recording_id", "sample_rate", F.col("t").cast("bigint").alias("t"), F.col("v").cast("double").alias("v"))
 
 
+def _coded(name: int, x: np.ndarray) -> bytes:
+    """One channel of whole numbers as AIFF (0, 5), AIFF-C of the other byte order (1, 6), or as the codes of a WAV file in
+    mu-law (2, 7), A-law (3, 8) or IMA ADPCM (4, 9): each 13 of them are a block, a value and its place and 12 bytes."""
+    kind = name % 5
+    if kind < 2:
+        pcm = x.astype("<i2" if kind else ">i2").tobytes()
+        common = struct.pack(">HIHHQ", 1, len(x), 16, 16383 + 12, 8000 << 51) + (b"sowt\x00\x00" if kind else b"")
+        body = (b"AIFC" if kind else b"AIFF") + b"SSND" + struct.pack(">III", 8 + len(pcm), 0, 0) + pcm + b"COMM" + struct.pack(">I", len(common)) + common
+        return b"FORM" + struct.pack(">I", len(body)) + body
+    codes = b"".join(int(v).to_bytes(1, "little") if kind < 4 or k % 13 else struct.pack("<hBB", w, w % 100, 0) for k, (v, w) in enumerate(zip(x % 256, x.tolist(), strict=True)))
+    head = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, {2: 7, 3: 6, 4: 0x11}[kind], 1, 8000, 8000, 16 if kind == 4 else 1, 4 if kind == 4 else 8) + b"data" + struct.pack("<I", len(codes))
+    return b"RIFF" + struct.pack("<I", len(head) + len(codes)) + head + codes
+
+
+@query
+def decode_formats(spark, sf_dir):
+    """Files of other sample formats. Blocks of ADPCM that name no step are skipped; in integrity mode (9) they are errors."""
+
+    def run(batches):
+        for b in batches:
+            files = [_coded(int(i.as_py()[-1]), np.floor(s.values.to_numpy(zero_copy_only=False)).astype(np.int64)) for i, s in zip(b.column(0), b.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.binary())], names=["path", "content"])
+
+    files = G.recordings(spark, sf_dir).select("recording_id", "samples").mapInArrow(run, "path string, content binary")
+    got = audio.decode(files.filter("path % 10 <> 9")).union(audio.decode(files.filter("path % 10 = 9"), limits=DecodeLimits(integrity_mode=True)))
+    got = got.select("recording_id", "sample_rate", F.posexplode_outer("samples").alias("t", "v"), "error.code")
+    return got.select("recording_id", "sample_rate", F.col("t").cast("bigint").alias("t"), F.col("v").cast("double").alias("v"), "code")
+
+
 @query
 def decode_resampled(spark, sf_dir):
     """Decoding at another rate; of ten files one (8) has a limit that its own samples keep to and the resampled ones don't."""
@@ -545,6 +575,23 @@ _UPSAMPLED = (
 )
 
 
+_FORMATS = f"""WITH RECURSIVE {O.TRACKS},
+whole AS (SELECT track, t, floor(value)::BIGINT AS w, floor(value)::BIGINT & 255 AS c, 255 - (floor(value)::BIGINT & 255) AS u, xor(floor(value)::BIGINT & 255, 85) AS a FROM tracks),
+plain AS (SELECT track, t, CASE WHEN track % 5 < 2 THEN w
+    WHEN track % 5 = 2 THEN (CASE WHEN u & 128 > 0 THEN -1 ELSE 1 END) * (((((u & 15) << 3) + 132) << (u >> 4 & 7)) - 132)
+    ELSE (CASE WHEN a & 128 > 0 THEN 1 ELSE -1 END) * (CASE WHEN a & 112 = 0 THEN ((a & 15) << 4) + 8 ELSE (((a & 15) << 4) + 264) << ((a >> 4 & 7) - 1) END) END / 32768::DOUBLE AS v
+  FROM whole WHERE track % 5 <> 4),
+blocks AS (SELECT track, t // 13 AS b, arg_min(w, t) AS w, arg_min(w, t) % 100 AS place, count(*) - 1 AS n FROM whole WHERE track % 5 = 4 GROUP BY ALL),
+bad AS (SELECT track FROM blocks WHERE track % 10 = 9 GROUP BY track HAVING max(place) > 88 OR max(n % 4) > 0),
+codes AS (SELECT x.track, b, 2 * (t % 13 - 1) + h AS s, c >> (4 * h) & 15 AS code FROM whole x JOIN blocks ON x.track = blocks.track AND t // 13 = b, range(2) g(h) WHERE t % 13 BETWEEN 1 AND n // 4 * 4),
+ima AS (SELECT track, b, 0::BIGINT AS s, w, place FROM blocks WHERE place <= 88 AND track NOT IN (FROM bad)
+  UNION ALL SELECT track, b, s + 1, greatest(-32768, least(32767, w + (CASE WHEN code & 8 > 0 THEN -1 ELSE 1 END) * ((step >> 3) + (code & 1) * (step >> 2) + (code >> 1 & 1) * (step >> 1) + (code >> 2 & 1) * step))),
+    greatest(0, least(88, place + {list(IMA_MOVES)}[(code & 7) + 1]))
+  FROM (SELECT ima.*, code, {list(IMA_STEPS)}[place + 1] AS step FROM ima JOIN codes USING (track, b, s)))
+SELECT track::VARCHAR AS recording_id, 8000::INTEGER AS sample_rate, t, v, NULL::VARCHAR AS code FROM plain
+UNION ALL SELECT track::VARCHAR, 8000, row_number() OVER (PARTITION BY track ORDER BY b, s) - 1, w / 32768::DOUBLE, NULL FROM ima
+UNION ALL SELECT track::VARCHAR, NULL, NULL, NULL, 'Io' FROM bad"""
+
 ORACLES: dict[str, str] = {
     "extract_wang_long": _long(_wang("recording_id", "NULL::VARCHAR AS code"), "hash t_anchor"),
     "extract_panako_long": _long(_panako("recording_id", "code"), "hash t_anchor t_b t_c"),
@@ -578,6 +625,7 @@ ORACLES: dict[str, str] = {
     "stream_target_cap": _panako("stream_id", "error").replace("QUALIFY row_number() OVER (PARTITION BY recording_id, floor(t / 10::DOUBLE) ORDER BY mag DESC, t, f) <= 4", "")
     .replace("AND abs(b.f - a.f) < 7)", "AND abs(b.f - a.f) < 7 QUALIFY row_number() OVER (PARTITION BY a.recording_id, a.t, a.f ORDER BY b.mag DESC, b.t, b.f) <= 2)").replace("x.tb, x.fb, y.tb, y.fb) <= 3", "x.tb, x.fb, y.tb, y.fb) <= 1"),
     "decode_resampled": f"WITH {O.TRACKS} SELECT recording_id, k, v, NULL::VARCHAR AS code FROM ({_DECODED}) WHERE recording_id::BIGINT % 10 NOT IN (1, 2, 8) UNION ALL {_UPSAMPLED}",
+    "decode_formats": _FORMATS,
     "decode_limited": f"WITH {O.TRACKS}, n AS (SELECT track, count(*) AS n FROM tracks GROUP BY track) SELECT track::VARCHAR AS recording_id, CASE WHEN track % 10 NOT IN (1, 2) AND 44 + 4 * n <= 400 THEN n END AS n, "
     "CASE WHEN track % 10 = 2 THEN 'Io' WHEN 44 + 4 * n > 400 THEN 'InputTooLarge' WHEN track % 10 = 1 THEN 'UnsupportedChannels' END AS code FROM n",
     "canonical_order": f"WITH {O.HASHES} SELECT ref_id::VARCHAR AS recording_id, hash, t AS t_anchor, row_number() OVER (PARTITION BY ref_id ORDER BY t, hash) - 1 AS place FROM r",

@@ -1,8 +1,7 @@
-"""Audio files as recordings. Decoders are looked up by a file's content; WAV is built in."""
+"""Audio files as recordings. Decoders are looked up by a file's content; WAV and AIFF are built in."""
 
 from __future__ import annotations
 
-import io
 import struct
 import time
 from collections.abc import Callable
@@ -16,6 +15,8 @@ from sonorel import errors
 from sonorel.configs import DecodeLimits
 from sonorel.functions import kernels as K
 from sonorel.schemas import ERROR
+from sonorel.sources import formats as f
+from sonorel.sources.formats import DecodeError
 
 #: name -> (does it know these first bytes, decoder to (interleaved float32, channels, rate))
 DECODERS: dict[str, tuple[Callable[[bytes], bool], Callable]] = {}
@@ -29,57 +30,70 @@ def decoder(name: str, knows: Callable[[bytes], bool]):
     return add
 
 
-class DecodeError(Exception):
-    def __init__(self, code: str, detail: str):
-        super().__init__(detail)
-        self.code = code
-
-
 @decoder("wav", lambda head: head[:4] == b"RIFF" and head[8:12] == b"WAVE")
 def decode_wav(data: bytes, limits: DecodeLimits = DecodeLimits(), clock=time.monotonic):
-    """PCM of 8, 16, 24 or 32 bits and 32 or 64-bit floats. A data chunk that is cut off gives what there is, or, in
-    integrity mode, an error."""
-    began, at, fmt = clock(), 12, None
-    f = io.BytesIO(data)
-    while True:
-        if limits.timeout is not None and clock() - began > limits.timeout:
-            raise DecodeError(errors.TIMEOUT, "decoding took too long")
-        f.seek(at)
-        head = f.read(8)
-        if len(head) < 8:
-            raise DecodeError(errors.BAD_IO, "no data chunk")
-        name, size = head[:4], struct.unpack("<I", head[4:])[0]
+    """PCM of 8, 16, 24 or 32 bits, 32 or 64-bit floats, mu-law, A-law and IMA ADPCM. A data chunk that is cut off gives what
+    there is, or, in integrity mode, an error; so does a packet that can't be decoded."""
+    clock, fmt = f.Clock(limits, clock), None
+    for name, at, size in f.chunks(data, "little", clock):
         if name == b"fmt ":
-            fmt = f.read(min(size, 40))
+            fmt = data[at : at + min(size, 40)]
         elif name == b"data":
             break
-        at += 8 + size + (size & 1)
+    else:
+        raise DecodeError(errors.BAD_IO, "no data chunk")
     if fmt is None or len(fmt) < 16:
         raise DecodeError(errors.BAD_IO, "no format chunk")
-    kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", fmt[:16])
+    kind, channels, rate, _, align, bits = struct.unpack("<HHIIHH", fmt[:16])
     if kind == 0xFFFE and len(fmt) >= 26:
         kind = struct.unpack("<H", fmt[24:26])[0]
     if channels == 0:
         raise DecodeError(errors.BAD_CHANNELS, "0 channels")
-    width = bits // 8
-    raw = f.read(size)
-    if len(raw) < size and limits.integrity_mode:
-        raise DecodeError(errors.BAD_IO, f"data ends after {len(raw)} of {size} bytes")
-    if not width or (kind, bits) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)}:
+    raw = f.content(data, at, size, limits)
+    if (kind, bits) == (0x11, 4):
+        return f.ima_adpcm(raw, align, channels, limits, clock), channels, rate
+    if (kind, bits) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64), (6, 8), (7, 8)}:
         raise DecodeError(errors.BAD_IO, f"format {kind} with {bits} bits")
-    raw = raw[: len(raw) // (width * channels) * width * channels]
-    if limits.max_samples is not None and len(raw) // (width * channels) > limits.max_samples:
-        raise DecodeError(errors.TOO_LARGE, f"{len(raw) // (width * channels)} samples")
-    if kind == 3:
-        x = np.frombuffer(raw, f"<f{width}").astype(np.float32)
-    elif bits == 8:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif bits == 24:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
-    else:
-        x = (np.frombuffer(raw, f"<i{width}") / float(1 << (bits - 1))).astype(np.float32)
-    return x, channels, rate
+    return _samples(raw, {1: "int", 3: "float", 6: "alaw", 7: "ulaw"}[kind], bits, channels, "little", limits), channels, rate
+
+
+def _samples(raw: bytes, kind: str, bits: int, channels: int, order: str, limits: DecodeLimits) -> np.ndarray:
+    frame = -(-bits // 8) * channels
+    raw = raw[: f.within(len(raw) // frame, limits) * frame]
+    if kind == "int":
+        return f.pcm(raw, bits, order, unsigned=bits == 8 and order == "little")
+    return f.floats(raw, bits, order) if kind == "float" else f.a_law(raw) if kind == "alaw" else f.mu_law(raw)
+
+
+#: Compression of an AIFF-C file -> (kind, byte order, bits that it fixes).
+_AIFC = {b"NONE": ("int", "big", 0), b"twos": ("int", "big", 0), b"sowt": ("int", "little", 0), b"in24": ("int", "big", 24), b"in32": ("int", "big", 32), b"fl32": ("float", "big", 32), b"fl64": ("float", "big", 64), b"ulaw": ("ulaw", "big", 8), b"alaw": ("alaw", "big", 8)}
+
+
+@decoder("aiff", lambda head: head[:4] == b"FORM" and head[8:12] in (b"AIFF", b"AIFC"))
+def decode_aiff(data: bytes, limits: DecodeLimits = DecodeLimits(), clock=time.monotonic):
+    """AIFF, and AIFF-C with PCM of either byte order, floats, mu-law or A-law; chunks in any order. A sound chunk that is cut
+    off, or has fewer frames than stated, gives what there is, or, in integrity mode, an error."""
+    common = sound = None
+    for name, at, size in f.chunks(data, "big", f.Clock(limits, clock)):
+        if name == b"COMM":
+            common = data[at : at + min(size, 22)]
+        elif name == b"SSND":
+            sound = at, size
+    if common is None or len(common) < 18 or sound is None or sound[1] < 8:
+        raise DecodeError(errors.BAD_IO, "no common chunk" if common is None or len(common) < 18 else "no sound chunk")
+    channels, frames, bits, exponent, mantissa = struct.unpack(">HIHHQ", common[:18])
+    packed = common[18:22] if data[8:12] == b"AIFC" else b"NONE"
+    rate = round(mantissa * 2.0 ** ((exponent & 0x7FFF) - 16383 - 63)) if exponent < 16383 + 31 else 0
+    if channels == 0:
+        raise DecodeError(errors.BAD_CHANNELS, "0 channels")
+    kind, order, fixed = _AIFC.get(packed.upper() if packed.upper() == b"NONE" else packed.lower(), ("", "", 0))
+    bits = fixed or bits
+    if not kind or not 1 <= bits <= 64 or (kind == "int" and bits > 32):
+        raise DecodeError(errors.BAD_IO, f"format {packed!r} with {bits} bits")
+    raw = f.content(data, sound[0], sound[1], limits)
+    raw = raw[8 + int.from_bytes(raw[:4], "big") :]
+    size = frames * channels * -(-bits // 8)
+    return _samples(f.content(raw, 0, size, limits), kind, bits if kind != "int" else -(-bits // 8) * 8, channels, order if bits > 8 else "big", limits), channels, rate
 
 
 def decode_to_mono(data: bytes, limits: DecodeLimits = DecodeLimits(), rate: int | None = None) -> tuple[np.ndarray, int]:
