@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from sonorel.operators import spectral
 from sonorel.operators.lags import meet
+from sonorel.streaming.callbacks import Callbacks
 
 
 class Fingerprinter(ABC):
@@ -31,7 +32,7 @@ class Fingerprinter(ABC):
         return spectral._extract(recordings, self, self.extract, list(self.fields))
 
 
-class StreamingFingerprinter(ABC):
+class StreamingFingerprinter(Callbacks, ABC):
     """A streaming extractor; instances must pickle, for they are the state kept between batches."""
 
     @abstractmethod

@@ -40,6 +40,43 @@ def onnx_embedding(model: str):
     return run
 
 
+#: Weights that a network read from a table may have: they go to every task. Larger ones are model files.
+MOST_WEIGHTS = 1 << 24
+
+
+class DenseNetwork:
+    """Callable on log-mel batches [n, mels, frames]: their means over frames go through layers (weights [units, inputs], biases)
+    with rectifiers between them, in double precision. With ``digits``, outputs are rounded."""
+
+    def __init__(self, layers: list[tuple[np.ndarray, np.ndarray]], digits: int | None = None):
+        for (a, _), (b, _) in zip(layers, layers[1:]):
+            if b.shape[1] != len(a):
+                raise errors.ConfigError(f"a layer of {b.shape[1]} inputs follows one of {len(a)} units")
+        self.layers, self.digits = layers, digits
+
+    def __call__(self, batch: np.ndarray) -> np.ndarray:
+        x = np.asarray(batch, np.float64).mean(axis=2)
+        for k, (w, b) in enumerate(self.layers):
+            x = (np.maximum(x, 0) if k else x) @ w.T + b
+        return x if self.digits is None else np.round(x, self.digits)
+
+
+def network(units: DataFrame, digits: int | None = None) -> DenseNetwork:
+    """The network of a table: layer, unit, weights (one for each unit of the layer before, in their order), bias.
+    ConfigError if the table is empty, holds nulls or layers that don't fit, or has more weights than ``MOST_WEIGHTS``."""
+    rows = units.select(F.col("layer").cast("int").alias("layer"), F.col("unit").cast("long").alias("unit"), F.col("weights").cast("array<double>").alias("weights"), F.col("bias").cast("double").alias("bias"))
+    unsound = F.col("layer").isNull() | F.col("unit").isNull() | F.col("bias").isNull() | F.coalesce(F.exists("weights", lambda w: w.isNull()), F.lit(True))
+    n, bad = rows.agg(F.sum(F.size("weights") + 1), F.count_if(unsound)).first()
+    if not n or bad or n > MOST_WEIGHTS:
+        raise errors.ConfigError(f"{n or 0} weights" if not bad else f"{bad} units hold nulls")
+    layers: dict[int, list] = {}
+    for r in rows.orderBy("layer", "unit").collect():  # checked above
+        layers.setdefault(r.layer, []).append(r)
+    if any(len({len(r.weights) for r in v}) > 1 for v in layers.values()):
+        raise errors.ConfigError("units of one layer have different numbers of weights")
+    return DenseNetwork([(np.array([r.weights for r in v]), np.array([r.bias for r in v])) for v in layers.values()], digits)
+
+
 def windows_to_vectors(x: np.ndarray, cfg: Embedder, model) -> tuple[np.ndarray, np.ndarray]:
     """(start of each window in samples, its vector): full windows only; the tail is dropped."""
     w, h = cfg.window_samples, cfg.hop_samples

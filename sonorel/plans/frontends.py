@@ -18,6 +18,7 @@ from sonorel.operators import extension as X
 from sonorel.operators import long
 from sonorel.operators import neural as N
 from sonorel.operators import spectral as S
+from sonorel.operators.progress import with_progress
 from sonorel.plans import oracles as O
 from sonorel.functions import tables
 from sonorel.sources import audio, blobs, shared, store
@@ -160,6 +161,15 @@ def extract_sql(spark, sf_dir):
     return wang.select("recording_id", F.lit("wang").alias("algorithm"), "hash", "t_anchor", *none, "error").union(panako.select("recording_id", F.lit("panako"), "hash", "t_anchor", "t_b", "t_c", "error"))
 
 
+@query
+def extract_progress(spark, sf_dir):
+    """Hashes of each recording, and what a callback was told while they were extracted."""
+    told: list[float] = []
+    got = with_progress(spark, lambda: shared.written(S.extract_wang(G.recordings(spark, sf_dir), WANG), "progress"), told.append, 0.05)
+    rising = all(a < b for a, b in zip(told, told[1:]))
+    return got.filter("error IS NULL").groupBy("recording_id").agg(F.count("hash").alias("hashes")).select("recording_id", "hashes", F.lit(told[0]).alias("first"), F.lit(told[-1]).alias("last"), F.lit(rising).alias("rising"))
+
+
 # --- streams -------------------------------------------------------------------------------------------------
 
 CHUNK = 37
@@ -174,9 +184,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.union(cut.filter("seq % 5 = 0"))
 
 
-def streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], name: str, files: int = 2, tables: list[DataFrame] | None = None) -> DataFrame:
+def streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], name: str, files: int = 2, tables: list[DataFrame] | None = None, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Result of a streaming query over the chunks, or the given ``tables`` of chunks one after the other, each of which lies in four
-    files in no order; so many make a batch."""
+    files in no order; so many make a batch. With ``each`` a callback gets every batch and says what is kept of it."""
     base = shared.new_path(spark, name)
     for some in tables or [chunks(spark, sf_dir)]:
         some.repartition(4, "seq").write.mode("append").parquet(f"{base}/in")
@@ -189,13 +199,16 @@ def streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame],
     out = transform(source)
     for k, v in wanted.items():
         spark.conf.set(k, v)
+    # a batch that is delivered again after a failure overwrites what its callback kept of it
+    deliver = lambda df, batch: each(df).write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+    sink = out.writeStream.foreachBatch(deliver) if each else out.writeStream.format("parquet").option("path", f"{base}/out")
     try:  # a query takes the options it starts with
-        running = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        running = sink.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     running.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out") if each else spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
 MANY = 1 << 30  # chunks that may wait: none is missing, only late
@@ -206,6 +219,14 @@ def stream_wang(spark, sf_dir):
     return streamed(spark, sf_dir, lambda c: E.stream_hashes(c, WANG, MANY), "wang").select("stream_id", "t_ms", "hash", "t_anchor", "error")
 
 
+@query
+def stream_callbacks(spark, sf_dir):
+    """Hashes delivered to a callback, batch by batch, which keeps their number."""
+    count = lambda df: df.filter("error IS NULL").groupBy("stream_id").agg(F.count("hash").alias("hashes"))
+    got = streamed(spark, sf_dir, lambda c: E.stream_hashes(c, WANG, MANY), "callbacks", each=count)
+    return got.groupBy("stream_id").agg(F.sum("hashes").alias("hashes"))
+
+
 @query
 def stream_panako(spark, sf_dir):
     return streamed(spark, sf_dir, lambda c: E.stream_hashes(c, PANAKO, MANY), "panako").drop("t_ms")
@@ -280,6 +301,23 @@ def neural_embed(spark, sf_dir):
     return _vectors(N.embed(G.recordings(spark, sf_dir), EMBEDDER, strongest_mel), "recording_id")
 
 
+def label_network(spark, sf_dir) -> N.DenseNetwork:
+    """Two layers of weights from the means of all vectors of a label: a hidden unit for each label, and four outputs."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label IS NOT NULL")
+    means = e.groupBy("label").agg(F.array([50 * F.avg(F.get("embedding", F.lit(k)).cast("double")) for k in range(11)]).alias("m"))
+    hidden = means.select(F.lit(0).alias("layer"), F.col("label").cast("long").alias("unit"), F.slice("m", 1, 6).alias("weights"), F.get("m", F.lit(6)).alias("bias"))
+    columns = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("label", "m"))), lambda x: x.m).alias("m")).select("m", F.explode(F.array([F.lit(u) for u in range(4)])).alias("u"))
+    outputs = columns.select(F.lit(1), F.col("u").cast("long"), F.transform("m", lambda x: F.get(x, F.col("u") + 7)), F.col("u").cast("double"))
+    return N.network(hidden.union(outputs), digits=2)
+
+
+@query
+def neural_network(spark, sf_dir):
+    got = N.embed(G.recordings(spark, sf_dir), EMBEDDER, label_network(spark, sf_dir))
+    v = got.select("recording_id", "t_ms", F.posexplode("vector").alias("unit", "v"))
+    return v.select("recording_id", "t_ms", F.col("unit").cast("bigint").alias("unit"), (F.round(F.col("v").cast("double"), 2) + 0.0).alias("v"))
+
+
 @query
 def stream_embeddings(spark, sf_dir):
     return _vectors(streamed(spark, sf_dir, lambda c: E.stream_embeddings(c, EMBEDDER, strongest_mel, MANY), "embeddings"), "stream_id")
@@ -605,6 +643,7 @@ ORACLES: dict[str, str] = {
     "extract_errors": f"WITH {_exact(O.PAIRS)} SELECT DISTINCT track::VARCHAR AS recording_id, CASE track % 10 WHEN 0 THEN 'AudioTooShort' WHEN 1 THEN 'AudioTooShort' WHEN 2 THEN 'NonFiniteSample' WHEN 3 THEN 'UnsupportedSampleRate' ELSE 'InputTooLarge' END AS code, NULL::BIGINT AS hash "
     "FROM tracks WHERE track % 10 <= 4 UNION ALL SELECT recording_id, 'InputTooLarge', NULL FROM pr WHERE recording_id::BIGINT % 10 = 5 GROUP BY recording_id HAVING count(*) > 1",
     "stream_wang": _wang("stream_id", "ta AS t_ms, NULL::VARCHAR AS error"),
+    "stream_callbacks": f"SELECT stream_id, count(hash) AS hashes FROM ({_wang('stream_id', 'NULL::VARCHAR AS error')}) GROUP BY ALL",
     "stream_panako": _panako("stream_id", "error"),
     "stream_haitsma": f"WITH {_HAITSMA} SELECT id AS stream_id, pos, frame, (pos + 1) * 2 AS t_ms, NULL::VARCHAR AS error FROM codes",
     # a second chunk that is the last one leaves nothing that waits behind it
@@ -615,6 +654,11 @@ ORACLES: dict[str, str] = {
     "SELECT recording_id AS stream_id, t_ms, CASE WHEN low < 3 THEN 'Inference: too low' END AS error, CASE WHEN low >= 3 THEN list_reduce([0] || bands, lambda s, v: s * 7 + v)::BIGINT END AS digest FROM spans",
     "stream_reset": _RESET,
     "neural_embed": _MEL.replace("{key}", "recording_id"),
+    "neural_network": f"""WITH {_MEL_BANDS}, m AS (SELECT recording_id, i, mel, avg(log10(v + 1e-10::DOUBLE)) AS x FROM starts JOIN lm USING (recording_id) WHERE t BETWEEN i * 4 AND i * 4 + 6 GROUP BY ALL),
+        means AS (SELECT label, k, 50 * avg(embedding[k + 1]::DOUBLE) AS w FROM embeddings, range(11) g(k) WHERE label IS NOT NULL GROUP BY ALL),
+        hidden AS (SELECT recording_id, i, label, greatest(0, sum(x * means.w) + any_value(b.w)) AS h FROM m JOIN means ON k = mel JOIN (SELECT label, w FROM means WHERE k = 6) b USING (label) GROUP BY ALL)
+        SELECT recording_id, i * 4 AS t_ms, k - 7 AS unit, round(sum(h * w) + k - 7, 2) + 0.0::DOUBLE AS v FROM hidden JOIN means USING (label) WHERE k >= 7 GROUP BY recording_id, i, k""",
+    "extract_progress": f"SELECT recording_id, count(hash) AS hashes, 0::DOUBLE AS first, 1::DOUBLE AS last, TRUE AS rising FROM ({_wang('recording_id', 'NULL::VARCHAR AS error')}) GROUP BY ALL",
     "stream_embeddings": _MEL.replace("{key}", "stream_id"),
     "watermarks": f"WITH {O.TRACKS}, w AS (SELECT track, avg(CASE WHEN value::FLOAT > 40 THEN 1 ELSE 0 END) AS c, sum(CASE WHEN t < 8 AND value::FLOAT >= 30 THEN 1 << t::INTEGER ELSE 0 END)::BIGINT AS m, count(*) AS n FROM tracks GROUP BY track) "
     "SELECT track::VARCHAR AS recording_id, c::FLOAT > 0.42 AS detected, round(c::FLOAT::DOUBLE, 4) AS confidence, m AS message, n FROM w",

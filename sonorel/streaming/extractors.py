@@ -19,9 +19,10 @@ from sonorel import errors
 from sonorel.configs import Embedder, Haitsma, Panako, Wang
 from sonorel.functions import kernels as K
 from sonorel.operators import neural
+from sonorel.streaming.callbacks import Callbacks
 
 
-class FrameStream:
+class FrameStream(Callbacks):
     """Turns pushed samples into frames of one STFT; keeps what the next frame needs."""
 
     def __init__(self, cfg):
@@ -199,7 +200,7 @@ class HaitsmaStream(FrameStream):
         return []
 
 
-class EmbeddingStream:
+class EmbeddingStream(Callbacks):
     """Streaming form of the embedder: every full window gives a vector; a rest goes at the end. A window that the model fails
     on stays and is tried again with the next push, ``retries`` times; then it gives a row with the error, and the stream goes on
     behind it."""

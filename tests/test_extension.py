@@ -1,11 +1,17 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
+import pytest
 
 from sonorel.configs import PanakoMatch
+from sonorel.errors import ConfigError
 from sonorel.operators import matching as M
+from sonorel.operators import neural, progress
 from sonorel.operators.extension import Fingerprinter, Matcher, StreamingFingerprinter, catalogue_pairs
+from sonorel.plans.frontends import WANG
 from sonorel.sources import index, signals
-from sonorel.streaming.extractors import HashProcessor
+from sonorel.streaming.extractors import HashProcessor, LandmarkStream
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,6 +28,56 @@ def test_own_extractor(spark):
     assert [(r.recording_id, r.at) for r in rows if r.error is None] == [("a", 1), ("a", 3)] and len(rows) == 3
 
 
+def test_progress_rises_from_0_to_1(spark):
+    told = []
+    slow = spark.range(0, 400_000, 1, 64).mapInPandas(lambda p: p, "id long")
+    assert progress.with_progress(spark, slow.count, told.append, 0.02) == 400_000
+    assert told[0] == 0 and told[-1] == 1 and all(a < b for a, b in zip(told, told[1:])) and all(x <= progress.NEARLY for x in told[:-1])
+
+
+def test_progress_of_failures(spark):
+    told = []
+    with pytest.raises(ZeroDivisionError):
+        progress.with_progress(spark, lambda: 1 // 0, told.append)
+    assert told == [0]
+
+    def stop(x):
+        if x:
+            raise KeyError("enough")
+
+    class Tracker:
+        def getJobIdsForGroup(self, group):  # noqa: N802
+            return [1, 2]
+
+        def getJobInfo(self, job):  # noqa: N802
+            return SimpleNamespace(stageIds=[10 * job, 10 * job + 1]) if job == 1 else None
+
+        def getStageInfo(self, stage):  # noqa: N802
+            return SimpleNamespace(numTasks=8, numCompletedTasks=2) if stage == 10 else None
+
+    assert progress.share_done(Tracker(), "g") == 0.25
+    with pytest.raises(KeyError):
+        progress.with_progress(spark, lambda: 1, stop)
+
+
+def test_callbacks_get_what_lists_hold():
+    x = np.sin(np.arange(4000) ** 1.5 / 90).astype(np.float32) * 100
+    a, b, got = LandmarkStream(WANG), LandmarkStream(WANG), []
+    want = [f for k in range(0, 4000, 333) for f in a.push(x[k : k + 333])] + a.flush()
+    n = sum(b.push_with(x[k : k + 333], got.append) for k in range(0, 4000, 333)) + b.flush_with(got.append)
+    assert got == want and n == len(want) > 10
+
+
+def test_networks_from_tables(spark):
+    schema = "layer int, unit long, weights array<double>, bias double"
+    net = neural.network(spark.createDataFrame([(1, 0, [1.0, -1.0], 0.5), (0, 1, [0.0, -2.0, 1.0], 0.0), (0, 0, [1.0, 1.0, 1.0], -1.0)], schema))
+    mels = np.array([[[0.0, 2.0], [1.0, 1.0], [5.0, 3.0]], [[0.0, 0.0], [0.0, 0.0], [0.0, 0.0]]])
+    assert net(mels).tolist() == [[5.0 - 2.0 + 0.5], [0.5]]  # means 1, 1, 4: 5 and 2; then none, cut at 0
+    for rows in ([], [(0, 0, [1.0, None], 0.0)], [(0, 0, None, 0.0)], [(0, 0, [1.0], None)], [(0, 0, [1.0], 0.0), (0, 1, [1.0, 2.0], 0.0)], [(0, 0, [1.0], 0.0), (1, 0, [1.0, 2.0], 0.0)]):
+        with pytest.raises(ConfigError):
+            neural.network(spark.createDataFrame(rows, schema))
+
+
 def test_own_matcher(spark):
     class Overlap(Matcher):
         def match_one(self, query, reference):
