@@ -9,7 +9,9 @@ falls until some text is found, so short pages keep their text.
 What the page says of itself weighs lines, on every page in the same way: in ``article`` and ``main`` elements links
 count as text, a stretch ends at their edges, and its length counts ``MARKED`` times. If the weightiest stretch is
 marked, the marked ones are the article; else the marks are of teasers or the like, and every stretch that surges is
-kept. Such elements count inside a form too, and ``main`` inside an element left out for its class. A page without any
+kept. On such a page the innermost element with four fifths of the kept text is the article's place: lines of a stretch outside it
+have to surge by themselves, or be headings. And a stretch that doesn't surge is kept if it lies in the same element as one that
+does, and is mostly whole sentences or has a heading: the last words behind a list of links, the lead before it. Such elements count inside a form too, and ``main`` inside an element left out for its class. A page without any
 text takes the articles inside such elements, or what a form holds.
 
 Defined results: null, empty and text-free pages give an empty string and length 0; markup that is cut off
@@ -34,6 +36,13 @@ THRESHOLDS = (120, 60, 20, 1)
 #: How many times the length of a stretch in an article or main element counts.
 MARKED = 3
 
+#: Share of the kept text that the article's place holds.
+PLACE = 0.8
+
+#: A whole sentence of three words or more, and words of notices that are no sentence of an article.
+_SENTENCE = re.compile(r"\S+\s+\S+\s.*[.!?\u2026\u3002]['\")\]\u00bb\u201d\u2019]*\Z", re.S)
+_NOTICE = re.compile(r"\u00a9|\(c\)\s|copyright|all rights reserved|cookies?\b|newsletter|subscribe|sign up|log ?in\b|advertis|sponsored|privacy policy|terms of (?:use|service)|share this|follow us", re.I)
+
 _OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _TAG = re.compile(r"</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _LOOSE_TAG = re.compile(r"</?[a-zA-Z][^<>]*+(?:>|\Z)")
@@ -49,6 +58,9 @@ HEADER = "header"
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "frame", "keygen"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "nobr"}
+HEADINGS = {"h1", "h2"}
+#: Block elements that are lines, or lists and tables of lines, of the element around them.
+LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "pre", "blockquote", "figure", "figcaption", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "br", "hr", "address"}
 ENDS_P = {"p", "div", "ul", "ol", "table", "section", "article", "main", "aside", "header", "footer", "nav", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "hr", "dl", "fieldset", "address", "details"}
 
 #: Class and id tokens that mark an element as no part of the article: words that may begin or end a longer token
@@ -78,6 +90,8 @@ class Line:
     linked: int = 0
     away: int = 0  # the strongest mark around it: 0 none, FORM, CLASS or PART
     main: bool = False
+    box: int = 0  # the element around it that is more than a line
+    head: bool = False
 
     def text(self) -> str:
         return _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -115,13 +129,14 @@ def marks(page: str):
         at = (yield m.start(), m.end()) or m.end()
 
 
-def lines_of(page: str) -> list[Line]:
-    """The page's text as lines, one a block; references are decoded after the markup is off."""
-    out, line = [], Line()
-    open_: list[tuple[str, tuple[int, int, int]]] = []  # name, and what held around it
+def lines_of(page: str) -> tuple[list[Line], list[int]]:
+    """The page's text as lines, one a block, and the parent of every box, each of which comes behind its parent; references are
+    decoded after the markup is off."""
+    out, line, parents = [], Line(), [-1]
+    open_: list[tuple[str, tuple[int, int, int, int, int]]] = []  # name, and what held around it
     places: dict[str, list[int]] = {}  # of each name in open_
     blocks: list[int] = []  # places of those not inline
-    links = away = main = 0
+    links = away = main = box = head = 0
 
     def cut():
         nonlocal line
@@ -130,8 +145,8 @@ def lines_of(page: str) -> list[Line]:
         line = Line()
 
     def close(k: int):
-        nonlocal away, main, links
-        away, main, links = open_[k][1]
+        nonlocal away, main, links, box, head
+        away, main, links, box, head = open_[k][1]
         for n, _ in open_[k:]:
             places[n].pop()
         del open_[k:]
@@ -142,7 +157,7 @@ def lines_of(page: str) -> list[Line]:
         if s:
             s = html.unescape(s)
             line.parts.append(s)
-            line.away, line.main = away, main > 0
+            line.away, line.main, line.box, line.head = away, main > 0, box, head > 0
             if links:
                 line.linked += len(s.strip())
 
@@ -184,7 +199,11 @@ def lines_of(page: str) -> list[Line]:
         places.setdefault(name, []).append(len(open_))
         if name not in INLINE:
             blocks.append(len(open_))
-        open_.append((name, (away, main, links)))
+        open_.append((name, (away, main, links, box, head)))
+        if name not in INLINE and name not in LINES:
+            parents.append(box)
+            box = len(parents) - 1
+        head += name in HEADINGS
         if is_main and away <= (CLASS if name == "main" or role == "main" else FORM):
             away = 0  # the text begins here, whatever wraps it
         if hidden or name in BOILERPLATE - {"form"} or (name == HEADER and not main) or role in _AWAY_ROLE:
@@ -196,7 +215,7 @@ def lines_of(page: str) -> list[Line]:
         main += is_main
         links += name == "a"
     cut()
-    return out
+    return out, parents
 
 
 def stretches(sizes: list[int]) -> list[tuple[int, int, int]]:
@@ -213,12 +232,47 @@ def stretches(sizes: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def chosen(lines: list[tuple[bool, int, int]]) -> list[bool]:
-    """Which lines (marked as article, length, length of links) are the main text."""
+def told(text: str, head: bool) -> int:
+    """How many of a line's characters tell that it is of an article: all of a sentence that is no notice. A heading
+    counts so often that it decides for the lines around it."""
+    return len(text) * 10**6 if head else len(text) if _SENTENCE.match(text) and not _NOTICE.search(text) else 0
+
+
+def placed(keep: list[bool], sizes: list[int], boxes: list[int], parents: list[int]) -> list[bool]:
+    """Whether each line lies in the innermost box that holds ``PLACE`` of the kept text."""
+    weight = [0] * len(parents)
+    for k, n, b in zip(keep, sizes, boxes, strict=True):
+        weight[b] += n * k
+    for b in range(len(parents) - 1, 0, -1):
+        weight[parents[b]] += weight[b]
+    # the boxes that hold so much lie in one another; the last one that was opened is the innermost
+    place = max(b for b, w in enumerate(weight) if w >= PLACE * weight[0])
+    inside = [False] * len(parents)
+    for b in range(len(parents)):
+        inside[b] = b == place or (b > 0 and inside[parents[b]])
+    return [inside[b] for b in boxes]
+
+
+def homes(boxes: list[int], parents: list[int]) -> list[int]:
+    """The innermost box of each line that holds another line too: an element around one line is only that line."""
+    count = [0] * len(parents)
+    for b in boxes:
+        count[b] += 1
+    for b in range(len(parents) - 1, 0, -1):
+        count[parents[b]] += count[b]
+    home = list(range(len(parents)))
+    for b in range(1, len(parents)):
+        if count[b] < 2:
+            home[b] = home[parents[b]]
+    return [home[b] for b in boxes]
+
+
+def chosen(lines: list[tuple[bool, int, int, int, int]], parents: list[int]) -> list[bool]:
+    """Which lines (marked as article, length, length of links, box, what tells that it is of an article) are the main text."""
     found = []  # marked, from, to, surge, weight
     at = 0
     for marked, group in groupby(lines, key=lambda x: x[0]):
-        sizes = [n if marked else max(0, n - linked) for _, n, linked in group]
+        sizes = [n if marked else max(0, n - linked) for _, n, linked, *_ in group]
         for a, b, surge in stretches(sizes):
             found.append((marked, at + a, at + b, surge, sum(sizes[a:b]) * (MARKED if marked else 1)))
         at += len(sizes)
@@ -231,6 +285,23 @@ def chosen(lines: list[tuple[bool, int, int]]) -> list[bool]:
     for marked, a, b, surge, _ in found:
         if marked if only_marked else surge >= least:
             keep[a:b] = [True] * (b - a)
+    if only_marked:
+        return keep
+    sizes = [n if marked else max(0, n - linked) for marked, n, linked, *_ in lines]
+    boxes = homes([x[3] for x in lines], parents)
+    surging = {b for b, k in zip(boxes, keep, strict=True) if k}
+    inside = placed(keep, sizes, boxes, parents)
+    for _, a, b, surge, weight in found:
+        if surge < least:
+            if surging.issuperset(boxes[a:b]) and 2 * sum(x[4] for x in lines[a:b]) >= sum(sizes[a:b]):
+                keep[a:b] = [True] * (b - a)
+            continue
+        for within, run in groupby(range(a, b), key=inside.__getitem__):
+            run = list(run)
+            alone = [sizes[i] for i in run]
+            if not within and max((f[2] for f in stretches(alone)), default=0) < least:
+                for i in run:
+                    keep[i] = lines[i][4] > lines[i][1]  # headings
     return keep
 
 
@@ -238,11 +309,12 @@ def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    lines = [(x, x.text()) for x in lines_of(page)]
+    lines, parents = lines_of(page)
+    lines = [(x, x.text()) for x in lines]
     lines = [(x, t) for x, t in lines if t]
     for main, most in ((False, 0), (True, CLASS), (False, FORM)):  # a page that would be empty takes what a form or a class hides
         some = [(x, t) for x, t in lines if x.away <= most and (x.main or not main)]  # the others neither fill a window nor make a dive
-        keep = chosen([(x.main, len(t), x.linked) for x, t in some])
+        keep = chosen([(x.main, len(t), x.linked, x.box, told(t, x.head)) for x, t in some], parents)
         if any(keep):
             return " ".join(t for (_, t), k in zip(some, keep, strict=True) if k)
     return ""

@@ -5,6 +5,8 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -178,7 +180,78 @@ def test_html_stretches_equal_a_plain_search(lines):
         for m, lines_, surge, _ in found:
             for k in lines_:
                 want[k] = m if marked else surge >= least
-    assert html_extract.chosen(lines) == want
+    assert html_extract.chosen([(*x, 0, 0) for x in lines], [-1]) == want
+
+
+def _article(page):
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    return " ".join(unescape(re.sub("</?b>", "", re.sub("</?(p|br|h1)>", " ", body))).split())
+
+
+def test_html_windows_decide_where_no_tag_or_class_tells(spark, monkeypatch):
+    pages = [r.html for r in common.table(spark, SF, "pages").collect()]
+    bare = [re.sub(r"<(/?)(?:nav|article|footer)>", r"<\1div>", p).replace(' class="ad"', "") for p in pages]
+    want = [_article(p) for p in pages]
+
+    def right():
+        return sum(html_extract.extract(p) == w for p, w in zip(bare, want, strict=True))
+
+    assert right() >= 0.85 * len(pages)
+    found, true, both = 0, 0, 0
+    for p, w in zip(bare, want, strict=True):
+        got = html_extract.extract(p).split()
+        found, true, both = found + len(got), true + len(w.split()), both + sum((Counter(got) & Counter(w.split())).values())
+    assert both >= 0.99 * found and both >= 0.99 * true
+    # nor any element: the windows find the dive of the menu's links, and hold the whole article with the lines beside it
+    flat = [re.sub("</?(?:div|ul)[^>]*>", "", p).replace("<li>", "<p>").replace("</li>", "</p>") for p in bare]
+    menus = [" ".join(unescape(x) for x in re.findall("<a [^>]*>([^<]*)</a>", p)) for p in pages]
+    got = [html_extract.extract(p) for p in flat]
+    assert all(w in g and not g.startswith(m) for g, w, m in zip(got, want, menus, strict=True))
+    monkeypatch.setattr(html_extract, "stretches", lambda sizes: [(0, len(sizes), sum(sizes))])  # no windows: all is one stretch
+    assert all(html_extract.extract(p).startswith(m) for p, m in zip(flat, menus, strict=True))
+
+
+def test_html_leads_and_ends_beside_links():
+    e, links, body = html_extract.extract, "<ul>" + "<li><a href=x>A link</a>" * 3 + "</ul>", " ".join(["word"] * 60) + "."
+    assert e(f"<p>{body}</p>{links}<p>Short but real end of story.</p>") == f"{body} Short but real end of story."
+    assert e(f"<h1>Head</h1><p>By A. Author<p>May 5<p>A caption</p>{links}<p>{body}") == f"Head By A. Author May 5 A caption {body}"
+    for notice in ("Copyright 2001 by A. Author and heirs.", "We use cookies on this page.", "Subscribe to our daily letter.", "Two words."):
+        assert e(f"<p>{body}</p>{links}<p>{notice}</p>") == body, notice
+    # short lines outside the element that holds the text, whatever they say; a heading there stays
+    assert e(f"<body><div>This is one fine offer.</div><div><p>{body}<p>More.</div><div><p>And so on.<p>And on.</div></body>") == f"{body} More."
+    assert e(f"<body><h1>Head</h1><div><p>{body}<p>More.</div></body>") == f"Head {body} More."
+    # sections of one text, and paragraphs in elements of their own
+    assert e(f"<div><div><p>{body}<p>a</div><div><p>b<p>c</div></div>".replace("</div></div>", f"</div><div><p>{body}<p>d</div></div>")) == f"{body} a b c {body} d"
+    assert e(f"<div><div><p>One.</div><div>{body}</div><div><p>Two.</div></div>") == f"One. {body} Two."
+
+
+def test_html_lines_and_boxes():
+    lines, parents = html_extract.lines_of("a<div>b<p>c <b>d</b><h2>e</h2><ul><li>f<li><a>g</a> h</ul><section>i</section></div><nav>j</nav><form>k</form>")
+    assert [(x.text(), x.box, x.head, x.linked, x.away) for x in lines] == [
+        ("a", 0, False, 0, 0), ("b", 1, False, 0, 0), ("c d", 1, False, 0, 0), ("e", 1, True, 0, 0), ("f", 1, False, 0, 0), ("g h", 1, False, 1, 0),
+        ("i", 2, False, 0, 0), ("j", 3, False, 0, html_extract.PART), ("k", 4, False, 0, html_extract.FORM),
+    ]
+    assert parents == [-1, 0, 1, 0, 0]
+
+
+@given(st.lists(st.integers(0, 10**6), max_size=8), st.lists(st.tuples(st.booleans(), st.integers(1, 50), st.integers(0, 10**6)), min_size=1, max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_html_places_equal_a_plain_search(tree, lines):
+    parents = [-1, *(p % (k + 1) for k, p in enumerate(tree))]
+    keep, sizes, boxes = [k for k, *_ in lines], [n for _, n, _ in lines], [b % len(parents) for *_, b in lines]
+
+    def above(b):
+        return [b, *above(parents[b])] if b >= 0 else []
+
+    def held(b):
+        return [i for i, x in enumerate(boxes) if b in above(x)]
+
+    assert html_extract.homes(boxes, parents) == [next(a for a in above(b) if a == 0 or len(held(a)) > 1) for b in boxes]
+    if any(keep):
+        total = sum(n for n, k in zip(sizes, keep) if k)
+        most = [b for b in range(len(parents)) if sum(sizes[i] for i in held(b) if keep[i]) >= 0.8 * total]
+        inside = held(max(most, key=lambda b: len(above(b))))
+        assert html_extract.placed(keep, sizes, boxes, parents) == [i in inside for i in range(len(lines))]
 
 
 def test_html_hostile_pages_take_linear_time():
