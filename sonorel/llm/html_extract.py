@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -267,8 +268,9 @@ def homes(boxes: list[int], parents: list[int]) -> list[int]:
     return [home[b] for b in boxes]
 
 
-def chosen(lines: list[tuple[bool, int, int, int, int]], parents: list[int]) -> list[bool]:
-    """Which lines (marked as article, length, length of links, box, what tells that it is of an article) are the main text."""
+def chosen(lines: list[tuple[bool, int, int, int]], parents: list[int], tells: Callable[[int], int]) -> list[bool]:
+    """Which lines (marked as article, length, length of links, box) are the main text; ``tells`` says what tells that a line is of
+    an article, and is asked only where windows don't decide."""
     found = []  # marked, from, to, surge, weight
     at = 0
     for marked, group in groupby(lines, key=lambda x: x[0]):
@@ -293,7 +295,7 @@ def chosen(lines: list[tuple[bool, int, int, int, int]], parents: list[int]) ->
     inside = placed(keep, sizes, boxes, parents)
     for _, a, b, surge, weight in found:
         if surge < least:
-            if surging.issuperset(boxes[a:b]) and 2 * sum(x[4] for x in lines[a:b]) >= sum(sizes[a:b]):
+            if surging.issuperset(boxes[a:b]) and 2 * sum(map(tells, range(a, b))) >= sum(sizes[a:b]):
                 keep[a:b] = [True] * (b - a)
             continue
         for within, run in groupby(range(a, b), key=inside.__getitem__):
@@ -301,7 +303,7 @@ def chosen(lines: list[tuple[bool, int, int, int, int]], parents: list[int]) ->
             alone = [sizes[i] for i in run]
             if not within and max((f[2] for f in stretches(alone)), default=0) < least:
                 for i in run:
-                    keep[i] = lines[i][4] > lines[i][1]  # headings
+                    keep[i] = tells(i) > lines[i][1]  # headings
     return keep
 
 
@@ -314,7 +316,7 @@ def extract(page: str | None) -> str:
     lines = [(x, t) for x, t in lines if t]
     for main, most in ((False, 0), (True, CLASS), (False, FORM)):  # a page that would be empty takes what a form or a class hides
         some = [(x, t) for x, t in lines if x.away <= most and (x.main or not main)]  # the others neither fill a window nor make a dive
-        keep = chosen([(x.main, len(t), x.linked, x.box, told(t, x.head)) for x, t in some], parents)
+        keep = chosen([(x.main, len(t), x.linked, x.box) for x, t in some], parents, lambda i: told(some[i][1], some[i][0].head))  # noqa: B023
         if any(keep):
             return " ".join(t for (_, t), k in zip(some, keep, strict=True) if k)
     return ""

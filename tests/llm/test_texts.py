@@ -180,7 +180,7 @@ def test_html_stretches_equal_a_plain_search(lines):
         for m, lines_, surge, _ in found:
             for k in lines_:
                 want[k] = m if marked else surge >= least
-    assert html_extract.chosen([(*x, 0, 0) for x in lines], [-1]) == want
+    assert html_extract.chosen([(*x, 0) for x in lines], [-1], lambda i: 0) == want
 
 
 def _article(page):
