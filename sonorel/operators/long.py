@@ -84,7 +84,7 @@ class _Plan:
 
 def _landmarks(x: np.ndarray, k: int, plan: _Plan) -> list[np.ndarray]:
     cfg, (start, end), (lo, hi) = plan.cfg, plan.needed(k), plan.owned(k)
-    db = K.decibels(K.power(x, cfg.stft))[: end - start]
+    db = K.decibels(spectral.spectrum(x, cfg))[: end - start]
     t, f, mag = K.peaks(db, cfg.neighborhood, cfg.neighborhood, cfg.min_anchor_mag_db, 0, plan.fps)
     t = t + start
     # whole seconds only: of frames before the owned ones, and of the last frames, the neighbourhood may be cut

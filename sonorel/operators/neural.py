@@ -84,7 +84,7 @@ def windows_to_vectors(x: np.ndarray, cfg: Embedder, model) -> tuple[np.ndarray,
     stft, weights = Stft(cfg.n_fft, cfg.hop, cfg.window, center=False), K.mel_weights(cfg.mel)
     out = []
     for lo in range(0, len(starts), cfg.batch_size):
-        mels = np.stack([K.log_mel(K.power(x[s : s + w], stft), weights).T for s in starts[lo : lo + cfg.batch_size]])
+        mels = np.stack([K.log_mel(K.power(x[s : s + w].astype(np.float64), stft), weights).T for s in starts[lo : lo + cfg.batch_size]])
         v = np.asarray(model(mels), np.float32)
         if cfg.l2_normalize:
             n = np.linalg.norm(v, axis=1, keepdims=True)

@@ -140,8 +140,13 @@ def _extract(recordings: DataFrame, cfg, hashes_of, fields: list[str]) -> DataFr
     return some.mapInArrow(run, "recording_id string, " + "".join(f"{f} bigint, " for f in fields) + f"error {ERROR}")
 
 
+def spectrum(x: np.ndarray, cfg) -> np.ndarray:
+    """Power of single-precision samples in double precision: in single precision peaks that differ in the seventh digit are one."""
+    return K.power(x.astype(np.float64), cfg.stft)
+
+
 def _peaks(x: np.ndarray, cfg: Landmarks):
-    db = K.decibels(K.power(x, cfg.stft))
+    db = K.decibels(spectrum(x, cfg))
     return K.peaks(db, cfg.neighborhood, cfg.neighborhood, cfg.min_anchor_mag_db, cfg.peaks_per_sec, cfg.frames_per_sec)
 
 
@@ -163,7 +168,7 @@ def panako_hashes_of(x: np.ndarray, cfg: Panako):
 
 def haitsma_frames_of(x: np.ndarray, cfg: Haitsma):
     band = K.band_of_bin(cfg.fmin, cfg.fmax, cfg.sample_rate, cfg.stft.n_fft, cfg.bands)
-    codes = K.frame_codes(K.band_energies(K.power(x, cfg.stft), band, cfg.bands))
+    codes = K.frame_codes(K.band_energies(spectrum(x, cfg), band, cfg.bands))
     return np.arange(len(codes)), codes
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sonorel import errors
 from sonorel.configs import Embedder, Haitsma, Panako, Wang
 from sonorel.functions import kernels as K
-from sonorel.operators import neural
+from sonorel.operators import neural, spectral
 from sonorel.streaming.callbacks import Callbacks
 
 
@@ -38,7 +38,7 @@ class FrameStream(Callbacks):
         if self.cfg.max_push_samples is not None:
             x = x[: self.cfg.max_push_samples]
         self.carry = np.concatenate([self.carry, np.where(np.isfinite(x), x, np.float32(0))])
-        p, first = K.power(self.carry, self.cfg.stft), self.frames
+        p, first = spectral.spectrum(self.carry, self.cfg), self.frames
         self.carry = self.carry[len(p) * self.cfg.stft.hop :]
         self.frames += len(p)
         return first, p
@@ -51,11 +51,11 @@ class RunningMax:
 
     def __init__(self, half: int, bins: int):
         self.half, self.width, self.n = half, 2 * half + 1, 0
-        self.rows = np.full((self.width, bins), -np.inf, np.float32)  # of the block that is being filled
+        self.rows = np.full((self.width, bins), -np.inf)  # of the block that is being filled
         self.ends = self.rows.copy()  # of the block before: maxima from each row to its end
         self.start = None  # maximum of the block so far
         for _ in range(half):
-            self._push(np.full(bins, -np.inf, np.float32))
+            self._push(np.full(bins, -np.inf))
 
     def _push(self, row: np.ndarray) -> np.ndarray | None:
         at = self.n % self.width
@@ -77,7 +77,7 @@ class RunningMax:
     def flush(self) -> list[np.ndarray]:
         """Maxima of the last rows. Called again, it gives nothing."""
         behind, self.half = self.half, 0
-        return self.push(np.full((behind, self.rows.shape[1]), -np.inf, np.float32))
+        return self.push(np.full((behind, self.rows.shape[1]), -np.inf))
 
 
 class LandmarkStream(FrameStream):
@@ -85,7 +85,7 @@ class LandmarkStream(FrameStream):
 
     def __init__(self, cfg: Wang | Panako):
         super().__init__(cfg)
-        self.rows = np.empty((0, cfg.stft.n_bins), np.float32)  # frames whose peaks aren't known, in decibels
+        self.rows = np.empty((0, cfg.stft.n_bins))  # frames whose peaks aren't known, in decibels
         self.high = RunningMax(cfg.neighborhood, cfg.stft.n_bins)
         self.ripe = 0  # frames whose peaks are known
         self.open = self._none()  # peaks of seconds that aren't closed
@@ -162,7 +162,7 @@ class LandmarkStream(FrameStream):
 
     def _hashes(self, ready: np.ndarray) -> list[tuple]:
         c = self.cfg
-        t, f, mag = self.closed[:, 0].astype(np.int64), self.closed[:, 1].astype(np.int64), self.closed[:, 2].astype(np.float32)
+        t, f, mag = self.closed[:, 0].astype(np.int64), self.closed[:, 1].astype(np.int64), self.closed[:, 2]
         ms = lambda frame: int(frame * c.stft.hop * 1000 // c.sample_rate)
         if isinstance(c, Panako):
             a, b, d = K.landmark_triples(t, f, mag, c.target_zone_t, c.target_zone_f, c.fan_out, 2 * c.fan_out)
@@ -182,7 +182,7 @@ class HaitsmaStream(FrameStream):
     def __init__(self, cfg: Haitsma = Haitsma()):
         super().__init__(cfg)
         self.band = K.band_of_bin(cfg.fmin, cfg.fmax, cfg.sample_rate, cfg.stft.n_fft, cfg.bands)
-        self.before = np.empty((0, cfg.bands), np.float32)
+        self.before = np.empty((0, cfg.bands))
 
     def latency_ms(self) -> int:
         return self.cfg.stft.n_fft * 1000 // self.cfg.sample_rate
