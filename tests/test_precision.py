@@ -1,5 +1,6 @@
 """What the last digits decide: near ties of peaks, edges of filters that lie on a bin, clips of sequences that are too short."""
 
+import duckdb
 import numpy as np
 
 from sonorel.configs import Mel
@@ -7,7 +8,7 @@ from sonorel.functions import kernels as K
 from sonorel.operators import long
 from sonorel.operators import neural as N
 from sonorel.operators import spectral as S
-from sonorel.plans import frontends
+from sonorel.plans import frontends, registry
 from sonorel.streaming.extractors import LandmarkStream
 
 
@@ -44,3 +45,15 @@ def test_filters_do_not_hang_on_the_processor(monkeypatch):
         monkeypatch.setattr(np, name, lambda x, plain=plain: np.nextafter(plain(x), np.inf))
     for (scale, rate), w in want.items():
         assert (K.mel_weights(Mel(6, 16, rate, scale=scale)) == w).all()
+
+
+def test_sliding_over_short_sequences(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").filter("vec_id < 580")
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    n = e.groupBy(registry.G._sequence()).count()
+    assert n.filter("count < 8").count() and n.filter("count BETWEEN 8 AND 10").count()
+    got = registry.neural_sliding(spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES['neural_sliding']})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
