@@ -11,9 +11,10 @@
 4. A phrase inside a longer candidate with the same count is inside one that is longer by a single word with that count
    too (counts fall as runs grow), so only a candidate's two runs of one word less are looked up.
 
-The sketch has a cell for every ``min_count`` bytes of text, up to ``WIDTH``: its two bit rows, broadcast to all tasks, take
-2 MB at most. Beyond that width it lets more through (the results stay exact, the second pass counts more): give a larger
-``min_count`` with a larger corpus. The tables of frequent phrases grow with the corpus and are joined by shuffles
+The sketch has a cell for every ``min_count`` bytes of text, up to ``WIDTH``: that is 13 GB of text at ``MIN_COUNT``. A cell stops
+at ``min_count``, so it takes a byte there: a task holds 256 MB at most, and the two bit rows, broadcast to all tasks, take 32 MB at
+most. Beyond that width it lets more through (the results stay exact, the second pass counts more): give a larger ``min_count``
+with a larger corpus. The tables of frequent phrases grow with the corpus and are joined by shuffles
 unless they are counted and small.
 
 Defined results: null and empty texts hold no word; a null lang is ``und``, as is a lang of that name; rows of repeated
@@ -37,7 +38,7 @@ LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
 #: Cells of a sketch's row at most, and of a block of them.
-WIDTH, BLOCK = 1 << 23, 1 << 16
+WIDTH, BLOCK = 1 << 27, 1 << 16
 ROWS = 2
 #: Sketches that one step of merging sums.
 FAN = 64
@@ -148,26 +149,49 @@ def _cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return (hashes >> np.uint64(32 * row)).astype(np.int64) & (width - 1)
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    """Sums of the blocks (row, block, part, cells) of equal row, block and part // FAN."""
-    schema = "row int, block int, part int, cells binary"
+def width_for(size: int, min_count: int) -> int:
+    """Cells of a row for so many bytes of text."""
+    width = BLOCK
+    while width < WIDTH and width * max(1, min_count) < size:
+        width *= 2
+    return width
+
+
+def _kind(most: int) -> type:
+    """The least type that holds counts up to ``most``."""
+    return next(t for t in (np.uint8, np.uint16, np.uint32) if most <= np.iinfo(t).max or t is np.uint32)
+
+
+def _add(table: np.ndarray, cells: np.ndarray, counts: np.ndarray, most: int) -> None:
+    """Add counts to cells, which may repeat; cells stop at ``most``."""
+    both = (cells << 32) | np.minimum(counts, most)
+    both.sort()
+    cell = both >> 32
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    at, sums = cell[starts], np.add.reduceat(both & 0xFFFFFFFF, starts)
+    table[at] = np.minimum(table[at] + sums, most)
+
+
+def _summed(rows: DataFrame, most: int) -> DataFrame:
+    """Sums, up to ``most``, of the blocks (row, block, part, cells) of equal row, block and part // FAN."""
+    schema, kind = "row int, block int, part int, cells binary", _kind(most)
 
     def run(batches):
         key, total = None, None
 
         def done():
-            return pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in key], pa.array([total.tobytes()], pa.binary())], names=["row", "block", "part", "cells"])
+            return pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in key], pa.array([total.astype(kind).tobytes()], pa.binary())], names=["row", "block", "part", "cells"])
 
         for b in batches:
             for i in range(b.num_rows):
                 now = tuple(b.column(c)[i].as_py() for c in ("row", "block", "part"))
-                cells = np.frombuffer(b.column("cells")[i].as_buffer(), np.int64)
+                cells = np.frombuffer(b.column("cells")[i].as_buffer(), kind).astype(np.int64)
                 if now == key:
-                    total += cells
+                    total = np.minimum(total + cells, most)
                 else:
                     if key is not None:
                         yield done()
-                    key, total = now, cells.copy()
+                    key, total = now, cells
         if key is not None:
             yield done()
 
@@ -176,36 +200,39 @@ def _summed(rows: DataFrame) -> DataFrame:
     return up.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def sketch(docs: DataFrame, width: int, longest: int = LONGEST) -> DataFrame:
-    """row, block, cells: the merged sketch of all runs of the texts (lang, text), by blocks of 64-bit cells."""
+def sketch(docs: DataFrame, width: int, longest: int = LONGEST, most: int = MIN_COUNT) -> DataFrame:
+    """row, block, cells: the merged sketch of all runs of the texts (lang, text), by blocks of cells that stop at ``most``."""
+    most = max(1, min(most, 2**32 - 1))
+    kind = _kind(most)
 
     def run(batches):
-        table = np.zeros((ROWS, width), np.uint32)
+        table = np.zeros((ROWS, width), kind)
         for runs in _runs(batches):
             more = bool(runs.flat)
             while more:
                 for row in range(ROWS):
-                    np.add.at(table[row], _cells(runs.hash, row, width), runs.counts.astype(np.uint32))
+                    _add(table[row], _cells(runs.hash, row, width), runs.counts, most)
                 more = runs.size < longest and runs.longer(None)
         part = TaskContext.get().partitionId()
         for row in range(ROWS):
             for at in range(0, width, BLOCK):
                 cells = table[row, at : at + BLOCK]
                 if cells.any():
-                    yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in (row, at // BLOCK, part)], pa.array([cells.astype(np.int64).tobytes()], pa.binary())], names=["row", "block", "part", "cells"])
+                    yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in (row, at // BLOCK, part)], pa.array([cells.tobytes()], pa.binary())], names=["row", "block", "part", "cells"])
 
-    merged = common.materialize(_summed(docs.mapInArrow(run, "row int, block int, part int, cells binary")), "sketch")
+    merged = common.materialize(_summed(docs.mapInArrow(run, "row int, block int, part int, cells binary"), most), "sketch")
     while merged.agg(F.max("part")).first()[0]:
-        merged = common.materialize(_summed(merged), "sketch")
+        merged = common.materialize(_summed(merged, most), "sketch")
     return merged.select("row", "block", "cells")
 
 
 def frequent_bits(cells: DataFrame, width: int, least: int) -> np.ndarray:
-    """Whether each cell holds ``least`` or more, packed, a row each: ROWS * width / 8 bytes."""
+    """Whether each cell of a sketch up to ``least`` holds as much, packed, a row each: ROWS * width / 8 bytes."""
+    most = max(1, min(least, 2**32 - 1))
 
     def run(batches):
         for b in batches:
-            bits = [np.packbits(np.frombuffer(c.as_buffer(), np.int64) >= least).tobytes() for c in b.column("cells")]
+            bits = [np.packbits(np.frombuffer(c.as_buffer(), _kind(most)) >= most).tobytes() for c in b.column("cells")]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("block"), pa.array(bits, pa.binary())], names=["row", "block", "bits"])
 
     out = np.zeros((ROWS, width // 8), np.uint8)
@@ -249,12 +276,10 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST
     words of each lang with a null phrase; written."""
     some = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = BLOCK
-    while width < WIDTH and width * max(1, min_count) < size:
-        width *= 2
+    width = width_for(size, min_count)
     # a task's sketch goes through the shuffle: tasks have several times its bytes of text if there is enough of it
-    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // (8 * ROWS * width))
-    bits = frequent_bits(sketch(some.coalesce(tasks), width, longest), width, min_count)
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // (4 * ROWS * width))
+    bits = frequent_bits(sketch(some.coalesce(tasks), width, longest, min_count), width, min_count)
     counts = _counted(some, bits, width, longest).groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
     return common.materialize(counts.filter((F.col("f") >= min_count) | F.col("phrase").isNull()), "frequent")
 

@@ -77,6 +77,23 @@ def test_collocations_edges(spark):
     assert mined(table(spark, EDGES).filter("false"), 3) == set()
 
 
+def test_the_sketch_grows_with_the_text():
+    assert all(collocations.width_for(size, 100) * 100 >= size for size in (10**8, 10**9, 6 * 10**9, 12 * 10**9))
+
+
+def test_cells_stop_at_the_count_asked_for():
+    rng = np.random.default_rng(0)
+    for most, kind in ((100, np.uint8), (1000, np.uint16), (100_000, np.uint32)):
+        table, want = np.zeros(64, collocations._kind(most)), np.zeros(64, np.int64)
+        assert table.dtype == kind
+        for _ in range(50):
+            cells, counts = rng.integers(0, 64, 200), rng.integers(1, most, 200)
+            cells[cells == 5] = 6
+            collocations._add(table, cells, counts // 40 + 1, most)
+            np.add.at(want, cells, counts // 40 + 1)
+            assert (table == np.minimum(want, most)).all()
+
+
 def test_a_crowded_sketch_loses_nothing(spark, monkeypatch):
     rng = np.random.default_rng(6)
     docs = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 300) if x < 5000), "en") for i in range(20)]
