@@ -111,6 +111,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None) -> DataFrame:
         for b in batches:
             n = [x + 1 for g in bpe.texts_in_groups(b.column(1)) for x in counter.encode_batch(g)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n"])
+        counter.release()
 
     return some.mapInArrow(run, "doc_id long, n long")
 

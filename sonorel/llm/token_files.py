@@ -34,6 +34,10 @@ from sonorel.llm import common
 
 #: Chunks of text (a run of ASCII white space and what follows) a worker remembers before it starts anew.
 MEMO = 700_000
+#: The same where only numbers of ids are wanted, beside stages that need the executor's memory.
+COUNTER_MEMO = 150_000
+#: Chunks given to the library in one go: what it returns takes some hundred bytes an id.
+LEARNED = 20_000
 
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 # A word in ASCII or Latin-1 letters and ASCII punctuation behind it (none that starts a contraction).
@@ -52,6 +56,8 @@ class ChunkEncoder:
     token's text are given to the library whole.
     """
 
+    limit: int | None = None  # of the memo; None: ``MEMO``
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -99,16 +105,22 @@ class ChunkEncoder:
         """Put chunks into the memo. A word and the punctuation behind it are encoded apart, as the pattern does."""
         parts = {k: (m[1], f"\0{m[2]}") for k in keys if (m := _WORD_AND_MARKS.fullmatch(k))}
         order = list(keys.difference(parts).union(x for p in parts.values() for x in p).difference(self.memo))
-        if order:
-            self.memo.update(zip(order, self._chunk_ids([self._chunk(k) for k in order]), strict=True))
+        for at in range(0, len(order), LEARNED):
+            some = order[at : at + LEARNED]
+            self.memo.update(zip(some, self._chunk_ids([self._chunk(k) for k in some]), strict=True))
         get = self.memo.__getitem__
         self.memo.update((k, get(word) + get(marks)) for k, (word, marks) in parts.items())
 
+    def release(self) -> None:
+        """Give the memo's memory back: Spark's workers outlive their stage and would hold it beside the next ones."""
+        self.memo = {}
+        common.give_back()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         whole = [bool(_ODD.search(t)) or any(s in t for s in self.special) for t in texts]
         cut = [[] if w else self._cut(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.memo) > MEMO:  # the older half goes
-            self.memo = dict(islice(self.memo.items(), MEMO // 2, None))
+        if len(self.memo) > (most := self.limit or MEMO):  # the older ones go
+            self.memo = dict(islice(self.memo.items(), len(self.memo) - most // 2, None))
         found = [list(map(self.memo.get, cs)) for cs in cut]
         holes = [[i for i, v in enumerate(vs) if v is None] if None in vs else [] for vs in found]
         missing = {cs[i] for cs, at in zip(cut, holes, strict=True) for i in at}
@@ -124,6 +136,8 @@ class ChunkEncoder:
 class ChunkCounter(ChunkEncoder):
     """Numbers of ids instead of the ids."""
 
+    limit = COUNTER_MEMO
+
     def __init__(self, path: str):
         super().__init__(path)
         self.together = sum
