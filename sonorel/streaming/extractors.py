@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sonorel import errors
@@ -248,12 +249,17 @@ def extractor(cfg):
     return HaitsmaStream(cfg) if isinstance(cfg, Haitsma) else LandmarkStream(cfg)
 
 
+#: Chunks that wait beside a stream's extractor, and their bytes; with more than either all go under keys of their own.
+FEW, FEW_BYTES = 16, 1 << 16
+
 OUT = "stream_id string, t_ms bigint, hash bigint, t_anchor bigint, t_b bigint, t_c bigint, error string"
 
 
 class HashProcessor(StatefulProcessor):
-    """Keyed state: the extractor, whose size its options bound; the number of the next chunk; and, each under its own key, chunks
-    that came early, of which a batch touches only those that come or become due. Chunks may come in any order and more than
+    """Keyed state: the extractor, whose size its options bound, with the number of the next chunk and up to ``FEW`` small chunks that
+    came early; and, once more wait, each of those under its own key, of which a batch touches only those that come or become due.
+    Every access to a state is a round trip between processes and costs more than what is done with it, so what a batch needs of a
+    stream in order, or nearly so, lies in one place. Chunks may come in any order and more than
     once. A gap is reported and skipped when more than ``max_gap`` chunks wait behind it or, given a ``patience_ms``, when no
     chunk has come for so long.
 
@@ -270,12 +276,12 @@ class HashProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("extractor", "blob binary")
-        self.place = handle.getValueState("place", "due bigint, waiting bigint")  # due -1: the stream has ended
-        self.early = handle.getMapState("early", "seq bigint", "samples array<float>, eos boolean, reset boolean")
+        self.state = handle.getValueState("extractor", "blob binary, due bigint, waiting bigint, few binary")
+        self.ended = handle.getValueState("ended", "mark boolean")
+        self.early = handle.getMapState("early", "seq bigint", "samples binary, eos boolean, reset boolean")  # little-endian floats
 
-    def _load(self):
-        return pickle.loads(self.state.get()[0]) if self.state.exists() else extractor(self.cfg)
+    def _load(self, blob: bytes | None):
+        return extractor(self.cfg) if blob is None else pickle.loads(blob)
 
     def _pushed(self, key, ex, chunk, out: list):
         """The extractor after one chunk (None behind the last), whose rows go to ``out``."""
@@ -299,20 +305,23 @@ class HashProcessor(StatefulProcessor):
     def _empty(self) -> list[None]:
         return [None] * (len(self._fields()) - 2)
 
-    def _advance(self, key, came: dict, give_up: bool):
-        """Rows of all chunks that are due, of those that ``came`` now and those that waited; whether the stream has ended."""
-        due, waiting = self.place.get() if self.place.exists() else (0, 0)
-        if due < 0:
+    def _advance(self, key, came: dict, give_up: bool, close: bool = False):
+        """Rows of all chunks that are due, of those that ``came`` now and those that waited; whether the stream has ended. With
+        ``close`` it ends here and leaves no mark."""
+        held = self.state.get()
+        if held is None and self.ended.get() is not None:
             return [], True
-        ex, out = self._load(), []
-        came = {k: v for k, v in came.items() if k >= due and not (waiting and self.early.containsKey((k,)))}
+        blob, due, waiting, few = held or (None, 0, 0, None)  # waiting: under keys of their own
+        ex, out, keyed = self._load(blob), [], waiting > 0
+        few = pickle.loads(few) if few is not None else {}
+        came = few | {k: v for k, v in came.items() if k >= due and k not in few and not (waiting and self.early.containsKey((k,)))}
         while ex is not None and (came or waiting):
             if due in came:
                 chunk = came.pop(due)
             elif waiting and self.early.containsKey((due,)):
                 samples, eos, reset = self.early.getValue((due,))
                 self.early.removeKey((due,))
-                waiting, chunk = waiting - 1, (None if samples is None else np.asarray(samples, np.float32), eos, reset)
+                waiting, chunk = waiting - 1, (None if samples is None else np.frombuffer(samples, "<f4"), eos, reset)
             elif len(came) + waiting > self.max_gap or give_up:
                 then = min([*came, *(k[0] for k in self.early.keys())] if waiting else came)
                 out.append((key[0], *self._empty(), f"chunks {due} to {then - 1} are missing"))
@@ -322,24 +331,35 @@ class HashProcessor(StatefulProcessor):
                 break
             due += 1
             ex = self._pushed(key, ex, chunk, out)
-        if ex is None:
-            self._end()
+        if ex is not None and close:
+            self._pushed(key, ex, (None, True, False), out)
+        if ex is None or close:
+            if blob is not None:
+                self.state.clear()
+            if keyed:
+                self.early.clear()
+            if not close:
+                self.ended.update((True,))
             return out, True
-        for k, (samples, eos, reset) in came.items():
-            self.early.updateValue((k,), (None if samples is None else samples.tolist(), eos, reset))
-        self.place.update((int(due), int(waiting + len(came))))
-        self.state.update((pickle.dumps(ex),))
+        if waiting or len(came) > FEW or sum(x.nbytes for x, _, _ in came.values() if x is not None) > FEW_BYTES:
+            for k, (samples, eos, reset) in came.items():
+                self.early.updateValue((k,), (None if samples is None else samples.astype("<f4").tobytes(), eos, reset))
+            waiting, came = waiting + len(came), {}
+        self.state.update((pickle.dumps(ex), int(due), int(waiting), pickle.dumps(came) if came else None))
+        self._waits = bool(waiting or came)
         return out, False
 
-    def _end(self) -> None:
-        """Keep a mark only."""
-        self.state.clear()
-        self.early.clear()
-        self.place.update((-1, 0))
-
-    def _frame(self, out: list) -> pd.DataFrame:
+    def _rows(self, out: list) -> Iterator[pd.DataFrame]:
+        """What Spark takes for the rows of a stream."""
         frame = pd.DataFrame(out, columns=[name for name, _ in self._fields()])
-        return frame.astype({name: "Int64" for name, kind in self._fields() if kind == "bigint"})
+        yield frame.astype({name: "Int64" for name, kind in self._fields() if kind == "bigint"})
+
+    @staticmethod
+    def _chunks(rows: Iterator[pd.DataFrame], at: str | None) -> Iterator[tuple]:
+        """seq, samples, eos, reset and time of each row that Spark brings."""
+        for pdf in rows:
+            resets = pdf["reset"] if "reset" in pdf else [False] * len(pdf)
+            yield from zip(pdf["seq"], pdf["samples"], pdf["eos"], resets, pdf["seq"] if at is None else pdf[at], strict=True)
 
     def _timer(self, when: int | None) -> None:
         for t in list(self.handle.listTimers()):
@@ -350,42 +370,66 @@ class HashProcessor(StatefulProcessor):
         if when is not None:
             self.handle.registerTimer(int(when))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         came, last = {}, 0
-        for pdf in rows:
-            resets = pdf["reset"] if "reset" in pdf else [False] * len(pdf)
-            for seq, samples, eos, reset in zip(pdf["seq"], pdf["samples"], pdf["eos"], resets, strict=True):
-                came.setdefault(int(seq), (None if samples is None else np.asarray(samples, np.float32), bool(eos), bool(reset)))
+        for seq, samples, eos, reset, at in self._chunks(rows, self.event_time):
+            came.setdefault(int(seq), (None if samples is None else np.asarray(samples, np.float32), bool(eos), bool(reset)))
             if self.event_time is not None:
-                last = max(last, int(pdf[self.event_time].max().timestamp() * 1000))
+                last = max(last, int(at.timestamp() * 1000))
         out, ended = self._advance(key, came, False)
         if self.event_time is not None:
             self._timer(last + self.patience_ms)
         elif self.patience_ms is not None:
-            waits = ended or self.place.get()[1] > 0
+            waits = ended or self._waits
             self._timer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms if waits else None)
-        yield self._frame(out)
+        yield from self._rows(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.place.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        if self.ended.get() is not None:
+            self.ended.clear()
             return
-        if self.place.get()[0] < 0:
-            self.place.clear()
+        if not self.state.exists():
             return
-        out, ended = self._advance(key, {}, True)
-        if self.event_time is not None:
-            if not ended:  # it has been silent for too long
-                self._pushed(key, self._load(), (None, True, False), out)
-                self._end()
-            self.place.clear()
-        elif ended:
+        # by event time it has been silent for too long
+        out, ended = self._advance(key, {}, True, self.event_time is not None)
+        if self.event_time is None and ended:
             self._timer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
-        yield self._frame(out)
+        yield from self._rows(out)
 
     def close(self) -> None:
         pass
 
 
+def _whole(x) -> int | None:
+    """A whole number of any kind; None for a missing one."""
+    if x is None or type(x) is int:
+        return x
+    if pd.isna(x):
+        return None
+    if x != int(x):
+        raise ValueError(f"{x} is no whole number")
+    return int(x)
+
+
+class RowsOf:
+    """Rows instead of data frames on both sides of a processor: a frame costs more than all else that is done for a stream with
+    few chunks in a batch."""
+
+    @staticmethod
+    def _chunks(rows: Iterator[Row], at: str | None) -> Iterator[tuple]:
+        for r in rows:
+            when: datetime | None = r[at] if at else None
+            if when is not None and when.tzinfo is None:
+                when = when.replace(tzinfo=timezone.utc)
+            yield r["seq"], r["samples"], r["eos"], "reset" in r.__fields__ and r["reset"], when
+
+    def _rows(self, out: list) -> Iterator[Row]:
+        row = Row(*(name for name, _ in self._fields()))
+        whole = [kind == "bigint" for _, kind in self._fields()]
+        for values in out:
+            yield row(*(_whole(v) if w else v for v, w in zip(values, whole, strict=True)))
+
+
 class EmbeddingProcessor(HashProcessor):
     """The same with an embedder; the model stays out of the state."""
 
@@ -395,23 +439,31 @@ class EmbeddingProcessor(HashProcessor):
         super().__init__(lambda: EmbeddingStream(cfg, self.model), max_gap, patience_ms, event_time)
         self.model = model
 
-    def _load(self):
-        ex = super()._load()
+    def _load(self, blob: bytes | None):
+        ex = super()._load(blob)
         ex.model = self.model
         return ex
 
 
-def _transformed(chunks: DataFrame, processor: HashProcessor) -> DataFrame:
+class HashRows(RowsOf, HashProcessor):
+    pass
+
+
+class EmbeddingRows(RowsOf, EmbeddingProcessor):
+    pass
+
+
+def _transformed(chunks: DataFrame, processor: HashRows | EmbeddingRows) -> DataFrame:
     if processor.event_time is not None and processor.patience_ms is None:
         raise errors.ConfigError("event time needs a patience_ms")
     mode = "None" if processor.patience_ms is None else "ProcessingTime" if processor.event_time is None else "EventTime"
-    return chunks.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.columns, outputMode="Append", timeMode=mode)
+    return chunks.groupBy("stream_id").transformWithState(statefulProcessor=processor, outputStructType=processor.columns, outputMode="Append", timeMode=mode)
 
 
 def stream_embeddings(chunks: DataFrame, cfg: Embedder, model, max_gap: int = 64, patience_ms: int | None = None, event_time: str | None = None) -> DataFrame:
     """stream_id, t_ms, vector, error: a vector of every full window of each stream. model: as ``neural.embed`` takes it."""
     apply = neural.onnx_embedding(model) if isinstance(model, str) else model
-    return _transformed(chunks, EmbeddingProcessor(cfg, lambda window: neural.windows_to_vectors(window, cfg, apply)[1][0], max_gap, patience_ms, event_time))
+    return _transformed(chunks, EmbeddingRows(cfg, lambda window: neural.windows_to_vectors(window, cfg, apply)[1][0], max_gap, patience_ms, event_time))
 
 
 def stream_hashes(chunks: DataFrame, cfg=Wang(), max_gap: int = 64, patience_ms: int | None = None, event_time: str | None = None) -> DataFrame:
@@ -419,4 +471,4 @@ def stream_hashes(chunks: DataFrame, cfg=Wang(), max_gap: int = 64, patience_ms:
     may be a callable that gives an ``extension.StreamingFingerprinter`` of one's own, of a class that the executors can import. With
     ``patience_ms`` and no ``event_time`` the query has timers of processing time and runs batches without data, so it needs a
     trigger that doesn't end by itself; ``event_time`` names a column that has a watermark."""
-    return _transformed(chunks, HashProcessor(cfg, max_gap, patience_ms, event_time))
+    return _transformed(chunks, HashRows(cfg, max_gap, patience_ms, event_time))
