@@ -109,7 +109,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None) -> DataFrame:
     def run(batches):
         counter = token_files.encoder(tokenizer, token_files.ChunkCounter)
         for b in batches:
-            n = [x + 1 for g in bpe.texts_in_groups(b.column(1)) for x in counter.encode_batch(g)]
+            n = [x + 1 for g in bpe.texts_in_groups(b.column(1), token_files.GROUP) for x in counter.encode_batch(g)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n"])
         counter.release()
 

@@ -21,7 +21,6 @@ import os
 import re
 import uuid
 import zlib
-from itertools import islice
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
@@ -38,6 +37,8 @@ MEMO = 700_000
 COUNTER_MEMO = 150_000
 #: Chunks given to the library in one go: what it returns takes some hundred bytes an id.
 LEARNED = 20_000
+#: Characters of text that are cut and looked up together: with more, the chunks outgrow the processor's cache.
+GROUP = 1 << 19
 
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 # A word in ASCII or Latin-1 letters and ASCII punctuation behind it (none that starts a contraction).
@@ -67,6 +68,10 @@ class ChunkEncoder:
         self.lib.no_truncation()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
+        vocab = self.lib.get_vocab()
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)  # ids whose text starts with a blank
+        self.leads[[i for token, i in vocab.items() if token[0] == "\u0120"]] = True
+        self.leading = not any(" " in s for s in self.special)
         self.memo: dict[str, bytes] = {}
         self.together = b"".join
 
@@ -74,7 +79,14 @@ class ChunkEncoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Many short texts in one go: a special token between two of them keeps them apart and marks the seam."""
+        """Many short texts in one go. Where each is a blank and a word, the id that holds the blank is a word's first; elsewhere a
+        special token between two of them keeps them apart and marks the seam."""
+        if self.leading and all(c[:1] == " " < c[1:2] for c in chunks):
+            ids = np.array(self.lib.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, self.kind)
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) == len(chunks):
+                starts = (starts * self.kind.itemsize).tolist()
+                return self._parts(ids.tobytes(), starts, [*starts[1:], ids.nbytes])
         if not self.special:
             return self._ids(chunks)
         seam, width = self.special[0], self.kind.itemsize
@@ -104,13 +116,20 @@ class ChunkEncoder:
     def _learn(self, keys: set[str]) -> None:
         """Put chunks into the memo. A word and the punctuation behind it are encoded apart, as the pattern does."""
         parts = {k: (m[1], f"\0{m[2]}") for k in keys if (m := _WORD_AND_MARKS.fullmatch(k))}
-        order = list(keys.difference(parts).union(x for p in parts.values() for x in p).difference(self.memo))
-        for at in range(0, len(order), LEARNED):
-            some = order[at : at + LEARNED]
-            self.memo.update(zip(some, self._chunk_ids([self._chunk(k) for k in some]), strict=True))
+        new = keys.difference(parts).union(x for p in parts.values() for x in p).difference(self.memo)
+        words = [k for k in new if k[:1] > " "]
+        for order in (words, list(new.difference(words))):
+            for at in range(0, len(order), LEARNED):
+                some = order[at : at + LEARNED]
+                self.memo.update(zip(some, self._chunk_ids([self._chunk(k) for k in some]), strict=True))
         get = self.memo.__getitem__
         self.memo.update((k, get(word) + get(marks)) for k, (word, marks) in parts.items())
 
+    def _forget(self, used: set[str], most: int) -> None:
+        """Keep ``most`` chunks: of those in use, then of the others, the newest."""
+        keep, rest = [k for k in self.memo if k in used][-most:], [k for k in self.memo if k not in used]
+        self.memo = {k: self.memo[k] for k in rest[max(0, len(rest) - most + len(keep)) :] + keep}
+
     def release(self) -> None:
         """Give the memo's memory back: Spark's workers outlive their stage and would hold it beside the next ones."""
         self.memo = {}
@@ -119,8 +138,8 @@ class ChunkEncoder:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         whole = [bool(_ODD.search(t)) or any(s in t for s in self.special) for t in texts]
         cut = [[] if w else self._cut(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.memo) > (most := self.limit or MEMO):  # the older ones go
-            self.memo = dict(islice(self.memo.items(), len(self.memo) - most // 2, None))
+        if len(self.memo) > (most := self.limit or MEMO):  # those go that are older and not in use
+            self._forget(set().union(*cut), most // 2)
         found = [list(map(self.memo.get, cs)) for cs in cut]
         holes = [[i for i, v in enumerate(vs) if v is None] if None in vs else [] for vs in found]
         missing = {cs[i] for cs, at in zip(cut, holes, strict=True) for i in at}
@@ -194,7 +213,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, partitions:
                 for k, t in enumerate(texts):
                     group.append(t)
                     size += len(t)
-                    if size >= 2 << 20 or k == len(texts) - 1:
+                    if size >= GROUP or k == len(texts) - 1:
                         for raw in enc.encode_batch(group):
                             out.write(raw)
                             out.write(end)

@@ -31,3 +31,32 @@ def test_workers_keep_no_memo_after_their_task(spark):
         return [len(e.memo) for e in token_files._loaded.values()]
 
     assert not any(spark.sparkContext.parallelize(range(8), 8).mapPartitions(left).collect())
+
+
+def test_chunks_in_use_outlive_newer_ones():
+    c = token_files.ChunkCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    c.limit = 100
+    often = " ".join(f"often{i}" for i in range(20))
+    for k in range(40):
+        c.encode_batch([f"{often} {' '.join(f'new{k}x{i}' for i in range(30))}"])
+        assert all(f"often{i}" in c.memo for i in range(1, 20)) and len(c.memo) <= 100 + 52
+
+
+def test_words_are_told_apart_by_their_blank(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e = token_files.ChunkEncoder(path)
+    asked, ask = [], e.lib.encode_batch_fast
+
+    class Library:
+        def __getattr__(self, name):
+            return getattr(lib, name)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return ask(texts, **options)
+
+    lib, text = e.lib, "the naïve 北京 x1,y2 don't  two\n\nlines \t tab\n end Ġ \x01 " + e.lib.decode([300]) + " "
+    want = [e._ids([t])[0] for t in (text, " ", "", f" {text}")]
+    monkeypatch.setattr(e, "lib", Library())
+    assert e.encode_batch([text, " ", "", f" {text}"]) == want
+    assert any(" naïve" in t and not any(s in t for s in e.special) for t in asked)
