@@ -97,9 +97,9 @@ def pack_rows(doc_ids: np.ndarray, row: np.ndarray, n: np.ndarray, lengths: Leng
     return pd.DataFrame({"doc_id": doc_ids[at], "piece": piece, "start": piece * top, "length": size, "bin": where, "capacity": np.array(final, np.int64)[where] if len(final) else where, "offset": offset})
 
 
-def token_lengths(docs: DataFrame, tokenizer: str | None) -> DataFrame:
+def token_lengths(docs: DataFrame, tokenizer: str | None, memo: int | None = None) -> DataFrame:
     """doc_id, n: ids of each whole text under a byte-level tokenizer file (None: white-space words), with the
-    end mark."""
+    end mark. ``memo``: chunks a worker remembers (None: as many as leave room for other stages)."""
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if tokenizer is None:
         words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -108,6 +108,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None) -> DataFrame:
 
     def run(batches):
         counter = token_files.encoder(tokenizer, token_files.ChunkCounter)
+        counter.limit = memo or token_files.COUNTER_MEMO
         for b in batches:
             n = [x + 1 for g in bpe.texts_in_groups(b.column(1), token_files.GROUP) for x in counter.encode_batch(g)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n"])
@@ -141,6 +142,6 @@ def pack(lengths_table: DataFrame, lengths: Lengths = Lengths(), shard_rows: int
     return numbered.groupBy("shard").applyInArrow(run, "doc_id long, piece int, start long, length int, bin_id long, capacity int, offset int")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, lengths: Lengths = Lengths()) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, lengths: Lengths = Lengths(), memo: int | None = None) -> DataFrame:
     """Pack every row of ``docs`` (doc_id, text)."""
-    return pack(common.materialize(token_lengths(docs, tokenizer), "lengths"), lengths)
+    return pack(common.materialize(token_lengths(docs, tokenizer, memo), "lengths"), lengths)

@@ -17,6 +17,7 @@ text; rows without a doc_id come first; an empty table gives no partitions and n
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -26,6 +27,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +39,14 @@ MEMO = 700_000
 COUNTER_MEMO = 150_000
 #: Chunks given to the library in one go: what it returns takes some hundred bytes an id.
 LEARNED = 20_000
-#: Characters of text that are cut and looked up together: with more, the chunks outgrow the processor's cache.
+#: Characters of text that are cut together: of each distinct chunk in them one is looked up.
 GROUP = 1 << 19
 
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 # A word in ASCII or Latin-1 letters and ASCII punctuation behind it (none that starts a contraction).
 _WORD_AND_MARKS = re.compile(r"((?:\0|\n)?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
+# Stands between the chunks of a text; it is one of ``_ODD``.
+_SEAM = "\x1f"
 # Texts without these can be cut at each blank and line end.
 _RUNS = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\v", "\f")
 # White space or what some engine takes for it beyond the ASCII kinds, and NUL: texts with it aren't cut into chunks.
@@ -72,8 +76,11 @@ class ChunkEncoder:
         self.leads = np.zeros(max(vocab.values()) + 1, bool)  # ids whose text starts with a blank
         self.leads[[i for token, i in vocab.items() if token[0] == "\u0120"]] = True
         self.leading = not any(" " in s for s in self.special)
+        # a blank and ASCII letters are one piece of the pattern and their own letters in the vocabulary: the model alone gives the same ids
+        pre = json.loads(self.lib.to_str())["pre_tokenizer"] or {}
+        alone = self.lib.normalizer is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+        self.model = self.lib.model if alone else None
         self.memo: dict[str, bytes] = {}
-        self.together = b"".join
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -99,15 +106,17 @@ class ChunkEncoder:
     def _parts(raw: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
         return [raw[a:z] for a, z in zip(starts, ends, strict=True)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Words of ASCII letters that stand behind a blank."""
+        return [np.array([t.id for t in self.model.tokenize(f"\u0120{w}")], self.kind).tobytes() for w in words]
+
     @staticmethod
-    def _cut(text: str) -> list[str]:
-        """Chunks of a text, as memo keys: a chunk that starts with a blank goes without it, the first after a NUL."""
+    def _cut(text: str) -> str:
+        """Chunks of a text, as memo keys with seams between them: a chunk that starts with a blank goes without it, the first after a NUL."""
         if any(x in text for x in _RUNS):
             cs = _CHUNK.findall(text)
-            return [f"\0{cs[0]}", *[c[1:] if c[0] == " " and c[1:2] != "\n" else c if c[0] == "\n" else f"\0{c}" for c in cs[1:]]] if cs else []
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = f"\0{keys[0]}"
-        return keys
+            return _SEAM.join([f"\0{cs[0]}", *[c[1:] if c[0] == " " and c[1:2] != "\n" else c if c[0] == "\n" else f"\0{c}" for c in cs[1:]]])
+        return "\0" + text.replace("\n", f"{_SEAM}\n").replace(" ", _SEAM)
 
     @staticmethod
     def _chunk(key: str) -> str:
@@ -115,8 +124,11 @@ class ChunkEncoder:
 
     def _learn(self, keys: set[str]) -> None:
         """Put chunks into the memo. A word and the punctuation behind it are encoded apart, as the pattern does."""
-        parts = {k: (m[1], f"\0{m[2]}") for k in keys if (m := _WORD_AND_MARKS.fullmatch(k))}
+        parts = {k: (m[1], f"\0{m[2]}") for k in keys if not k[-1:].isalpha() and (m := _WORD_AND_MARKS.fullmatch(k))}
         new = keys.difference(parts).union(x for p in parts.values() for x in p).difference(self.memo)
+        plain = [k for k in new if k.isascii() and k.isalpha()] if self.model else []
+        self.memo.update(zip(plain, self._word_ids(plain), strict=True))
+        new.difference_update(plain)
         words = [k for k in new if k[:1] > " "]
         for order in (words, list(new.difference(words))):
             for at in range(0, len(order), LEARNED):
@@ -137,19 +149,25 @@ class ChunkEncoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         whole = [bool(_ODD.search(t)) or any(s in t for s in self.special) for t in texts]
-        cut = [[] if w else self._cut(t) for t, w in zip(texts, whole, strict=True)]
+        cut = pc.split_pattern(pa.array([self._cut(t) for t, w in zip(texts, whole, strict=True) if not w], pa.large_string()), _SEAM)
+        distinct = cut.values.dictionary_encode()
+        keys = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.memo) > (most := self.limit or MEMO):  # those go that are older and not in use
-            self._forget(set().union(*cut), most // 2)
-        found = [list(map(self.memo.get, cs)) for cs in cut]
-        holes = [[i for i, v in enumerate(vs) if v is None] if None in vs else [] for vs in found]
-        missing = {cs[i] for cs, at in zip(cut, holes, strict=True) for i in at}
-        if missing:
-            self._learn(missing)
-            for cs, vs, at in zip(cut, found, holes, strict=True):
-                for i in at:
-                    vs[i] = self.memo[cs[i]]
+            self._forget(set(keys), most // 2)
+        found = list(map(self.memo.get, keys))
+        holes = [i for i, v in enumerate(found) if v is None]
+        if holes:
+            self._learn({keys[i] for i in holes})
+            for i in holes:
+                found[i] = self.memo[keys[i]]
+        together = iter(self._together(found, distinct.indices.to_numpy(), cut.offsets.to_numpy()) if len(cut) else [])
         rest = iter(self._ids([t for t, w in zip(texts, whole, strict=True) if w]) if any(whole) else [])
-        return [next(rest) if w else self.together(vs) for vs, w in zip(found, whole, strict=True)]
+        return [next(rest if w else together) for w in whole]
+
+    def _together(self, found: list[bytes], chunks: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each text, whose chunks (places in ``found``) are those from its offset to the next."""
+        got, ends = list(map(found.__getitem__, chunks.tolist())), offsets.tolist()
+        return [b"".join(got[a:z]) for a, z in zip(ends, ends[1:])]
 
 
 class ChunkCounter(ChunkEncoder):
@@ -157,10 +175,6 @@ class ChunkCounter(ChunkEncoder):
 
     limit = COUNTER_MEMO
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.together = sum
-
     def _ids(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -168,6 +182,12 @@ class ChunkCounter(ChunkEncoder):
         width = self.kind.itemsize
         return [(z - a) // width for a, z in zip(starts, ends, strict=True)]
 
+    def _word_ids(self, words: list[str]) -> list[int]:
+        return [len(self.model.tokenize(f"\u0120{w}")) for w in words]
+
+    def _together(self, found: list[int], chunks: np.ndarray, offsets: np.ndarray) -> list[int]:
+        return np.add.reduceat(np.array(found, np.int64)[chunks], offsets[:-1]).tolist()
+
 
 _loaded: dict[tuple[str, type], ChunkEncoder] = {}
 

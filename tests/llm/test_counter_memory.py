@@ -60,3 +60,31 @@ def test_words_are_told_apart_by_their_blank(monkeypatch):
     monkeypatch.setattr(e, "lib", Library())
     assert e.encode_batch([text, " ", "", f" {text}"]) == want
     assert any(" naïve" in t and not any(s in t for s in e.special) for t in asked)
+
+
+def test_a_chunk_is_looked_up_once_in_a_group():
+    class Memo(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["the same words, over and over. " * 200] * 3 + ["", " ", "Straße\n\nthe\tsame\x1fwords"]
+    for kind in (token_files.ChunkEncoder, token_files.ChunkCounter):
+        e = kind(path)
+        e.memo = Memo()
+        assert e.encode_batch(texts) == e._ids(texts)
+        assert e.memo.asked <= 12
+
+
+def test_words_of_letters_go_to_the_model_alone(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for kind in (token_files.ChunkEncoder, token_files.ChunkCounter):
+        e = kind(path)
+        asked, ask = [], e._word_ids
+        monkeypatch.setattr(e, "_word_ids", lambda words: asked.extend(words) or ask(words))
+        text = "don't Speculate naïve antidisestablishmentarian, x1 A I'll\nunder-way"
+        assert e.encode_batch([text]) == e._ids([text])
+        assert sorted(asked) == ["A", "Speculate", "antidisestablishmentarian"]
