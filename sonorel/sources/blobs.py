@@ -8,8 +8,8 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +21,21 @@ VERSION = 1
 HEADER = 18
 ALGORITHMS = {"wang-v1": 0, "panako-v2": 1, "haitsma-v1": 2}
 RATES = {0: 8000, 1: 8000, 2: 5000}
+#: Bytes of blobs that a task sends on together.
+BATCH_BYTES = 1 << 20
 
 FIELDS = {"wang-v1": ["hash", "t_anchor"], "panako-v2": ["hash", "t_anchor", "t_b", "t_c"], "haitsma-v1": ["frame"]}
 _NAMES = {v: k for k, v in ALGORITHMS.items()}
 
 
+def envelope(n: int, algorithm: str, fps: float) -> bytes:
+    """Header of a blob of ``n`` records."""
+    return MAGIC + struct.pack("<BBIf", VERSION, ALGORITHMS[algorithm], n, fps)
+
+
 def pack(records: np.ndarray, algorithm: str, fps: float) -> bytes:
     """records: rows x fields of unsigned 32-bit values."""
-    return MAGIC + struct.pack("<BBIf", VERSION, ALGORITHMS[algorithm], len(records), fps) + np.ascontiguousarray(records, "<u4").tobytes()
+    return envelope(len(records), algorithm, fps) + np.ascontiguousarray(records, "<u4").tobytes()
 
 
 def header(blob: bytes, expected: str | None = None) -> tuple[str, int, float]:
@@ -59,15 +66,37 @@ def unpack(blob: bytes, algorithm: str) -> tuple[np.ndarray, float]:
 
 
 def write_blobs(hashes: DataFrame, algorithm: str, fps: float) -> DataFrame:
-    """recording_id, blob from a hash table, one recording a group, in canonical order."""
+    """recording_id, blob from a hash table, one recording a blob, in canonical order.
+
+    Spark deals and sorts the rows; a task packs the recordings of a batch together, and holds one that goes on in the next."""
     cols = FIELDS[algorithm]
     order = {"wang-v1": ["t_anchor", "hash"], "panako-v2": ["t_anchor", "t_b", "t_c", "hash"], "haitsma-v1": ["pos"]}[algorithm]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order)[cols].to_numpy(np.int64)
-        return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "blob": [pack(rows, algorithm, fps)]})
+    def made(done: list[tuple[str | None, bytes]]) -> pa.RecordBatch:
+        ids, packed = zip(*done, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(packed, pa.binary())], names=["recording_id", "blob"])
 
-    return hashes.select(F.col("recording_id").cast("string"), *dict.fromkeys([*cols, *order])).groupBy("recording_id").applyInPandas(run, "recording_id string, blob binary")
+    def run(batches):
+        done, size, last, parts, n = [], 0, None, [], 0
+        for b in batches:
+            records = np.column_stack([pc.fill_null(b.column(c), 0).to_numpy(zero_copy_only=False) for c in cols]).astype("<u4")
+            runs, at = pc.run_end_encode(b.column("recording_id")), 0
+            for rid, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if n and rid != last:
+                    done.append((last, envelope(n, algorithm, fps) + b"".join(parts)))
+                    size, parts, n = size + len(done[-1][1]), [], 0
+                    if size >= BATCH_BYTES:
+                        yield made(done)
+                        done, size = [], 0
+                last, n = rid, n + end - at
+                parts.append(records[at:end].tobytes())
+                at = end
+        if n:
+            yield made([*done, (last, envelope(n, algorithm, fps) + b"".join(parts))])
+
+    rows = hashes.select(F.col("recording_id").cast("string"), *[F.col(c).cast("long") if c in cols else c for c in dict.fromkeys([*cols, *order])])
+    dealt = rows.repartition("recording_id").sortWithinPartitions("recording_id", *[F.asc_nulls_last(c) for c in order])
+    return dealt.select("recording_id", *cols).mapInArrow(run, "recording_id string, blob binary")
 
 
 def read_blobs(blobs: DataFrame, algorithm: str) -> DataFrame:

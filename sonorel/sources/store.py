@@ -34,6 +34,8 @@ from sonorel.sources import blobs
 NAME = "fingerprints"
 #: Bytes from which a task begins another container, and entries of a partition.
 CONTAINER, ENTRIES = 128 << 20, 10_000
+#: Bytes of blobs whose rows a reader sends on together.
+TOGETHER = 1 << 18
 #: Id length of a null id.
 NULL_ID = 0xFFFFFFFF
 
@@ -146,6 +148,7 @@ class BlobReader(DataSourceReader):
         where, base = _open(self.path)
         with where.open_input_file(f"{base}/{part.name}") as f:
             offsets = np.frombuffer(f.read_at(8 * (part.last - part.first), f.size() - 8 - 8 * (part.total - part.first)), "<u8").tolist()
+            heads, found, size = [], [], 0
             for at in offsets:
                 n_id, n = struct.unpack("<II", f.read_at(8, at))
                 start = at + 8 + (0 if n_id == NULL_ID else n_id)
@@ -157,27 +160,40 @@ class BlobReader(DataSourceReader):
                 except ValueError as e:
                     head["error"] = f"{errors.BAD_BLOB}: {e}"
                 if all(_TESTS[kind](head[c], v) for c, kind, v in self.tests):
-                    yield self._rows(head, lambda: f.read_at(n, start))
-
-    def _rows(self, head: dict, blob) -> pa.RecordBatch:
-        extra, n = [], 1
+                    heads.append(head)
+                    found.append(f.read_at(n, start) if self.whole else self._records(head, lambda: f.read_at(n, start)))
+                    size += n
+                    if size >= TOGETHER or len(heads) >= ENTRIES:
+                        yield self._rows(heads, found)
+                        heads, found, size = [], [], 0
+            if heads:
+                yield self._rows(heads, found)
+
+    @staticmethod
+    def _records(head: dict, blob) -> np.ndarray | None:
+        """Records of a blob, or none and an error in its head."""
+        if head["error"] is None:
+            try:
+                records = blobs.unpack(blob(), head["algorithm"])[0].astype(np.int64)
+                return np.column_stack([records[:, 0], np.arange(len(records))]) if head["algorithm"] == "haitsma-v1" else records
+            except ValueError as e:
+                head["error"] = f"{errors.BAD_BLOB}: {e}"
+        return None
+
+    def _rows(self, heads: list[dict], found: list) -> pa.RecordBatch:
         if self.whole:
-            extra = [pa.array([blob()], pa.binary())]
+            kinds, n, extra = [("blob", pa.binary())], np.ones(len(heads), np.int64), [pa.array(found, pa.binary())]
         else:
-            cols = [[None]] * 4
-            if head["error"] is None:
-                try:
-                    records = blobs.unpack(blob(), head["algorithm"])[0].astype(np.int64)
-                    n = len(records)
-                    if head["algorithm"] == "haitsma-v1":
-                        records = np.column_stack([records[:, 0], np.arange(n)])
-                    cols = [records[:, i] if i < records.shape[1] else [None] * n for i in range(4)]
-                except ValueError as e:
-                    head["error"] = f"{errors.BAD_BLOB}: {e}"
-            extra = [pa.array(c, pa.int64()) for c in cols]
-        kinds = _HEADER + ([("blob", pa.binary())] if self.whole else _RECORD)
-        arrays = [pa.array([head[c]] * n, k) for c, k in _HEADER] + extra
-        return pa.RecordBatch.from_arrays(arrays, names=[c for c, _ in kinds])
+            kinds, n = _RECORD, np.array([1 if r is None else len(r) for r in found])
+            width = np.repeat([0 if r is None else r.shape[1] for r in found], n)
+            values = np.zeros((len(width), len(_RECORD)), np.int64)
+            for r, end, k in zip(found, np.cumsum(n).tolist(), n.tolist(), strict=True):
+                if r is not None:
+                    values[end - k : end, : r.shape[1]] = r
+            extra = [pa.array(values[:, i], pa.int64(), mask=width <= i) for i in range(len(_RECORD))]
+        blob = pa.array(np.repeat(np.arange(len(heads)), n))
+        arrays = [pa.array([h[c] for h in heads], k).take(blob) for c, k in _HEADER] + extra
+        return pa.RecordBatch.from_arrays(arrays, names=[c for c, _ in _HEADER + kinds])
 
 
 class FilteringReader(BlobReader):
